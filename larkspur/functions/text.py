@@ -37,19 +37,6 @@ def sanitize(text: Column) -> Column:
     return F.when(was_cut & (cut != ""), cut).otherwise(F.trim(clean))
 
 
-def word_spans(text: Column) -> Column:
-    """Array of (word, start, stop) of lower-case words between white space, offsets in characters."""
-    parts = F.split(F.lower(text), r"(?<=\s)(?=\S)|(?<=\S)(?=\s)")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<word:string,start:int,stop:int>>").alias("out"))
-
-    def step(state: Column, part: Column) -> Column:
-        stop = state["at"] + F.length(part)
-        word = F.struct(part.alias("word"), state["at"].alias("start"), stop.alias("stop"))
-        return F.struct(stop.alias("at"), F.when(part.rlike(r"\S"), F.array_append(state["out"], word)).otherwise(state["out"]).alias("out"))
-
-    return F.aggregate(parts, zero, step, lambda s: s["out"])
-
-
 def strip_word(word: Column) -> Column:
     """A word without punctuation at its edges."""
     return F.regexp_replace(F.regexp_replace(word, r"""^['":;,.]+""", ""), r"""['":,.]+$""", "")
@@ -122,9 +109,15 @@ def ngrams(words: Column, n: int) -> Column:
 
 
 def all_ngrams(words: Column, most: int = 5) -> Column:
-    """Array of (n, ngram) for n from 1 to most."""
-    parts = [F.transform(ngrams(words, n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("ngram"))) for n in range(1, most + 1)]
-    return F.concat(*parts)
+    """Array of (n, ngram) for n from 1 to most. The words are bound once, so that they aren't worked out for each n-gram."""
+
+    def of(bound: Column) -> Column:
+        def tagged(n: int) -> Column:
+            return F.transform(ngrams(bound, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("ngram")))
+
+        return F.concat(*map(tagged, range(1, most + 1)))
+
+    return F.flatten(F.transform(F.array(words), of))
 
 
 def one_line(text: Column, carriage: bool = False) -> Column:

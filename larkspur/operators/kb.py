@@ -86,13 +86,32 @@ def split_templates(pages: DataFrame) -> DataFrame:
     return pages.select("id", ids(portal).alias("portals"), ids(lambda t: ~portal(t)).alias("others"))
 
 
+def word_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, word, start, stop): lower-case words between white space with offsets in characters.
+
+    Offsets are running sums of the lengths of words and blanks, over the parts of one text.
+    """
+    parts = docs.select(key, F.monotonically_increasing_id().alias("_row"), F.posexplode(F.split(text, r"(?<=\s)(?=\S)|(?<=\S)(?=\s)")).alias("_at", "part"))
+    so_far = Window.partitionBy("_row").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    spans = parts.withColumn("stop", F.sum(F.length("part")).over(so_far).cast("int"))
+    return spans.where(F.col("part").rlike(r"\S")).select(key, F.lower("part").alias("word"), (F.col("stop") - F.length("part")).alias("start"), "stop")
+
+
 def spot_windows(tokens: DataFrame, most: int = 5, least_chars: int = 3) -> DataFrame:
     """(doc_id, start, n, spot) of all windows of up to ``most`` words, from (doc_id, words)."""
-    starts = F.sequence(F.lit(0), F.size("words") - 1)
-    windows = F.flatten(
-        F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size("words") - i)), lambda n: F.struct(i.alias("start"), n.alias("n"), F.array_join(F.slice(F.col("words"), i + 1, n), " ").alias("spot"))))
-    )
-    rows = tokens.where(F.size("words") > 0).select("doc_id", F.explode(windows).alias("w")).select("doc_id", "w.start", "w.n", "w.spot")
+
+    def of(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(words) - 1)
+
+        def windows(i: Column) -> Column:
+            sizes = F.sequence(F.lit(1), F.least(F.lit(most), F.size(words) - i))
+            return F.transform(sizes, lambda n: F.struct(i.alias("start"), n.alias("n"), F.array_join(F.slice(words, i + 1, n), " ").alias("spot")))
+
+        return F.flatten(F.transform(starts, windows))
+
+    # The words are bound once, so that they aren't worked out for each window.
+    found = F.flatten(F.transform(F.array("words"), of))
+    rows = tokens.where(F.size("words") > 0).select("doc_id", F.explode(found).alias("w")).select("doc_id", "w.start", "w.n", "w.spot")
     return rows.where(F.length("spot") >= least_chars)
 
 
