@@ -67,6 +67,16 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "text")
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """doc_id and text in ascending doc_id order, nulls first; equal doc_ids in the order of their texts' MD5.
+
+    Ranges are cut by both, so that many rows of one doc_id (or of none) spread over tasks; the cut points that the
+    driver samples hold a digest, never a text.
+    """
+    tie = F.md5("text")
+    return documents(docs).repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have about ``most`` bytes."""
     if not batch.num_rows:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import documents, materialize, slices
+from larkspur.llm.common import in_order, materialize, slices
 
 PRIMES = (2147483629, 2147483587)
 BASES = (1103515245, 1299709187)
@@ -194,12 +194,11 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     """Fingerprints of every document and of its edited text, which ends as the next document by doc_id begins.
 
     A null text counts as empty: 0 code points, the fingerprint of an empty text. Null doc_ids come first, equal ones
-    follow in the order of their texts; after the last document comes the first, which of a single document is itself.
+    follow in the order of their texts' MD5; after the last document comes the first, which of a single document is itself.
     An empty table gives an empty result; further columns are left out. ``kept_prefix`` is the longest common
     extension of the text and its edited text from their starts.
     """
-    ordered = documents(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
-    walked = materialize(ordered.mapInArrow(walk, WALKED), "fingerprints")
+    walked = materialize(in_order(docs).mapInArrow(walk, WALKED), "fingerprints")
     names = [f.split()[0] for f in DIGEST.split(", ")]
     done = walked.where("last_text is null").select(names)
     # One row a task from here on.

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import documents, shared_dir, slices
+from larkspur.llm.common import in_order, shared_dir, slices
 
 BLOCK = 128
 #: Bytes of text in a segment.
@@ -205,7 +205,7 @@ def coder(path: str) -> Coder:
 
 
 def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = END_ID) -> None:
-    """Encodes all texts in ascending doc_id order (nulls first, ties by text), appends end_id to each and writes them.
+    """Encodes all texts in ascending doc_id order (nulls first, ties by the text's MD5), appends end_id to each and writes them.
 
     path is a tokenizer file that every executor can open; folder is one that all executors share.
     """
@@ -229,8 +229,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = END
                 )
                 segment += 1
 
-    ordered = documents(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, SEGMENTS).write.mode("overwrite").option("compression", "uncompressed").parquet(folder)
+    in_order(docs).mapInArrow(run, SEGMENTS).write.mode("overwrite").option("compression", "uncompressed").parquet(folder)
 
 
 def decode_segment(row: dict) -> list[np.ndarray]:
