@@ -91,7 +91,8 @@ def word_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     Offsets are running sums of the lengths of words and blanks, over the parts of one text.
     """
-    parts = docs.select(key, F.monotonically_increasing_id().alias("_row"), F.posexplode(F.split(text, r"(?<=\s)(?=\S)|(?<=\S)(?=\s)")).alias("_at", "part"))
+    tagged = docs.select(*dict.fromkeys((key, text))).withColumn("_row", F.monotonically_increasing_id())
+    parts = tagged.select(key, "_row", F.posexplode(F.split(text, r"(?<=\s)(?=\S)|(?<=\S)(?=\s)")).alias("_at", "part"))
     so_far = Window.partitionBy("_row").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     spans = parts.withColumn("stop", F.sum(F.length("part")).over(so_far).cast("int"))
     return spans.where(F.col("part").rlike(r"\S")).select(key, F.lower("part").alias("word"), (F.col("stop") - F.length("part")).alias("start"), "stop")
