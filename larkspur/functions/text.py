@@ -10,6 +10,9 @@ HASHTAG_STOPWORDS = ("rt",)
 TRIMMED_FROM = 135
 URL = r"https?://\S+"
 MENTION = r"@\w+"
+# Patterns of retweet marks and of tokens without content.
+RETWEET_MARK = r"^RT\s*(:\s*)*"
+NOISE = r"(?i)\s?\W(#rt|xd|rt)\W?\s?"
 
 
 def tokens(text: Column) -> Column:
@@ -30,8 +33,8 @@ def sanitize(text: Column) -> Column:
     """A tweet without URLs, mentions, retweet marks and repeated blanks; a cut retweet loses its last word."""
     was_cut = text.startswith("RT") & (F.length(text) >= TRIMMED_FROM)
     clean = F.regexp_replace(F.regexp_replace(text, URL, ""), MENTION, "")
-    clean = F.regexp_replace(clean, r"^RT\s*(:\s*)*", "")
-    clean = F.regexp_replace(clean, r"(?i)\s?\W(#rt|xd|rt)\W?\s?", " ")
+    clean = F.regexp_replace(clean, RETWEET_MARK, "")
+    clean = F.regexp_replace(clean, NOISE, " ")
     clean = F.regexp_replace(clean, r"\s+", " ")
     cut = F.regexp_extract(clean, r"^(.*) [^ ]* (?:\.\.\.|…)$", 1)
     return F.when(was_cut & (cut != ""), cut).otherwise(F.trim(clean))

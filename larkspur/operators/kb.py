@@ -129,3 +129,31 @@ def match_spots(tokens: DataFrame, titles: DataFrame) -> DataFrame:
     found = spot_windows(tokens).join(keys, "spot")
     rank = Window.partitionBy("doc_id", "start").orderBy(F.col("n").desc())  # five windows at most
     return found.withColumn("rank", F.row_number().over(rank)).where("rank = 1").select("doc_id", "start", "n", "spot", "title")
+
+
+def dictionary_titles(titles: DataFrame, most_words: int = 3, least_chars: int = 3) -> DataFrame:
+    """Titles short enough for a dictionary of spots."""
+    return titles.where((F.size(F.split("title", " ")) <= most_words) & (F.length("title") >= least_chars)).select("title").distinct()
+
+
+def find_patterns(docs: DataFrame, patterns: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, start, pattern): every place of every pattern in the texts, inside words too.
+
+    Patterns are met on their first characters (as many as the shortest has, eight at most) by an equi-join, then
+    compared whole: no text is held against each pattern in turn.
+    """
+    known = patterns.select("pattern").where("pattern != ''").distinct()
+    q, longest = known.agg(F.least(F.min(F.length("pattern")), F.lit(8)), F.max(F.length("pattern"))).first()
+    if not q:
+        return docs.select(key, F.lit(0).alias("start"), F.lit("").alias("pattern")).where("false")
+    grams = F.sequence(F.lit(1), F.greatest(F.length(text) - q + 1, F.lit(1)))
+    places = docs.where(F.length(text) >= q).select(key, text, F.explode(grams).alias("at"))
+    places = places.select(key, F.substring(text, F.col("at"), F.lit(q)).alias("head"), F.substring(text, F.col("at"), F.lit(longest)).alias("tail"), F.col("at"))
+    heads = known.select(F.substring("pattern", 1, q).alias("head"), "pattern")
+    found = places.join(heads, "head").where(F.startswith("tail", "pattern"))
+    return found.select(key, (F.col("at") - 1).alias("start"), "pattern")
+
+
+def resolved(pages: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Pages with the target of those that only stand for another: (page, target) as in graph.redirects."""
+    return pages.join(aliases, "page", "left").select("page", F.coalesce("target", "page").alias("entity"))

@@ -127,3 +127,21 @@ def resume_older(stored: DataFrame, available: DataFrame, owner: str, key: str)
     """Available rows older than the owner's oldest stored one."""
     marks = stored.groupBy(owner).agg(F.min(key).alias("mark"))
     return available.join(marks, owner).where(F.col(key) <= F.col("mark") - 1).drop("mark")
+
+
+def series_sum(df: DataFrame, label: str, pattern: str, ts: str, value: Column, seconds: int) -> DataFrame:
+    """Sum over all series whose label fits a ``*`` pattern, in windows of time."""
+    bucket = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / seconds) * seconds
+    return df.where(F.col(label).like(pattern.replace("*", "%"))).groupBy(bucket.alias("bucket")).agg(F.sum(value).alias("total"))
+
+
+def search_newest(df: DataFrame, terms: str, term: str, ts: str, low: str, high: str, n: int, key: str) -> DataFrame:
+    """The newest n rows inside an open range of times whose array of terms has a term; ties by key."""
+    hits = df.where(F.array_contains(terms, term) & between_open(F.col(ts), low, high))
+    return hits.orderBy(F.col(ts).desc(), F.col(key).desc()).limit(n)
+
+
+def completed_share(df: DataFrame, state: Column) -> DataFrame:
+    """One row: how many rows, how many in a state, and their percentage; 0 without rows."""
+    counts = df.agg(F.count("*").alias("n"), F.count_if(state).alias("hits"))
+    return counts.withColumn("pct", F.when(F.col("n") > 0, F.round(F.col("hits") * 100.0 / F.col("n"), 6)).otherwise(F.lit(0.0)))

@@ -225,3 +225,30 @@ def metric_lines(spark, sf_dir):
 
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("label"), F.floor("value").alias("value"), "ts")
     return lines(rows)
+
+
+@REGISTRY.add("""
+select (floor(epoch(ts) / 3600) * 3600)::bigint as bucket, sum(cast(value as decimal(18, 4))) as total from events where event_type like '%c%' group by 1
+""")
+def series_sum(spark, sf_dir):
+    rolled = tables.series_sum(table(spark, sf_dir, "events"), "event_type", "*c*", "ts", F.col("value").cast("decimal(18,4)"), 3600)
+    return rolled.select(F.col("bucket").cast("long").alias("bucket"), F.col("total").cast("decimal(38,4)").alias("total"))
+
+
+@REGISTRY.add("""
+select event_id, ts from events where event_type = 'click' and ts > timestamp '2024-01-03' and ts < timestamp '2024-01-25'
+order by ts desc, event_id desc limit 10
+""")
+def search_newest(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("terms", F.array("event_type"))
+    found = tables.search_newest(rows, "terms", "click", "ts", "2024-01-03 00:00:00", "2024-01-25 00:00:00", 10, "event_id")
+    return found.select("event_id", "ts")
+
+
+@REGISTRY.add("""
+select count(*) as n, count(*) filter (where o_orderstatus = 'F') as hits, round(count(*) filter (where o_orderstatus = 'F') * 100.0 / count(*), 6)::double as pct
+from orders
+""")
+def completed_share(spark, sf_dir):
+    found = tables.completed_share(table(spark, sf_dir, "orders"), F.col("o_orderstatus") == "F")
+    return found.withColumn("pct", F.col("pct").cast("double"))

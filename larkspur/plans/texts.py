@@ -285,3 +285,15 @@ def geo_within(spark, sf_dir):
     lat, lon = F.lit(45.46), F.lit(9.19)
     points = spark.createDataFrame(POINTS, "id int, lat double, lon double").withColumn("km", F.round(text.haversine_km(lat, lon, F.col("lat"), F.col("lon")), 3))
     return points.where("km <= 200").select("id", "km")
+
+
+@REGISTRY.add("""
+with p as (select distinct p_brand as pattern from part where p_brand <> ''),
+t as (select p_partkey, p_brand || ' ' || p_name || p_brand as text from part),
+x as (select p_partkey, text, pattern, unnest(range(0, length(text))) as start from t, p where contains(text, pattern))
+select p_partkey, start::int as start, pattern from x where substr(text, start + 1, length(pattern)) = pattern
+""")
+def find_patterns(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    docs = part.select("p_partkey", F.concat("p_brand", F.lit(" "), "p_name", "p_brand").alias("text"))
+    return kb.find_patterns(docs, part.select(F.col("p_brand").alias("pattern")), "p_partkey", "text")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions.text import geo_json, normalized_title, one_line, sort_time, tweet_time
 from larkspur.sources.schemas import ANCHOR, SENTIMENT_LEXICON, TWEET, WIKI_PAGE
 
 #: Last path component without .gz, whose name before the dot is the user's id.
@@ -96,3 +97,26 @@ def follower_page(followers: DataFrame, user_id: int, cursor: int = 0, size: int
     ahead = F.max("pos").over(Window.partitionBy("user_id"))
     page = rows.withColumn("last", ahead).withColumn("next_cursor", F.when(F.col("last") >= cursor + size, F.lit(cursor + size)).otherwise(F.lit(0)))
     return page.where(F.col("pos") < cursor + size).drop("last")
+
+
+def tweet_rows(tweets: DataFrame) -> DataFrame:
+    """(id, time, epoch_ms, user, geo, text) of tweets, in UTC; text on one line, ids in full unsigned range."""
+    at = tweet_time(F.col("created_at"))
+    return tweets.select(
+        F.col("id_str").cast("decimal(20,0)").alias("id"), sort_time(at).alias("time"), F.unix_millis(at).alias("epoch_ms"),
+        F.col("user.screen_name").alias("user"), geo_json(F.col("geo.coordinates")).alias("geo"), one_line(F.col("text")).alias("text"),
+    )
+
+
+def search_documents(tweets: DataFrame) -> DataFrame:
+    """(id, screen_name, text, created_at, hashtags, location) of tweets, as a search table holds them."""
+    place = F.when(F.size("geo.coordinates") == 2, F.struct(F.col("geo.coordinates")[0].alias("lat"), F.col("geo.coordinates")[1].alias("lon")))
+    return tweets.select(
+        F.col("id_str").cast("decimal(20,0)").alias("id"), F.col("user.screen_name").alias("screen_name"), "text",
+        tweet_time(F.col("created_at")).alias("created_at"), F.transform("entities.hashtags", lambda h: h["text"]).alias("hashtags"), place.alias("location"),
+    )
+
+
+def page_mapping(pages: DataFrame) -> DataFrame:
+    """(title_norm, id, title, length): one row a page."""
+    return pages.select(normalized_title(F.col("title")).alias("title_norm"), "id", "title", "length")

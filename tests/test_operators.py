@@ -226,3 +226,28 @@ def test_sinks_write(spark, tmp_path):
 def test_numbered_without_one_task(spark):
     df = spark.range(0, 1000, 1, 7).select((F.col("id") * 37 % 1000).alias("v"))
     assert rows(graph.numbered(df, "v", base=5), "v") == [(i, i + 6) for i in range(1000)]
+
+
+def test_patterns_inside_words_and_none(spark):
+    docs = spark.createDataFrame([(1, "abcabc"), (2, ""), (3, None), (4, "xabx")], "k int, t string")
+    patterns = spark.createDataFrame([("abc",), ("ab",), ("bca",), ("",)], "pattern string")
+    want = [(1, 0, "ab"), (1, 0, "abc"), (1, 1, "bca"), (1, 3, "ab"), (1, 3, "abc"), (4, 1, "ab")]
+    assert rows(kb.find_patterns(docs, patterns, "k", "t"), "k", "start", "pattern") == want
+    assert kb.find_patterns(docs, patterns.where("false"), "k", "t").count() == 0
+
+
+def test_tweet_rows(spark):
+    from larkspur.sources.schemas import TWEET
+
+    text = '{"id_str": "18446744073709551615", "text": "a\\tb", "created_at": "Sun Apr 22 16:11:51 +0000 2012", "user": {"screen_name": "u"}}'
+    df = spark.createDataFrame([(text,)], "v string").select(F.from_json("v", TWEET).alias("t")).select("t.*")
+    row = readers.tweet_rows(df).first()
+    assert (int(row.id), row.time, row.epoch_ms, row.user, row.geo, row.text) == (18446744073709551615, "2012/04/22 16:11:51", 1335111111000, "u", "null", "ab")
+    assert readers.search_documents(df).first().location is None
+
+
+def test_short_dictionary_and_resolution(spark):
+    titles = spark.createDataFrame([("a b c d",), ("ab",), ("abc",)], "title string")
+    assert rows(kb.dictionary_titles(titles)) == [("abc",)]
+    pages, aliases = spark.createDataFrame([(1,), (2,)], "page int"), spark.createDataFrame([(1, 9)], "page int, target int")
+    assert rows(kb.resolved(pages, aliases), "page") == [(1, 9), (2, 2)]
