@@ -168,25 +168,23 @@ def split(nodes: DataFrame, level: int, seed: str) -> DataFrame:
     def draw(state: Column, x: Column) -> Column:
         left = hypergeometric(state["total"], x["n"], state["drawn"], x["u"])
         # The struct is made of the one draw, so that it is worked out once.
-        return F.transform(
-            F.array(left),
-            lambda k: F.struct(
-                (state["total"] - x["n"]).alias("total"), (state["drawn"] - k).alias("drawn"),
-                F.concat(state["out"], F.array(F.struct(x["at"].alias("at"), k.alias("left"), (x["n"] - k).alias("right")))).alias("out"),
-            ),
-        )[0]
+        # Bound by an array of one, so that the draw is worked out once.
+        def halves(k: Column) -> Column:
+            pair = [F.struct(F.lit(side).alias("side"), x["at"].alias("at"), n.alias("n")) for side, n in ((0, k), (1, x["n"] - k))]
+            return F.struct(
+                (state["total"] - x["n"]).alias("total"), (state["drawn"] - k).alias("drawn"), F.concat(state["out"], F.array(*pair)).alias("out")
+            )
+
+        return F.transform(F.array(left), halves)[0]
 
     u = uniform(F.lit(seed), F.lit(level), F.col("node"), F.col("at"))
     grouped = nodes.groupBy("node").agg(
         F.sum("n").cast("int").alias("total"), F.sort_array(F.collect_list(F.struct("at", "n", u.alias("u")))).alias("all")
     )  # one entry a source
-    empty = F.array().cast("array<struct<at:int,left:int,right:int>>")
+    empty = F.array().cast("array<struct<side:int,at:int,n:int>>")
     start = F.struct(F.col("total").alias("total"), (F.col("total") - F.floor(F.col("total") / 2)).cast("int").alias("drawn"), empty.alias("out"))
-    halves = grouped.select("node", F.explode(F.aggregate("all", start, draw, lambda s: s["out"])).alias("x"))
-    sides = F.array(F.struct(F.col("node") * 2, F.col("x.left")), F.struct(F.col("node") * 2 + 1, F.col("x.right")))
-    return halves.select(F.col("x.at").alias("at"), F.explode(sides).alias("s")).select(
-        F.col("s.col1").alias("node"), "at", F.col("s.col2").alias("n")
-    )
+    dealt = grouped.select("node", F.inline(F.aggregate("all", start, draw, lambda s: s["out"])))
+    return dealt.select((F.col("node") * 2 + F.col("side")).alias("node"), "at", "n")
 
 
 def deal(blocks: DataFrame, shards: int, seed: str) -> DataFrame:
