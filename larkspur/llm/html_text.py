@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,9 +54,10 @@ MARKED = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*
 HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", re.I)
 SPLIT_URL = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://([^/?#]*))?([^?#]*)")
 
-PARSED = "page_id long, url string, host string, path string, lines array<string>, main array<boolean>"
+PARSED = "page_id long, url string, host string, path string, packed binary"
+LINES = "page_id long, url string, host string, path string, lines array<string>, main array<boolean>"
 RESULT = "page_id long, url string, text string, n_chars long, n_shared long"
-WALKED = "part int, is_first boolean, is_last boolean, before array<string>, before_path string, after array<string>, after_path string, " + PARSED
+WALKED = "part int, is_first boolean, is_last boolean, before array<string>, before_path string, after array<string>, after_path string, " + LINES
 
 
 def host_and_path(url: str | None) -> tuple[str, str]:
@@ -196,16 +198,26 @@ def results(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in RESULT.split(", ")])
 
 
+def unpacked(raw: bytes) -> tuple[list[str], list[bool]]:
+    """Lines and marks that parse() packed."""
+    whole = zstandard.ZstdDecompressor().decompress(raw).decode("utf-8", "surrogatepass")
+    marked = whole.split("\n") if whole else []
+    return [x[1:] for x in marked], [x[0] == "1" for x in marked]
+
+
 def parse(pages: DataFrame) -> DataFrame:
-    """PARSED rows of pages."""
+    """PARSED rows of pages. Lines go compressed into the shuffle, each with a mark for the article; none has a newline."""
+
+    def packed(page: str | None) -> bytes:
+        marked = "\n".join(f"{'1' if inside else '0'}{line}" for line, inside in zip(*page_lines(page)))
+        return zstandard.ZstdCompressor(level=3).compress(marked.encode("utf-8", "surrogatepass"))
 
     def one(part: pa.RecordBatch) -> pa.RecordBatch:
         urls = part.column("url").to_pylist()
         hosts, paths = zip(*map(host_and_path, urls))
-        lines, main = zip(*map(page_lines, part.column("html").to_pylist()))
         columns = [
             part.column("page_id"), part.column("url"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()),
-            pa.array(lines, pa.list_(pa.string())), pa.array(main, pa.list_(pa.bool_())),
+            pa.array([packed(x) for x in part.column("html").to_pylist()], pa.binary()),
         ]
         return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in PARSED.split(", ")])
 
@@ -221,7 +233,6 @@ def extract_table(pages: DataFrame) -> DataFrame:
     order = ["host", "path", "url", "page_id"]
     ordered = parse(pages).repartitionByRange(*order).sortWithinPartitions(*order)
     fields = [f.split()[0] for f in RESULT.split(", ")]
-    parsed = [f.split()[0] for f in PARSED.split(", ")]
     wanted = "text string, n_chars long, n_shared long"
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,6 +259,7 @@ def extract_table(pages: DataFrame) -> DataFrame:
         ready: list[dict] = []
         for batch in batches:
             for row in batch.to_pylist():
+                row["lines"], row["main"] = unpacked(row.pop("packed"))
                 row |= {"is_first": previous is None, "is_last": False, "before": None, "before_path": None, "after": None, "after_path": None}
                 if previous is not None:
                     if previous["host"] == row["host"]:

@@ -48,6 +48,38 @@ SEGMENTS = (
 READ = "part int, segment int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
 
+#: For each value below 2^16 the first selector less one, from the narrowest on, that is wide enough.
+NARROWEST = np.searchsorted(np.array([1 << bits for _, bits in PACKS]), np.arange(1 << 16), side="right").astype(np.uint8)
+
+
+def selectors(narrowest: np.ndarray) -> np.ndarray:
+    """For each place of each block the selector that takes most of the values from there on; 0 is the escape.
+
+    The widest of the next c values comes from the widest of runs of 1, 2, 4, ... values.
+    """
+    runs, size = {1: narrowest}, 1
+    while size < 32:
+        now = runs[size]
+        runs[2 * size] = np.maximum(now[:, : now.shape[1] - size], now[:, size:])
+        size *= 2
+    best = np.zeros((len(narrowest), BLOCK), np.uint8)
+    open_ = np.ones(best.shape, bool)
+    top = int(narrowest.max())
+    for s, (count, _) in enumerate(PACKS, 1):
+        if s > top:
+            fits = open_
+        else:
+            size = 1 << (count.bit_length() - 1)
+            run = runs[min(size, 32)]
+            back = count - min(size, 32)
+            fits = open_ & (run[:, :BLOCK] < s) & (run[:, back : back + BLOCK] < s)
+        best[fits] = s
+        open_ &= ~fits
+        if not open_.any():
+            break
+    return best
+
+
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of the values, and the first word of each block."""
     values = values.astype(np.uint64)
@@ -55,53 +87,43 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-    padded = np.zeros((blocks, BLOCK + 64), np.uint64)
+    padded = np.zeros((blocks, BLOCK + 64), np.uint64)  # zeros beyond a block's end fit any selector
     padded[:, :BLOCK].flat[:n] = values
-    # For each value the first selector, from the narrowest on, that is wide enough; 14 is the escape.
-    narrowest = np.searchsorted(np.array([1 << bits for _, bits in PACKS], np.uint64), padded, side="right").astype(np.uint8)
-    # The best selector at each place: the first whose next values (zeros beyond the block) all fit.
-    best = np.zeros((blocks, BLOCK), np.int64)
-    open_ = np.ones((blocks, BLOCK), bool)
-    widest = int(narrowest.max())
-    summed = np.zeros((blocks, BLOCK + 65), np.uint8)  # differences of up to 60 are right in 8 bits
-    for s, (count, _) in enumerate(PACKS, 1):
-        if s > widest:
-            fits = open_
-        else:
-            np.cumsum(narrowest < s, axis=1, dtype=np.uint8, out=summed[:, 1:])
-            fits = open_ & (summed[:, count : count + BLOCK] - summed[:, :BLOCK] == count)
-        best[fits] = s
-        open_ = open_ & ~fits
-        if not open_.any():
-            break
+    if int(values.max()) < len(NARROWEST):
+        narrowest = NARROWEST[padded.astype(np.uint16)]
+    else:
+        narrowest = np.searchsorted(np.array([1 << bits for _, bits in PACKS], np.uint64), padded, side="right").astype(np.uint8)
+    best = selectors(narrowest)
     counts = np.array([1, *(c for c, _ in PACKS)])
     at, row = np.zeros(blocks, np.int64), np.arange(blocks)
     end = np.full(blocks, BLOCK)
     end[-1] = n - (blocks - 1) * BLOCK
-    picked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    # All blocks go on by one word a round; an escape takes two words.
+    offset = np.zeros(blocks, np.int64)
+    picked: list[tuple[np.ndarray, ...]] = []
     while len(row):
         selector = best[row, at]
-        picked.append((row, at, selector))
+        picked.append((row, at, selector, offset[row]))
+        offset[row] += 1 + (selector == 0)
         at = at + counts[selector]
         on = at < end[row]
         row, at = row[on], at[on]
-    row, at, selector = (np.concatenate(x) for x in zip(*picked))
-    order = np.argsort(row * BLOCK + at)
-    row, at, selector = row[order], at[order], selector[order]
-    size = 1 + (selector == 0)
-    place = np.cumsum(size) - size
-    words = np.zeros(int(size.sum()), np.uint64)
+    row, at, selector, place = (np.concatenate(x) for x in zip(*picked))
+    first = np.cumsum(offset) - offset
+    place = place + first[row]
+    words = np.zeros(int(offset.sum()), np.uint64)
     for s in np.unique(selector):
         mine = np.flatnonzero(selector == s)
         if s == 0:
             words[place[mine] + 1] = padded[row[mine], at[mine]]
             continue
         count, bits = PACKS[s - 1]
+        cell = row[mine] * padded.shape[1] + at[mine]
         word = np.full(len(mine), np.uint64(s) << np.uint64(60))
         for i in range(count):
-            word |= padded[row[mine], at[mine] + i] << np.uint64(i * bits)
+            word |= padded.ravel()[cell + i] << np.uint64(i * bits)
         words[place[mine]] = word
-    return words, place[np.searchsorted(row, np.arange(blocks))].astype(np.uint32)
+    return words, first.astype(np.uint32)
 
 
 def unpack(words: np.ndarray, block_words: np.ndarray, n: int) -> np.ndarray:
@@ -147,6 +169,10 @@ class Coder:
         #: A blank and further characters without white space: such chunks can be put one after another.
         self.plain = re.compile(r" \S+").fullmatch
         self.memory: dict[str, bytes] = {}
+        #: Bytes of each id: a token's name has one character for each of its bytes.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.width[np.fromiter(vocabulary.values(), np.int64)] = np.fromiter(map(len, vocabulary), np.int64)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
@@ -154,7 +180,7 @@ class Coder:
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of chunks; plain ones go to the library many at a time and are told apart by their offsets."""
+        """Ids of chunks; plain ones go to the library many at a time and are told apart by the bytes of their ids."""
         out: dict[str, bytes] = {}
         plain = [x for x in new if self.plain(x)]
         rest = [x for x in new if not self.plain(x)]
@@ -162,10 +188,8 @@ class Coder:
         groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
         for group, found in zip(groups, self.tokenizer.encode_batch(["".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(found.ids, "<u4")
-            # An offset may leave out the chunk's blank, never its last character.
-            end = np.array([b for _, b in found.offsets], np.int64)
-            bounds = np.cumsum([len(x) for x in group])
-            cut = np.searchsorted(end, bounds, side="right")
+            bounds = np.cumsum([len(x.encode("utf-8", "surrogatepass")) for x in group])
+            cut = np.searchsorted(np.cumsum(self.width[ids]), bounds, side="right")
             raw = ids.tobytes()
             start = 0
             for chunk, stop in zip(group, cut.tolist()):
