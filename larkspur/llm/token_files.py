@@ -166,8 +166,7 @@ class Coder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         #: A blank after white space: there the library looks across blanks, so the text isn't cut at them.
         self.joined = re.compile(r"\s ").search
-        #: A blank and further characters without white space: such chunks can be put one after another.
-        self.plain = re.compile(r" \S+").fullmatch
+        #: Ids of chunks by their characters after the blank.
         self.memory: dict[str, bytes] = {}
         #: Bytes of each id: a token's name has one character for each of its bytes.
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -179,46 +178,39 @@ class Coder:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of chunks; plain ones go to the library many at a time and are told apart by the bytes of their ids."""
-        out: dict[str, bytes] = {}
-        plain = [x for x in new if self.plain(x)]
-        rest = [x for x in new if not self.plain(x)]
-        out.update(zip(rest, self.whole(rest)))
+    def learn(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of a blank and each chunk; chunks without white space go to the library many at a time, told apart by the bytes of their ids."""
+        plain = list(new.intersection(" ".join(new).split()))
+        rest = list(new.difference(plain))
+        out = dict(zip(rest, self.whole([" " + x for x in rest])))
         groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
-        for group, found in zip(groups, self.tokenizer.encode_batch(["".join(g) for g in groups], add_special_tokens=False)):
+        joined = [f" {' '.join(g)}" for g in groups]
+        for group, text, found in zip(groups, joined, self.tokenizer.encode_batch(joined, add_special_tokens=False)):
             ids = np.array(found.ids, "<u4")
-            bounds = np.cumsum([len(x.encode("utf-8", "surrogatepass")) for x in group])
-            cut = np.searchsorted(np.cumsum(self.width[ids]), bounds, side="right")
+            raw = text.encode("utf-8", "surrogatepass")
+            # No chunk has a blank of its own: a chunk ends where the next one's blank stands.
+            bounds = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)[1:], len(raw))
+            cut = (4 * np.searchsorted(np.cumsum(self.width[ids]), bounds, side="right")).tolist()
             raw = ids.tobytes()
-            start = 0
-            for chunk, stop in zip(group, cut.tolist()):
-                out[chunk] = raw[4 * start : 4 * stop]
-                start = stop
+            out.update(zip(group, [raw[i:j] for i, j in zip([0, *cut], cut)]))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        cut = []
-        for text in texts:
-            if self.joined(text):
-                cut.append(None)
-            else:
-                first, *rest = text.split(" ")
-                cut.append([first, *[" " + x for x in rest]])
+        cut = [None if self.joined(x) else x.split(" ") for x in texts]
+        # A text's first chunk has no blank before it, so it isn't one of the others.
+        first = [t if x is None else x[0] for t, x in zip(texts, cut)]
+        rest = [[] if x is None else x[1:] for x in cut]
+        sought = set().union(*rest)
         if len(self.memory) > MEMORY:
-            self.memory.clear()
-        new = list(set().union(*(x for x in cut if x is not None)).difference(self.memory))
-        learnt = self.learn(new)
-        self.memory.update((k, v) for k, v in learnt.items() if len(k) <= MEMORY_CHARS)
-        get = self.memory.get
-        other = iter(self.whole([t for t, x in zip(texts, cut) if x is None]))
-        out = []
-        for x in cut:
-            if x is None:
-                out.append(next(other))
-            else:
-                out.append(b"".join([v if (v := get(c)) is not None else learnt[c] for c in x]))
+            self.memory = {k: self.memory[k] for k in sought.intersection(self.memory)}
+        new = sought.difference(self.memory)
+        self.memory.update(self.learn(new))
+        found = self.memory.__getitem__
+        out = [head + b"".join(map(found, x)) for head, x in zip(self.whole(first), rest)]
+        for x in new:
+            if len(x) > MEMORY_CHARS:
+                del self.memory[x]
         return out
 
 
