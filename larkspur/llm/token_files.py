@@ -163,7 +163,8 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings of added tokens, which the library looks for before it splits: a text that holds one isn't cut at blanks.
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         #: A blank after white space: there the library looks across blanks, so the text isn't cut at them.
         self.joined = re.compile(r"\s ").search
         #: Ids of chunks by their characters after the blank.
@@ -173,6 +174,9 @@ class Coder:
         self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         self.width[np.fromiter(vocabulary.values(), np.int64)] = np.fromiter(map(len, vocabulary), np.int64)
 
+    def holds_added(self, text: str) -> bool:
+        return any(x in text for x in self.added)
+
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -184,6 +188,8 @@ class Coder:
         rest = list(new.difference(plain))
         out = dict(zip(rest, self.whole([" " + x for x in rest])))
         groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        if any(" " in x for x in self.added):  # such a token could arise where two chunks meet
+            groups = [[x] for x in plain]
         joined = [f" {' '.join(g)}" for g in groups]
         for group, text, found in zip(groups, joined, self.tokenizer.encode_batch(joined, add_special_tokens=False)):
             ids = np.array(found.ids, "<u4")
@@ -197,7 +203,7 @@ class Coder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        cut = [None if self.joined(x) else x.split(" ") for x in texts]
+        cut = [None if self.joined(x) or self.holds_added(x) else x.split(" ") for x in texts]
         # A text's first chunk has no blank before it, so it isn't one of the others.
         first = [t if x is None else x[0] for t, x in zip(texts, cut)]
         rest = [[] if x is None else x[1:] for x in cut]

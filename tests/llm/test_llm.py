@@ -396,6 +396,21 @@ def test_token_files_equal_library(spark, docs):
     assert token_files.token_table(empty(spark), path).count() == 0
 
 
+def test_token_files_equal_unmodified_library_on_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("byte_bpe_50k.json")[0]
+    tokenizer = Tokenizer.from_file(path)
+    mark = "<|endoftext|>"
+    texts = [f"x {mark} y", mark, f"a{mark}b c", f"one two\n {mark}{mark}", "<|endof text|> y", "plain words here", f"x y {mark[:-1]} >", f" {mark} "]
+    found = token_files.token_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path)
+    found, start = sorted(found.collect(), key=lambda r: r.doc_id), 0
+    for text, got in zip(texts, found, strict=True):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        assert (got.start, got.n_tokens, got.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
 # Top-k
 
 
