@@ -32,23 +32,23 @@ select user_id, arg_max(event_id, (ts, event_id)) as event_id, arg_max(value, (t
 def stream_latest_user(spark, sf_dir):
     rows = streams.table_stream(spark, sf_dir, "events")
     last = streams.latest_values(rows, "user_id", F.struct("ts", "event_id"), "event_id", "value")
-    return streams.run_available(last, "complete", checkpoint(spark))
+    return streams.run_to_files(last, "complete", checkpoint(spark))
 
 
 @REGISTRY.add("select event_id, user_id from events where event_type like 'c%'")
 def stream_filter(spark, sf_dir):
     rows = streams.channel(streams.table_stream(spark, sf_dir, "events"), "event_type", "c*").select("event_id", "user_id")
-    return streams.run_available(rows, "append", checkpoint(spark))
+    return streams.run_to_files(rows, "append", checkpoint(spark))
 
 
 @REGISTRY.add("select count(distinct user_id) as n from events")
 def stream_distinct_users(spark, sf_dir):
     rows = streams.table_stream(spark, sf_dir, "events").dropDuplicates(["user_id"]).select("user_id")
-    return streams.run_available(rows, "append", checkpoint(spark)).agg(F.count("*").alias("n"))
+    return streams.run_to_files(rows, "append", checkpoint(spark)).agg(F.count("*").alias("n"))
 
 
 @REGISTRY.add(FOLD)
 def stream_job_states(spark, sf_dir):
     kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
     rows = streams.table_stream(spark, sf_dir, "events").withColumn("kind", F.coalesce(F.try_element_at(kind, F.col("event_type")), F.lit("assign")))
-    return streams.run_available(streams.job_states(rows, "user_id", "kind", "ts", "event_id"), "complete", checkpoint(spark))
+    return streams.run_to_files(streams.job_states(rows, "user_id", "kind", "ts", "event_id"), "complete", checkpoint(spark))

@@ -56,13 +56,30 @@ def gauges(events: DataFrame, label: str, value: Column, ts: str) -> DataFrame:
 
 
 def run_available(stream: DataFrame, mode: str, checkpoint: str, name: str | None = None) -> DataFrame:
-    """Runs a stream over what is there and returns its in-memory result: for small results, as in tests and queries."""
+    """Runs a stream over what is there and returns its result, which stays in the driver's memory: for results that don't grow with the input."""
     name = name or f"stream_{uuid.uuid4().hex}"
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint)
     query.trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.table(name)
 
 
+def run_to_files(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Runs a stream over what is there and returns its result from Parquet files below a shared folder: for results of any size.
+
+    Appended rows go to the Parquet sink; in complete mode each batch replaces the table, so that a batch can run again.
+    """
+    if mode not in ("append", "complete"):
+        raise ValueError(f"no files in mode {mode}")
+    spark, path = stream.sparkSession, f"{folder}/rows"
+    spark.createDataFrame([], stream.schema).write.parquet(path)  # what a stream without rows leaves
+    if mode == "append":
+        query = stream.writeStream.format("parquet").option("path", path)
+    else:
+        query = stream.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    query.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
 def append_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Appends rows to Parquet files as they come."""
     return stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").start(path)
