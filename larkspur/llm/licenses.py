@@ -33,18 +33,73 @@ MAX_TEMPLATES = 1000
 # Phrases whose places are counted, and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# The opening words of common public licence notices, and their labels.
+# Words of common public licence notices, their labels, and the licence's name, which a block must hold in order.
 NOTICES = (
-    ("released under the mit license", "mit"),
+    ("released under the mit license", "mit", "mit license"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit"),
-    ("licensed under the apache license version 2 0", "apache"),
-    ("this work is licensed under the gnu general public license version 3", "gpl"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu", "gpl"),
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the "
+        "software to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
+        "distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so", "mit",
+    ),
+    ("licensed under the apache license version 2 0", "apache", "apache license"),
+    (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may "
+        "obtain a copy of the license at http www apache org licenses license 2 0", "apache", "apache license",
+    ),
+    ("this work is licensed under the gnu general public license version 3", "gpl", "gnu general public license"),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl",
+        "gnu general public license",
+    ),
+    (
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license",
+        "lgpl", "gnu lesser general public license",
+    ),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license",
+        "agpl", "gnu affero general public license",
+    ),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
-    ("this source code form is subject to the terms of the mozilla public license", "mpl"),
-    ("this work is licensed under a creative commons attribution license", "cc-by"),
+    (
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in "
+        "the documentation and or other materials provided with the distribution", "bsd",
+    ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that "
+        "the above copyright notice and this permission notice appear in all copies", "isc",
+    ),
+    ("this source code form is subject to the terms of the mozilla public license", "mpl", "mozilla public license"),
+    (
+        "this program and the accompanying materials are made available under the terms of the eclipse public license", "epl",
+        "eclipse public license",
+    ),
+    ("this is free and unencumbered software released into the public domain", "unlicense", "free and unencumbered software"),
+    ("this work is licensed under a creative commons attribution license", "cc-by", "creative commons attribution"),
 )
 
+# Short forms, which are needed whole and in order, and their labels.
+SHORT = (
+    ("gnu lesser general public license", "lgpl"), ("gnu library general public license", "lgpl"), ("gnu affero general public license", "agpl"),
+    ("mozilla public license", "mpl"), ("eclipse public license", "epl"), ("isc license", "isc"),
+    ("bsd license", "bsd"), ("bsd 2 clause", "bsd"), ("bsd 3 clause", "bsd"), ("cc0 1 0", "cc0"), ("creative commons zero", "cc0"),
+    ("creativecommons org publicdomain zero", "cc0"),
+    *((f"spdx license identifier {x}", x) for x in ("mit", "apache", "gpl", "lgpl", "agpl", "isc", "mpl", "epl", "unlicense")),
+    *((f"spdx license identifier bsd {x} clause", "bsd") for x in (2, 3)),
+    *((f"cc by {x}", "cc-by") for x in ("1 0", "2 0", "2 5", "3 0", "4 0")), ("licensed under cc by", "cc-by"), ("creativecommons org licenses by", "cc-by"),
+    ("creative commons attribution", "cc-by"),
+    *(
+        (phrase, "cc-by-" + x.replace(" ", "-"))
+        for x, names in (
+            ("nc", ("noncommercial", "non commercial")), ("sa", ("sharealike", "share alike")), ("nd", ("noderivatives", "noderivs", "no derivatives")),
+            ("nc sa", ("noncommercial sharealike", "noncommercial share alike", "non commercial share alike", "non commercial sharealike")),
+            ("nc nd", ("noncommercial noderivatives", "noncommercial noderivs", "noncommercial no derivatives", "non commercial no derivatives")),
+        )
+        for phrase in (f"cc by {x}", f"licensed under cc by {x}", f"creativecommons org licenses by {x}", *(f"creative commons attribution {y}" for y in names))
+    ),
+)
+
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, "
     "base_labels string, labels string, score double, n_blocks long"
@@ -52,13 +107,18 @@ SCHEMA = (
 
 
 class Template(NamedTuple):
-    """phrase: its words in order; order: its distinct words, rarest first; need: so many of them must be there."""
+    """phrase: its words in order; order: its distinct words, rarest first; need: so many of them must be there.
+
+    name: words that must be there in order, at a place where none of the names in longer begins.
+    """
 
     phrase: tuple[bytes, ...]
     label: str
     base: bool
     order: tuple[bytes, ...]
     need: int
+    name: tuple[bytes, ...] = ()
+    longer: tuple[tuple[bytes, ...], ...] = ()
 
     @property
     def prefix(self) -> tuple[bytes, ...]:
@@ -83,20 +143,34 @@ def word_counts(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, in
     return {bytes(r.word): r.n for r in found.collect()}
 
 
-def prepare(docs: DataFrame, base=BASE, notices=NOTICES, threshold: float = THRESHOLD) -> list[Template]:
-    """Templates with their words in the order of global frequency."""
-    rows = [(tuple(words(p)), label, True) for p, label in base] + [(tuple(words(p)), label, False) for p, label in notices]
+def prepare(docs: DataFrame, base=BASE, notices=NOTICES, threshold: float = THRESHOLD, short=SHORT) -> list[Template]:
+    """Templates with their words in the order of global frequency; a notice's third item, if any, is its licence's name."""
+    rows = [(tuple(words(p)), label, True, (), 1.0) for p, label in base]
+    rows += [(tuple(words(p)), label, False, tuple(words(name[0])) if name else (), threshold) for p, label, *name in notices]
+    rows += [(tuple(words(p)), label, False, tuple(words(p)), 1.0) for p, label in short]
     if len(rows) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
-    counts = word_counts(docs, frozenset(w for phrase, _, _ in rows for w in phrase))
+    counts = word_counts(docs, frozenset(w for phrase, _, _, name, _ in rows for w in phrase + name))
+    names = sorted({name for *_, name, _ in rows if name})
     out = []
-    for phrase, label, is_base in rows:
+    for phrase, label, is_base, name, share in rows:
         order = tuple(sorted(set(phrase), key=lambda w: (counts.get(w, 0), w)))
-        need = len(order) if is_base else math.ceil(threshold * len(order) - 1e-9)
-        out.append(Template(phrase, label, is_base, order, need))
+        need = len(order) if is_base else math.ceil(share * len(order) - 1e-9)
+        longer = tuple(x for x in names if name and len(x) > len(name) and x[: len(name)] == name)
+        out.append(Template(phrase, label, is_base, order, need, name, longer))
     return out
 
 
+def named(template: Template, found: list[bytes], places: dict[bytes, list[int]], block: int) -> bool:
+    """Whether a block holds the template's name, not as the start of a longer one."""
+    name, start, stop = template.name, block * len(template.phrase), (block + 2) * len(template.phrase)
+    return any(
+        start <= i <= stop - len(name) and tuple(found[i : i + len(name)]) == name
+        and not any(tuple(found[i : i + len(x)]) == x for x in template.longer)
+        for i in places.get(name[0], ())
+    )
+
+
 def overlap(template: Template, found: set[bytes]) -> int:
     """How many of the template's words are found; 0 as soon as the need is out of reach."""
     have, missing = 0, 0
@@ -150,6 +224,8 @@ def scan(text: str | None, templates: list[Template], vocabulary: frozenset[byte
                 n_base += len(own)
                 starts.update(own)
                 base_labels.add(t.label)
+            elif t.name and not named(t, found, places, b):
+                continue
             labels.add(t.label)
             n_blocks += 1
             score = max(score, n / len(t.order))
@@ -157,14 +233,14 @@ def scan(text: str | None, templates: list[Template], vocabulary: frozenset[byte
     return len(found), n_base, first, last, ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, n_blocks
 
 
-def license_scan(docs: DataFrame, base=BASE, notices=NOTICES, threshold: float = THRESHOLD) -> DataFrame:
+def license_scan(docs: DataFrame, base=BASE, notices=NOTICES, threshold: float = THRESHOLD, short=SHORT) -> DataFrame:
     """One row per document: words, places of the base phrases, labels, best containment and blocks met.
 
     A null or empty text has no words, no labels (empty strings) and score 0; a null doc_id stays null. Repeated rows
     each give a row. An empty table gives an empty result. Further columns of docs are left out.
     """
-    templates = prepare(docs, base, notices, threshold)
-    vocabulary = frozenset(w for t in templates for w in t.order)
+    templates = prepare(docs, base, notices, threshold, short)
+    vocabulary = frozenset(w for t in templates for w in t.order + t.name)
     prefixes = frozenset(w for t in templates for w in t.prefix)
     names = [part.split()[0] for part in SCHEMA.split(", ")][1:]
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.int64()]

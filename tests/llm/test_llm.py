@@ -83,6 +83,29 @@ def test_license_notice_with_words_changed(spark):
     assert found == {1: ("cc-by", ""), 2: ("", "")}
 
 
+LICENSED = (
+    ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), ("CC BY-NC-SA 3.0", "cc-by-nc-sa"), ("see (CC BY 4.0)", "cc-by"), ("cc: by Friday", ""),
+    ("released under the apache license", "apache"), ("released under the new license", ""), ("released under the MIT license", "mit"),
+    ("https://creativecommons.org/licenses/by-sa/4.0/", "cc-by-sa"), ("the Eclipse Public License v2", "epl"), ("the ISC license", "isc"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+     "above copyright notice and this permission notice appear in all copies.", "isc"),
+)
+
+
+def test_license_short_forms_and_names(spark):
+    df = spark.createDataFrame([(i, f"a b c {t} d e f") for i, (t, _) in enumerate(LICENSED)], "doc_id long, text string")
+    found = keyed(licenses.license_scan(df), "labels")
+    assert found == {i: (label,) for i, (_, label) in enumerate(LICENSED)}
+
+
+def test_license_lesser_and_affero_notices(spark):
+    text = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU {} General Public License"
+    df = spark.createDataFrame([(1, text.format("Lesser")), (2, text.format("Affero"))], "doc_id long, text string")
+    found = licenses.license_scan(df, base=())
+    assert keyed(found, "labels") == {1: ("lgpl",), 2: ("agpl",)}
+
+
 def test_containment_finds_every_block(spark):
     random.seed(3)
     vocabulary = "abcdefgh"
