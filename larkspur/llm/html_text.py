@@ -43,6 +43,10 @@ CUES = re.compile(
     r"pager|skip-link|contentinfo|complementary|search|hidden)(?:$|[\s_-])",
     re.I,
 )
+#: Class tokens whose elements go even if they hold article elements, as comments and teasers often are.
+APART = frozenset("comment comments comment-list respond replies disqus related recommended".split())
+#: Whether an element is dropped: by a class that an article element inside it overrules, or in any case.
+KEPT, BY_CLASS, GONE = range(3)
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 TOKEN = re.compile(
@@ -72,9 +76,9 @@ def page_lines(page: str | None) -> tuple[list[str], list[bool]]:
     main: list[bool] = []
     if not page:
         return lines, main
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, inside the article
+    stack: list[tuple[str, int, bool]] = []  # name, dropped, inside the article
     piece: list[str] = []
-    dropped = inside = False
+    dropped, inside = KEPT, False
 
     def end_block() -> None:
         if piece:
@@ -106,7 +110,7 @@ def page_lines(page: str | None) -> tuple[list[str], list[bool]]:
                 if stack[depth][0] == name:
                     end_block()
                     del stack[depth:]
-                    dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                    dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (KEPT, False)
                     break
             continue
         if name in VOID or found[3].endswith("/") and name not in BLOCKS:
@@ -117,11 +121,20 @@ def page_lines(page: str | None) -> tuple[list[str], list[bool]]:
             continue
         while stack and stack[-1][0] in CLOSES.get(name, ()):
             stack.pop()
-            dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        drop = dropped or name in DROPPED or (name == "header" and not inside)
-        if not drop and found[3] and name not in ("html", "body"):
+            dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (KEPT, False)
+        drop = GONE if name in DROPPED or (name == "header" and not inside) else dropped
+        if drop != GONE and found[3] and name not in ("html", "body"):
             marks = " ".join(a or b or c for a, b, c in MARKED.findall(found[3]))
-            drop = bool(marks and (CUES.search(marks) or not inside and HEADER.search(marks))) and name not in MAIN or bool(HIDDEN.search(found[3]) and "hidden" in found[3].lower().split())
+            if marks and name not in MAIN:
+                tokens = marks.split()
+                if not APART.isdisjoint(x.lower() for x in tokens):
+                    drop = GONE
+                elif any(map(CUES.fullmatch, tokens)) or not inside and (CUES.search(marks) or HEADER.search(marks)):
+                    drop = BY_CLASS
+            if HIDDEN.search(found[3]) and "hidden" in found[3].lower().split():
+                drop = GONE
+        if name in MAIN and drop == BY_CLASS and not inside:
+            drop = KEPT
         if name in MAIN and not drop:
             end_block()
             inside = True

@@ -528,6 +528,16 @@ def test_html_article_and_differencing(spark):
     assert html_text.extract_table(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("mark", ["page with-sidebar", "search-results", "share-layout", "no-banner", "sidebar"])
+def test_html_classes_around_and_inside_an_article(mark):
+    page = (
+        f'<div class="{mark}"><p>Menu</p><article><h1>Head</h1><p class="related-work">Work</p><div class="ad">Buy</div></article><p>End</p></div>'
+        '<div class="comments"><article><p>First!</p></article></div>'
+    )
+    lines, main = html_text.page_lines(page)
+    assert [x for x, inside in zip(lines, main) if inside] == ["Head", "Work"]
+
+
 def test_longest_common_lines():
     random.seed(9)
     for _ in range(300):
