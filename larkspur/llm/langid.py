@@ -26,9 +26,8 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import map_arrow
 
 ORDER = 5
-#: Most labelled documents of a language, and most characters of each of them, that a model learns from.
+#: Most labelled documents of a language that a model learns from, each of them whole.
 SAMPLE = 1500
-SAMPLE_CHARS = 20_000
 DISCOUNT = 0.75
 REJECT_QUANTILE = 0.999
 REJECT_MARGIN = 2.0
@@ -120,6 +119,10 @@ class Model:
 
     def cross_entropy(self, texts: list[str | None]) -> np.ndarray:
         """A row for each text: nats a character in each language; NaN without letters."""
+        return self.measured(texts)[0]
+
+    def measured(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of cross_entropy, and the characters of each text's words with the blanks around them."""
         cut = [text_words(x) for x in texts]
         if len(self.memory) > MEMORY or not self.memory:
             self.memory, self.scores = {}, np.zeros((0, len(self.languages)))
@@ -127,26 +130,27 @@ class Model:
         if new:
             self.memory.update(zip(new, range(len(self.memory), len(self.memory) + len(new))))
             self.scores = np.vstack([self.scores, self.word_scores(new)])
-        out = np.full((len(texts), len(self.languages)), np.nan)
+        out, size = np.full((len(texts), len(self.languages)), np.nan), np.zeros(len(texts), np.int64)
         get = self.memory.__getitem__
         for k, words in enumerate(cut):
             if words:
-                chars = sum(map(len, words)) - len(words)
+                size[k] = sum(map(len, words))
+                chars = size[k] - len(words)
                 at = np.fromiter(map(get, words), np.int64, len(words))
                 out[k] = -self.scores[at].sum(axis=0) / chars
-        return out
+        return out, size
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Languages, scores, least cross-entropies (NaN: no letter) and whether texts are rejected."""
         if not self.languages:
             n = len(texts)
             return [UNDETERMINED] * n, np.zeros(n), np.full(n, np.nan), np.ones(n, bool)
-        entropy = self.cross_entropy(texts)
+        entropy, size = self.measured(texts)
         none = np.isnan(entropy[:, 0])
         filled = np.where(none[:, None], 0.0, entropy)
         best = filled.argmin(axis=1)
         least = filled.min(axis=1)
-        chars = np.array([min(40, sum(map(len, text_words(x[:400])))) if x else 0 for x in texts])
+        chars = np.minimum(40, size)
         odds = np.exp(-(filled - least[:, None]) * chars[:, None])
         score = np.where(none, 0.0, 1 / odds.sum(axis=1))
         language = [UNDETERMINED if no else self.languages[i] for no, i in zip(none.tolist(), best.tolist())]
@@ -271,10 +275,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         .distinct()
     )
     # At most ``sample`` rows a language; languages are a short list of codes.
-    chosen = (
-        ranked.join(F.broadcast(ids), ["lang", "key"], "left_semi")
-        .select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    )
+    chosen = ranked.join(F.broadcast(ids), ["lang", "key"], "left_semi").select("lang", "text")
     # As Arrow and with codes for languages: rows as Python objects would take many times the memory.
     table = gram_counts(chosen, ORDER).toArrow().to_pandas(split_blocks=True, self_destruct=True, categories=["lang"])
     languages = sorted(table["lang"].unique())

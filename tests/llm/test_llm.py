@@ -377,6 +377,15 @@ def test_language_edge_cases(spark):
     assert {r.lang_pred for r in langid.language_table(odd(spark).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_learns_and_scores_whole_texts(spark):
+    rows = [("xx", "abab abc bca " * 2000 + "zebu zebu zebu", "1"), ("yy", "zz zy yz " * 2000 + "okapi okapi", "2")]
+    model = langid.train(spark.createDataFrame(rows, "lang string, text string, key string"))
+    text = "abab abc bca cab abc abc bca"
+    found = model.predict([text, "1 " * 300 + text, "zebu zebu", "okapi okapi"])
+    assert found[0] == ["xx", "xx", "xx", "yy"]
+    assert found[1][1] == pytest.approx(found[1][0]) and found[1][0] > 0.9
+
+
 def test_kneser_ney_sums_to_one(spark):
     df = spark.createDataFrame([("xx", "abab abc bca cab aab", "1"), ("yy", "zz zy yz", "2")], "lang string, text string, key string")
     model = langid.train(df)
