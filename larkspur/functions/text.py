@@ -12,7 +12,7 @@ URL = r"https?://\S+"
 MENTION = r"@\w+"
 # Patterns of retweet marks and of tokens without content.
 RETWEET_MARK = r"^RT\s*(:\s*)*"
-NOISE = r"(?i)\s?\W(#rt|xd|rt)\W?\s?"
+NOISE = r"(?i)\s?\W(#rt|XD|rt)\W?\s?"
 
 
 def tokens(text: Column) -> Column:
@@ -29,6 +29,16 @@ def hashtags(text: Column, entities: Column | None = None, stopwords: tuple[str,
     return F.array_sort(F.array_except(lower, F.array(*[F.lit(w) for w in stopwords])))
 
 
+def without(words: Column, stopwords: tuple[str, ...]) -> Column:
+    """Distinct words in order without stop words."""
+    return F.array_sort(F.array_except(F.array_distinct(words), F.array(*[F.lit(w) for w in stopwords])))
+
+
+def interesting(text: Column, lang: Column, wanted: str, hits: Column, total: Column, tags: Column) -> Column:
+    """Whether a tweet has a text, a user of the wanted language, words of that language, and more than one hashtag."""
+    return text.isNotNull() & (lang == wanted) & valid_language(hits, total) & (F.size(tags) > 1)
+
+
 def sanitize(text: Column) -> Column:
     """A tweet without URLs, mentions, retweet marks and repeated blanks; a cut retweet loses its last word."""
     was_cut = text.startswith("RT") & (F.length(text) >= TRIMMED_FROM)
@@ -49,6 +59,16 @@ def strip_word(word: Column) -> Column:
 WORD_CLASSES = {"VER": "v", "DET-INDEF": "a", "NOUN-M": "n", "NOUN-F": "n"}
 
 
+# First letters of a second tagger's tags and the lexicon classes that they stand for.
+TAG_LETTERS = {"V": "v", "A": "a", "S": "n", "B": "r"}
+
+
+def tag_class(tag: Column) -> Column:
+    """Lexicon class of a tag by its first letter; null for other tags."""
+    table = F.create_map(*[F.lit(x) for pair in TAG_LETTERS.items() for x in pair])
+    return F.try_element_at(table, F.upper(F.substring(tag, 1, 1)))
+
+
 def word_class(features: Column) -> Column:
     """Lexicon class of ``TAG:...`` features; null for other tags, so that all classes are looked up. No features: noun."""
     tag = F.substring_index(features, ":", 1)
@@ -105,24 +125,6 @@ def plain_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
-def ngrams(words: Column, n: int) -> Column:
-    """Word n-grams joined by blanks."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-
-
-def all_ngrams(words: Column, most: int = 5) -> Column:
-    """Array of (n, ngram) for n from 1 to most. The words are bound once, so that they aren't worked out for each n-gram."""
-
-    def of(bound: Column) -> Column:
-        def tagged(n: int) -> Column:
-            return F.transform(ngrams(bound, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("ngram")))
-
-        return F.concat(*map(tagged, range(1, most + 1)))
-
-    return F.flatten(F.transform(F.array(words), of))
-
-
 def one_line(text: Column, carriage: bool = False) -> Column:
     """Text without newlines and tabs (and carriage returns)."""
     return F.regexp_replace(text, r"[\n\t\r]" if carriage else r"[\n\t]", "")
@@ -154,6 +156,11 @@ def valid_language(hits: Column, total: Column) -> Column:
     return F.when(total <= 4, hits >= 3).otherwise(hits > total / 2)
 
 
+def fits(name: Column, pattern: str) -> Column:
+    """Whether a name fits a pattern in which ``*`` stands for anything and all else for itself."""
+    return name.like(pattern.replace("\\", "\\\\").replace("%", r"\%").replace("_", r"\_").replace("*", "%"))
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
@@ -189,6 +196,38 @@ def pack_u64(value: Column) -> Column:
     return F.unhex(F.lpad(F.conv(value.cast("string"), 10, 16), 16, "0"))
 
 
+def pack_u32(value: Column) -> Column:
+    """Four big-endian bytes of an unsigned integer below 2^32; null for others."""
+    return F.when(value.between(0, (1 << 32) - 1), F.unhex(F.lpad(F.hex(value.cast("bigint")), 8, "0")))
+
+
+def unpack_u32(raw: Column) -> Column:
+    """The unsigned integer of four big-endian bytes."""
+    return F.conv(F.hex(raw), 16, 10).cast("bigint")
+
+
+def unpack_f32(raw: Column) -> Column:
+    """The number of four big-endian bytes of an IEEE 754 single; infinities and NaNs are null."""
+    bits = unpack_u32(raw)
+    exponent, part = F.shiftright(bits, 23).bitwiseAND(0xFF), bits.bitwiseAND(0x7FFFFF)
+    sign = F.when(bits >= 1 << 31, F.lit(-1.0)).otherwise(F.lit(1.0))
+    normal = (F.lit(1.0) + part / F.lit(float(1 << 23))) * F.pow(F.lit(2.0), exponent - 127)
+    small = part / F.lit(float(1 << 23)) * F.lit(2.0**-126)
+    return F.when(exponent == 255, F.lit(None)).otherwise(sign * F.when(exponent == 0, small).otherwise(normal))
+
+
+def pack_f32(value: Column) -> Column:
+    """Four big-endian bytes of the IEEE 754 single that the number is cast to; null for infinities, NaN and subnormal ones."""
+    x = value.cast("float").cast("double")
+    size = F.abs(x)
+    exponent = F.floor(F.log2(size))
+    exponent = exponent + F.when(F.pow(F.lit(2.0), exponent + 1) <= size, 1).when(F.pow(F.lit(2.0), exponent) > size, -1).otherwise(0)
+    part = ((size / F.pow(F.lit(2.0), exponent) - 1) * float(1 << 23)).cast("bigint")
+    bits = F.when(x == 0, F.lit(0).cast("bigint")).otherwise((exponent.cast("bigint") + 127) * (1 << 23) + part)
+    bits = bits + F.when(x < 0, F.lit(1 << 31)).otherwise(F.lit(0))
+    return F.when((size == 0) | (size >= 2.0**-126) & (size < float("inf")), pack_u32(bits))
+
+
 def unpack_u64(raw: Column) -> Column:
     """The unsigned integer of eight big-endian bytes."""
     return F.conv(F.hex(raw), 16, 10).cast("decimal(20,0)")

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import relatedness
+from larkspur.operators.tables import hinted
+from larkspur.storage import materialize
 
-#: Levels after which an edge list's lineage is cut.
-CUT_EVERY = 3
+#: Shares of a hub's neighbours.
+SALTS = 4
 PAGE_OFFSET = 100_000_000
 EDGE_OFFSET = 200_000_000
 
@@ -20,22 +22,42 @@ def inner_edges(edges: DataFrame, nodes: DataFrame, src: str, dst: str, node: st
     return edges.select(src, dst).distinct().join(known, src, "left_semi").join(other, dst, "left_semi").select(src, dst)
 
 
+def union_distinct(*edges: DataFrame) -> DataFrame:
+    """Distinct rows of several edge lists."""
+    rows = edges[0]
+    for other in edges[1:]:
+        rows = rows.unionByName(other)
+    return rows.distinct()
+
+
 def adjacency(edges: DataFrame, key: str, other: str) -> DataFrame:
     """Distinct neighbours of each node in order, and their number."""
     found = edges.groupBy(key).agg(F.sort_array(F.collect_set(other)).alias("neighbours"))
     return found.withColumn("degree", F.size("neighbours"))
 
 
+def neighbour_rows(edges: DataFrame, key: str, other: str) -> DataFrame:
+    """(key, other, degree): distinct neighbours as rows, for graphs whose hubs don't fit a list."""
+    distinct = edges.select(key, other).distinct()
+    return distinct.join(distinct.groupBy(key).agg(F.count("*").alias("degree")), key)
+
+
 def degrees(edges: DataFrame, key: str, other: str) -> DataFrame:
     """Number of distinct neighbours of each node."""
     return edges.groupBy(key).agg(F.countDistinct(other).alias("degree"))
 
 
 def shared_neighbours(edges: DataFrame, src: str, dst: str) -> DataFrame:
-    """(a, b, both): pairs a < b that share in-neighbours, with their number. Both sides are dealt by src; AQE splits hubs."""
+    """(a, b, both): pairs a < b that share in-neighbours, with their number.
+
+    A neighbour's pairs are the result's own rows before they are counted. Those of a hub are dealt over SALTS shares by
+    one of the two ends, whatever its degree, and are counted before they shuffle.
+    """
     one = edges.select(src, dst).distinct()
-    left, right = one.select(src, F.col(dst).alias("a")), one.select(src, F.col(dst).alias("b"))
-    return left.join(right, src).where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
+    salt = F.pmod(F.xxhash64(dst), F.lit(SALTS))
+    left = one.select(src, F.col(dst).alias("a"), salt.alias("salt"))
+    right = one.select(src, F.col(dst).alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    return left.join(right, [src, "salt"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
 
 
 def link_relatedness(edges: DataFrame, src: str, dst: str, universe: Column) -> DataFrame:
@@ -67,27 +89,31 @@ def term_entity_edges(rows: DataFrame, term: str, entity: str, value: str, least
 def numbered(df: DataFrame, *order: str, base: int = 0, name: str = "id") -> DataFrame:
     """Rows with consecutive numbers from base + 1 in an order, without one task that sees them all.
 
-    A range sort gives the parts; each row's number is its place in its part plus the rows of earlier parts.
+    A range sort gives the parts, which are written out so that they stay as they are when an executor is lost; each row's
+    number is its place in its part plus the rows of earlier parts.
     """
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    parts = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "parts")
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # one row a part
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parts.withColumn("_place", place).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_place") + base).drop("_part", "_n", "_start", "_place")
+    placed = parts.withColumn("_place", place).join(hinted(starts, most), "_part")
+    return placed.withColumn(name, F.col("_start") + F.col("_place") + base).drop("_part", "_n", "_start", "_place")
 
 
 def frontier_levels(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(node, level): least number of steps from the seeds, up to a depth; edges (src, dst), seeds (node).
 
-    Each level is one join of the frontier and an anti join with what was seen; lineage is cut every few levels.
+    Each level is one join of the frontier and an anti join with what was seen. Levels are written out one by one, so no
+    plan grows with the depth; the traversal ends when a level is empty.
     """
-    seen = seeds.select("node").distinct().withColumn("level", F.lit(0))
-    frontier = seen
+    seen = seeds.select("node").where("node is not null").distinct().withColumn("level", F.lit(0))
+    seen = frontier = materialize(seen, "level")
     for level in range(1, depth + 1):
-        steps = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = steps.join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(level))
+        steps = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).where("node is not null").distinct()
+        frontier = materialize(steps.join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(level)), "level")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
-        if level % CUT_EVERY == 0 and level < depth and edges.sparkSession.sparkContext.getCheckpointDir():
-            seen, frontier = seen.checkpoint(), frontier.checkpoint()
     return seen

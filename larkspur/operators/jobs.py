@@ -53,6 +53,14 @@ def counters(jobs: DataFrame, op: str, state: str, value: str) -> DataFrame:
     )
 
 
+def utilisation(workers: DataFrame, state: str) -> DataFrame:
+    """One row: workers, those at work, and their whole percentage; null without workers."""
+    active = F.count_if(F.col(state) == "working")
+    return workers.agg(F.count("*").alias("workers"), active.alias("active")).withColumn(
+        "pct", F.when(F.col("workers") > 0, F.floor(F.col("active") * 100 / F.col("workers")))
+    )
+
+
 def finished(jobs: DataFrame, state: str) -> DataFrame:
     """One row: whether nothing is queued or ongoing."""
     return jobs.agg((F.count_if(F.col(state).isin("queued", "ongoing")) == 0).alias("finished"))

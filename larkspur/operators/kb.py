@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import all_ngrams, normalized_title, portal_name, uri_title
+from larkspur.functions.text import normalized_title, portal_name, uri_title
+from larkspur.operators.tables import hinted
+from larkspur.storage import materialize
+
+#: Shares of the places of a pattern's head.
+SALTS = 8
 
 
 def anchor_pages(links: DataFrame, anchor: str, page: str) -> DataFrame:
@@ -20,11 +25,11 @@ def summed_anchors(rows: DataFrame) -> DataFrame:
     return rows.groupBy("anchor", "page_id").agg(F.sum("cnt").alias("cnt"))
 
 
-def with_titles(anchors: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Anchors (anchor, title, cnt) with the page of their normalized title, and the number of those without one."""
+def with_titles(anchors: DataFrame, titles: DataFrame) -> DataFrame:
+    """Anchors (title, ...) with ``page_id``, the page (id) of their normalized title, and whether they are skipped for having none."""
     keyed = anchors.withColumn("title_norm", normalized_title(F.col("title")))
-    pages = titles.select(normalized_title(F.col("title")).alias("title_norm"), F.col("id").alias("page_id"))
-    return keyed.join(pages, "title_norm"), keyed.join(pages, "title_norm", "left_anti").agg(F.count("*").alias("skipped"))
+    pages = titles.groupBy(normalized_title(F.col("title")).alias("title_norm")).agg(F.min("id").alias("page_id"))
+    return keyed.join(pages, "title_norm", "left").withColumn("skipped", F.col("page_id").isNull())
 
 
 def with_redirects(titles: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -54,9 +59,32 @@ def link_probabilities(senses: DataFrame, seen: DataFrame) -> DataFrame:
     )
 
 
+def following_words(docs: DataFrame, words: str, most: int, *keep: str) -> DataFrame:
+    """A row for each word of an array: the kept columns, ``start``, and ``w1`` to ``w<most>``, the word and those after it.
+
+    Words beyond the end are null. The array is zipped with its own tails, so no n-gram is made before it is asked for.
+    """
+    names = [f"w{i}" for i in range(1, most + 1)]
+    tails = [F.slice(words, F.lit(i), F.greatest(F.size(words) - (i - 1), F.lit(0))).alias(name) for i, name in enumerate(names, 1)]
+    rows = docs.where(F.size(words) > 0).select(*keep, F.posexplode(F.arrays_zip(*tails)).alias("start", "w"))
+    return rows.select(*keep, "start", *[F.col(f"w.{name}").alias(name) for name in names])
+
+
+def window_structs(most: int, **more: Column) -> Column:
+    """Array of (n, gram, ...) of the windows of 1 to most words of following_words() rows that are whole."""
+    made = []
+    for n in range(1, most + 1):
+        gram = F.concat_ws(" ", *[F.col(f"w{i}") for i in range(1, n + 1)])
+        fields = [F.lit(n).alias("n"), gram.alias("gram"), *[c.alias(k) for k, c in more.items()]]
+        made.append(F.when(F.col(f"w{n}").isNotNull(), F.struct(*fields)))
+    return F.array(*made)
+
+
 def ngram_counts(docs: DataFrame, words: Column, most: int = 5) -> DataFrame:
     """(n, ngram, cnt) of all word n-grams up to a length; partial counts before the shuffle."""
-    return docs.select(F.explode(all_ngrams(words, most)).alias("g")).groupBy("g.n", "g.ngram").agg(F.count("*").alias("cnt"))
+    rows = following_words(docs.select(words.alias("words")), "words", most)
+    grams = rows.select(F.explode(window_structs(most)).alias("g")).where("g is not null")
+    return grams.groupBy("g.n", F.col("g.gram").alias("ngram")).agg(F.count("*").alias("cnt"))
 
 
 def merged_counts(*runs: DataFrame) -> DataFrame:
@@ -98,37 +126,31 @@ def word_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
     return spans.where(F.col("part").rlike(r"\S")).select(key, F.lower("part").alias("word"), (F.col("stop") - F.length("part")).alias("start"), "stop")
 
 
-def spot_windows(tokens: DataFrame, most: int = 5, least_chars: int = 3) -> DataFrame:
-    """(doc_id, start, n, spot) of all windows of up to ``most`` words, from (doc_id, words)."""
+def match_spots(tokens: DataFrame, titles: DataFrame, most: int = 5, least_chars: int = 3) -> DataFrame:
+    """(doc_id, start, n, spot, title): the longest dictionary match at each start of (doc_id, words); overlaps stay.
 
-    def of(words: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(words) - 1)
-
-        def windows(i: Column) -> Column:
-            sizes = F.sequence(F.lit(1), F.least(F.lit(most), F.size(words) - i))
-            return F.transform(sizes, lambda n: F.struct(i.alias("start"), n.alias("n"), F.array_join(F.slice(words, i + 1, n), " ").alias("spot")))
-
-        return F.flatten(F.transform(starts, windows))
-
-    # The words are bound once, so that they aren't worked out for each window.
-    found = F.flatten(F.transform(F.array("words"), of))
-    rows = tokens.where(F.size("words") > 0).select("doc_id", F.explode(found).alias("w")).select("doc_id", "w.start", "w.n", "w.spot")
-    return rows.where(F.length("spot") >= least_chars)
-
-
-def match_spots(tokens: DataFrame, titles: DataFrame) -> DataFrame:
-    """(doc_id, start, n, spot): the longest dictionary match at each start; overlaps stay.
-
-    A window matches the same words, or, with five words, a six-word title that begins with them (five of six is above
-    the similarity of 0.8): two equi-joins, no comparison of all pairs.
+    A window of up to ``most`` words matches the same words, or, with five words, a six-word title that begins with them
+    (five of six is above the similarity of 0.8). Only words that begin a title make windows, and only of lengths that
+    titles have: equi-joins, no comparison of all pairs.
     """
     names = titles.select(F.col("title")).distinct()
-    longer = names.where(F.size(F.split("title", " ")) == 6).select(F.array_join(F.slice(F.split("title", " "), 1, 5), " ").alias("spot"), F.col("title"))
+    parts = F.split("title", " ")
+    longer = names.where(F.size(parts) == 6).select(F.array_join(F.slice(parts, 1, 5), " ").alias("spot"), F.col("title"))
     keys = names.select(F.col("title").alias("spot"), "title").unionByName(longer)
-    keys = keys.groupBy("spot").agg(F.min(F.struct((F.col("spot") != F.col("title")).alias("near"), "title")).alias("t")).select("spot", "t.title")
-    found = spot_windows(tokens).join(keys, "spot")
-    rank = Window.partitionBy("doc_id", "start").orderBy(F.col("n").desc())  # five windows at most
-    return found.withColumn("rank", F.row_number().over(rank)).where("rank = 1").select("doc_id", "start", "n", "spot", "title")
+    keys = keys.where(F.length("spot") >= least_chars).groupBy("spot").agg(
+        F.min(F.struct((F.col("spot") != F.col("title")).alias("near"), "title")).alias("t")
+    )
+    keys = keys.select("spot", "t.title", F.size(F.split("spot", " ")).alias("n")).where(F.col("n") <= most)
+    keys = materialize(keys, "spots")
+    n_keys, longest = keys.agg(F.count("*"), F.max("n")).first()
+    if not n_keys:
+        return tokens.select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit("").alias("spot"), F.lit("").alias("title")).where("false")
+    heads = keys.select(F.substring_index("spot", " ", 1).alias("w1")).distinct()
+    begun = following_words(tokens, "words", longest, "doc_id").join(hinted(heads, n_keys), "w1", "left_semi")
+    found = begun.select("doc_id", "start", F.explode(window_structs(longest)).alias("g")).where("g is not null")
+    found = found.select("doc_id", "start", F.col("g.n").alias("n"), F.col("g.gram").alias("spot")).join(hinted(keys.select("spot", "title"), n_keys), "spot")
+    best = found.groupBy("doc_id", "start").agg(F.max(F.struct("n", "spot", "title")).alias("best"))
+    return best.select("doc_id", "start", "best.n", "best.spot", "best.title")
 
 
 def dictionary_titles(titles: DataFrame, most_words: int = 3, least_chars: int = 3) -> DataFrame:
@@ -139,18 +161,26 @@ def dictionary_titles(titles: DataFrame, most_words: int = 3, least_chars: int =
 def find_patterns(docs: DataFrame, patterns: DataFrame, key: str, text: str) -> DataFrame:
     """(key, start, pattern): every place of every pattern in the texts, inside words too.
 
-    Patterns are met on their first characters (as many as the shortest has, eight at most) by an equi-join, then
-    compared whole: no text is held against each pattern in turn.
+    Patterns are met on their first characters by equi-joins, those of each number of characters (1, 2, 4 or 8, the most
+    that a pattern has) for themselves, then compared whole: no text is held against each pattern in turn. A head is
+    dealt out by its place in the text as well (``SALTS``), so that a frequent one isn't one task's.
     """
     known = patterns.select("pattern").where("pattern != ''").distinct()
-    q, longest = known.agg(F.least(F.min(F.length("pattern")), F.lit(8)), F.max(F.length("pattern"))).first()
-    if not q:
+    size = F.length("pattern")
+    width = F.when(size >= 8, 8).when(size >= 4, 4).when(size >= 2, 2).otherwise(1)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    heads = known.select("pattern", width.alias("width"), salts).withColumn("head", F.expr("substring(pattern, 1, width)"))
+    used = known.groupBy(width.alias("width")).agg(F.max(size).alias("longest")).collect()  # four rows at most
+    if not used:
         return docs.select(key, F.lit(0).alias("start"), F.lit("").alias("pattern")).where("false")
-    grams = F.sequence(F.lit(1), F.greatest(F.length(text) - q + 1, F.lit(1)))
-    places = docs.where(F.length(text) >= q).select(key, text, F.explode(grams).alias("at"))
-    places = places.select(key, F.substring(text, F.col("at"), F.lit(q)).alias("head"), F.substring(text, F.col("at"), F.lit(longest)).alias("tail"), F.col("at"))
-    heads = known.select(F.substring("pattern", 1, q).alias("head"), "pattern")
-    found = places.join(heads, "head").where(F.startswith("tail", "pattern"))
+    widths = F.array(*[F.struct(F.lit(r["width"]).alias("width"), F.lit(r["longest"]).alias("longest")) for r in used])
+    places = docs.where(F.length(text) > 0).select(key, text, F.explode(F.sequence(F.lit(1), F.length(text))).alias("at"))
+    places = places.select(key, text, "at", F.explode(widths).alias("w")).where(F.col("at") + F.col("w.width") - 1 <= F.length(text))
+    places = places.select(
+        key, "at", F.col("w.width").alias("width"), F.substring(text, F.col("at"), F.col("w.width")).alias("head"),
+        F.substring(text, F.col("at"), F.col("w.longest")).alias("tail"), F.pmod(F.col("at"), F.lit(SALTS)).alias("salt"),
+    )
+    found = places.join(heads, ["width", "head", "salt"]).where(F.startswith("tail", "pattern"))
     return found.select(key, (F.col("at") - 1).alias("start"), "pattern")
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions.text import fits
+
 #: Rows of a side that may be broadcast after they were counted; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 100_000
 
 
 def hinted(df: DataFrame, rows: int) -> DataFrame:
@@ -68,6 +70,19 @@ def new_keys(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return new.select(key).distinct().join(old.select(key).distinct(), key, "left_anti")
 
 
+def except_keys(df: DataFrame, key: str, *others: DataFrame) -> DataFrame:
+    """Rows whose key is in none of the others, each of which has the key as its only column."""
+    known = others[0]
+    for other in others[1:]:
+        known = known.union(other)
+    return df.join(known.toDF(key).distinct(), key, "left_anti")
+
+
+def histogram(df: DataFrame, bucket: Column, name: str) -> DataFrame:
+    """Number of rows of each bucket."""
+    return df.groupBy(bucket.alias(name)).agg(F.count("*").alias("n"))
+
+
 def running_distinct(df: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
     """Number of keys first seen in each window of time, and up to it. Keys are reduced before the running sum."""
     first = df.groupBy(key).agg(F.min(ts).alias("first"))
@@ -88,10 +103,18 @@ def sort_distinct(df: DataFrame, key: str, then: Column) -> DataFrame:
 
 
 def range_bounds(df: DataFrame, key: str, parts: int) -> DataFrame:
-    """(at, bound): the parts - 1 exact quantiles that cut a key into ranges, from counts of distinct keys."""
-    shares = [i / parts for i in range(1, parts)]
-    found = df.agg(F.percentile(key, F.array(*[F.lit(s) for s in shares])).alias("q"))
-    return found.select(F.posexplode("q").alias("at", "bound"))
+    """(at, bound): the parts - 1 exact quantiles that cut a key into ranges, interpolated; nulls are left out.
+
+    Rows are numbered in a range sort and looked up by their numbers, so no task sees all keys.
+    """
+    from larkspur.operators.graph import numbered
+
+    rows = numbered(df.select(F.col(key).cast("double").alias("value")).where("value is not null"), "value", base=-1, name="rank")
+    n = rows.count()
+    places = [(at, (n - 1) * (at + 1) / parts) for at in range(parts - 1)] if n else []
+    ends = [(at, int(p) + side, abs(1 - side - (p - int(p)))) for at, p in places for side in (0, 1) if side == 0 or p > int(p)]
+    wanted = df.sparkSession.createDataFrame(ends, "at int, rank long, share double")  # two rows a bound
+    return rows.join(hinted(wanted, len(ends)), "rank").groupBy("at").agg(F.sum(F.col("value") * F.col("share")).alias("bound"))
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int | None = None) -> DataFrame:
@@ -132,7 +155,7 @@ def resume_older(stored: DataFrame, available: DataFrame, owner: str, key: str)
 def series_sum(df: DataFrame, label: str, pattern: str, ts: str, value: Column, seconds: int) -> DataFrame:
     """Sum over all series whose label fits a ``*`` pattern, in windows of time."""
     bucket = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / seconds) * seconds
-    return df.where(F.col(label).like(pattern.replace("*", "%"))).groupBy(bucket.alias("bucket")).agg(F.sum(value).alias("total"))
+    return df.where(fits(F.col(label), pattern)).groupBy(bucket.alias("bucket")).agg(F.sum(value).alias("total"))
 
 
 def search_newest(df: DataFrame, terms: str, term: str, ts: str, low: str, high: str, n: int, key: str) -> DataFrame:
@@ -145,3 +168,9 @@ def completed_share(df: DataFrame, state: Column) -> DataFrame:
     """One row: how many rows, how many in a state, and their percentage; 0 without rows."""
     counts = df.agg(F.count("*").alias("n"), F.count_if(state).alias("hits"))
     return counts.withColumn("pct", F.when(F.col("n") > 0, F.round(F.col("hits") * 100.0 / F.col("n"), 6)).otherwise(F.lit(0.0)))
+
+
+def found_or_missing(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The wanted keys with their rows, and whether there is one: a key without a row has nulls and false."""
+    known = df.withColumn("found", F.lit(True))
+    return wanted.select(key).distinct().join(known, key, "left").withColumn("found", F.coalesce("found", F.lit(False)))

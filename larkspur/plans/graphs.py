@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.operators import graph
+from larkspur.operators import graph, tables
 from larkspur.plans.common import Registry, table
 from larkspur.sources import sinks
 
@@ -16,25 +16,23 @@ select c_custkey from customer where c_custkey not in (select o_custkey from ord
 """)
 def anti_join_processed(spark, sf_dir):
     done = table(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit("1995-01-01 00:00:00").cast("timestamp_ntz"))
-    return table(spark, sf_dir, "customer").select("c_custkey").join(done.select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey", "left_anti")
+    return tables.except_keys(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", done.select("o_custkey"))
 
 
 @REGISTRY.add("""
-with e as (select distinct l_suppkey as src, l_partkey as dst from lineitem where l_suppkey % 2 = 0 and l_partkey in (select p_partkey from part where p_size < 20)
-  and l_suppkey in (select s_suppkey from supplier))
+with n as (select p_partkey from part where p_size < 20),
+e as (select distinct l_suppkey as src, l_partkey as dst from lineitem where l_partkey in (select p_partkey from n) and l_suppkey in (select p_partkey from n))
 select (row_number() over (order by src, dst))::bigint as id, src, dst from e
 """)
 def semi_join_graph(spark, sf_dir):
-    edges = table(spark, sf_dir, "lineitem").where("l_suppkey % 2 = 0").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
-    parts = table(spark, sf_dir, "part").where("p_size < 20").select(F.col("p_partkey").alias("dst"))
-    sources = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("src"))
-    inner = edges.join(parts, "dst", "left_semi").join(sources, "src", "left_semi").select("src", "dst")
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+    inner = graph.inner_edges(edges, table(spark, sf_dir, "part").where("p_size < 20"), "src", "dst", "p_partkey")
     return graph.numbered(inner, "src", "dst").select(F.col("id").cast("long").alias("id"), "src", "dst")
 
 
 @REGISTRY.add("select l_orderkey as src, l_partkey as dst, 'out' as way from lineitem union all select l_partkey, l_orderkey, 'in' from lineitem")
 def unnest_links(spark, sf_dir):
-    lists = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("links"))
+    lists = table(spark, sf_dir, "lineitem").select("l_orderkey", F.array("l_partkey").alias("links"))
     out = lists.select(F.col("l_orderkey").alias("src"), F.explode("links").alias("dst"))
     back = out.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("in").alias("way"))
     return out.withColumn("way", F.lit("out")).unionByName(back)
@@ -48,6 +46,14 @@ def adjacency_lists(spark, sf_dir):
     return graph.adjacency(edges, "l_partkey", "s").select("l_partkey", F.concat_ws(",", "neighbours").alias("neighbours"), "degree")
 
 
+@REGISTRY.add("""
+with e as (select distinct l_suppkey, l_partkey from lineitem), d as (select l_partkey, count(*) as degree from e group by 1)
+select l_partkey, l_suppkey, degree from e join d using (l_partkey)
+""")
+def neighbour_rows(spark, sf_dir):
+    return graph.neighbour_rows(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey")
+
+
 @REGISTRY.add("""
 with e as (select distinct l_orderkey as src, l_partkey as dst from lineitem),
 d as (select dst, count(*) as n from e group by 1), w as (select count(*)::double as w from part),
@@ -72,13 +78,13 @@ def redirect_pages(spark, sf_dir):
 
 
 @REGISTRY.add("""
-with recursive e as (select distinct l_suppkey as src, 1000000000 + l_partkey as dst from lineitem where l_linenumber = 1),
+with recursive e as (select distinct l_suppkey as src, 1000000000 + l_partkey as dst from lineitem),
 g as (select src, dst from e union select dst, src from e),
 f(node, level) as (select 1::bigint, 0 union select g.dst, f.level + 1 from f join g on g.src = f.node where f.level < 3)
 select node, min(level)::int as level from f group by 1
 """)
 def frontier_levels(spark, sf_dir):
-    one = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000_000).alias("dst")).distinct()
+    one = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000_000).alias("dst")).distinct()
     both = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return graph.frontier_levels(both, spark.createDataFrame([(1,)], "node long"), 3)
 

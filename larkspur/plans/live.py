@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from larkspur.plans.common import Registry
 from larkspur.plans.series import FOLD, KINDS
+from larkspur.storage import new_folder
 from larkspur.streaming import streams
 
 REGISTRY = Registry()
@@ -15,8 +14,7 @@ REGISTRY = Registry()
 
 def checkpoint(spark) -> str:
     """A fresh checkpoint folder that driver and executors share."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_streams"
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 @REGISTRY.add("select cast(date_trunc('day', ts) as date) as day, event_type, count(*) as n from events group by 1, 2")
@@ -43,12 +41,42 @@ def stream_filter(spark, sf_dir):
 
 @REGISTRY.add("select count(distinct user_id) as n from events")
 def stream_distinct_users(spark, sf_dir):
-    rows = streams.table_stream(spark, sf_dir, "events").dropDuplicates(["user_id"]).select("user_id")
+    rows = streams.distinct_events(streams.table_stream(spark, sf_dir, "events"), "user_id", "ts", "60 days").select("user_id")
     return streams.run_to_files(rows, "append", checkpoint(spark)).agg(F.count("*").alias("n"))
 
 
+def job_stream(spark, sf_dir):
+    kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    return streams.table_stream(spark, sf_dir, "events").withColumn("kind", F.coalesce(F.try_element_at(kind, F.col("event_type")), F.lit("assign")))
+
+
+@REGISTRY.add(FOLD)
+def stream_job_machine(spark, sf_dir):
+    """The state machine with a state of its own for each job."""
+    rows = job_stream(spark, sf_dir).select(F.col("user_id").alias("job"), "kind", "ts", F.col("event_id").alias("seq"))
+    return streams.run_updates(streams.job_machine(rows), "job", checkpoint(spark)).withColumnRenamed("job", "user_id")
+
+
+@REGISTRY.add("""
+with w as (select unnest([5, 60, 600]) as width)
+select w.width as width, (floor(epoch(ts) / w.width) * w.width)::bigint as bucket, sum(cast(value as decimal(18, 4))) as total
+from events, w group by 1, 2
+""")
+def stream_roll_ups(spark, sf_dir):
+    rows = streams.table_stream(spark, sf_dir, "events")
+    rolled = streams.roll_ups(rows, "ts", F.col("value").cast("decimal(18,4)"), (5, 60, 600))
+    found = streams.run_to_files(rolled, "complete", checkpoint(spark))
+    return found.select("width", "bucket", F.col("total").cast("decimal(38,4)").alias("total"))
+
+
+@REGISTRY.add("select doc_id, lang from documents where text is not null and lang = 'en' and length(text) > 100")
+def stream_documents(spark, sf_dir):
+    """A filter over a stream of documents, appended to files."""
+    rows = streams.table_stream(spark, sf_dir, "documents").where("text is not null and lang = 'en' and length(text) > 100")
+    return streams.run_to_files(rows.select("doc_id", "lang"), "append", checkpoint(spark))
+
+
 @REGISTRY.add(FOLD)
 def stream_job_states(spark, sf_dir):
-    kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
-    rows = streams.table_stream(spark, sf_dir, "events").withColumn("kind", F.coalesce(F.try_element_at(kind, F.col("event_type")), F.lit("assign")))
+    rows = job_stream(spark, sf_dir)
     return streams.run_to_files(streams.job_states(rows, "user_id", "kind", "ts", "event_id"), "complete", checkpoint(spark))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import project_paths, response_status, sleep_seconds
-from larkspur.operators import jobs, tables
+from larkspur.operators import graph, jobs, tables
 from larkspur.plans.common import Registry, table
 
 REGISTRY = Registry()
@@ -24,7 +24,7 @@ def top_terms_in_range(spark, sf_dir):
 
 @REGISTRY.add("select cast(date_trunc('day', ts) as date) as day, count(*) as n from events group by 1")
 def daily_histogram(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    return tables.histogram(table(spark, sf_dir, "events"), F.to_date("ts"), "day")
 
 
 @REGISTRY.add("""
@@ -46,13 +46,13 @@ def share_of_total(spark, sf_dir):
 
 @REGISTRY.add("""
 select o_orderstatus, count(*) as jobs, count(*) filter (where o_orderpriority = '1-URGENT') as urgent,
-  sum(cast(o_totalprice as decimal(18, 2))) as total from orders group by 1
+  count(*) filter (where o_orderpriority = '5-LOW') as low, sum(cast(o_totalprice as decimal(18, 2))) as total from orders group by 1
 """)
 def operation_counters(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(
-        F.count("*").alias("jobs"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
-        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("decimal(38,2)").alias("total"),
-    )
+    state = F.when(F.col("o_orderpriority") == "1-URGENT", "completed").when(F.col("o_orderpriority") == "5-LOW", "ongoing")
+    rows = table(spark, sf_dir, "orders").select("o_orderstatus", state.alias("state"), F.col("o_totalprice").cast("decimal(18,2)").alias("value"))
+    counts = jobs.counters(rows, "o_orderstatus", "state", "value").withColumnsRenamed({"completed": "urgent", "ongoing": "low"})
+    return counts.withColumn("total", F.col("total").cast("decimal(38,2)"))
 
 
 @REGISTRY.add("select event_id, ts, user_id from events order by ts desc, event_id desc limit 301")
@@ -111,7 +111,7 @@ select l_orderkey, l_partkey from lineitem where l_linenumber <= 3 union select
 def union_distinct_edges(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
     low, high = rows.where("l_linenumber <= 3"), rows.where("l_linenumber >= 3")
-    return low.select("l_orderkey", "l_partkey").unionByName(high.select("l_orderkey", "l_partkey")).distinct()
+    return graph.union_distinct(low.select("l_orderkey", "l_partkey"), high.select("l_orderkey", "l_partkey"))
 
 
 @REGISTRY.add("""
@@ -212,6 +212,23 @@ def upsert_rows(spark, sf_dir):
     return tables.upsert(old, changed.unionByName(added), "c_custkey")
 
 
+@REGISTRY.add("""
+select o_orderkey + 1 as o_orderkey, (select count(*) from orders y where y.o_orderkey = x.o_orderkey + 1) > 0 as found from orders x
+""")
+def found_or_missing(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    wanted = orders.select((F.col("o_orderkey") + 1).alias("o_orderkey"))
+    return tables.found_or_missing(orders, "o_orderkey", wanted)
+
+
+@REGISTRY.add("""
+select count(*) as workers, count(*) filter (where c_acctbal > 0) as active, floor(count(*) filter (where c_acctbal > 0) * 100 / count(*))::bigint as pct from customer
+""")
+def worker_utilisation(spark, sf_dir):
+    state = F.when(F.col("c_acctbal") > 0, "working").otherwise("idle")
+    return jobs.utilisation(table(spark, sf_dir, "customer").select(state.alias("state")), "state")
+
+
 @REGISTRY.add("select c_custkey, c_name from customer where c_custkey > 500 order by c_custkey limit 100")
 def keyset_page(spark, sf_dir):
     return tables.page_after(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", 500, 100)

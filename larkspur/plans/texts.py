@@ -42,9 +42,14 @@ def deterministic_sample(spark, sf_dir):
     return tables.sample(docs, "doc_id", 100)
 
 
-@REGISTRY.add()
+@REGISTRY.add(r"""
+with p as (select doc_id, regexp_extract_all(text, '[ \t\n\r\f\x0B]+|[^ \t\n\r\f\x0B]+') as parts from documents),
+u as (select doc_id, unnest(parts) as part, generate_subscripts(parts, 1) as i from p),
+o as (select doc_id, part, sum(length(part)) over (partition by doc_id order by i) as stop from u)
+select doc_id, lower(part) as word, (stop - length(part))::int as start, stop::int as stop from o where regexp_matches(part, '[^ \t\n\r\f\x0B]')
+""")
 def token_offsets(spark, sf_dir):
-    """Words with their offsets, whole texts; held against brute force in the tests."""
+    """Words with their offsets, whole texts."""
     return kb.word_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
@@ -64,11 +69,10 @@ def language_check(spark, sf_dir):
 @REGISTRY.add(f"""
 with t as (select {TOKENS} as w from documents), g as (
 """ + " union all ".join(f"select {n} as n, array_to_string(w[i:i+{n - 1}], ' ') as ngram from (select w, unnest(range(1, len(w) - {n - 2})) as i from t)" for n in range(1, 6)) + """
-) select n, ngram, count(*) as cnt from g group by 1, 2 order by cnt desc, n, ngram limit 500
+) select n, ngram, count(*) as cnt from g group by 1, 2
 """)
 def ngram_counts(spark, sf_dir):
-    counts = kb.ngram_counts(table(spark, sf_dir, "documents"), text.tokens(F.col("text")))
-    return counts.orderBy(F.col("cnt").desc(), "n", "ngram").limit(500)
+    return kb.ngram_counts(table(spark, sf_dir, "documents"), text.tokens(F.col("text")))
 
 
 @REGISTRY.add(f"""
@@ -76,8 +80,8 @@ with t as (select doc_id, {TOKENS} as w from documents)
 select doc_id, array_to_string(list_sort(list_filter(list_distinct(w), lambda x: x not in ({listed(STOPWORDS)}))), ' ') as words from t
 """)
 def stopword_filter(spark, sf_dir):
-    words = F.array_except(F.array_distinct(text.tokens(F.col("text"))), F.array(*[F.lit(w) for w in STOPWORDS]))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(words), " ").alias("words"))
+    words = text.without(text.tokens(F.col("text")), STOPWORDS)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(words, " ").alias("words"))
 
 
 TWEETS = (
@@ -100,6 +104,47 @@ def sanitize_inline(spark, sf_dir):
     return spark.createDataFrame(TWEETS, "id int, text string").select("id", text.sanitize(F.col("text")).alias("clean"))
 
 
+@REGISTRY.add(r"""
+select doc_id, array_to_string(list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(t, '#(\w+)', 1), lambda x: lower(x))), lambda x: x <> 'rt')), ',') as tags
+from (select doc_id, regexp_replace(text, '([.] )(\w)', '\1#\2', 'g') as t from documents)
+""")
+def hashtags_of_documents(spark, sf_dir):
+    """Hashtags of all documents, after a # was put before the words that begin a sentence."""
+    marked = F.regexp_replace("text", r"([.] )(\w)", "$1#$2")
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.hashtags(marked), ",").alias("tags"))
+
+
+RAW_TWEET = r"'RT ' || replace(replace(text, '. ', '. @a http://x.y/z '), ', ', ' #rt ')"
+
+
+@REGISTRY.add(r"""
+with a as (select doc_id, """ + RAW_TWEET + r""" as t from documents),
+b as (select doc_id, t, regexp_replace(regexp_replace(regexp_replace(t, 'https?://\S+', '', 'g'), '@\w+', '', 'g'), '^RT\s*(:\s*)*', '') as c from a),
+c as (select doc_id, t, regexp_replace(regexp_replace(c, '(?i)\s?\W(#rt|XD|rt)\W?\s?', ' ', 'g'), '\s+', ' ', 'g') as c from b),
+d as (select doc_id, t, c, regexp_extract(c, '^(.*) [^ ]* (?:\.\.\.|…)$', 1) as cut from c)
+select doc_id, case when starts_with(t, 'RT') and length(t) >= 135 and cut <> '' then cut else trim(c) end as clean from d
+""")
+def sanitized_documents(spark, sf_dir):
+    """All documents cleaned, after a retweet mark, mentions, URLs and noise were put into them."""
+    raw = F.replace(F.replace("text", F.lit(". "), F.lit(". @a http://x.y/z ")), F.lit(", "), F.lit(" #rt "))
+    return table(spark, sf_dir, "documents").select("doc_id", text.sanitize(F.concat(F.lit("RT "), raw)).alias("clean"))
+
+
+@REGISTRY.add(f"""
+with t as (select doc_id, lang, {TOKENS} as words, list_distinct(regexp_extract_all(text, '[a-z]+[.]')) as tags from documents where text is not null),
+c as (select *, len(words) as total, len(list_filter(words, lambda w: w in ({listed(WORD_LIST)}))) as hits from t)
+select doc_id from c where lang = 'en' and (case when total <= 4 then hits >= 3 else hits > total / 2 end) and len(tags) > 1
+""")
+def interesting_documents(spark, sf_dir):
+    """The four-part filter of tweets over documents; ends of sentences stand for hashtags."""
+    words = text.tokens(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", words.alias("words"))
+    hits = F.size(F.filter("words", lambda w: w.isin(*WORD_LIST)))
+    tags = F.array_distinct(F.regexp_extract_all("text", F.lit("([a-z]+[.])"), 1))
+    rows = rows.select("doc_id", "text", "lang", hits.alias("hits"), F.size("words").alias("total"), tags.alias("tags"))
+    return rows.where(text.interesting(F.col("text"), F.col("lang"), "en", F.col("hits"), F.col("total"), F.col("tags"))).select("doc_id")
+
+
 ANCHORS = """
 select page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>([^<]*)</a>', 1)) as href,
   unnest(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>([^<]*)</a>', 2)) as anchor from pages
@@ -130,22 +175,26 @@ for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·")
 
 
 @REGISTRY.add(f"""
-select page_id, length(trim(regexp_replace(replace(lower({BARE}), '[modifica]', ''), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')))::int as n_chars from pages
+select page_id, length(t)::int as n_chars, t as text
+from (select page_id, trim(regexp_replace(replace(lower({BARE}), '[modifica]', ''), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) as t from pages)
 """)
 def html_to_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.length(text.plain_text(F.col("html"))).alias("n_chars"))
+    rows = table(spark, sf_dir, "pages").select("page_id", text.plain_text(F.col("html")).alias("text"))
+    return rows.select("page_id", F.length("text").alias("n_chars"), "text")
 
 
 @REGISTRY.add("""
-with t as (select replace(lower(trim(p_name)), ' ', '_') as title_norm, min(p_partkey) as page_id from part where p_partkey % 2 = 0 group by 1),
-a as (select p_partkey as aid, replace(lower(trim(upper(p_name))), ' ', '_') as title_norm from part)
+with t as (select replace(lower(trim(p_name)), ' ', '_') as title_norm, min(p_partkey) as page_id from part group by 1),
+n as (select p_partkey as aid, upper(p_name) as title from part union all select -s_suppkey, s_name from supplier),
+a as (select aid, replace(lower(trim(title)), ' ', '_') as title_norm from n)
 select a.aid, t.page_id, t.page_id is null as skipped from a left join t using (title_norm)
 """)
 def title_join(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    titles = part.where("p_partkey % 2 = 0").groupBy(text.normalized_title(F.col("p_name")).alias("title_norm")).agg(F.min("p_partkey").alias("page_id"))
-    anchors = part.select(F.col("p_partkey").alias("aid"), text.normalized_title(F.upper("p_name")).alias("title_norm"))
-    return anchors.join(titles, "title_norm", "left").select("aid", "page_id", F.col("page_id").isNull().alias("skipped"))
+    part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    titles = part.select(F.col("p_name").alias("title"), F.col("p_partkey").alias("id"))
+    anchors = part.select(F.col("p_partkey").alias("aid"), F.upper("p_name").alias("title"))
+    others = supplier.select((-F.col("s_suppkey")).alias("aid"), F.col("s_name").alias("title"))  # these have no page
+    return kb.with_titles(anchors.unionByName(others), titles).select("aid", "page_id", "skipped")
 
 
 @REGISTRY.add(f"""
@@ -172,14 +221,14 @@ def best_senses(spark, sf_dir):
 
 
 @REGISTRY.add(f"""
-with t as (select doc_id, unnest(list_distinct({TOKENS})) as term from documents where n_chars < 2000),
+with t as (select doc_id, unnest(list_distinct({TOKENS})) as term from documents),
 e as (select term, l.quality * 2 + l.toxic as entity, t.doc_id from t join labels l on l.doc_id = t.doc_id),
 g as (select term, entity, string_agg(doc_id::varchar, ':' order by doc_id::varchar) as vals, count(*) as n from e group by 1, 2),
 k as (select term from g group by 1 having count(*) >= 2)
 select term, entity, vals, n from g where term in (select term from k)
 """)
 def entity_edges(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("n_chars < 2000")
+    docs = table(spark, sf_dir, "documents")
     terms = docs.select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
     labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 2 + F.col("toxic")).alias("entity"))
     rows = terms.join(labels, "doc_id").withColumn("value", F.col("doc_id").cast("string"))
@@ -196,7 +245,8 @@ def dense_node_ids(spark, sf_dir):
 
 
 @REGISTRY.add(f"""
-with b as (select distinct array_to_string(({TOKENS})[1:3], ' ') as title from benchmark),
+with v as (select {TOKENS} as w from benchmark),
+b as (select distinct array_to_string(w[i:i+2], ' ') as title from (select w, unnest(range(1, len(w) - 1)) as i from v)),
 w as (select doc_id, {TOKENS} as words from documents),
 g as (
 """ + " union all ".join(f"select doc_id, i - 1 as start, {n} as n, array_to_string(words[i:i+{n - 1}], ' ') as spot from (select doc_id, words, unnest(range(1, len(words) - {n - 2})) as i from w)" for n in range(1, 6)) + """
@@ -204,7 +254,8 @@ g as (
 select doc_id, start::int as start, n::int as n, spot from m where r = 1
 """)
 def spot_match(spark, sf_dir):
-    titles = table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(text.tokens(F.col("text")), 1, 3), " ").alias("title"))
+    items = table(spark, sf_dir, "benchmark").select(text.tokens(F.col("text")).alias("words"))
+    titles = kb.following_words(items, "words", 3).where("w3 is not null").select(F.concat_ws(" ", "w1", "w2", "w3").alias("title"))
     tokens = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("words"))
     return kb.match_spots(tokens, titles).select("doc_id", "start", "n", "spot")
 
@@ -287,6 +338,18 @@ def geo_within(spark, sf_dir):
     return points.where("km <= 200").select("id", "km")
 
 
+@REGISTRY.add("""
+with p as (select o_orderkey, 40 + (o_orderkey % 1000) / 100.0::double as lat, 5 + (o_orderkey % 997) / 100.0::double as lon from orders),
+k as (select o_orderkey, 2 * 6371.0::double * asin(sqrt(pow(sin(radians(lat - 45.46) / 2), 2) + cos(radians(45.46)) * cos(radians(lat)) * pow(sin(radians(lon - 9.19) / 2), 2))) as km from p)
+select o_orderkey, round(km, 3)::double as km from k where km <= 200
+""")
+def orders_within(spark, sf_dir):
+    """Orders whose place, made of their key, is within 200 km of a point."""
+    lat, lon = F.lit(40.0) + F.col("o_orderkey") % 1000 / 100.0, F.lit(5.0) + F.col("o_orderkey") % 997 / 100.0
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", text.haversine_km(F.lit(45.46), F.lit(9.19), lat, lon).alias("km"))
+    return rows.where("km <= 200").select("o_orderkey", F.round("km", 3).alias("km"))
+
+
 @REGISTRY.add("""
 with p as (select distinct p_brand as pattern from part where p_brand <> ''),
 t as (select p_partkey, p_brand || ' ' || p_name || p_brand as text from part),

@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
+#: Rows of an Arrow batch, unless the session names a number: Spark's 10,000 whole texts take too much of a small executor.
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
 
 
 def get_spark(app: str = "larkspur", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,8 +30,13 @@ def get_spark(app: str = "larkspur", master: str | None = None, **conf: str) ->
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends the package to the executors once a context, so that Arrow functions can import it there."""
+    """Sends the package to the executors once a context, so that Arrow functions can import it there.
+
+    Also has Arrow batches hold BATCH rows if the session says nothing of them.
+    """
     context = spark.sparkContext
+    if BATCH[0] not in spark.conf.getAll:
+        spark.conf.set(*BATCH)
     if not any(name.startswith("larkspur-") for name in context._python_includes):
         handle, path = tempfile.mkstemp(prefix="larkspur-", suffix=".zip")
         with os.fdopen(handle, "wb") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:

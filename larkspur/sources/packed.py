@@ -1,7 +1,8 @@
 """Follower lists as packed big-endian unsigned 64-bit integers: a Spark data source for reading and writing.
 
 ``<first two digits>/<user id>.fws`` holds the followers of one user in order, eight bytes each; ``.fws.gz`` the same
-through gzip. Reading plans one partition a file; the folder must be one that all executors can open.
+through gzip; ``<user id>.<number>.fws`` what was appended later. Reading plans partitions of bounded size; the folder must
+be one that all executors can open.
 """
 
 from __future__ import annotations
@@ -16,17 +17,26 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from larkspur.operators.graph import numbered
 from larkspur.sources.schemas import FOLLOWER
 
 
-class File(InputPartition):
-    def __init__(self, path: str):
+NAME = re.compile(r"([0-9]+)(?:\.[0-9]+)?\.fws(\.gz)?$")
+#: Bytes that a partition reads, and that are read at a time.
+SPLIT = 64 << 20
+CHUNK = 1 << 20
+
+
+class Piece(InputPartition):
+    """Some bytes of a file; first: the place of their first follower in the user's list."""
+
+    def __init__(self, path: str, user: str, first: int, start: int, size: int):
         super().__init__(path)
-        self.path = path
+        self.path, self.user, self.first, self.start, self.size = path, user, first, start, size
 
 
 @dataclass
@@ -34,28 +44,62 @@ class Written(WriterCommitMessage):
     paths: list[tuple[str, str]]
 
 
+def opened(path: str):
+    return gzip.open(path, "rb") if path.endswith(".gz") else open(path, "rb")  # noqa: SIM115
+
+
+def length_of(path: str) -> int:
+    """Bytes of a file's list. A gzip file says its length modulo 2^32 in its last four bytes."""
+    if not path.endswith(".gz"):
+        return os.path.getsize(path)
+    with open(path, "rb") as data:
+        data.seek(-4, os.SEEK_END)
+        return struct.unpack("<I", data.read(4))[0]
+
+
 class PackedReader(DataSourceReader):
+    """Plans partitions of bounded size; gzip files can't be cut. A user's files follow one another by their names."""
+
     def __init__(self, folder: str):
         self.folder = folder
 
     def partitions(self):
-        return [File(p) for p in sorted(glob.glob(f"{self.folder}/*/*.fws*"))]
-
-    def read(self, partition: File) -> Iterator[tuple]:
-        if partition is None or not getattr(partition, "path", None):
-            return
-        found = re.search(r"([0-9]+)\.fws(\.gz)?$", partition.path)
-        if not found:
+        users: dict[str, list[str]] = {}
+        for path in sorted(glob.glob(f"{self.folder}/*/*.fws*"), key=lambda p: (len(p), p)):
+            if found := NAME.search(path):
+                users.setdefault(found[1], []).append(path)
+        out = []
+        for user, paths in users.items():
+            first = 0
+            for path in paths:
+                whole = length_of(path) // 8 * 8
+                step = whole if path.endswith(".gz") else SPLIT
+                out += [Piece(path, user, first + at // 8, at, min(step, whole - at)) for at in range(0, whole, step or 1)]
+                first += whole // 8
+        return out
+
+    def read(self, partition: Piece) -> Iterator[tuple]:
+        if not getattr(partition, "path", None):
             return
-        with (gzip.open if found[2] else open)(partition.path, "rb") as data:
-            raw = data.read()
-        whole = len(raw) // 8 * 8
-        for pos, (value,) in enumerate(struct.iter_unpack("!Q", raw[:whole])):
-            yield Decimal(found[1]), Decimal(value), pos
+        user, pos, left = Decimal(partition.user), partition.first, partition.size
+        with opened(partition.path) as data:
+            data.seek(partition.start)
+            while left > 0:
+                raw = data.read(min(CHUNK, left))
+                if not raw:
+                    return
+                left -= len(raw)
+                for (value,) in struct.iter_unpack("!Q", raw[: len(raw) // 8 * 8]):
+                    yield user, Decimal(value), pos
+                    pos += 1
 
 
 class PackedWriter(DataSourceWriter):
-    """Writes rows of a user, which must be together and in order, to temporary files that the commit renames."""
+    """Writes rows of a user, which must be together and in order, to temporary files that the commit renames, one by one.
+
+    An append is a further file of the user, numbered from the greatest that is there, so nothing that is stored is written
+    again; a crash inside the commit leaves some users with their rows and others without, never half a list.
+    """
 
     def __init__(self, folder: str, append: bool):
         self.folder, self.append = folder, append
@@ -70,10 +114,10 @@ class PackedWriter(DataSourceWriter):
                 user = row["user_id"]
                 shard = os.path.join(self.folder, str(int(user))[:2])
                 os.makedirs(shard, exist_ok=True)
-                final = os.path.join(shard, f"{int(user)}.fws")
-                temporary = f"{final}.{uuid.uuid4().hex}.tmp"
+                base = os.path.join(shard, str(int(user)))
+                temporary = f"{base}.{uuid.uuid4().hex}.tmp"
                 out = open(temporary, "wb")  # noqa: SIM115
-                paths.append((temporary, final))
+                paths.append((temporary, base))
             out.write(struct.pack("!Q", int(row["follower_id"])))
         if out:
             out.close()
@@ -81,13 +125,16 @@ class PackedWriter(DataSourceWriter):
 
     def commit(self, messages) -> None:
         for message in messages:
-            for temporary, final in message.paths if message else []:
-                if self.append and os.path.exists(final):
-                    with open(final, "ab") as old, open(temporary, "rb") as new:
-                        old.write(new.read())
-                    os.remove(temporary)
+            for temporary, base in message.paths if message else []:
+                stored = sorted(glob.glob(f"{base}.fws*") + glob.glob(f"{base}.[0-9]*.fws*"))
+                if self.append and stored:
+                    numbers = [int(x) for x in re.findall(r"\.([0-9]+)\.fws", " ".join(stored))]
+                    os.replace(temporary, f"{base}.{max(numbers, default=0) + 1:06d}.fws")
                 else:
-                    os.replace(temporary, final)
+                    os.replace(temporary, f"{base}.fws")
+                    for path in stored:
+                        if path != f"{base}.fws":
+                            os.remove(path)
 
     def abort(self, messages) -> None:
         for message in messages:
@@ -128,9 +175,11 @@ def write_followers(rows: DataFrame, folder: str, append: bool = True) -> None:
 
 
 def followers_from_text(spark: SparkSession, path: str, user_id: int) -> DataFrame:
-    """Followers of a decimal list, one a line; other lines are skipped, order is kept."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    ids = lines.selectExpr("line", "try_cast(trim(value) as decimal(20,0)) as follower_id").where("follower_id is not null")
-    at = F.row_number().over(Window.orderBy("line")) - 1
-    return ids.select(F.lit(user_id).cast("decimal(20,0)").alias("user_id"), "follower_id", at.cast("bigint").alias("pos"))
-
+    """Followers of decimal lists, one a line, file after file; other lines are skipped, order is kept.
+
+    Files are read in splits, in the order of their names and places, and numbered part by part.
+    """
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    ids = lines.selectExpr("file", "block", "line", "try_cast(trim(value) as decimal(20,0)) as follower_id").where("follower_id is not null")
+    rows = numbered(ids, "file", "block", "line", base=-1, name="pos")
+    return rows.select(F.lit(user_id).cast("decimal(20,0)").alias("user_id"), "follower_id", F.col("pos").cast("bigint").alias("pos"))

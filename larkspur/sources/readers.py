@@ -42,9 +42,10 @@ def read_timelines(spark: SparkSession, path: str) -> DataFrame:
     return json_lines(spark, path, TWEET, "twt").withColumn("file_user", file_user_id(F.input_file_name()))
 
 
-def read_wiki_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Encyclopedia pages with their links, templates and categories."""
-    return json_lines(spark, path, WIKI_PAGE)
+def read_wiki_pages(spark: SparkSession, path: str, after: int | None = None) -> DataFrame:
+    """Encyclopedia pages with their links, templates and categories; to go on where a run stopped, those after a page id."""
+    pages = json_lines(spark, path, WIKI_PAGE)
+    return pages if after is None else pages.where(F.col("id") > after)
 
 
 def read_anchors(spark: SparkSession, path: str) -> DataFrame:
@@ -70,10 +71,26 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(parts[0].alias("subject"), parts[1].alias("predicate"), parts[2].alias("object"))
 
 
+def lexicon_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, row) of a tab-separated lexicon without comments and empty lines; row is null where a line doesn't fit the schema."""
+    lines = spark.read.text(path).where("value != '' and not startswith(value, '#')")
+    kinds = [part.split() for part in SENTIMENT_LEXICON.split(", ")]
+    lines = lines.select(F.col("value").alias("line"), F.split("value", "\t").alias("parts"))
+    fields = [F.try_element_at("parts", F.lit(i + 1)).try_cast(kind).alias(name) for i, (name, kind) in enumerate(kinds)]
+    fit = F.size("parts") == len(kinds)
+    for i, (_, kind) in enumerate(kinds):
+        fit = fit & F.try_element_at("parts", F.lit(i + 1)).try_cast(kind).isNotNull()
+    return lines.select("line", F.when(fit, F.struct(*fields)).alias("row"))
+
+
 def read_sentiment_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a tab-separated lexicon; lines that begin with # and malformed ones are left out."""
-    reader = spark.read.schema(SENTIMENT_LEXICON).option("sep", "\t").option("comment", "#").option("mode", "DROPMALFORMED").option("quote", "")
-    return reader.csv(path)
+    return lexicon_lines(spark, path).where("row is not null").select("row.*")
+
+
+def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line) of a sentiment lexicon that read_sentiment_lexicon() leaves out, but for comments and empty lines."""
+    return lexicon_lines(spark, path).where("row is null").select("line")
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -2,18 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.sources.readers import shard_of
 
 
 def write_timelines(tweets: DataFrame, path: str, user: str = "user_id", order: str = "tweet_id") -> None:
-    """JSON lines by shard and user, newest first within a user; the committer makes the job all-or-nothing."""
+    """JSON lines by shard and user, newest first within a user; the committer makes the job all-or-nothing.
+
+    Rows are dealt by ranges of shard, user and id, so a shard or a user of many rows is several tasks' and files'.
+    """
     rows = tweets.withColumn("shard", shard_of(F.col(user)))
-    rows.repartition("shard").sortWithinPartitions("shard", user, F.col(order).desc()).write.mode("overwrite").partitionBy("shard").option(
-        "compression", "gzip"
-    ).json(path)
+    keys = ("shard", user, F.col(order).desc())
+    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("shard").option("compression", "gzip").json(path)
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the committed versions below a folder, in order: those with Spark's mark of success."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return []
+    named = [x.getPath() for x in files.listStatus(at) if x.getPath().getName().startswith("version=")]
+    mark = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(x.getName()[8:]) for x in named if files.exists(mark(x, "_SUCCESS")))
+
+
+def committed_timelines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Stored tweets of the last committed version; none before the first."""
+    done = versions(spark, path)
+    if not done:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(f"{schema}, shard string").json(f"{path}/version={done[-1]}").drop("shard")
+
+
+def commit_timelines(fetched: DataFrame, path: str, user: str = "user_id", order: str = "tweet_id") -> bool:
+    """Merges fetched tweets with the stored ones into a new version: all or nothing, the fetched row of an id wins.
+
+    A version counts from the moment that its job is committed, so a crash leaves the last one; an empty fetch makes none.
+    Returns whether a version was made.
+    """
+    spark = fetched.sparkSession
+    if fetched.isEmpty():
+        return False
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fetched.schema.fields)
+    stored = committed_timelines(spark, path, schema)
+    both = stored.withColumn("_new", F.lit(0)).unionByName(fetched.withColumn("_new", F.lit(1)))
+    rest = [c for c in both.columns if c not in (user, order)]
+    merged = both.groupBy(user, order).agg(F.max_by(F.struct(*rest), "_new").alias("row")).select(user, order, "row.*").drop("_new")
+    write_timelines(merged.select(*fetched.columns), f"{path}/version={(versions(spark, path) or [0])[-1] + 1}", user, order)
+    return True
 
 
 def write_json_lines(rows: DataFrame, path: str) -> None:
@@ -89,6 +128,32 @@ def report_rows(annotated: DataFrame) -> DataFrame:
     return annotated.select(F.concat(F.lit("<tr><td>"), escape_xml(F.col("tweet")), F.lit("</td><td>"), spans, F.lit("</td></tr>")).alias("value"))
 
 
+def nested_spans(text: Column, annotations: Column) -> Column:
+    """The text as HTML with a link around each annotation's span (start, end, spot, title, rho); inner ones lie inside outer ones.
+
+    Tags are sorted by place: at one place ends come before starts, inner ends before outer ones, and outer starts before
+    inner ones; text between them is escaped.
+    """
+
+    def opening(a: Column) -> Column:
+        named = [F.lit("<a href='#' data-spot='"), escape_xml(a["spot"]), F.lit("' data-title='"), escape_xml(a["title"])]
+        tag = F.concat(*named, F.lit("' data-rho='"), a["rho"].cast("string"), F.lit("'>"))
+        return F.struct(a["start"].alias("at"), F.lit(1).alias("kind"), (-a["end"]).alias("rank"), tag.alias("tag"))
+
+    def ending(a: Column) -> Column:
+        return F.struct(a["end"].alias("at"), F.lit(0).alias("kind"), (-a["start"]).alias("rank"), F.lit("</a>").alias("tag"))
+
+    tags = F.array_sort(F.concat(F.transform(annotations, opening), F.transform(annotations, ending)))
+
+    def add(state: Column, tag: Column) -> Column:
+        between = escape_xml(F.substring(text, state["at"] + 1, tag["at"] - state["at"]))
+        return F.struct(F.concat(state["out"], between, tag["tag"]).alias("out"), tag["at"].alias("at"))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    rest = lambda s: F.concat(s["out"], escape_xml(F.substring(text, s["at"] + 1, F.length(text))))
+    return F.aggregate(tags, start, add, rest)
+
+
 def snapshot(rows: DataFrame, sampled: DataFrame, key: str, path: str) -> None:
     """Writes the rows of sampled keys."""
     rows.join(sampled.select(key).distinct(), key, "left_semi").write.mode("overwrite").parquet(path)

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from larkspur.functions.text import fits
 from larkspur.operators.jobs import fold_states
+from larkspur.operators.tables import latest
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,7 +31,7 @@ def folder_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def channel(events: DataFrame, name: str, pattern: str) -> DataFrame:
     """Events of the channels that a ``*`` pattern names."""
-    return events.where(F.col(name).like(pattern.replace("%", r"\%").replace("_", r"\_").replace("*", "%")))
+    return events.where(fits(F.col(name), pattern))
 
 
 def window_counts(events: DataFrame, ts: str, width: str, key: str, lateness: str = "1 day") -> DataFrame:
@@ -55,6 +57,89 @@ def gauges(events: DataFrame, label: str, value: Column, ts: str) -> DataFrame:
     return events.select(F.col(label).alias("label"), value.cast("bigint").alias("value"), F.col(ts).alias("ts"))
 
 
+def roll_ups(events: DataFrame, ts: str, value: Column, seconds: tuple[int, ...], lateness: str = "1 day") -> DataFrame:
+    """(width, bucket, total): sums in tumbling windows of several widths, behind a watermark.
+
+    A row counts once in each width; partial sums are taken before the shuffle.
+    """
+    widths = F.explode(F.array(*[F.lit(s) for s in seconds])).alias("width")
+    rows = events.withWatermark(ts, lateness).select(F.col(ts).alias("ts"), value.alias("value"), widths)
+    at = F.unix_timestamp("ts")
+    bucket = (at - F.pmod(at, F.col("width"))).cast("timestamp")
+    return rows.groupBy("width", bucket.alias("start")).agg(F.sum("value").alias("total")).select(
+        "width", F.unix_timestamp("start").alias("bucket"), "total"
+    )
+
+
+JOB_ROW = "job long, state string, errors long, events long"
+JOB_STATE = "state string, errors long, events long"
+
+
+def job_machine(events: DataFrame, patience: str | None = None) -> DataFrame:
+    """JOB_ROW updates of jobs from (job, kind, ts, seq) events: a state machine with one small state a job.
+
+    assign makes a job ongoing, complete completed, requeue queued again, error failed. With a patience (a duration; events then need
+    a watermark on ts), a job that is ongoing when the watermark has passed its last event by that much has lost its worker
+    and is queued again. Events of a job are taken in the order of (ts, seq) within a batch.
+    """
+    import pandas as pd
+
+    wait = None if patience is None else int(pd.Timedelta(patience).total_seconds() * 1000)
+
+    def step(key, rows, state):
+        now, errors, seen = state.get if state.exists else ("queued", 0, 0)
+        if state.hasTimedOut:
+            now = "queued" if now == "ongoing" else now
+        else:
+            last = None
+            for part in rows:
+                errors += int((part["kind"] == "error").sum())
+                seen += len(part)
+                top = part.sort_values(["ts", "seq"]).iloc[-1]
+                if last is None or (top["ts"], top["seq"]) >= last[:2]:
+                    last = top["ts"], top["seq"], top["kind"]
+            now = NEXT_STATE.get(last[2], "queued")
+            if wait is not None:
+                if now == "ongoing":
+                    state.setTimeoutTimestamp(max(int(last[0].timestamp() * 1000), state.getCurrentWatermarkMs()) + wait)
+        state.update((now, errors, seen))
+        yield pd.DataFrame({"job": [key[0]], "state": [now], "errors": [errors], "events": [seen]})
+
+    rows = events.select(F.col("job").cast("bigint").alias("job"), "kind", "ts", "seq")
+    timeout = "NoTimeout" if wait is None else "EventTimeTimeout"
+    return rows.groupBy("job").applyInPandasWithState(step, JOB_ROW, JOB_STATE, "update", timeout)
+
+
+#: The state after each kind of event.
+NEXT_STATE = {"assign": "ongoing", "complete": "completed", "requeue": "queued", "error": "error"}
+
+
+def run_updates(stream: DataFrame, key: str, folder: str) -> DataFrame:
+    """Runs an update stream over what is there and returns the last update of each key, from Parquet files below a shared folder.
+
+    A batch writes its updates under its number, so that it can run again; a later run over the same folder goes on
+    where the last one stopped.
+    """
+    spark, path = stream.sparkSession, f"{folder}/updates"
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(
+        lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    )
+    query.trigger(availableNow=True).start().awaitTermination()
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{path}/batch=-1")  # what a stream without rows leaves
+    return latest(spark.read.schema(f"{fields}, batch long").parquet(path), key, F.col("batch")).drop("batch")
+
+
+def snapshots(stream: DataFrame, seconds: int, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes the whole result of an aggregating stream every few seconds, each time with the time of the snapshot."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("taken", F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/snapshot={number}")
+
+    writer = stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(keep)
+    return writer.trigger(processingTime=f"{seconds} seconds").start()
+
+
 def run_available(stream: DataFrame, mode: str, checkpoint: str, name: str | None = None) -> DataFrame:
     """Runs a stream over what is there and returns its result, which stays in the driver's memory: for results that don't grow with the input."""
     name = name or f"stream_{uuid.uuid4().hex}"
@@ -66,12 +151,13 @@ def run_available(stream: DataFrame, mode: str, checkpoint: str, name: str | Non
 def run_to_files(stream: DataFrame, mode: str, folder: str) -> DataFrame:
     """Runs a stream over what is there and returns its result from Parquet files below a shared folder: for results of any size.
 
-    Appended rows go to the Parquet sink; in complete mode each batch replaces the table, so that a batch can run again.
+    Appended rows go to the Parquet sink; in complete mode each batch replaces the table, so that a batch can run again. A
+    later run over the same folder goes on where the last one stopped.
     """
     if mode not in ("append", "complete"):
         raise ValueError(f"no files in mode {mode}")
     spark, path = stream.sparkSession, f"{folder}/rows"
-    spark.createDataFrame([], stream.schema).write.parquet(path)  # what a stream without rows leaves
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(path)  # what a stream without rows leaves
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", path)
     else:

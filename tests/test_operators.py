@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import text
-from larkspur.operators import graph, jobs, kb, linker, tables
+from larkspur.operators import graph, jobs, kb, linker, sentiment, tables
 from larkspur.sources import packed, readers, sinks
 
 
@@ -251,3 +251,160 @@ def test_short_dictionary_and_resolution(spark):
     assert rows(kb.dictionary_titles(titles)) == [("abc",)]
     pages, aliases = spark.createDataFrame([(1,), (2,)], "page int"), spark.createDataFrame([(1, 9)], "page int, target int")
     assert rows(kb.resolved(pages, aliases), "page") == [(1, 9), (2, 2)]
+
+
+def test_commits_of_timelines_merge_all_or_nothing(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "user_id int, tweet_id int, text string"
+    make = lambda *r: spark.createDataFrame(list(r), schema)
+    assert not sinks.commit_timelines(make(), path) and sinks.committed_timelines(spark, path, schema).count() == 0
+    assert sinks.commit_timelines(make((123, 1, "a"), (123, 2, "b"), (45, 9, "x")), path)
+    assert not sinks.commit_timelines(make(), path)  # an empty fetch leaves the stored rows untouched
+    (tmp_path / "t" / "version=2" / "shard=12").mkdir(parents=True)  # a job that crashed before its commit
+    (tmp_path / "t" / "version=2" / "shard=12" / "part.json").write_text('{"user_id": 123, "tweet_id": 7, "text": "lost"}')
+    assert rows(sinks.committed_timelines(spark, path, schema), "user_id", "tweet_id") == [(45, 9, "x"), (123, 1, "a"), (123, 2, "b")]
+    assert sinks.commit_timelines(make((123, 2, "B"), (123, 3, "c")), path)
+    assert rows(sinks.committed_timelines(spark, path, schema), "user_id", "tweet_id") == [(45, 9, "x"), (123, 1, "a"), (123, 2, "B"), (123, 3, "c")]
+
+
+def test_follower_files_in_splits_and_appends(spark, tmp_path, monkeypatch):
+    import gzip
+
+    (tmp_path / "12").mkdir()
+    (tmp_path / "12" / "123.fws.gz").write_bytes(gzip.compress(struct.pack("!3Q", 1, 2, 3)))
+    (tmp_path / "12" / "124.fws").write_bytes(struct.pack("!5Q", *range(5)) + b"cut")
+    monkeypatch.setattr(packed, "SPLIT", 16)
+    assert len(packed.PackedReader(str(tmp_path)).partitions()) == 4
+    for value in (7, 8):
+        packed.write_followers(spark.createDataFrame([(123, value, 0)], "user_id long, follower_id long, pos long"), str(tmp_path))
+    found = rows(packed.read_followers(spark, str(tmp_path)), "user_id", "pos")
+    assert [(int(a), int(b), c) for a, b, c in found] == [(123, v, i) for i, v in enumerate((1, 2, 3, 7, 8))] + [(124, i, i) for i in range(5)]
+    packed.write_followers(spark.createDataFrame([(123, 9, 0)], "user_id long, follower_id long, pos long"), str(tmp_path), append=False)
+    assert [int(b) for a, b, _ in rows(packed.read_followers(spark, str(tmp_path)), "user_id", "pos") if int(a) == 123] == [9]
+
+
+def test_nested_spans(spark):
+    df = spark.createDataFrame(
+        [("a <b> cd", [(0, 8, "s", "outer", 0.5), (2, 5, "t", "in&", 0.25), (6, 8, "u", "end", 1.0)]), ("plain", [])],
+        "t string, a array<struct<start:int,end:int,spot:string,title:string,rho:double>>",
+    )
+    link = lambda spot, title, rho, inner: f"<a href='#' data-spot='{spot}' data-title='{title}' data-rho='{rho}'>{inner}</a>"
+    inner = f"a {link('t', 'in&amp;', 0.25, '&lt;b&gt;')} {link('u', 'end', 1.0, 'cd')}"
+    assert [r[0] for r in df.select(sinks.nested_spans(F.col("t"), F.col("a"))).collect()] == [link("s", "outer", 0.5, inner), "plain"]
+
+
+def test_packed_words_and_singles(spark):
+    df = spark.createDataFrame([(0,), (1,), (4294967295,), (4294967296,), (-1,), (None,)], "v long")
+    packed_ = [r[0] for r in df.select(text.pack_u32(F.col("v"))).collect()]
+    assert [None if x is None else bytes(x) for x in packed_] == [struct.pack("!I", 0), struct.pack("!I", 1), struct.pack("!I", 4294967295), None, None, None]
+    values = [0.0, 1.0, -2.5, 0.1, 3.4e38, 1.2e-38, -7.75e10, 1 / 3, 2.0**40]
+    singles = spark.createDataFrame([(v,) for v in values], "v double").select(text.pack_f32(F.col("v")).alias("p"))
+    assert [bytes(r[0]) for r in singles.collect()] == [struct.pack("!f", v) for v in values]
+    back = [r[0] for r in singles.select(text.unpack_f32(F.col("p"))).collect()]
+    assert back == [struct.unpack("!f", struct.pack("!f", v))[0] for v in values]
+
+
+def test_sentiment_lookups_and_other_tagger(spark):
+    lexicon = spark.createDataFrame([("n", 1, 0.5, 0.25), ("v", 2, 0.0, 1.0)], "pos string, offset int, pos_score double, neg_score double")
+    synsets = spark.createDataFrame([("a.n.01", "n", 1, ["a", "b"]), ("b.v.01", "v", 2, ["b"]), ("c.n.01", "n", 9, ["c"])], "name string, pos string, offset int, words array<string>")
+    wanted = spark.createDataFrame([("n", 1), ("n", 7)], "pos string, offset int")
+    assert rows(sentiment.scores_at(wanted, lexicon)) == [("n", 1, 0.5, 0.25, 0.25)]
+    names = spark.createDataFrame([("b",), ("c",), ("zz",)], "word string")
+    assert [r[3] for r in rows(sentiment.scores_named(names, synsets, lexicon).select("pos", "offset", "word", "name"), "name")] == ["a.n.01", "b.v.01"]
+    assert sentiment.scores_named(names, synsets, lexicon, "v").count() == 1
+    assert sentiment.all_scores(synsets, lexicon).count() == 2
+    tags = spark.createDataFrame([("VER",), ("s",), ("Bx",), ("X",), (None,)], "t string")
+    assert [r[0] for r in tags.select(text.tag_class(F.col("t"))).collect()] == ["v", "n", "r", None, None]
+    words = spark.createDataFrame([(1, 0, "b"), (1, 1, "q")], "doc int, pos int, word string")
+    morphology = spark.createDataFrame([("b", "b", "S"), ("q", "q", "X")], "word string, lemma string, features string")
+    index = spark.createDataFrame([("b", "n", "1"), ("q", "n", "1")], "lemma string, class string, synsets string")
+    terms = spark.createDataFrame([("1", "b")], "synset string, words string")
+    scores = spark.createDataFrame([("b", "n", 0.5, 0.0)], "term string, class string, pos_score double, neg_score double")
+    found = sentiment.lookup_chain(words, morphology, index, terms, scores, text.tag_class, drop_unknown=True)
+    assert [r.word for r in found.collect()] == ["b"]
+
+
+def test_four_part_filter(spark):
+    df = spark.createDataFrame(
+        [("t", "it", 3, 4, ["a", "b"]), (None, "it", 3, 4, ["a", "b"]), ("t", "en", 3, 4, ["a", "b"]), ("t", "it", 2, 4, ["a", "b"]), ("t", "it", 3, 4, ["a"])],
+        "t string, l string, h int, n int, g array<string>",
+    )
+    assert df.where(text.interesting(F.col("t"), F.col("l"), "it", F.col("h"), F.col("n"), F.col("g"))).count() == 1
+
+
+def test_series_patterns_are_literal_but_for_stars(spark):
+    df = spark.createDataFrame([("a_b.x",), ("acb.x",), ("a%b.x",), ("a_b",)], "l string")
+    assert [r[0] for r in df.where(text.fits(F.col("l"), "a_b*")).collect()] == ["a_b.x", "a_b"]
+    assert [r[0] for r in df.where(text.fits(F.col("l"), "a%b.*")).collect()] == ["a%b.x"]
+
+
+def test_lexicon_reports_malformed_lines_and_pages_restart(spark, tmp_path):
+    (tmp_path / "lex").write_text("# c\nn\t1\t0.5\t0.25\ta#1\tgloss\nbroken line\n")
+    assert readers.read_sentiment_lexicon(spark, str(tmp_path / "lex")).count() == 1
+    assert [r[0] for r in readers.malformed_lines(spark, str(tmp_path / "lex")).collect()] == ["broken line"]
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "pages" / "p.json").write_text('{"id": 1, "title": "A b", "length": 3}\n{"id": 2, "title": "C", "length": 4}\n')
+    pages = readers.read_wiki_pages(spark, str(tmp_path / "pages"), after=1)
+    assert [r.id for r in pages.collect()] == [2]
+    assert rows(readers.page_mapping(pages)) == [("c", 2, "C", 4)]
+
+
+def test_anchor_and_template_tables(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"anchor": "x", "pages": [{"title": "P", "cnt": 2}, {"title": "Q", "cnt": 1}]}\n')
+    assert rows(readers.read_anchors(spark, str(tmp_path)), "title") == [("x", "P", 2), ("x", "Q", 1)]
+    counts = spark.createDataFrame([("x", 1, 2), ("x", 1, 3), ("y", 1, 1)], "anchor string, page_id int, cnt int")
+    assert rows(kb.summed_anchors(counts), "anchor") == [("x", 1, 5), ("y", 1, 1)]
+    runs = spark.createDataFrame([(1, "a", 2), (2, "a b", 1)], "n int, ngram string, cnt int")
+    assert rows(kb.merged_counts(runs, runs), "n") == [(1, "a", 4), (2, "a b", 2)]
+    templates = spark.createDataFrame([(2, "Portale:Roma/icona"), (1, "portale:Roma"), (3, "Other")], "page_id int, template string")
+    assert [(n, i) for n, i in rows(kb.portal_pages(templates), "name")] == [("Roma", [1, 2])]
+    pages = spark.createDataFrame([(1, [(5, "Portale:A"), (3, "x"), (2, "portale:B")])], "id int, templates array<struct<id:int,name:string>>")
+    assert rows(kb.split_templates(pages)) == [(1, [2, 5], [3])]
+    titles = spark.createDataFrame([("roma", 1)], "title_norm string, page_id int")
+    named = spark.createDataFrame([("<http://x/resource/Urbe_(disambigua)>", "<http://x/resource/Roma>")], "uri string, target_uri string")
+    assert rows(kb.disambiguation_anchors(titles, named)) == [("urbe", 1, 1)]
+
+
+def test_windows_of_following_words(spark):
+    df = spark.createDataFrame([(1, "a b c".split()), (2, []), (3, None), (4, ["z"])], "k int, words array<string>")
+    found = rows(kb.following_words(df, "words", 2, "k"), "k", "start")
+    assert found == [(1, 0, "a", "b"), (1, 1, "b", "c"), (1, 2, "c", None), (4, 0, "z", None)]
+
+
+def test_ngram_counts_equal_brute_force(spark):
+    from collections import Counter
+
+    texts = ["a b a b c", "b a", "", None, "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = Counter()
+    for t in texts:
+        w = (t or "").split()
+        want.update((n, " ".join(w[i : i + n])) for n in range(1, 6) for i in range(len(w) - n + 1))
+    assert {(r.n, r.ngram): r.cnt for r in kb.ngram_counts(df, text.tokens(F.col("text"))).collect()} == dict(want)
+
+
+def test_range_bounds_of_few_and_no_rows(spark):
+    df = spark.createDataFrame([(float(v),) for v in (5, 1, 3)] + [(None,)], "v double")
+    assert rows(tables.range_bounds(df, "v", 4), "at") == [(0, 2.0), (1, 3.0), (2, 4.0)]
+    assert tables.range_bounds(df.where("v is null"), "v", 4).count() == 0
+
+
+def test_keys_found_or_missing(spark):
+    df = spark.createDataFrame([(1, "a")], "k int, t string")
+    wanted = spark.createDataFrame([(1,), (2,), (2,)], "k int")
+    assert rows(tables.found_or_missing(df, "k", wanted), "k") == [(1, "a", True), (2, None, False)]
+
+
+def test_utilisation(spark):
+    df = spark.createDataFrame([("working",), ("idle",), ("idle",)], "s string")
+    assert tuple(jobs.utilisation(df, "s").first()) == (3, 1, 33)
+    assert tuple(jobs.utilisation(df.where("false"), "s").first()) == (0, 0, None)
+
+
+def test_snapshot_and_lines(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, t string")
+    sinks.snapshot(df, df.where("k = 2"), "k", str(tmp_path / "s"))
+    sinks.write_lines(df.select("t"), str(tmp_path / "l"))
+    assert rows(spark.read.parquet(str(tmp_path / "s"))) == [(2, "b")]
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "l")).collect()) == ["a", "b"]
+    (tmp_path / "x").write_text("1\ta\n2\t\n")
+    assert rows(readers.read_tsv(spark, str(tmp_path / "x"), "k int, t string"), "k") == [(1, "a"), (2, None)]

@@ -35,3 +35,78 @@ def test_update_mode_has_no_files(spark, tmp_path):
     rows = spark.readStream.schema("k long").json(str(tmp_path))
     with pytest.raises(ValueError):
         streams.run_to_files(rows, "update", str(tmp_path / "out"))
+
+
+def job_files(spark, tmp_path, *batches):
+    source = tmp_path / "jobs"
+    source.mkdir()
+    stream = spark.readStream.schema("job long, kind string, ts timestamp, seq long").option("maxFilesPerTrigger", 1).json(str(source))
+
+    def put(number, rows):
+        lines = [f'{{"job": {job}, "kind": "{kind}", "ts": "2024-01-01T00:{minute:02d}:00Z", "seq": {i}}}' for i, (job, kind, minute) in enumerate(rows)]
+        (source / f"{number}.json").write_text("\n".join(lines))
+
+    for i, rows in enumerate(batches):
+        put(i, rows)
+    return stream, put
+
+
+def test_job_machine_goes_on_after_a_restart(spark, tmp_path):
+    stream, put = job_files(spark, tmp_path, [(1, "assign", 0), (1, "error", 2), (2, "assign", 1)], [(1, "requeue", 3), (2, "complete", 4)])
+    machine = streams.job_machine(stream)
+    folder = str(tmp_path / "out")
+    found = sorted(map(tuple, streams.run_updates(machine, "job", folder).collect()))
+    assert found == [(1, "queued", 1, 3), (2, "completed", 0, 2)]
+    put(2, [(1, "assign", 6), (1, "error", 7), (3, "assign", 8)])
+    again = sorted(map(tuple, streams.run_updates(streams.job_machine(stream), "job", folder).collect()))
+    assert again == [(1, "error", 2, 5), (2, "completed", 0, 2), (3, "ongoing", 0, 1)]
+
+
+def test_lost_workers_jobs_are_queued_again(spark, tmp_path):
+    stream, _ = job_files(spark, tmp_path, [(1, "assign", 0), (2, "assign", 0), (2, "complete", 1)], [(3, "assign", 40)], [(3, "complete", 41)])
+    machine = streams.job_machine(stream.withWatermark("ts", "1 minute"), "10 minutes")
+    found = sorted(map(tuple, streams.run_updates(machine, "job", str(tmp_path / "out")).collect()))
+    assert found == [(1, "queued", 0, 1), (2, "completed", 0, 2), (3, "completed", 0, 2)]
+
+
+def test_appended_files_after_a_restart(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "0.json").write_text('{"k": 1}\n')
+    rows = spark.readStream.schema("k long").json(str(source))
+    assert [r.k for r in streams.run_to_files(rows, "append", str(tmp_path / "out")).collect()] == [1]
+    (source / "1.json").write_text('{"k": 2}\n')
+    assert sorted(r.k for r in streams.run_to_files(rows, "append", str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_snapshots_by_processing_time(spark, tmp_path):
+    import time
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 5).load()
+    query = streams.snapshots(ticks.groupBy().agg(F.count("*").alias("n")), 1, str(tmp_path / "s"), str(tmp_path / "c"))
+    try:
+        end = time.time() + 60
+        while time.time() < end and (query.lastProgress is None or query.lastProgress["batchId"] < 2):
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    taken = spark.read.parquet(str(tmp_path / "s")).orderBy("snapshot").collect()
+    assert len(taken) >= 2 and [r.n for r in taken] == sorted(r.n for r in taken)
+    assert [r.taken for r in taken] == sorted(r.taken for r in taken)
+
+
+def test_channels_gauges_and_upserts(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "0.json").write_text('{"name": "stats.a_b", "value": 3, "ts": "2024-01-01T00:00:00Z"}\n{"name": "other", "value": 4, "ts": "2024-01-01T00:00:01Z"}\n')
+    events = streams.folder_stream(spark, str(source), "name string, value int, ts timestamp")
+    rows = streams.gauges(streams.channel(events, "name", "stats.a_*"), "name", F.col("value") * 2, "ts")
+    query = streams.append_files(rows, str(tmp_path / "out"), str(tmp_path / "c"))
+    query.processAllAvailable()
+    query.stop()
+    assert [(r.label, r.value) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("stats.a_b", 6)]
+    seen = []
+    query = streams.upsert_batches(events, str(tmp_path / "c2"), lambda batch, number: seen.append((number, batch.count())))
+    query.processAllAvailable()
+    query.stop()
+    assert seen == [(0, 2)]
