@@ -1,4 +1,9 @@
-"""From raw documents to token ids: language ID, quality, near duplicates, mixing, byte-level BPE."""
+"""From raw documents to token ids: language ID, quality, near duplicates, mixing, byte-level BPE.
+
+Rows of any kind go through: a null or empty text has no letter and goes at language ID; null ids, sources and languages
+are values like others; of repeated rows the near-duplicate stage keeps one; an empty table gives an empty result at
+every stage; further columns of documents are kept up to the mix, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm import langid, quality
 from larkspur.llm.bpe import bpe_digests
-from larkspur.llm.common import materialize
+from larkspur.llm.common import materialize, release
 from larkspur.llm.mixing import mix
 from larkspur.llm.near_duplicates import drop_near_duplicates
 from larkspur.llm.queries import vocabulary
@@ -58,8 +63,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages one after another over documents, each written as Parquet and read again."""
+    """All stages one after another over documents, each written as Parquet and read again; what no later one reads is removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
