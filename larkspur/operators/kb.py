@@ -70,21 +70,23 @@ def following_words(docs: DataFrame, words: str, most: int, *keep: str) -> DataF
     return rows.select(*keep, "start", *[F.col(f"w.{name}").alias(name) for name in names])
 
 
-def window_structs(most: int, **more: Column) -> Column:
-    """Array of (n, gram, ...) of the windows of 1 to most words of following_words() rows that are whole."""
-    made = []
-    for n in range(1, most + 1):
-        gram = F.concat_ws(" ", *[F.col(f"w{i}") for i in range(1, n + 1)])
-        fields = [F.lit(n).alias("n"), gram.alias("gram"), *[c.alias(k) for k, c in more.items()]]
-        made.append(F.when(F.col(f"w{n}").isNotNull(), F.struct(*fields)))
-    return F.array(*made)
+def window_text(n: int) -> Column:
+    """The first n words of a row of following_words()."""
+    return F.concat_ws(" ", *[F.col(f"w{i}") for i in range(1, n + 1)])
+
+
+def window_structs(most: int) -> Column:
+    """Array of (n, gram) of the windows of 1 to most words of following_words() rows; null where a window isn't whole."""
+    whole = lambda n: F.struct(F.lit(n).alias("n"), window_text(n).alias("gram"))
+    return F.array(*[F.when(F.col(f"w{n}").isNotNull(), whole(n)) for n in range(1, most + 1)])
 
 
 def ngram_counts(docs: DataFrame, words: Column, most: int = 5) -> DataFrame:
     """(n, ngram, cnt) of all word n-grams up to a length; partial counts before the shuffle."""
     rows = following_words(docs.select(words.alias("words")), "words", most)
-    grams = rows.select(F.explode(window_structs(most)).alias("g")).where("g is not null")
-    return grams.groupBy("g.n", F.col("g.gram").alias("ngram")).agg(F.count("*").alias("cnt"))
+    pairs = [x for n in range(1, most + 1) for x in (F.lit(n), F.when(F.col(f"w{n}").isNotNull(), window_text(n)))]
+    grams = rows.select(F.stack(F.lit(most), *pairs).alias("n", "ngram")).where("ngram is not null")
+    return grams.groupBy("n", "ngram").agg(F.count("*").alias("cnt"))
 
 
 def merged_counts(*runs: DataFrame) -> DataFrame:
