@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
+import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text that a vectorised step works on at a time.
-SLICE_BYTES = 2 << 20
-#: Rows of a table that may be broadcast; beyond it joins shuffle.
-BROADCAST_ROWS = 1_000_000
+from larkspur.storage import materialize, release
+
+__all__ = ["materialize", "release"]  # of the library, for this subpackage's operators
+
+#: Bytes of text that a vectorised step works on at a time; its arrays take some dozen times as much.
+SLICE_BYTES = 512 << 10
+#: Bytes of a table that may be broadcast, as rows times the bytes of a row; beyond it joins shuffle.
+BROADCAST_BYTES = 8 << 20
 
 #: Lower-cases A-Z and turns every ASCII byte outside 0-9, A-Z, a-z into a blank.
 WORD_BYTES = bytes(
@@ -28,38 +32,31 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only if the session names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_larkspur"
-    return named.rstrip("/")
+def row_bytes(df: DataFrame) -> int:
+    """About how many bytes a row takes in a broadcast table: fixed types by their sizes, short strings and keys as 64."""
+    sizes = {"int": 8, "bigint": 8, "double": 8, "boolean": 8, "smallint": 8}
+    return 48 + sum(sizes.get(kind, 64) for _, kind in df.dtypes)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet under the shared folder and reads it back: cuts lineage and survives lost executors.
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df with a broadcast hint if its counted rows take few bytes; else as it is, for a shuffled join.
 
-    The files go when the driver's process ends.
+    For tables of numbers, keys and short strings only.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/larkspur-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return F.broadcast(df) if rows * row_bytes(df) <= BROADCAST_BYTES else df
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of materialize(), if the session still runs."""
-    try:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session may be over: then its files are the cluster's to clean
-        pass
+def give_back() -> None:
+    """Returns what a task's arrays have left in the allocators to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if its counted rows are few; else as it is, for a shuffled join."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def by_place(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs' columns of work(docs), for which they are named by their places (text apart), so that no name can clash."""
+    plain = [name if name == "text" else f"at_{i}" for i, name in enumerate(docs.columns)]
+    return work(docs.toDF(*plain)).select(*plain).toDF(*docs.columns)
 
 
 def documents(df: DataFrame) -> DataFrame:
@@ -100,13 +97,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def map_arrow(df: DataFrame, one: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text") -> DataFrame:
+def map_arrow(
+    df: DataFrame, one: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text", most: int = SLICE_BYTES
+) -> DataFrame:
     """mapInArrow over runs of rows of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, most):
                 yield one(part)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import materialize
+from larkspur.llm.common import materialize, release
 
 #: Rounds after which an unfinished run is an error; each halves the distance to the roots at least.
 MOST_ROUNDS = 40
@@ -45,8 +45,9 @@ def components(edges: DataFrame) -> DataFrame:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == seal or not state[0]:
             break
-        seal = tuple(state)
+        seal, before = tuple(state), now
         now = materialize(star(star(now, True), False), "edges")
+        release(before)
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
