@@ -12,23 +12,24 @@ tasks are one count for each part and segment.
 
 from __future__ import annotations
 
-import re
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import in_order, shared_dir, slices
+from larkspur.llm.common import give_back, in_order, slices, utf8
+from larkspur.storage import new_folder
 
 BLOCK = 128
 #: Bytes of text in a segment.
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 1 << 20
 END_ID = 2
 
 # Simple-8b's (values in a word, bits of each) by selector 1 to 14; selector 0 is the escape.
@@ -36,11 +37,31 @@ PACKS = (
     (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60),
 )
 
-#: Chunks that a worker remembers before it starts anew, and the longest of them in characters.
-MEMORY = 600_000
-MEMORY_CHARS = 14
-#: New chunks that go to the tokenizer as one text.
+#: Chunks and ids that a worker remembers before it starts anew, and the bits of the table of short ones.
+MEMORY = 400_000
+POOL = 4_000_000
+SLOT_BITS = 20
+#: Bytes of the longest chunk that the table holds, and of the longest one that is remembered at all.
+SHORT = 16
+LONGEST = 48
+#: Chunks that are looked up together, and new ones that go to the tokenizer as one text.
+CHUNKS = 1 << 18
 TOGETHER = 400
+#: Bytes that are cut together.
+PIECE = 1 << 20
+
+# ASCII's white space, and white space beyond it (with control characters that some patterns count as such).
+SPACE, LETTER, DIGIT, MARK, APOSTROPHE, OTHER = range(6)
+KIND = np.full(256, MARK, np.uint8)
+KIND[[9, 10, 11, 12, 13, 32]], KIND[ord("'")], KIND[128:] = SPACE, APOSTROPHE, OTHER
+KIND[65:91] = KIND[97:123] = LETTER
+KIND[48:58] = DIGIT
+#: Between which kinds the pattern always cuts.
+CUT = np.zeros((6, 6), bool)
+CUT[LETTER, [DIGIT, MARK, APOSTROPHE]] = CUT[DIGIT, [LETTER, MARK, APOSTROPHE]] = CUT[MARK, [LETTER, DIGIT]] = True
+OTHER_SPACE = "[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+KEPT_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 SEGMENTS = (
     "part int, segment int, doc_ids array<bigint>, lengths array<int>, n_ids bigint, words binary, block_words binary"
@@ -156,68 +177,251 @@ def unpack(words: np.ndarray, block_words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def kinds_of(data: np.ndarray) -> np.ndarray:
+    """The KIND of each byte; letters of two bytes in Latin-1 count as LETTER."""
+    kind = KIND[data]
+    first = np.flatnonzero(data[:-1] == 0xC3)
+    first = first[(data[first + 1] != 0x97) & (data[first + 1] != 0xB7)]
+    kind[first] = kind[first + 1] = LETTER
+    return kind
+
+
+def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the chunks of texts (UTF-8 bytes one after another) start.
+
+    The library's pattern cuts a text at these places whatever else the text holds, so chunks are encoded on their own: a
+    run of characters other than white space with the blank before it; the white space before that blank; white space
+    other than a blank that comes right before such a run, by itself; and white space that ends a text. Runs are cut on
+    where letters, digits and marks meet, but not behind an apostrophe, as it may belong to a contraction.
+    """
+    starts = []
+    for low in range(0, len(data), PIECE):
+        # Two bytes before the piece, so that a letter of two bytes is seen whole, and one behind it.
+        skip = min(low, 2)
+        part = data[low - skip : low + PIECE + 2]
+        kind = kinds_of(part)
+        blank = kind == SPACE
+        edges = offsets[np.searchsorted(offsets, low - skip) :]
+        edges = edges[: np.searchsorted(edges, low - skip + len(part))] - (low - skip)
+        edge = np.zeros(len(part), bool)
+        edge[edges] = True
+        after_blank = np.zeros(len(part), bool)
+        after_blank[1:] = blank[:-1]
+        after_blank &= ~edge
+        begins = edge | (blank & ~after_blank)
+        word = after_blank & ~blank
+        begins[:-1] |= word[1:]
+        begins[1:] |= word[1:] & (part[:-1] != 32)
+        begins[1:] |= CUT[kind[:-1], kind[1:]]
+        starts.append(np.flatnonzero(begins[skip : skip + PIECE]) + low)
+    return np.concatenate(starts) if starts else np.zeros(0, np.int64)
+
+
+class ChunkTable:
+    """Which ids chunks have: an open-addressing table over the bytes of short chunks, a dictionary for long ones.
+
+    Equal entries are equal in all bytes: a short chunk is held as two 64-bit words and its size.
+    """
+
+    def __init__(self):
+        self.slots = np.full(1 << SLOT_BITS, -1, np.int32)
+        self.low, self.high = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
+        self.size = np.zeros(1024, np.uint8)
+        self.first, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.n = 0
+        self.long: dict[bytes, int] = {}
+        self.pool = np.zeros(4096, "<u4")
+        self.used = 0
+
+    def full(self) -> bool:
+        return self.n > MEMORY or self.used > POOL
+
+    def append(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Numbers of new entries with these ids."""
+        n, m = self.n + len(counts), self.used + len(ids)
+        while n > len(self.first):
+            for name in ("low", "high", "size", "first", "count"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate((old, np.zeros_like(old))))
+        while m > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        self.pool[self.used : m] = ids
+        self.first[self.n : n] = self.used + np.cumsum(counts) - counts
+        self.count[self.n : n] = counts
+        made = np.arange(self.n, n)
+        self.n, self.used = n, m
+        return made
+
+    def find(self, low: np.ndarray, high: np.ndarray, size: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Entries of short chunks; -1 where there is none."""
+        entry = self.slots[slot]
+        hit = (self.low[entry] == low) & (self.high[entry] == high) & (self.size[entry] == size) & (entry >= 0)
+        out = np.where(hit, entry, -1)
+        todo = np.flatnonzero((entry >= 0) & ~hit)
+        at = slot[todo]
+        while len(todo):
+            at = (at + 1) & (len(self.slots) - 1)
+            entry = self.slots[at]
+            hit = (self.low[entry] == low[todo]) & (self.high[entry] == high[todo]) & (self.size[entry] == size[todo]) & (entry >= 0)
+            out[todo[hit]] = entry[hit]
+            on = (entry >= 0) & ~hit
+            todo, at = todo[on], at[on]
+        return out
+
+    def put(self, made: np.ndarray, low: np.ndarray, high: np.ndarray, size: np.ndarray, slot: np.ndarray) -> None:
+        """Names distinct new entries by short chunks."""
+        self.low[made], self.high[made], self.size[made] = low, high, size
+        at, left = slot, made
+        while len(left):
+            free = np.flatnonzero(self.slots[at] < 0)
+            taken, first = np.unique(at[free], return_index=True)
+            self.slots[taken] = left[free[first]]
+            on = np.ones(len(left), bool)
+            on[free[first]] = False
+            left, at = left[on], (at[on] + 1) & (len(self.slots) - 1)
+
+
 class Coder:
-    """Encodes with the tokenizers library; chunks that it has seen aren't encoded again."""
+    """Encodes with the tokenizers library; chunks that it has seen are looked up, all those of a batch together."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: Strings of added tokens, which the library looks for before it splits: a text that holds one isn't cut at blanks.
+        #: Strings of added tokens, which the library looks for before it splits: a text that holds one isn't cut.
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        #: A blank after white space: there the library looks across blanks, so the text isn't cut at them.
-        self.joined = re.compile(r"\s ").search
-        #: Ids of chunks by their characters after the blank.
-        self.memory: dict[str, bytes] = {}
         #: Bytes of each id: a token's name has one character for each of its bytes.
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         self.width[np.fromiter(vocabulary.values(), np.int64)] = np.fromiter(map(len, vocabulary), np.int64)
-
-    def holds_added(self, text: str) -> bool:
-        return any(x in text for x in self.added)
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def learn(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of a blank and each chunk; chunks without white space go to the library many at a time, told apart by the bytes of their ids."""
-        plain = list(new.intersection(" ".join(new).split()))
-        rest = list(new.difference(plain))
-        out = dict(zip(rest, self.whole([" " + x for x in rest])))
-        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
-        if any(" " in x for x in self.added):  # such a token could arise where two chunks meet
-            groups = [[x] for x in plain]
-        joined = [f" {' '.join(g)}" for g in groups]
-        for group, text, found in zip(groups, joined, self.tokenizer.encode_batch(joined, add_special_tokens=False)):
-            ids = np.array(found.ids, "<u4")
-            raw = text.encode("utf-8", "surrogatepass")
-            # No chunk has a blank of its own: a chunk ends where the next one's blank stands.
-            bounds = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)[1:], len(raw))
-            cut = (4 * np.searchsorted(np.cumsum(self.width[ids]), bounds, side="right")).tolist()
-            raw = ids.tobytes()
-            out.update(zip(group, [raw[i:j] for i, j in zip([0, *cut], cut)]))
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        cut = [None if self.joined(x) or self.holds_added(x) else x.split(" ") for x in texts]
-        # A text's first chunk has no blank before it, so it isn't one of the others.
-        first = [t if x is None else x[0] for t, x in zip(texts, cut)]
-        rest = [[] if x is None else x[1:] for x in cut]
-        sought = set().union(*rest)
-        if len(self.memory) > MEMORY:
-            self.memory = {k: self.memory[k] for k in sought.intersection(self.memory)}
-        new = sought.difference(self.memory)
-        self.memory.update(self.learn(new))
-        found = self.memory.__getitem__
-        out = [head + b"".join(map(found, x)) for head, x in zip(self.whole(first), rest)]
-        for x in new:
-            if len(x) > MEMORY_CHARS:
-                del self.memory[x]
-        return out
+        #: The character that stands for each byte in the names of tokens.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.names = np.zeros(256, "<u4")
+        self.names[shown] = shown
+        self.names[np.setdiff1d(np.arange(256), shown)] = np.arange(256, 256 + 256 - len(shown))
+        self.table = ChunkTable()
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def uncut(self, column: pa.Array) -> np.ndarray:
+        """Which texts the library gets whole: those with added tokens or white space beyond ASCII, across which it looks."""
+        out = pc.match_substring_regex(column, OTHER_SPACE)
+        for x in self.added:
+            out = pc.or_(out, pc.match_substring(column, x))
+        return out.to_numpy(zero_copy_only=False)
+
+    def learn(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks of data one after another, and how many each has.
+
+        Chunks of one kind of characters, which the pattern doesn't cut, go to the library's model. Others go through all
+        of the library, many at a time with a newline between them, at which it always cuts, and are told apart by the
+        bytes of their ids. White space by itself goes alone.
+        """
+        size = stops - starts
+        count = np.zeros(len(starts), np.int64)
+        # The byte behind each chunk is there, and becomes a newline.
+        joined = data[spread(starts, size + 1)]
+        stop = np.cumsum(size + 1) - 1
+        begin = stop - size
+        joined[stop] = 10
+        kind = kinds_of(joined)
+        kind[begin[joined[begin] == 32]] = SPACE
+        last = kind[stop - 1]
+        same = (kind == np.repeat(last, size + 1)).astype(np.int64)
+        same = np.add.reduceat(same, begin) if len(begin) else same
+        blank = (joined[begin] == 32) & (size > 1)
+        single = (last >= LETTER) & (last <= MARK) & (same + blank == size)
+        names = self.names[joined].tobytes().decode("utf-32-le")
+        tokenize = self.tokenizer.model.tokenize
+        plain, found = np.flatnonzero(single), []
+        for i, j in zip(begin[plain].tolist(), stop[plain].tolist()):
+            found.append([x.id for x in tokenize(names[i:j])])
+        count[plain] = np.fromiter(map(len, found), np.int64, len(found))
+        alone = np.flatnonzero(last == SPACE)
+        spaces = self.whole([joined[a:b].tobytes().decode() for a, b in zip(begin[alone].tolist(), stop[alone].tolist())]) if len(alone) else []
+        count[alone] = np.fromiter(map(len, spaces), np.int64, len(spaces))
+        rest = np.flatnonzero(~single & (last != SPACE))
+        groups = [rest[k : k + TOGETHER] for k in range(0, len(rest), TOGETHER)]
+        texts = [joined[spread(begin[g], size[g] + 1)].tobytes().decode() for g in groups]
+        parts = []
+        for g, ids in zip(groups, self.whole(texts) if texts else ()):
+            total, own = np.cumsum(self.width[ids]), np.cumsum(size[g] + 1) - 1
+            a, b = np.searchsorted(total, own - size[g], side="right"), np.searchsorted(total, own, side="right")
+            count[g] = b - a
+            parts.append(ids[spread(a, b - a)])
+        out = np.empty(int(count.sum()), "<u4")
+        place = np.cumsum(count) - count
+        for where, ids in (
+            (plain, np.fromiter(chain.from_iterable(found), "<u4")),
+            (alone, np.concatenate([np.zeros(0, "<u4"), *spaces])), (rest, np.concatenate([np.zeros(0, "<u4"), *parts])),
+        ):
+            out[spread(place[where], count[where])] = ids
+        return out, count
+
+    def look_up(self, data: np.ndarray, raw: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks one after another, and how many each has. data has 16 bytes more than raw."""
+        if self.table.full():
+            self.table = ChunkTable()
+        table = self.table
+        size = stops - starts
+        words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        low = words[starts] & KEPT_BYTES[np.minimum(size, 8)]
+        high = words[starts + 8] & KEPT_BYTES[np.clip(size - 8, 0, 8)]
+        hashed = (low ^ (high * np.uint64(0xD6E8FEB86659FD93)) ^ (size.astype(np.uint64) << np.uint64(56))) * np.uint64(0x9E3779B97F4A7C15)
+        hashed = (hashed ^ (hashed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        slot = (hashed >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        entry = table.find(low, high, size, slot)
+        # Long chunks might agree with a short one in their first bytes, but never in size.
+        long = np.flatnonzero(size > SHORT)
+        if len(long):
+            texts = [raw[a:b] for a, b in zip(starts[long].tolist(), stops[long].tolist())]
+            new = {x: i for x, i in zip(texts, long.tolist()) if x not in table.long}
+            where = np.fromiter(new.values(), np.int64, len(new))
+            once = dict(zip(new, table.append(*self.learn(data, starts[where], stops[where])).tolist()))
+            entry[long] = [once[x] if x in once else table.long[x] for x in texts]
+            table.long.update((x, i) for x, i in once.items() if len(x) <= LONGEST)
+        missing = np.flatnonzero(entry < 0)
+        while len(missing):
+            _, first = np.unique(hashed[missing], return_index=True)
+            some = missing[first]
+            made = table.append(*self.learn(data, starts[some], stops[some]))
+            table.put(made, low[some], high[some], size[some], slot[some])
+            entry[missing] = table.find(low[missing], high[missing], size[missing], slot[missing])
+            missing = missing[entry[missing] < 0]  # another chunk of the same hash
+        count = table.count[entry]
+        return table.pool[spread(table.first[entry], count)], count
+
+    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, each with end_id behind it, and how many each has. Nulls are empty."""
+        column = pc.fill_null(column, "")
+        uncut = self.uncut(column)
+        alone = self.whole(column.filter(pa.array(uncut)).to_pylist()) if uncut.any() else []
+        data, offsets = utf8(pc.if_else(pa.array(uncut), "", column) if len(alone) else column)
+        raw = data.tobytes()
+        data = np.concatenate((data, np.zeros(16, np.uint8)))
+        starts = chunk_starts(data[: len(raw)], offsets)
+        stops = np.append(starts[1:], len(raw))
+        found = [self.look_up(data, raw, starts[k : k + CHUNKS], stops[k : k + CHUNKS]) for k in range(0, len(starts), CHUNKS)]
+        ids = np.concatenate([x for x, _ in found]) if found else np.zeros(0, "<u4")
+        total = np.concatenate(([0], np.cumsum(np.concatenate([n for _, n in found])))) if found else np.zeros(1, np.int64)
+        cut = total[np.searchsorted(starts, offsets)]
+        own = np.diff(cut)
+        length = own + 1
+        length[uncut] += np.fromiter(map(len, alone), np.int64, len(alone))
+        first = np.cumsum(length) - length
+        out = np.empty(int(length.sum()), "<u4")
+        out[spread(first, own)] = ids
+        out[first + length - 1] = end_id
+        for i, x in zip(np.flatnonzero(uncut).tolist(), alone):
+            out[first[i] : first[i] + len(x)] = x
+        return out, length
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers first[i], first[i] + 1, ... of each i, count[i] of them."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
 
 
 @lru_cache(maxsize=2)
@@ -234,22 +438,22 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = END
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, segment = TaskContext.get().partitionId(), 0
-        own, end = coder(path), np.array([end_id], "<u4").tobytes()
+        own = coder(path)
         for batch in batches:
             for some in slices(batch, most=SEGMENT_BYTES):
-                found = [x + end for x in own.encode([t or "" for t in some.column("text").to_pylist()])]
-                ids = np.frombuffer(b"".join(found), "<u4")
+                ids, length = own.encode(some.column("text"), end_id)
                 words, first = pack(ids)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([part], pa.int32()), pa.array([segment], pa.int32()),
                         pa.array([some.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                        pa.array([[len(x) // 4 for x in found]], pa.list_(pa.int32())), pa.array([len(ids)], pa.int64()),
+                        pa.array([length.tolist()], pa.list_(pa.int32())), pa.array([len(ids)], pa.int64()),
                         pa.array([words.astype("<u8").tobytes()], pa.binary()), pa.array([first.astype("<u4").tobytes()], pa.binary()),
                     ],
                     names=["part", "segment", "doc_ids", "lengths", "n_ids", "words", "block_words"],
                 )
                 segment += 1
+        give_back()
 
     in_order(docs).mapInArrow(run, SEGMENTS).write.mode("overwrite").option("compression", "uncompressed").parquet(folder)
 
@@ -303,6 +507,6 @@ def token_table(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     its own start. An empty table gives an empty result; further columns are left out.
     """
     spark = docs.sparkSession
-    folder = f"{shared_dir(spark)}/larkspur-tokens-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "tokens")
     write_token_files(docs, path, folder, end_id)
     return read_token_files(spark, folder)
