@@ -4,32 +4,41 @@ Vectors of one length are packed into blocks. A vector is cut into segments; of
 deviation. For two vectors the inner product of a segment of L places is at most ``L * (mean * mean + dev * dev)``
 (Cauchy-Schwarz on what is left after the means), which is the same as a lower bound on their distance. The bounds are
 taken coarse to fine: candidates whose bound is below the k-th best exact score so far are dropped at each resolution,
-and survivors are scored exactly in 64-bit integers.
+and survivors are scored exactly in integers.
 
-Every block of queries meets every block of candidates once: the stated queries are held against all rows, a block pair
-a unit of work. Blocks are dealt by a hash, so no task holds more than its units, and each unit returns at most k rows
-for each query.
+Every block of queries meets every block of candidates once: the stated queries are held against all rows. Candidate
+blocks are dealt into shares by a hash; a unit of work is a block of queries and a share. A unit meets its candidate
+blocks one after another and keeps each query's k best so far, so that the bounds drop more and more; it returns at
+most k rows for each query, and the shares of a query meet in a window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import materialize
+from larkspur.llm.common import give_back, materialize
 
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
 #: Segments at each resolution, coarse to fine.
 SEGMENTS = (4, 16)
 K = 5
+#: Candidate blocks of a share.
+SHARE_BLOCKS = 32
+#: Queries that are bounded together; a share of one in so many open pairs makes products of whole matrices worth while.
+TOGETHER, MANY = 64, 16
 #: Share of a bound added against rounding.
 SLACK = 1e-9
-BLOCK = "dim int, ids binary, vectors binary, n int"
+BLOCK = "part int, number int, dim int, ids binary, vectors binary, n int"
+#: Components and scores stop at the ends of 64 bits.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -42,17 +51,49 @@ def usable(rows: DataFrame) -> DataFrame:
     )
 
 
+def integers(vectors: np.ndarray) -> np.ndarray:
+    """floor(256 * x) in the narrowest integers that hold all values; values beyond 64 bits become its ends."""
+    values = np.floor(256 * vectors.astype(float))
+    most = float(np.abs(values).max(initial=0))
+    if most < 1 << 31:
+        return values.astype("<i2" if most < 1 << 15 else "<i4")
+    out = np.where(values > 0, MOST, LEAST)
+    inside = np.abs(values) < float(1 << 63)
+    out[inside] = values[inside].astype(np.int64)
+    return out.astype("<i8")
+
+
+def packed(vectors: np.ndarray) -> bytes:
+    """A letter for the width of the integers, and their bytes."""
+    values = integers(vectors)
+    return b"%d" % values.itemsize + values.tobytes()
+
+
+def unpacked(raw: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<i{raw[:1].decode()}", offset=1).reshape(rows, -1)
+
+
+def products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact inner products; those beyond 64 bits become its ends."""
+    most = int(np.abs(vectors.astype(float)).max(initial=0)) * int(np.abs(query.astype(float)).max(initial=0)) * len(query)
+    if most < 1 << 62:
+        return vectors.astype(np.int64) @ query.astype(np.int64)
+    exact = vectors.astype(object) @ query.astype(object)
+    return np.array([min(max(x, LEAST), MOST) for x in exact], np.int64)
+
+
 def blocks(rows: DataFrame, most: int) -> DataFrame:
-    """Rows (dim, ids, vectors, n): up to ``most`` vectors of one length in 64-bit integers, floor(256 * x)."""
+    """BLOCK rows: up to ``most`` vectors of one length in integers; a block is known by its task and its number there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[int, np.ndarray]]] = {}
+        part = TaskContext.get().partitionId()
+        numbers = count()
 
         def block(dim: int, some: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-            ids = np.array([i for i, _ in some], "<i8").tobytes()
-            values = np.floor(256 * np.stack([v for _, v in some])).astype("<i8").tobytes()
-            columns = [pa.array([dim], pa.int32()), pa.array([ids], pa.binary()), pa.array([values], pa.binary()), pa.array([len(some)], pa.int32())]
-            return pa.RecordBatch.from_arrays(columns, names=["dim", "ids", "vectors", "n"])
+            row = (part, next(numbers), dim, np.array([i for i, _ in some], "<i8").tobytes(), packed(np.stack([v for _, v in some])), len(some))
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=[f.split()[0] for f in BLOCK.split(", ")])
 
         for batch in batches:
             for i, vector in zip(batch.column("vec_id").to_pylist(), batch.column("embedding")):
@@ -63,6 +104,7 @@ def blocks(rows: DataFrame, most: int) -> DataFrame:
                     yield block(len(values), held.pop(len(values)))
         for dim, some in held.items():
             yield block(dim, some)
+        give_back()
 
     return rows.mapInArrow(run, BLOCK)
 
@@ -77,31 +119,85 @@ def segment_features(vectors: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
-def search_block(query_ids, queries, ids, vectors, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, vec_ids, scores) of the k best in this block, ties to the smaller vec_id."""
-    features = [segment_features(vectors, s) for s in SEGMENTS]
-    own = [segment_features(queries, s) for s in SEGMENTS]
-    coarse = own[0] @ features[0].T
-    pad = SLACK * (np.linalg.norm(queries.astype(float), axis=1)[:, None] * np.linalg.norm(vectors.astype(float), axis=1)) + 1
-    coarse += pad
-    for i, q in enumerate(query_ids.tolist()):
-        others = ids != q
-        bound = np.where(others, coarse[i], -np.inf)
-        m = int(others.sum())
-        if not m:
-            continue
-        lead = np.argpartition(-bound, min(4 * k, len(bound)) - 1)[: 4 * k]
-        lead = lead[others[lead]]
-        scores = vectors[lead] @ queries[i]
-        least = np.partition(scores, -k)[-k] if len(scores) >= k else -np.inf
-        rest = np.flatnonzero((bound >= least) & others)
-        if len(rest) > len(lead):
+class Search:
+    """The k best of each query of a block among the candidates seen so far, ties to the smaller vec_id."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.ids, self.queries, self.k = ids, queries, k
+        self.features = [segment_features(queries, s) for s in SEGMENTS]
+        self.floats = queries.astype(float)
+        self.norms = np.linalg.norm(self.floats, axis=1)
+        self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Takes a block of candidates in, some queries at a time."""
+        features = [segment_features(vectors, s) for s in SEGMENTS]
+        floats = vectors.astype(float)
+        norms = np.linalg.norm(floats, axis=1)
+        largest = int(np.abs(floats).max(initial=0)) * int(np.abs(self.floats).max(initial=0)) * vectors.shape[1]
+        whole = largest < 1 << 52  # then every partial sum is a whole number that a double holds
+
+        def scored(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Exact scores of pairs of a query and a candidate."""
+            if whole:
+                return np.einsum("ij,ij->i", self.floats[i], floats[j]).astype(np.int64)
+            parts = [products(vectors[j[i == q]], self.queries[q]) for q in np.unique(i)]
+            return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+        for low in range(0, len(self.ids), TOGETHER):
+            own = np.arange(low, min(low + TOGETHER, len(self.ids)))
+            pad = SLACK * self.norms[own][:, None] * norms + 1
+            bound = self.features[0][own] @ features[0].T + pad
+            open_ = ids != self.ids[own][:, None]
+            for row in np.flatnonzero([len(self.best[i][1]) < self.k for i in own]):
+                # Candidates of the greatest bounds come first, so that there is a k-th best score.
+                order = np.where(open_[row], -bound[row], np.inf)
+                lead = np.argpartition(order, min(4 * self.k, len(order)) - 1)[: 4 * self.k]
+                lead = lead[open_[row, lead]]
+                self.take(own[row], ids[lead], scored(np.full(len(lead), own[row]), lead))
+                open_[row, lead] = False
+            least = np.array([self.best[i][1][-1] if len(self.best[i][1]) == self.k else LEAST for i in own], np.int64)
+            open_ &= bound >= least[:, None]
             for level in range(1, len(SEGMENTS)):
-                rest = rest[features[level][rest] @ own[level][i] + pad[i, rest] >= least]
-        rest = np.union1d(rest, lead)
-        scores = vectors[rest] @ queries[i]
-        order = np.lexsort((ids[rest], -scores))[:k]
-        yield q, ids[rest][order], scores[order]
+                if MANY * open_.sum() > open_.size:
+                    open_ &= self.features[level][own] @ features[level].T + pad >= least[:, None]
+                else:
+                    i, j = np.nonzero(open_)
+                    fine = np.einsum("ij,ij->i", self.features[level][own[i]], features[level][j]) + pad[i, j]
+                    open_[i, j] = fine >= least[i]
+            if whole and MANY * open_.sum() > open_.size:
+                scores = self.floats[own] @ floats.T
+                i, j = np.nonzero(open_ & (scores >= least[:, None]))
+                found = scores[i, j].astype(np.int64)
+            else:
+                i, j = np.nonzero(open_)
+                found = scored(own[i], j)
+                good = found >= least[i]
+                i, j, found = i[good], j[good], found[good]
+            cut = np.searchsorted(i, np.arange(len(own) + 1))
+            for row in np.flatnonzero(cut[1:] > cut[:-1]):
+                part = slice(cut[row], cut[row + 1])
+                self.take(own[row], ids[j[part]], found[part])
+
+    def take(self, i: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Merges candidates into a query's best."""
+        ids, scores = np.concatenate((self.best[i][0], ids)), np.concatenate((self.best[i][1], scores))
+        order = np.lexsort((ids, ~scores))[: self.k]
+        self.best[i] = ids[order], scores[order]
+
+    def rows(self) -> pa.RecordBatch:
+        """(query_id, vec_id, score) of all queries."""
+        query = np.repeat(self.ids, [len(v) for v, _ in self.best])
+        columns = [query, *(np.concatenate([x[j] for x in self.best]) for j in (0, 1))]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+
+def numbered(packed_blocks: DataFrame) -> DataFrame:
+    """Materialized blocks with ``unit``, numbered from 0: a running sum over one row a task, then the number in the task."""
+    parts = packed_blocks.groupBy("part").agg(F.count("*").alias("n_blocks"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("part", F.coalesce(F.sum("n_blocks").over(before), F.lit(0)).alias("first"))
+    return packed_blocks.join(starts, "part").withColumn("unit", (F.col("first") + F.col("number")).cast("int"))
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -109,38 +205,43 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     Vectors that are null, empty, or hold a null or non-finite component take no part, nor do null vec_ids; only
     vectors of equal length are compared. Rows with the query's vec_id count as its own; other repeated rows each take
-    a place. A repeated query is answered once. Scores that pass 64 bits aren't defined. An empty table gives none.
+    a place. A repeated query is answered once, with the vector of the least value. Components and scores that pass 64
+    bits stop at its ends. An empty table gives none.
     """
-    candidates = blocks(usable(rows), BLOCK_ROWS)
-    asked = usable(queries).dropDuplicates(["vec_id"])
+    asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     n = asked.count()
     if not n:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     parts = -(-n // QUERY_ROWS)
-    packed = materialize(blocks(asked.repartition(parts, "vec_id"), QUERY_ROWS), "queries")
-    packed = packed.withColumn("unit", F.row_number().over(Window.orderBy("dim", "ids")) - 1)
-    units = packed.count()
-    # A candidate block goes once to each query block: that is the work itself, dealt over tasks by a hash.
-    spread = candidates.withColumn("unit", F.explode(F.sequence(F.lit(0), F.lit(units - 1))))
-    asked_blocks = packed.select(
-        "unit", F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")
+    query_blocks = materialize(blocks(asked.repartition(parts, "vec_id"), QUERY_ROWS), "queries")
+    candidate_blocks = materialize(blocks(usable(rows), BLOCK_ROWS), "candidates")
+    units, shares = query_blocks.count(), -(-candidate_blocks.count() // SHARE_BLOCKS)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked_blocks = numbered(query_blocks).select(
+        "unit", F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), every(shares).alias("share")
     )
-    pairs = spread.join(asked_blocks, "unit").where("dim = q_dim").repartition(F.xxhash64("unit", "ids"))
+    # A candidate block goes once to each query block, and a query block once to each share: that is the work itself.
+    share = F.pmod(F.xxhash64("part", "number"), F.lit(shares)).cast("int")
+    spread = candidate_blocks.select("dim", "ids", "vectors", share.alias("share"), every(units).alias("unit"))
+    pairs = spread.join(asked_blocks, ["unit", "share"]).where("dim = q_dim").select("unit", "share", "ids", "vectors", "q_ids", "q_vectors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, search = None, None
         for batch in batches:
             for row in batch.to_pylist():
-                own = np.frombuffer(row["q_ids"], "<i8")
+                if unit != (row["unit"], row["share"]):
+                    if search:
+                        yield search.rows()
+                    unit, own = (row["unit"], row["share"]), np.frombuffer(row["q_ids"], "<i8")
+                    search = Search(own, unpacked(row["q_vectors"], len(own)), k)
                 ids = np.frombuffer(row["ids"], "<i8")
-                asked = np.frombuffer(row["q_vectors"], "<i8").reshape(len(own), -1)
-                vectors = np.frombuffer(row["vectors"], "<i8").reshape(len(ids), -1)
-                found = list(search_block(own, asked, ids, vectors, k))
-                if found:
-                    query = np.repeat([q for q, _, _ in found], [len(v) for _, v, _ in found])
-                    columns = [query, np.concatenate([v for _, v, _ in found]), np.concatenate([s for _, _, s in found])]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-    found = pairs.select("ids", "vectors", "q_ids", "q_vectors").mapInArrow(run, "query_id long, vec_id long, score long")
+                search.meet(ids, unpacked(row["vectors"], len(ids)))
+        if search:
+            yield search.rows()
+        give_back()
+
+    # If a unit is split, its parts are like further shares.
+    found = pairs.sortWithinPartitions("unit", "share").mapInArrow(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
