@@ -8,12 +8,15 @@
    the posterior probability of reaching the threshold, given the matches so far, falls below ``TOLERANCE``. Buckets
    are cut into chunks and each pair of chunks is a unit of work of bounded size; a unit returns a spanning forest of
    the pairs that stay, so its output is linear in its rows.
-4. Components of these forests hold all links. Inside a component every pair is compared once more (chunk by chunk
-   again, first by length and signature as before) and the rest verified exactly on the shingle sets. A unit returns
-   each row's number of links and a spanning forest of the links.
+4. Components of these forests hold all links. In a component of up to ``EXACT`` classes every pair is compared once
+   more, first by length and signature as before, and the rest verified exactly on the shingle sets. In a larger one
+   the units of the buckets are taken again, a pair counting where its first common band is. Where a unit has few
+   pairs that stay (``FEW`` a row, as in long chains), the pairs meet their sets one by one; where it has many, its rows
+   bring their sets along. Either way the work follows the pairs that stay, not the square of the component.
+   Each row's number of links and a forest of the links come back.
 5. The classes of the result are the components of the links.
 
-No pairs are written out anywhere, and no group is held by one task.
+Only where they are few for their rows are pairs written out, and no group is held by one task.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import WORD_BYTES, labels_of_edges, map_arrow, materialize, small, utf8, whole_groups
+from larkspur.llm.common import WORD_BYTES, give_back, labels_of_edges, map_arrow, materialize, release, slices, small, utf8, whole_groups
 from larkspur.llm.components import components
 
 WORDS = 5
@@ -38,11 +41,14 @@ BAND = 4
 BANDS = HASHES // BAND
 STEP = 32
 TOLERANCE = 1e-6
-#: Rows of a chunk when signatures are compared, and when shingle sets are.
+#: Rows of a chunk when signatures are compared; classes of a component whose shingle sets are compared together.
 CHUNK = 512
-EXACT_CHUNK = 128
-#: Pairs compared at a time.
-PAIRS = 1 << 18
+EXACT = 128
+#: Pairs a row that are few.
+FEW = 8
+#: Pairs compared at a time, and bytes of words that are hashed at a time.
+PAIRS = 1 << 16
+PIECE = 1 << 18
 
 SIGNED = "doc_id long, key binary, n_shingles int, signature binary"
 _random = np.random.default_rng(20240229)
@@ -60,71 +66,84 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-_powers = np.ones(1, np.uint64)
+def powers(base: int, n: int) -> np.ndarray:
+    """Powers 0 to n - 1 of a base modulo 2^64."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate((out, out * np.uint64(pow(base, len(out), 1 << 64))))
+    return out[:n]
 
 
-def base_powers(n: int) -> np.ndarray:
-    """Powers 0 to n - 1, at least, of the odd base modulo 2^64."""
-    global _powers
-    while len(_powers) < n:
-        step = np.uint64(pow(int(WORD_BASE), len(_powers), 1 << 64))
-        _powers = np.concatenate((_powers, _powers * step))
-    return _powers
+#: Powers of the base that words are hashed with, and of its inverse, for the places of a piece.
+POWERS = powers(int(WORD_BASE), PIECE)
+INVERSES = powers(pow(int(WORD_BASE), -1, 1 << 64), PIECE)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of texts (UTF-8 bytes one after another) in order, and each one's text.
+
+    Words are those of the licence scan: A-Z lower-cased, runs of 0-9, a-z and non-ASCII. A word's hash is a polynomial in
+    its bytes, from running sums over pieces of the bytes; the place in the piece is taken out by the inverse power, and
+    the part of a word that goes on in the next piece is carried over.
+    """
+    table = np.frombuffer(WORD_BYTES, np.uint8)
+    words, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    sizes = [np.zeros(0, np.uint64)]
+    carried: tuple[int, int, int] | None = None  # hash, size and text of a word that reached the last piece's end
+    for low in range(0, len(data), PIECE):
+        part = table[data[low : low + PIECE]]
+        n = len(part)
+        solid = part != 32
+        # A text's first byte begins a word even if the text before ends in one.
+        edge = np.zeros(n + 1, bool)
+        edge[offsets[np.searchsorted(offsets, low) : np.searchsorted(offsets, low + n, side="right")] - low] = True
+        begins = np.flatnonzero(solid & ~(np.concatenate(([False], solid[:-1])) & ~edge[:-1]))
+        stops = np.flatnonzero(solid & ~(np.concatenate((solid[1:], [False])) & ~edge[1:])) + 1
+        running = np.concatenate((np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * POWERS[:n])))
+        word = (running[stops] - running[begins]) * INVERSES[begins]
+        size = (stops - begins).astype(np.uint64)
+        owner = np.searchsorted(offsets, low + begins, side="right") - 1
+        if carried is not None:
+            if solid[0] and not edge[0]:
+                word[:1] = np.uint64(carried[0]) + np.uint64(pow(int(WORD_BASE), carried[1], 1 << 64)) * word[:1]
+                size[0] += np.uint64(carried[1])
+            else:
+                words.append(np.array([carried[0]], np.uint64))
+                sizes.append(np.array([carried[1]], np.uint64))
+                owners.append(np.array([carried[2]], np.int64))
+            carried = None
+        if len(word) and stops[-1] == n and low + n < len(data):
+            carried = int(word[-1]), int(size[-1]), int(owner[-1])
+            word, size, owner = word[:-1], size[:-1], owner[:-1]
+        words.append(word)
+        sizes.append(size)
+        owners.append(owner)
+    size = np.concatenate(sizes)
+    return mix(np.concatenate(words) + size * np.uint64(0xD6E8FEB86659FD93)), np.concatenate(owners)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of texts (UTF-8 bytes one after another), and each one's text. Repeats are kept.
 
-    Words are those of the licence scan: A-Z lower-cased, runs of 0-9, a-z and non-ASCII. A text of fewer than five
-    words has one shingle of all its words, one without words none.
+    A text of fewer than five words has one shingle of all its words, one without words none.
     """
     n = len(offsets) - 1
-    data = np.frombuffer(data.tobytes().translate(WORD_BYTES), np.uint8)
-    solid = data != 32
-    # A text's first byte begins a word even if the text before ends in one.
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    previous = np.concatenate(([False], solid[:-1])) & ~edge[:-1]
-    begins = np.flatnonzero(solid & ~previous)
-    following = np.concatenate((solid[1:], [False])) & ~edge[1:]
-    stops = np.flatnonzero(solid & ~following) + 1
-    owner = np.searchsorted(offsets, begins, side="right") - 1
-    # Hash of a word: a polynomial in its bytes, from a running sum; the place in the batch is taken out by the power.
-    place = stops - begins
-    inside = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
-    longest = int(inside.max(initial=0)) + 2
-    power = base_powers(longest)
-    running = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[inside])))
-    inverse = pow(int(WORD_BASE), -1, 1 << 64)
-    back = np.uint64(inverse)
-    word = running[stops] - running[begins]
-    word = mix(word * powers_of(back, longest)[inside[begins]] + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    word, owner = word_hashes(data, offsets)
     count = np.bincount(owner, minlength=n)
     first = np.cumsum(count) - count
     size = np.minimum(count, WORDS)
     number = np.where(count > 0, count - size + 1, 0)
     text = np.repeat(np.arange(n), number)
-    start = first[text] + np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)
+    start = np.repeat(first - np.cumsum(number) + number, number) + np.arange(len(text))
     padded = np.concatenate((word, np.zeros(WORDS, np.uint64)))
+    short = size[text] < WORDS
     value = np.zeros(len(text), np.uint64)
     for j in range(WORDS):
-        value = value * np.uint64(0x9FB21C651E98DF25) + np.where(j < size[text], padded[np.minimum(start + j, len(padded) - 1)], np.uint64(j + 1))
+        value = value * np.uint64(0x9FB21C651E98DF25) + np.where(short & (j >= size[text]), np.uint64(j + 1), padded[start + j])
         value ^= value >> np.uint64(29)
     return mix(value), text
 
 
-_inverses: dict[int, np.ndarray] = {}
-
-
-def powers_of(base: np.uint64, n: int) -> np.ndarray:
-    """Powers 0 to n - 1, at least, of base modulo 2^64."""
-    have = _inverses.get(int(base), np.ones(1, np.uint64))
-    while len(have) < n:
-        have = np.concatenate((have, have * np.uint64(pow(int(base), len(have), 1 << 64))))
-    _inverses[int(base)] = have
-    return have
-
-
 def signatures(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     """A row of HASHES 16-bit MinHash values for each text; rows without shingles are zero."""
     out = np.zeros((n, HASHES), np.uint16)
@@ -175,6 +194,13 @@ def least_matches(hashes: int, tolerance: float = TOLERANCE) -> int:
 LIMITS = tuple((n, least_matches(n)) for n in range(STEP, HASHES + 1, STEP))
 
 
+def first_common(rows: np.ndarray, a: np.ndarray, b: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Whether the first band in which the signatures of each pair agree is the given one."""
+    words = rows.view(np.uint64)  # four 16-bit values: a band
+    same = words[a] == words[b]
+    return same.any(axis=1) & (same.argmax(axis=1) == band)
+
+
 def likely(table: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which of the pairs (a, b) of rows stay, compared STEP hashes at a time."""
     left = np.arange(len(a))
@@ -214,7 +240,7 @@ def pairs_of(unit: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, n
 
 
 def chunked(members: DataFrame, group: str, size: str, chunk: int) -> DataFrame:
-    """members once for each unit that they belong to: (group, low chunk, high chunk), with the side in it.
+    """members once for each unit that they belong to, (group, low chunk, high chunk), with the side in it.
 
     A row's chunk is drawn by a hash of its key, so chunks are alike in size.
     """
@@ -282,62 +308,134 @@ def exact_links(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndar
     return both * THRESHOLD[1] >= THRESHOLD[0] * (size[a] + size[b] - both)
 
 
+class Rows:
+    """Rows of a table of units: keys, units, sides, signatures."""
+
+    def __init__(self, table: pa.Table):
+        self.key = table.column("key").to_pylist()
+        self.unit = table.column("unit").to_numpy()
+        self.side = table.column("side").to_numpy()
+        self.signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(self.key), HASHES)
+        # Rows of a larger component's units: the pairs of a unit count if its band is their first common one.
+        self.band = table.column("band").to_numpy() if "band" in table.column_names else None
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs that count here and stay likely."""
+        for a, b in pairs_of(self.unit, self.side):
+            stay = likely(self.signatures, a, b)
+            a, b = a[stay], b[stay]
+            if self.band is not None and len(a):
+                own = first_common(self.signatures, a, b, self.band[a])
+                a, b = a[own], b[own]
+            yield a, b
+
+
 def link_forests(table: pa.Table) -> pa.RecordBatch:
     """For each row of each unit its number of links there (copies counted) and its root in the forest of links."""
-    key = table.column("key").to_pylist()
-    unit = table.column("unit").to_numpy()
-    side = table.column("side").to_numpy()
+    rows = Rows(table)
     copies = table.column("copies").to_numpy()
-    rows = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(key), HASHES)
     sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
     size = np.fromiter(map(len, sets), np.int64, len(sets))
-    links = np.zeros(len(key), np.int64)
-    label = np.arange(len(key))
-    for a, b in pairs_of(unit, side):
+    links = np.zeros(len(sets), np.int64)
+    label = np.arange(len(sets))
+    for a, b in rows.pairs():
         fits = np.minimum(size[a], size[b]) * THRESHOLD[1] >= np.maximum(size[a], size[b]) * THRESHOLD[0]
         a, b = a[fits], b[fits]
-        stay = likely(rows, a, b)
-        a, b = a[stay], b[stay]
         if not len(a):
             continue
         # Runs of one unit, so that a product of matrices is of one group's sets.
-        bounds = np.flatnonzero(np.concatenate(([True], unit[a][1:] != unit[a][:-1], [True])))
+        bounds = np.flatnonzero(np.concatenate(([True], rows.unit[a][1:] != rows.unit[a][:-1], [True])))
         ok = np.concatenate([exact_links(sets, a[i:j], b[i:j]) for i, j in zip(bounds[:-1], bounds[1:])])
         a, b = a[ok], b[ok]
         np.add.at(links, a, copies[b])
         np.add.at(links, b, copies[a])
-        label = labels_of_edges(len(key), np.concatenate((np.arange(len(key)), a)), np.concatenate((label, b)))
+        label = labels_of_edges(len(sets), np.concatenate((np.arange(len(sets)), a)), np.concatenate((label, b)))
     return pa.RecordBatch.from_arrays(
-        [pa.array(key, pa.binary()), pa.array([key[i] for i in label], pa.binary()), pa.array(links)], names=["key", "root", "links"]
+        [pa.array(rows.key, pa.binary()), pa.array([rows.key[i] for i in label], pa.binary()), pa.array(links)], names=["key", "root", "links"]
     )
 
 
+def few_or_many(table: pa.Table) -> pa.RecordBatch:
+    """Pairs (a, b) that stay of units that have few for their rows; of others the unit's number alone."""
+    rows = Rows(table)
+    pairs = [np.zeros((2, 0), np.int64)]
+    unit, first, size = np.unique(rows.unit, return_index=True, return_counts=True)
+    met = np.zeros(len(unit), np.int64)
+    for a, b in rows.pairs():
+        at = np.searchsorted(unit, rows.unit[a])
+        met += np.bincount(at, minlength=len(unit))
+        few = met[at] <= FEW * size[at]
+        pairs.append(np.stack((a[few], b[few])))
+    a, b = np.concatenate(pairs, axis=1)
+    many = met > FEW * size
+    few = ~many[np.searchsorted(unit, rows.unit[a])]
+    a, b = a[few].tolist(), b[few].tolist()
+    none = [None] * int(many.sum())
+    columns = [pa.array([rows.key[i] for i in a] + none, pa.binary()), pa.array([rows.key[i] for i in b] + none, pa.binary())]
+    units = pa.array([None] * len(a) + unit[many].tolist(), pa.int64())
+    return pa.RecordBatch.from_arrays([*columns, units], names=["a", "b", "unit"])
+
+
 def by_unit(rows: DataFrame, columns: tuple[str, ...], step, schema: str) -> DataFrame:
     """step over whole units, some at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "unit"):
             yield step(table)
+        give_back()
 
     dealt = rows.select("unit", "side", *columns).repartition("unit").sortWithinPartitions("unit", "side", "key")
     return dealt.mapInArrow(run, schema)
 
 
-def candidates(classes: DataFrame) -> DataFrame:
+def bucket_members(classes: DataFrame) -> DataFrame:
+    """(key, band, bucket, members) of classes in buckets of two or more."""
+    at = F.sequence(F.lit(0), F.lit(BANDS - 1))
+    bands = F.transform(at, lambda k: F.xxhash64(k, F.substring(F.col("signature"), k * (2 * BAND) + 1, F.lit(2 * BAND))))
+    buckets = classes.where("signature is not null").select("key", F.posexplode(bands).alias("band", "bucket"))
+    full = materialize(buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
+    members = materialize(buckets.join(small(full, full.count()), "bucket").select("key", F.col("band").cast("short").alias("band"), "bucket", "members"), "members")
+    release(full)
+    return members
+
+
+def candidates(members: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, root): components of the pairs that share a band and stay likely."""
-    bands = F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)),
-        lambda k: F.xxhash64(k, F.substring(F.col("signature"), k * (2 * BAND) + 1, F.lit(2 * BAND))),
-    )
-    buckets = classes.where("signature is not null").select("key", F.explode(bands).alias("bucket"))
-    full = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    full = materialize(full, "buckets")
-    members = buckets.join(small(full, full.count()), "bucket")
-    members = materialize(members, "members")
     signed = classes.select("key", "signature")
-    units = chunked(members.join(signed, "key"), "bucket", "members", CHUNK)
-    forests = by_unit(units, ("key", "signature"), candidate_forests, "a binary, b binary")
-    return components(forests)
+    units = chunked(members.select("key", "bucket", "members").join(signed, "key"), "bucket", "members", CHUNK)
+    return components(by_unit(units, ("key", "signature"), candidate_forests, "a binary, b binary"))
+
+
+LINKS = "key binary, root binary, links long"
+
+
+def links_of_large(members: DataFrame, large: DataFrame, sets: DataFrame) -> DataFrame:
+    """LINKS rows of the pairs of larger components: large has (key, signature, copies), sets (key, shingles)."""
+    rows = members.join(large, "key")
+    units = materialize(chunked(rows, "bucket", "members", CHUNK), "units")
+    found = materialize(by_unit(units, ("key", "signature", "band"), few_or_many, "a binary, b binary, unit long"), "pairs")
+    many = found.where("unit is not null").select("unit").distinct()
+    brought = units.join(small(many, many.count()), "unit").join(sets, "key")
+    dense = by_unit(brought, ("key", "signature", "band", "copies", "shingles"), link_forests, LINKS)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "a_set"):
+                own, other = ([np.frombuffer(x, np.uint64) for x in part.column(c).to_pylist()] for c in ("a_set", "b_set"))
+                n = part.num_rows
+                ok = pa.array(exact_links([*own, *other], np.arange(n), np.arange(n, 2 * n)))
+                kept = part.select(["a", "b", "a_copies", "b_copies"]).filter(ok)
+                a, b = kept.column("a"), kept.column("b")
+                # Each row has the other's copies as links; the edge goes with one of the two.
+                yield pa.RecordBatch.from_arrays([a, b, kept.column("b_copies")], names=["key", "root", "links"])
+                yield pa.RecordBatch.from_arrays([b, b, kept.column("a_copies")], names=["key", "root", "links"])
+        give_back()
+
+    side = large.select("key", "copies").join(sets, "key")
+    pairs = found.where("unit is null").select("a", "b")
+    for c in ("a", "b"):
+        pairs = pairs.join(side.select(F.col("key").alias(c), F.col("copies").alias(f"{c}_copies"), F.col("shingles").alias(f"{c}_set")), c)
+    return dense.unionByName(pairs.select("a", "b", "a_copies", "b_copies", "a_set", "b_set").mapInArrow(verify, LINKS))
 
 
 def with_shingles(docs: DataFrame) -> DataFrame:
@@ -374,13 +472,15 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         ),
         "classes",
     )
-    groups = materialize(candidates(classes), "groups")
+    buckets = bucket_members(classes)
+    groups = materialize(candidates(buckets, classes), "groups")
     sizes = groups.groupBy("root").agg(F.count("*").alias("members"))
     members = materialize(
         groups.join(sizes, "root").withColumnRenamed("node", "key").join(classes, "key").select("key", "root", "members", "copies", "signature", "rep_id"),
         "grouped",
     )
-    n = members.count()
+    release(groups)
+    n, n_large = members.agg(F.count("*"), F.count_if(F.col("members") > EXACT)).first()
     wanted = small(members.select(F.col("key").alias("near_key"), F.col("rep_id")), n)
     # The texts of the classes in question, one of each.
     texts = (
@@ -388,10 +488,16 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .join(wanted, "near_key")
         .where(F.col("doc_id").eqNullSafe(F.col("rep_id")))
         .select(F.col("near_key").alias("key"), "text")
-        .dropDuplicates(["key"])
     )
-    units = chunked(members.join(with_shingles(texts), "key").drop("rep_id"), "root", "members", EXACT_CHUNK)
-    found = materialize(by_unit(units, ("key", "signature", "copies", "shingles"), link_forests, "key binary, root binary, links long"), "links")
+    sets = materialize(with_shingles(texts).groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
+    columns = ("key", "signature", "copies", "shingles")
+    units = members.where(F.col("members") <= EXACT).join(sets, "key").select(F.xxhash64("root").alias("unit"), F.lit(0).alias("side"), *columns)
+    found = by_unit(units, columns, link_forests, LINKS)
+    if n_large:
+        large = members.where(F.col("members") > EXACT).select("key", "signature", "copies")
+        found = found.unionByName(links_of_large(buckets, large, sets))
+    found = materialize(found, "links")
+    release(buckets, sets, members)
     linked = components(found.where("key != root").select(F.col("key").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("key").agg(F.sum("links").alias("links")).where("links > 0")
     known = linked.withColumnRenamed("node", "key").join(classes.select("key", "rep_id"), "key")
@@ -426,7 +532,10 @@ def near_duplicate_table(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class, that of the least doc_id; wordless texts all stay."""
+    """docs with one document of each class, that of the least doc_id; wordless texts all stay.
+
+    Of rows of that id and the same words one stays, that of the least hash of all its columns.
+    """
     signed, table = classes_and_links(docs)
     grouped = table.where("n_shingles > 0 and n_links > 0").select("key", "root", "rep_id")
     grouped = materialize(grouped, "grouped")
@@ -445,5 +554,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     if n:
         rows = rows.join(small(twice, n), F.col("near_key") == F.col("near_twice"), "left")
         single = rows.where("near_twice is null").select(*docs.columns)
-        return single.unionByName(rows.where("near_twice is not null").dropDuplicates(["near_key"]).select(*docs.columns))
+        whole = F.struct(*docs.columns)
+        again = rows.where("near_twice is not null").groupBy("near_key").agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias("near_row"))
+        return single.unionByName(again.select("near_row.*"))
     return rows.select(*docs.columns)
