@@ -1,14 +1,18 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Each language has a model of characters given the characters before them inside the word, a word being framed by
-blanks. N-grams are counted by Spark over a bounded sample of labelled documents (``SAMPLE`` of each language, taken in
-the order of a hash, so that it is the same at every run). The model's tables are sorted arrays of n-gram hashes that
-are searched by bisection; the column of a language holds its log probabilities, and a second table its back-off
-weights. A text gets the language of the least cross-entropy for a character. A text is rejected when it has no letter,
-or when its least cross-entropy is above that of nearly all training documents (``REJECT_QUANTILE``) by a margin: that
-limit is calibrated for each language on the sample.
-
-The model is bounded by the sample, not by the documents, so it travels with the tasks. Documents never shuffle.
+blanks. N-grams are counted by Spark over a bounded sample of labelled documents (about ``SAMPLE`` of each language:
+those whose hash is below a share of the range, so that it is the same at every run). The model's tables are sorted
+arrays of n-gram hashes that are searched by bisection; the column of a language holds its log probabilities, and a
+second table its back-off weights. A text gets the language of the least cross-entropy for a character.
+
+A text is rejected when it has no letter, or when its least cross-entropy is above its language's limit. Limits are
+calibrated on a part of the sample that isn't counted (``HELD`` of it): nearly all texts of the language stay below
+(``OWN_QUANTILE``), nearly all of the other languages are above under its model (``OTHER_QUANTILE``), and the limit is
+midway between, or ``MARGIN`` times the first if that is more or nothing else is known.
+
+The model is bounded by the sample and the number of languages, not by the documents, so it travels with the tasks.
+Documents never shuffle.
 """
 
 from __future__ import annotations
@@ -20,27 +24,44 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import map_arrow
+from larkspur.llm.common import map_arrow, materialize, release, small
 
 ORDER = 5
-#: Most labelled documents of a language that a model learns from, each of them whole.
+#: Labelled documents of a language, about, that a model learns from, each of them whole.
 SAMPLE = 1500
 DISCOUNT = 0.75
-REJECT_QUANTILE = 0.999
-REJECT_MARGIN = 2.0
+#: The share of the sample that limits are calibrated on, of languages that have as many documents as this in it.
+HELD, HELD_LEAST = 0.2, 50
+OWN_QUANTILE, OTHER_QUANTILE, MARGIN = 0.999, 0.01, 1.5
 UNDETERMINED = "und"
+#: Characters of evidence that a score counts at most: neighbouring characters aren't independent.
+EVIDENCE = 40
 #: Words that a worker remembers before it starts anew.
-MEMORY = 300_000
+MEMORY = 100_000
+#: Characters of a text that are cut into words together.
+PIECE = 1 << 18
 #: What isn't a letter parts words.
 LETTERS = re.compile(r"[^\W\d_]+").findall
+NO_LETTER = re.compile(r"[\W\d_]").search
 
 
-def text_words(text: str | None) -> list[str]:
+def pieces(text: str | None) -> Iterator[str]:
+    """The text in parts of about PIECE characters that end where words do."""
+    at, size = 0, len(text or "")
+    while at < size:
+        found = NO_LETTER(text, at + PIECE) if at + PIECE < size else None
+        stop = found.start() if found else size
+        yield text[at:stop]
+        at = stop
+
+
+def text_words(text: str) -> list[str]:
     """Runs of letters in lower case, with a blank on both sides."""
-    return [f" {w} " for w in LETTERS(text.lower())] if text else []
+    return [f" {w} " for w in LETTERS(text.lower())]
 
 
 def codes_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +89,9 @@ def gram_hashes(codes: np.ndarray, place: np.ndarray, order: int) -> list[np.nda
 
 @dataclass
 class Model:
-    """keys[n], logp[n]: sorted hashes of the n-grams that any language has, and a column of log probabilities for each.
+    """Log probabilities are in single precision, as every worker holds them.
+
+    keys[n], logp[n]: sorted hashes of the n-grams that any language has, and a column of log probabilities for each.
 
     A language that lacks an n-gram has its backed-off probability there.
     contexts[n], backoff[n]: the same for the weights of contexts. floor: log probability of an unseen character.
@@ -86,7 +109,7 @@ class Model:
     scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memory": {}, "scores": np.zeros((0, len(self.languages)))}
+        return self.__dict__ | {"memory": {}, "scores": np.zeros((0, 0), np.float32)}
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """A row for each word: its log probability in each language."""
@@ -123,22 +146,41 @@ class Model:
 
     def measured(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Rows of cross_entropy, and the characters of each text's words with the blanks around them."""
-        cut = [text_words(x) for x in texts]
+        out, size = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        chars = np.zeros(len(texts), np.int64)
+        parts: list[tuple[int, list[str]]] = []
+        waiting = 0
+        for k, text in enumerate(texts):
+            for piece in pieces(text):
+                words = text_words(piece)
+                if not words:
+                    continue
+                parts.append((k, words))
+                n = sum(map(len, words))
+                size[k] += n
+                chars[k] += n - len(words)
+                waiting += n
+                if waiting > 4 * PIECE:
+                    self.add_scores(parts, out)
+                    parts, waiting = [], 0
+        self.add_scores(parts, out)
+        with np.errstate(invalid="ignore"):
+            return np.where(chars[:, None] > 0, -out / chars[:, None], np.nan), size
+
+    def add_scores(self, parts: list[tuple[int, list[str]]], out: np.ndarray) -> None:
+        """Adds the scores of words to the rows of their texts; words that were scored before are looked up."""
         if len(self.memory) > MEMORY or not self.memory:
-            self.memory, self.scores = {}, np.zeros((0, len(self.languages)))
-        new = list(set().union(*cut).difference(self.memory))
+            self.memory, self.scores = {}, np.zeros((1024, len(self.languages)), np.float32)
+        new = list(set().union(*[words for _, words in parts]).difference(self.memory))
         if new:
-            self.memory.update(zip(new, range(len(self.memory), len(self.memory) + len(new))))
-            self.scores = np.vstack([self.scores, self.word_scores(new)])
-        out, size = np.full((len(texts), len(self.languages)), np.nan), np.zeros(len(texts), np.int64)
+            n = len(self.memory)
+            while n + len(new) > len(self.scores):
+                self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
+            self.memory.update(zip(new, range(n, n + len(new))))
+            self.scores[n : n + len(new)] = self.word_scores(new)
         get = self.memory.__getitem__
-        for k, words in enumerate(cut):
-            if words:
-                size[k] = sum(map(len, words))
-                chars = size[k] - len(words)
-                at = np.fromiter(map(get, words), np.int64, len(words))
-                out[k] = -self.scores[at].sum(axis=0) / chars
-        return out, size
+        for k, words in parts:
+            out[k] += self.scores[np.fromiter(map(get, words), np.int64, len(words))].sum(axis=0, dtype=float)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Languages, scores, least cross-entropies (NaN: no letter) and whether texts are rejected."""
@@ -150,7 +192,7 @@ class Model:
         filled = np.where(none[:, None], 0.0, entropy)
         best = filled.argmin(axis=1)
         least = filled.min(axis=1)
-        chars = np.minimum(40, size)
+        chars = np.minimum(EVIDENCE, size)
         odds = np.exp(-(filled - least[:, None]) * chars[:, None])
         score = np.where(none, 0.0, 1 / odds.sum(axis=1))
         language = [UNDETERMINED if no else self.languages[i] for no, i in zip(none.tolist(), best.tolist())]
@@ -164,7 +206,8 @@ def gram_counts(sample: DataFrame, order: int) -> DataFrame:
         seen: dict[str, Counter[str]] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                seen.setdefault(lang, Counter()).update(text_words(text))
+                for piece in pieces(text):
+                    seen.setdefault(lang, Counter()).update(text_words(piece))
         for lang, words in seen.items():
             if not words:
                 continue
@@ -233,7 +276,7 @@ def kneser_ney(table, languages: list[str]) -> Model:
 
     def joined(parts: list, empty: float) -> tuple[np.ndarray, np.ndarray]:
         keys = np.unique(np.concatenate([h for _, h, _ in parts])) if parts else np.zeros(1, np.uint64)
-        table = np.full((len(keys), len(languages)), empty)
+        table = np.full((len(keys), len(languages)), empty, np.float32)
         for k, h, v in parts:
             table[np.searchsorted(keys, h), k] = v
         return keys, table
@@ -251,62 +294,76 @@ def kneser_ney(table, languages: list[str]) -> Model:
         gram = part["gram"].to_numpy().view(np.uint64)
         at = np.searchsorted(keys[n], gram)
         if n == 1:
-            full = np.broadcast_to(floor, (len(gram), len(languages)))
+            full = np.broadcast_to(floor.astype(np.float32), (len(gram), len(languages)))
         else:
             prefix, suffix = (part[c].to_numpy().view(np.uint64) for c in ("prefix", "suffix"))
-            full = rows_of(prefix, contexts[n - 1], backoff[n - 1], 0.0) + rows_of(suffix, keys[n - 1], logp[n - 1], floor)
+            full = rows_of(prefix, contexts[n - 1], backoff[n - 1], 0.0) + rows_of(suffix, keys[n - 1], logp[n - 1], floor.astype(np.float32))
         logp[n][at] = np.where(np.isnan(logp[n][at]), full, logp[n][at])
     return Model(languages, list(keys), list(logp), list(contexts), list(backoff), floor)
 
 
+def sampled(labelled: DataFrame, sample: int) -> DataFrame:
+    """(lang, text, held): about ``sample`` rows of each language, and whether a row is for calibration.
+
+    A row is taken if its hash is below a share of the range, so nothing is ranked; equal rows count once.
+    """
+    spark = labelled.sparkSession
+    usable = labelled.where("lang is not null and text is not null")
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row a language
+    shares = [(r["lang"], min(1.0, sample / r["n"]), min(r["n"], sample) >= HELD_LEAST) for r in sizes]
+    plan = small(spark.createDataFrame(shares, "lang string, share double, many boolean"), len(shares))
+    place = lambda salt: F.pmod(F.xxhash64("key", "lang", F.lit(salt)), F.lit(1 << 20)) / float(1 << 20)
+    chosen = usable.join(plan, "lang").where(place("taken") < F.col("share"))
+    return chosen.select("lang", "text", (F.col("many") & (place("held") < HELD)).alias("held")).dropDuplicates(["lang", "text"])
+
+
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of the languages in (lang, text, key), from at most ``sample`` documents of each in the order of key."""
-    ranked = labelled.where("lang is not null and text is not null").withColumn("hash", F.xxhash64("key", F.lit("lang")))
-    # Two steps, so that no task sorts a whole language: the least hashes of each part, then of all parts.
-    part = Window.partitionBy("lang", "part").orderBy("hash", "key")
-    whole = Window.partitionBy("lang").orderBy("hash", "key")
-    ids = (
-        ranked.select("lang", "key", "hash", F.pmod("hash", F.lit(64)).alias("part"))
-        .withColumn("rank", F.row_number().over(part))
-        .where(F.col("rank") <= sample)
-        .withColumn("rank", F.row_number().over(whole))
-        .where(F.col("rank") <= sample)
-        .select("lang", "key")
-        .distinct()
-    )
-    # At most ``sample`` rows a language; languages are a short list of codes.
-    chosen = ranked.join(F.broadcast(ids), ["lang", "key"], "left_semi").select("lang", "text")
+    """A model of the languages in (lang, text, key), from about ``sample`` documents of each by a hash of key."""
+    chosen = materialize(sampled(labelled, sample), "language-sample")
     # As Arrow and with codes for languages: rows as Python objects would take many times the memory.
-    table = gram_counts(chosen, ORDER).toArrow().to_pandas(split_blocks=True, self_destruct=True, categories=["lang"])
+    table = gram_counts(chosen.where("not held"), ORDER).toArrow().to_pandas(split_blocks=True, self_destruct=True, categories=["lang"])
     languages = sorted(table["lang"].unique())
     model = kneser_ney(table, languages)
     del table
     if languages:
         model.limits = calibrate(chosen, model)
+    release(chosen)
     return model
 
 
 def calibrate(sample: DataFrame, model: Model) -> np.ndarray:
-    """For each language the cross-entropy that a share REJECT_QUANTILE of its sample stays below, times a margin."""
+    """For each language the cross-entropy beyond which a text is rejected.
 
+    From the held rows, and from all rows of languages that are too few to hold any.
+    """
     shared = sample.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             model = shared.value
+            n = len(model.languages)
             entropy = model.cross_entropy(batch.column("text").to_pylist())
-            own = np.array([model.languages.index(x) for x in batch.column("lang").to_pylist()], int)
-            values = entropy[np.arange(len(own)), own] if len(own) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(values)], names=["lang", "value"])
+            known = pa.array(np.tile(np.array(model.languages, object), batch.num_rows), pa.string())
+            own = pa.array(np.repeat(batch.column("lang").to_numpy(zero_copy_only=False), n), pa.string())
+            yield pa.RecordBatch.from_arrays([known, pc.equal(known, own), pa.array(entropy.ravel())], names=["model", "own", "value"])
 
+    many = sample.groupBy("lang").agg(F.max("held").alias("many"))
+    languages = len(model.languages)
+    judged = sample.join(small(many, languages), "lang").where("held or not many").select("lang", "text")
     found = (
-        sample.mapInArrow(run, "lang string, value double")
+        judged.mapInArrow(run, "model string, own boolean, value double")
         .where("not isnan(value)")
-        .groupBy("lang")
-        .agg(F.percentile_approx("value", REJECT_QUANTILE, 10_000).alias("limit"))
+        .groupBy("model")
+        .agg(
+            F.percentile_approx(F.when(F.col("own"), F.col("value")), OWN_QUANTILE, 10_000).alias("own"),
+            F.percentile_approx(F.when(~F.col("own"), F.col("value")), OTHER_QUANTILE, 10_000).alias("other"),
+        )
     )
-    limits = {r["lang"]: r["limit"] * REJECT_MARGIN for r in found.collect()}
-    shared.unpersist()
+    limits = {}
+    for r in found.collect():
+        if r["own"] is not None:
+            limits[r["model"]] = max(r["own"] * MARGIN, (r["own"] + (r["other"] or 0.0)) / 2)
+    shared.destroy()
     return np.array([limits.get(x, np.inf) for x in model.languages])
 
 
