@@ -23,13 +23,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import in_order, materialize, slices
+from larkspur.llm.common import give_back, in_order, materialize, slices
 
 PRIMES = (2147483629, 2147483587)
 BASES = (1103515245, 1299709187)
 SPAN = 12
 BINS = 64
 EMPTY = 0xFFFF
+NONE = np.uint64((1 << 64) - 1)
+#: Bytes of texts that are hashed together.
+SLICE = 128 << 10
+#: Code points of a run: a longer text is hashed run by run, since prefix arrays take some hundred bytes a code point.
+RUN = 1 << 16
 DIGEST = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
     "near_edited double, near_next double, kept_prefix long"
@@ -90,13 +95,8 @@ class Prefixes:
             low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
         return low
 
-    def whole(self) -> np.ndarray:
-        """A row of two hashes for each text."""
-        rows = np.arange(len(self.length))
-        return np.stack([self.spans(rows, np.zeros_like(rows), self.length, k) for k in range(len(PRIMES))], axis=1)
-
-    def sketches(self) -> np.ndarray:
-        """A row of BINS least span hashes (16 bits of them) for each text; EMPTY where no span falls into the bin."""
+    def least(self) -> np.ndarray:
+        """A row for each text with the least hash of the spans that fall into each of BINS bins; NONE where none does."""
         n = len(self.length)
         size = np.minimum(SPAN, self.length)
         room = np.repeat(self.length - size, self.length)
@@ -110,10 +110,8 @@ class Prefixes:
         value *= np.uint64(0xBF58476D1CE4E5B9)
         value ^= value >> np.uint64(32)
         bins = (value >> np.uint64(58)).astype(np.int64)
-        least = np.full(n * BINS, np.iinfo(np.uint64).max, np.uint64)
-        np.minimum.at(least, text * BINS + bins, value)
-        out = np.minimum(least & np.uint64(0xFFFF), np.uint64(EMPTY - 1)).astype(np.uint16)
-        out[least == np.iinfo(np.uint64).max] = EMPTY
+        out = np.full(n * BINS, NONE, np.uint64)
+        np.minimum.at(out, text * BINS + bins, value)
         return out.reshape(n, BINS)
 
 
@@ -124,20 +122,71 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(filled > 0, same / np.maximum(filled, 1), 1.0)
 
 
-def strings(prefixes: Prefixes, sketches: np.ndarray) -> list[str]:
+def strings(length: np.ndarray, whole: np.ndarray, sketches: np.ndarray) -> list[str]:
     """Fingerprints as text: code points, hash of the whole, sketch, in hexadecimal."""
-    whole, raw = prefixes.whole(), np.ascontiguousarray(sketches.astype(">u2")).tobytes()
+    raw = np.ascontiguousarray(sketches.astype(">u2")).tobytes()
     width = 2 * BINS
     return [
         f"{n:x}-{a:08x}{b:08x}-{raw[i * width:(i + 1) * width].hex()}"
-        for i, (n, (a, b)) in enumerate(zip(prefixes.length.tolist(), whole.tolist()))
+        for i, (n, (a, b)) in enumerate(zip(length.tolist(), whole.tolist()))
     ]
 
 
+def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths, hashes of the wholes, and sketches (16 bits of each bin's least hash; EMPTY where no span falls into it).
+
+    A long text is cut into runs that overlap by a span but one. A span's hash doesn't depend on its place, so the least
+    ones are those of the whole; the whole's hash is the sum of the runs' by the power of their places.
+    """
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    least, whole = np.full((len(texts), BINS), NONE, np.uint64), np.zeros((len(texts), len(PRIMES)), np.uint64)
+
+    def take(parts: list[tuple[int, int]]) -> None:
+        rows = np.array([i for i, _ in parts])
+        prefixes = Prefixes([texts[i][at : at + RUN + SPAN - 1] for i, at in parts])
+        own = prefixes.least()
+        # The last run of a cut text may have no room for a span, and then none starts in it.
+        own[(length[rows] >= SPAN) & (prefixes.length < SPAN)] = NONE
+        np.minimum.at(least, rows, own)
+        size = np.minimum(prefixes.length, RUN)
+        for k, (base, prime) in enumerate(zip(BASES, PRIMES)):
+            value = prefixes.spans(np.arange(len(parts)), np.zeros(len(parts), np.int64), size, k)
+            place = np.array([pow(base, at, prime) for _, at in parts], np.uint64)
+            np.add.at(whole[:, k], rows, value * place % np.uint64(prime))
+
+    waiting: list[tuple[int, int]] = []
+    size = 0
+    for i, n in enumerate(length.tolist()):
+        for at in range(0, max(n, 1), RUN):
+            waiting.append((i, at))
+            size += min(n - at, RUN)
+            if size > 2 * RUN:
+                take(waiting)
+                waiting, size = [], 0
+    if waiting:
+        take(waiting)
+    sketches = np.minimum(least & np.uint64(0xFFFF), np.uint64(EMPTY - 1)).astype(np.uint16)
+    sketches[least == NONE] = EMPTY
+    return length, whole % np.array(PRIMES, np.uint64), sketches
+
+
 def fingerprint_batch(texts: list[str]) -> list[str]:
     """Fingerprints of texts."""
-    prefixes = Prefixes(texts)
-    return strings(prefixes, prefixes.sketches())
+    return strings(*hashed(texts))
+
+
+def common_starts(texts: list[str], others: list[str]) -> np.ndarray:
+    """The longest common extension of each text and its other from their starts, run by run."""
+    out = np.zeros(len(texts), np.int64)
+    left, at = np.arange(len(texts)), 0
+    while len(left):
+        for k in range(0, len(left), 64):
+            own, other = (Prefixes([x[i][at : at + RUN] for i in left[k : k + 64]]) for x in (texts, others))
+            rows = np.arange(len(own.length))
+            out[left[k : k + 64]] += own.common_extension(rows, np.zeros_like(rows), other, rows, np.zeros_like(rows))
+        at += RUN
+        left = left[out[left] == at]
+    return out
 
 
 def edited(text: str, after: str) -> str:
@@ -150,15 +199,13 @@ def digests(ids: list, texts: list[str]) -> pa.RecordBatch:
     """DIGEST rows of all but the last text, each followed by the next."""
     n = len(texts) - 1
     changed = [edited(a, b) for a, b in zip(texts, texts[1:])]
-    own, new = Prefixes(texts), Prefixes(changed)
-    own_sketch, new_sketch = own.sketches(), new.sketches()
-    rows, zero = np.arange(n), np.zeros(n, np.int64)
+    (length, own, own_sketch), (new_length, new, new_sketch) = hashed(texts), hashed(changed)
     columns = [
-        pa.array(ids[:n], pa.int64()), pa.array(own.length[:n]),
+        pa.array(ids[:n], pa.int64()), pa.array(length[:n]),
         pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in changed], pa.string()),
-        pa.array(strings(own, own_sketch)[:n], pa.string()), pa.array(strings(new, new_sketch), pa.string()),
+        pa.array(strings(length[:n], own, own_sketch), pa.string()), pa.array(strings(new_length, new, new_sketch), pa.string()),
         pa.array(likeness(own_sketch[:n], new_sketch)), pa.array(likeness(own_sketch[:n], own_sketch[1:])),
-        pa.array(own.common_extension(rows, zero, new, rows, zero)),
+        pa.array(common_starts(texts[:n], changed)),
     ]
     return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in DIGEST.split(", ")])
 
@@ -174,7 +221,7 @@ def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(head + made.columns, names=["part", "first_text", "last_text", *made.schema.names])
 
     for batch in batches:
-        for some in slices(batch):
+        for some in slices(batch, most=SLICE):
             ids = some.column("doc_id").to_pylist()
             texts = [x or "" for x in some.column("text").to_pylist()]
             if first is None:
@@ -188,6 +235,7 @@ def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if first is not None:
         made = digests([held_id], [held_text, ""])
         yield rows(made, [first], [held_text])
+    give_back()
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
