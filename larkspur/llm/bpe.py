@@ -27,7 +27,7 @@ BUCKETS = (2, 4, 8, 16, 32, 64, 128, 256)
 #: Cells of one matrix.
 CELLS = 1 << 19
 #: Chunks that a worker remembers before it starts anew, and the longest chunk that it remembers.
-MEMORY = 400_000
+MEMORY = 120_000
 MEMORY_CHARS = 64
 NONE = np.int64(1) << 40
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

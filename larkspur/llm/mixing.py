@@ -116,7 +116,7 @@ def cutoffs(slim: DataFrame, plan: DataFrame) -> DataFrame:
     for start, length in ((1, DIGITS), (DIGITS + 1, DIGITS), (2 * DIGITS + 1, 32)):
         level = materialize(boundary(rows, level, start, length), "cutoffs")
         digits = start + length - 1
-        inside = F.broadcast(level.select("at", F.col("prefix").alias("own")))  # one row a source
+        inside = small(level.select("at", F.col("prefix").alias("own")), level.count())  # one row a source
         rows = slim.join(inside, "at").where(F.substring("key", 1, digits) == F.col("own")).drop("own")
     # "~" is above every hex digit; without the last group the cutoff is just below it.
     taken = F.col("words") < 2 * F.col("rest")
@@ -167,7 +167,6 @@ def split(nodes: DataFrame, level: int, seed: str) -> DataFrame:
 
     def draw(state: Column, x: Column) -> Column:
         left = hypergeometric(state["total"], x["n"], state["drawn"], x["u"])
-        # The struct is made of the one draw, so that it is worked out once.
         # Bound by an array of one, so that the draw is worked out once.
         def halves(k: Column) -> Column:
             pair = [F.struct(F.lit(side).alias("side"), x["at"].alias("at"), n.alias("n")) for side, n in ((0, k), (1, x["n"] - k))]

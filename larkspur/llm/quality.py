@@ -234,8 +234,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
-    # At most ``sample`` rows of two numbers.
-    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    # At most ``sample`` rows of two numbers. Of several texts of one id the one of the least MD5 is taken.
+    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.md5("text")).alias("text"))
     rows = with_statistics(own, ("doc_id", "label")).toPandas().sort_values("doc_id")
     return rows[[f"stat_{s}" for s in STATISTICS]].to_numpy(float), rows["label"].to_numpy(float)
 
