@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -161,10 +162,11 @@ def near_copies():
     return texts + [texts[0], texts[0].upper(), "a b c", "A, b. c", "", None]
 
 
-@pytest.mark.parametrize("chunk", [8, 512])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, few", [(8, 8), (8, 0), (512, 10**6), (512, 8)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, chunk, few):
     monkeypatch.setattr(near_duplicates, "CHUNK", chunk)
-    monkeypatch.setattr(near_duplicates, "EXACT_CHUNK", chunk)
+    monkeypatch.setattr(near_duplicates, "EXACT", 8)
+    monkeypatch.setattr(near_duplicates, "FEW", few)
     texts = near_copies()
     links = links_by_force(texts)
     label, count = classes_by_force(len(texts), links), Counter(i for pair in links for i in pair)
@@ -173,6 +175,29 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, chunk):
     assert found == {i: (label[i], count[i]) for i in range(len(texts))}
 
 
+def test_near_duplicates_in_one_component(spark):
+    assert near_duplicates.EXACT >= 66  # then a group of 66 is one unit
+    texts = near_copies()
+    links = links_by_force(texts)
+    label, count = classes_by_force(len(texts), links), Counter(i for pair in links for i in pair)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert keyed(near_duplicates.near_duplicate_table(df), "class_id", "n_links") == {i: (label[i], count[i]) for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("piece", [7, 64, 1 << 18])
+def test_word_hashes_in_pieces(monkeypatch, piece):
+    monkeypatch.setattr(near_duplicates, "PIECE", piece)
+    random.seed(6)
+    texts = ["".join(random.choices(["a", "B", "é", " ", ".", "xyz", "\n", "0"], k=random.randint(0, 40))) for _ in range(200)] + ["w" * 500, "", "tail"]
+    raw = [x.encode() for x in texts]
+    offsets = np.cumsum([0, *map(len, raw)])
+    found, owner = near_duplicates.word_hashes(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    want = [(i, w) for i, x in enumerate(texts) for w in common.words(x)]
+    assert owner.tolist() == [i for i, _ in want]
+    # Equal words have equal hashes, others others.
+    assert len(set(zip(found.tolist(), (w for _, w in want)))) == len(set(found.tolist())) == len({w for _, w in want})
+
+
 def test_near_duplicate_edge_cases(spark):
     rows = near_duplicates.near_duplicate_table(odd(spark)).collect()
     assert len(rows) == len(ROWS)
@@ -348,6 +373,46 @@ def test_quality_edge_cases(spark):
     assert quality.quality_table(odd(spark), labels.where("false")).count() == len(ROWS)
 
 
+def test_statistics_equal_plain_counts():
+    import pyarrow as pa
+
+    random.seed(21)
+    alphabet = [*"abzAZ059 .,!|*#\n\t-é中", "Word", "the the", "\n\n", "  "]
+    texts = ["".join(random.choices(alphabet, k=random.randint(1, 60))) for _ in range(300)]
+    table = quality.statistics(pa.array(texts))
+    at = {name: i for i, name in enumerate(quality.STATISTICS)}
+    for text, row in zip(texts, table):
+        n = len(text)
+        share = lambda chars: sum(c in chars for c in text) / n
+        found = re.findall(r"[^ \t\n\x0b\x0c\r]+", text)
+        sizes = [len(w.encode()) for w in found]
+        want = {
+            "n_chars": n, "n_words": len(found), "upper_share": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "digit_share": share("0123456789"),
+            "punct_share": share(".,;:'\"()-?"), "mark_share": share("!"), "bar_share": share("|"), "symbol_share": share("*#"),
+            "other_share": sum(ord(c) > 127 for c in text) / n, "blank_share": share(" \t\n"), "line_chars": n / (text.count("\n") + 1),
+            "repeated_lines": 1 - len(set(text.split("\n"))) / len(text.split("\n")), "longest_word": max(sizes, default=0),
+            "word_chars": sum(map(len, found)) / max(len(found), 1),
+            "repeats": 1 - len({(w.encode()[:8], len(w.encode())) for w in found}) / len(found) if found else 0,
+            "upper_words": sum(2 * sum(c.isascii() and c.isupper() for c in w) > len(w.encode()) for w in found) / max(len(found), 1),
+        }
+        assert {k: pytest.approx(float(v)) for k, v in want.items()} == {k: row[at[k]] for k in want}, text
+    assert set(want) == set(quality.STATISTICS)
+
+
+def test_rule_columns_equal_plain_rules(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.train(docs, labels)
+    names = [f"stat_{s}" for s in quality.STATISTICS]
+    rows = quality.with_statistics(docs).select("doc_id", *names, model.column().alias("score")).collect()
+    assert model.rules
+    for r in rows:
+        total = model.bias
+        for rule, weight in model.rules:
+            if all(r[names[j]] <= cut if low else r[names[j]] > cut for j, low, cut in rule):
+                total += weight
+        assert r.score == pytest.approx(1 / (1 + np.exp(-total)))
+
+
 def test_statistics_by_hand():
     import pyarrow as pa
 
@@ -386,6 +451,68 @@ def test_language_learns_and_scores_whole_texts(spark):
     assert found[1][1] == pytest.approx(found[1][0]) and found[1][0] > 0.9
 
 
+def kneser_ney_by_force(texts, order=langid.ORDER, discount=langid.DISCOUNT):
+    """A function of (character, characters before it in its word) that gives the interpolated probability, from plain counts."""
+    grams = [Counter() for _ in range(order + 1)]
+    for text in texts:
+        for word in langid.text_words(text):
+            for n in range(1, order + 1):
+                for i in range(max(1, n - 1), len(word)):
+                    grams[n][word[i - n + 1 : i + 1]] += 1
+    value = [Counter() for _ in range(order + 1)]
+    for n in range(1, order + 1):
+        kinds = Counter(g[1:] for g in grams[n + 1]) if n < order else Counter()
+        for g, count in grams[n].items():
+            value[n][g] = kinds[g] or count  # what begins a word has nothing before it: its count stays
+    letters = len(value[1])
+
+    def p(c, before):
+        if not before:
+            total = sum(value[1].values())
+            below = 1 / (letters + 1)
+            return max(value[1][c] - discount, 0) / total + discount * letters / total * below if value[1][c] else discount * letters / total * below
+        n = len(before) + 1
+        after = [v for g, v in value[n].items() if g[:-1] == before]
+        if not after:
+            return p(c, before[1:])
+        return max(value[n][before + c] - discount, 0) / sum(after) + discount * len(after) / sum(after) * p(c, before[1:])
+
+    return p
+
+
+def test_language_scores_equal_brute_force(spark):
+    texts = {"xx": ["abab abc bca cab aab", "caba Bac"], "yy": ["zz zy yz azz", "yzzy z"]}
+    rows = [(lang, t, f"{lang}{i}") for lang, own in texts.items() for i, t in enumerate(own)]
+    model = langid.train(spark.createDataFrame(rows, "lang string, text string, key string"))
+    for k, lang in enumerate(model.languages):
+        p = kneser_ney_by_force(texts[lang])
+        for text in ("abc", "zzz q", "cab yz Ab", "é1a"):
+            total = chars = 0
+            for word in langid.text_words(text):
+                for i in range(1, len(word)):
+                    total -= np.log(p(word[i], word[max(0, i - langid.ORDER + 1) : i]))
+                    chars += 1
+            assert model.cross_entropy([text])[0, k] == pytest.approx(total / chars, rel=1e-5)
+
+
+def test_language_pieces_change_nothing(spark, monkeypatch):
+    model = langid.train(spark.createDataFrame([("xx", "abab abc bca cab aab", "1"), ("yy", "zz zy yz", "2")], "lang string, text string, key string"))
+    texts = ["abc zy " * 50, "a" * 40 + " zz", "", None, "1 2 3", "ab"]
+    whole = model.cross_entropy(texts)
+    monkeypatch.setattr(langid, "PIECE", 5)
+    assert np.allclose(model.cross_entropy(texts), whole, equal_nan=True)
+
+
+def test_language_rejects_by_calibrated_limits(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = langid.language_table(docs).where("held_out")
+    assert found.where("rejected and lang_pred != 'und'").count() <= 0.01 * found.count()
+    model = langid.train(langid.learnable(docs))
+    foreign = ["Tämä on suomenkielinen lause, joka kertoo kissasta ja koirasta metsässä.", "To jest zdanie po polsku o kocie i psie w lesie.",
+               "Это предложение на русском языке о кошке и собаке.", "xkqz wvbn plmt rrtg hhjk zzxc qwpo"]
+    assert model.predict(foreign)[3].all()
+
+
 def test_kneser_ney_sums_to_one(spark):
     df = spark.createDataFrame([("xx", "abab abc bca cab aab", "1"), ("yy", "zz zy yz", "2")], "lang string, text string, key string")
     model = langid.train(df)
@@ -416,7 +543,6 @@ def test_token_files_equal_library(spark, docs):
 
     path = queries.vocabulary("byte_bpe_50k.json")[0]
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     for df in (docs, odd(spark)):
         rows = sorted(df.collect(), key=in_order)
         found = sorted(token_files.token_table(df, path).collect(), key=lambda r: r.start)
@@ -468,9 +594,72 @@ def test_top_k_edge_cases(spark):
     assert topk.top_k_table(df.where("false")).count() == 0
 
 
+def test_top_k_across_units_and_at_the_ends_of_64_bits(spark, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 8), ("QUERY_ROWS", 2), ("SHARE_BLOCKS", 2)):
+        monkeypatch.setattr(topk, name, value)
+    random.seed(14)
+    rows = [(i, [random.gauss(0, 1) * random.choice((1, 1, 100, 1e6)) for _ in range(5)]) for i in range(300)]
+    rows += [(400 + i, [random.choice((-1e30, 1e30, 1e17, -3e16, 0.0)) for _ in range(5)]) for i in range(60)]
+    rows += [(0, [1.0, 2.0, 3.0, 4.0, 5.0]), (0, [0.0, 2.0, 3.0, 4.0, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    end = 1 << 63
+    whole = [(i, [min(max(int(np.floor(256 * x)), -end), end - 1) for x in v]) for i, v in rows]
+    asked = {}
+    for (i, v), (_, raw) in zip(whole, rows):
+        if i % 50 == 0 and (i not in asked or raw < asked[i][0]):
+            asked[i] = raw, v
+    want = []
+    for q, (_, v) in asked.items():
+        scored = sorted((-min(max(sum(a * b for a, b in zip(v, w)), -end), end - 1), i) for i, w in whole if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+    assert sorted(map(tuple, topk.top_k_table(df).collect())) == sorted(want)
+
+
 # Fingerprints
 
 
+def fingerprint_by_force(text):
+    """The number of code points, two hashes of the whole, and the least span hash of each bin, one span at a time."""
+    mask = (1 << 64) - 1
+    whole = [sum((ord(c) + 1) * pow(base, i, prime) for i, c in enumerate(text)) % prime for base, prime in zip(fingerprints.BASES, fingerprints.PRIMES)]
+    base, prime = fingerprints.BASES[0], fingerprints.PRIMES[0]
+    size = min(fingerprints.SPAN, len(text))
+    least = {}
+    for at in range(len(text) - size + 1 if text else 0):
+        x = sum((ord(c) + 1) * pow(base, i, prime) for i, c in enumerate(text[at : at + size])) % prime + 1
+        x ^= x << 31 & mask
+        x = x * 0x9E3779B97F4A7C15 & mask
+        x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 32
+        least[x >> 58] = min(least.get(x >> 58, mask), x)
+    sketch = [min(least[k] & 0xFFFF, 0xFFFE) if k in least else 0xFFFF for k in range(fingerprints.BINS)]
+    return f"{len(text):x}-{whole[0]:08x}{whole[1]:08x}-" + "".join(f"{x:04x}" for x in sketch), sketch
+
+
+def likeness_by_force(a, b):
+    filled = [k for k in range(len(a)) if a[k] != 0xFFFF or b[k] != 0xFFFF]
+    return sum(a[k] == b[k] for k in filled) / len(filled) if filled else 1.0
+
+
+@pytest.mark.parametrize("run", [16, 50, 1 << 16])
+def test_fingerprints_equal_brute_force(spark, monkeypatch, run):
+    monkeypatch.setattr(fingerprints, "RUN", run)
+    random.seed(11)
+    texts = ["".join(random.choices("ab é😀\n", k=n)) for n in (0, 1, 11, 12, 13, 15, 16, 17, 27, 28, 32, 48, 60, 100, 300)] + ["x" * 200, None]
+    random.shuffle(texts)
+    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, fingerprint string").repartition(3)
+    found = sorted(fingerprints.fingerprint_table(df).collect(), key=lambda r: r.doc_id)
+    texts = [t or "" for t in texts]
+    for r, a, b in zip(found, texts, texts[1:] + texts[:1], strict=True):
+        half = len(a) // 2
+        changed = a[: len(a) - half] + b[:half]
+        (own, sketch), (new, new_sketch), (_, after) = map(fingerprint_by_force, (a, changed, b))
+        assert (r.n_chars, r.fingerprint, r.edited_fingerprint) == (len(a), own, new)
+        assert r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+        assert r.near_edited == pytest.approx(likeness_by_force(sketch, new_sketch)) and r.near_next == pytest.approx(likeness_by_force(sketch, after))
+        assert r.kept_prefix == len(os.path.commonprefix([a, changed]))
+
+
 def test_fingerprints_equal_direct_computation(spark, docs):
     for df in (docs.repartition(3), odd(spark)):
         rows = sorted(df.collect(), key=in_order)
@@ -537,28 +726,136 @@ def test_html_article_and_differencing(spark):
     assert html_text.extract_table(df.where("false")).count() == 0
 
 
+def text_of(page, *near):
+    return html_text.main_text(html_text.page_lines(page), list(near))[0]
+
+
 @pytest.mark.parametrize("mark", ["page with-sidebar", "search-results", "share-layout", "no-banner", "sidebar"])
 def test_html_classes_around_and_inside_an_article(mark):
     page = (
         f'<div class="{mark}"><p>Menu</p><article><h1>Head</h1><p class="related-work">Work</p><div class="ad">Buy</div></article><p>End</p></div>'
         '<div class="comments"><article><p>First!</p></article></div>'
     )
-    lines, main = html_text.page_lines(page)
-    assert [x for x, inside in zip(lines, main) if inside] == ["Head", "Work"]
+    assert text_of(page) == "Head Work"
+
+
+HTML_TEXTS = (
+    ("<head><title>t</title><body><p>hello", "hello"), ("<title>t</title><p>hello", "hello"),
+    ('<p data-class="ad">a</p><p data-id="menu">b</p><p id=menu>c</p>', "a b"),
+    ('<article><section class="related-work">work</section><p class="promo">ad<div>real</div></article>', "work real"),
+    ("<main>around<article>long article text</article></main><article>no</article>", "long article text"),
+    ("<article>post text here<article>a comment</article></article>", "post text here"),
+    ('<article>post<div class="comments"><p>c</p></div><footer>by</footer></article>', "post"),
+    ("<form><article>in a form</article></form><form>Search</form>", "in a form"),
+    ("wo<span hidden>x</span>rd a<b>b</b>c &lt;p&gt; &#0000065; &#x1F600; &#99999999999;", "word abc <p> A 😀 �"),
+    ("a < b <3 c<!-- x > y -->d<![CDATA[<e>]]></ x>f<br>g", "a < b <3 cd<e>f g"), ("text <a href='cut", "text"),
+    ("<ul><li class=ad>x<li>y<ul><li>z</ul></ul><table><tr class=ad><td>x<tr><td>w</table>", "y z w"),
+    ("<script>if (a</script>x<style>p{}</style><textarea><p>t</p></textarea><svg><text>s</text></svg>y", "xy"), ("", ""), (None, ""),
+    ('<p style="display: none">x</p><div role="navigation">m</div><div aria-label="cookie notice">n</div><p>y', "y"),
+    ('<div class="site-footer">f</div><div class="article-header">h</div><div class="top-menu">m</div>', "h"),
+)
 
 
-def test_longest_common_lines():
+@pytest.mark.parametrize("page, text", HTML_TEXTS)
+def test_html_structure(page, text):
+    assert text_of(page) == text
+
+
+def test_html_articles_of_the_test_pages(spark):
+    """The pages' articles as a plain parser of the standard library reads them."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.out = 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            if tag not in ("b", "a", "i", "em", "strong", "span"):
+                self.out.append(" ")
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            if tag not in ("b", "a", "i", "em", "strong", "span"):
+                self.out.append(" ")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.out.append(data)
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        parser = Article()
+        parser.feed(r.html or "")
+        parser.close()
+        want[r.page_id] = " ".join("".join(parser.out).split())
+    found = html_text.extract_table(pages).collect()
+    assert {r.page_id: r.text for r in found} == want
+    assert all(r.n_chars == len(r.text) for r in found)
+
+
+def difference_by_force(rows):
+    """(page_id, text) of pages of ``<p>`` lines that are told apart by their text alone."""
+    out = {}
+    hosts = {}
+    for i, url, lines in rows:
+        host, path = url.removeprefix("http://").split("/", 1)
+        hosts.setdefault(host, []).append(("/" + path, url, i, lines))
+    for own in hosts.values():
+        own.sort(key=lambda x: x[:3])
+        for k, (path, _, i, lines) in enumerate(own):
+            near = [own[j] for j in (k - 1, k + 1) if 0 <= j < len(own)]
+            near.sort(key=lambda x: -len(os.path.commonprefix([x[0], path])))
+            gone = [x for x in lines if near and x in near[0][3]]
+            if len(near) > 1 and 2 * sum(map(len, gone)) >= sum(map(len, lines)):
+                gone = [x for x in gone if x in near[1][3]]
+            out[i] = " ".join([x for x in lines if x not in gone] or lines)
+    return out
+
+
+def test_html_differencing_equals_brute_force(spark):
+    random.seed(8)
+    rows = []
+    for i in range(240):
+        host = random.choice(("a", "a", "a", "b", "c", f"h{i}"))
+        # Lines in alphabetic order, each once, so that common lines are one common subsequence.
+        own = [f"own {i} {k}" for k in range(random.randint(0, 4))] + [f"copied {host} {i // 7}"] * random.randint(0, 1)
+        lines = sorted({*random.sample([f"template {host} {k}" for k in range(8)], random.randint(0, 8)), *own})
+        rows.append((i, f"http://{host}/{random.choice('xy')}/{random.randint(0, 99)}", lines))
+    df = spark.createDataFrame([(i, url, "".join(f"<p>{x}" for x in lines)) for i, url, lines in rows], "page_id long, url string, html string")
+    found = html_text.extract_table(df.repartition(5)).collect()
+    assert {r.page_id: r.text for r in found} == difference_by_force(rows)
+    assert sum(r.n_shared > 0 for r in found) > 100
+    assert all(r.n_protected == r.n_marked == 0 for r in found)
+
+
+def test_html_odd_rows_and_long_pages(spark):
+    hostile = "<a " * 300_000, "<div>" * 100_000 + "</span>" * 100_000, '<a x=">" ' * 100_000, "<ul><li>" + "<b>" * 50_000 + "<li></li>" * 50_000, "&#" + "9" * 100_000
+    rows = [(i, "http://a/1", page, "l", 1) for i, page in enumerate(hostile)]
+    rows += [(None, "http://a/1", "<p>x", "l", 1), (None, "http://a/1", "<p>x", "l", 1), (7, None, None, "l", 1), (8, "http://b/", "<p>word " * 200_000, "l", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, lines string, part int").repartition(3)
+    found = html_text.extract_table(df).collect()
+    assert len(found) == len(rows)
+    assert [r.text for r in found if r.page_id is None] == ["x", "x"]
+    assert [r.n_chars for r in found if r.page_id == 8] == [200_000 * 5 - 1]
+
+
+def test_longest_common_lines(monkeypatch):
     random.seed(9)
     for _ in range(300):
-        a, b = random.choices("abcd", k=random.randint(0, 9)), random.choices("abcd", k=random.randint(0, 9))
+        a, b = random.choices("abcd", k=random.randint(0, 30)), random.choices("abcd", k=random.randint(0, 30))
         table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-        found = html_text.shared_lines(a, b)
-        assert sum(found) == table[-1][-1]
-        rest = iter(b)
-        assert all(x in rest for x, s in zip(a, found) if s)
+        for cells in (1 << 26, 8):  # in one table, and halved
+            monkeypatch.setattr(html_text, "CELLS", cells)
+            found = html_text.shared_lines(a, b)
+            assert sum(found) == table[-1][-1]
+            rest = iter(b)
+            assert all(x in rest for x, s in zip(a, found) if s)
 
 
 def test_html_same_for_any_partitioning(spark):
@@ -576,17 +873,57 @@ def test_html_same_for_any_partitioning(spark):
 # Pipeline
 
 
-def test_pipeline_stages(spark):
+def stages_of(spark, docs):
+    """(name, input rows, output) of each stage over docs."""
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("key", F.lit(1))
-    counts = []
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    for name, stage in corpus_pipeline.STAGES:
         out = common.materialize(stage(spark, docs, SF), "test")
-        assert out.columns == docs.columns
-        counts.append(out.count())
+        yield name, docs, out
         docs = out
-    final = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert final.count() == counts[-1] > 0
-    texts = [common.words(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    assert counts[2] <= len({tuple(t) for t in texts})
+
+
+def test_pipeline_stages_equal_brute_force(spark, vocabulary):
+    import tiktoken
+
+    path, pattern = vocabulary
+    known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("key", F.lit(1))
+    for name, before, out in stages_of(spark, docs):
+        rows, kept = before.collect(), out.collect()
+        if name != "byte-level BPE":
+            assert out.columns == docs.columns
+            assert {tuple(r) for r in kept} <= {tuple(r) for r in rows}
+        if name == "language ID":  # what has letters of a learned language stays
+            assert {r.doc_id for r in kept} == {r.doc_id for r in rows if langid.LETTERS(r.text or "")}
+        elif name == "quality classifier":
+            ids = {r.doc_id for r in kept}
+            judged = [(labels[r.doc_id] == 1) == (r.doc_id in ids) for r in rows if labels.get(r.doc_id) is not None]
+            assert len(judged) > 20 and sum(judged) >= 0.9 * len(judged)
+        elif name == "n-gram Jaccard join":
+            rows.sort(key=lambda r: r.doc_id)
+            classes = classes_by_force(len(rows), links_by_force([r.text for r in rows]))
+            assert sorted(r.doc_id for r in kept) == sorted({rows[k].doc_id for k in classes})
+        elif name == "mixing sources":
+            words = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in rows}
+            copies = Counter(r.doc_id for r in kept)
+            assert {(i, copies[i] * words[i]) for i in words} == {(key[0], key[4]) for key in mix_by_force(before)}
+        else:
+            found = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in kept)
+            want = Counter()
+            for r in rows:
+                ids = known.encode_ordinary(r.text or "")
+                want[r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()] += 1
+            assert found == want
+
+
+def test_pipeline_takes_odd_rows_and_none(spark):
+    rows = odd(spark).unionByName(spark.createDataFrame([(90 + i, f"some words of text number {i} in a plain sentence here", "en", "a", 0, "k", 0.5, "w") for i in range(5)], EXTRA))
+    ids = {r.doc_id for r in rows.collect()}
+    for name, before, out in stages_of(spark, rows):
+        if name != "byte-level BPE":
+            assert out.columns == rows.columns
+        assert {r.doc_id for r in out.collect()} <= ids
+    for _, _, out in stages_of(spark, empty(spark)):
+        assert out.count() == 0
