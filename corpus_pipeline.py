@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm import langid, quality
 from larkspur.llm.bpe import bpe_digests
-from larkspur.llm.common import materialize, release
+from larkspur.llm.common import by_place, materialize, release
 from larkspur.llm.mixing import mix
 from larkspur.llm.near_duplicates import drop_near_duplicates
 from larkspur.llm.queries import vocabulary
@@ -22,14 +22,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents in a learned language; those without a letter or unlike all languages go."""
     ship(spark)
     model = langid.train(langid.learnable(docs))
-    return langid.identify(docs, model, tuple(docs.columns)).where("not rejected").select(*docs.columns)
+    return by_place(docs, lambda rows: langid.identify(rows, model, tuple(rows.columns)).where("not rejected"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules score 0.5 or more."""
     ship(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score_quality(docs, model, tuple(docs.columns)).where("predicted = 1").select(*docs.columns)
+    return by_place(docs, lambda rows: quality.score_quality(rows, model, tuple(rows.columns)).where("predicted = 1"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
