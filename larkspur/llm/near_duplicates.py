@@ -488,8 +488,9 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .join(wanted, "near_key")
         .where(F.col("doc_id").eqNullSafe(F.col("rep_id")))
         .select(F.col("near_key").alias("key"), "text")
+        .dropDuplicates(["key"])  # also parts the two Python steps, so that a task has one worker at a time
     )
-    sets = materialize(with_shingles(texts).groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
+    sets = materialize(with_shingles(texts), "sets")
     columns = ("key", "signature", "copies", "shingles")
     units = members.where(F.col("members") <= EXACT).join(sets, "key").select(F.xxhash64("root").alias("unit"), F.lit(0).alias("side"), *columns)
     found = by_unit(units, columns, link_forests, LINKS)
