@@ -307,13 +307,15 @@ def sampled(labelled: DataFrame, sample: int) -> DataFrame:
 
     A row is taken if its hash is below a share of the range, so nothing is ranked; equal rows count once.
     """
-    spark = labelled.sparkSession
     usable = labelled.where("lang is not null and text is not null")
     sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row a language
-    shares = [(r["lang"], min(1.0, sample / r["n"]), min(r["n"], sample) >= HELD_LEAST) for r in sizes]
-    plan = small(spark.createDataFrame(shares, "lang string, share double, many boolean"), len(shares))
+    if not sizes:
+        return usable.select("lang", "text", F.lit(False).alias("held"))
+    table = lambda value: F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], value(r["n"]))])
+    share = F.try_element_at(table(lambda n: min(1.0, sample / n)), F.col("lang"))
+    many = F.try_element_at(table(lambda n: min(n, sample) >= HELD_LEAST), F.col("lang"))
     place = lambda salt: F.pmod(F.xxhash64("key", "lang", F.lit(salt)), F.lit(1 << 20)) / float(1 << 20)
-    chosen = usable.join(plan, "lang").where(place("taken") < F.col("share"))
+    chosen = usable.where(place("taken") < share).withColumn("many", many)
     return chosen.select("lang", "text", (F.col("many") & (place("held") < HELD)).alias("held")).dropDuplicates(["lang", "text"])
 
 
