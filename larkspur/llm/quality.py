@@ -10,6 +10,8 @@ The statistics of a text come from one vectorised pass over its bytes. Documents
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -192,14 +194,19 @@ class RuleModel:
     rules: list[tuple[Rule, float]]
 
     def column(self) -> Column:
-        """The probability of label 1 as an expression over the columns ``stat_*``."""
-        total = F.lit(self.bias)
+        """The probability of label 1 as an expression over the columns ``stat_*``.
+
+        Weights are added up pairwise: the plan of a sum one after another is as deep as there are rules, and the driver's
+        work on it grows with their square.
+        """
+        parts = [F.lit(self.bias)]
         for rule, weight in self.rules:
-            holds = F.lit(True)
-            for j, low, cut in rule:
-                stat = F.col(f"stat_{STATISTICS[j]}")
-                holds = holds & ((stat <= cut) if low else (stat > cut))
-            total = total + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
+            stats = [(F.col(f"stat_{STATISTICS[j]}"), low, cut) for j, low, cut in rule]
+            holds = reduce(and_, [(stat <= cut) if low else (stat > cut) for stat, low, cut in stats])
+            parts.append(F.when(holds, F.lit(weight)).otherwise(F.lit(0.0)))
+        while len(parts) > 1:
+            parts = [a + b for a, b in zip(parts[::2], parts[1::2])] + parts[len(parts) // 2 * 2 :]
+        total = parts[0]
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
