@@ -72,7 +72,9 @@ def roll_ups(events: DataFrame, ts: str, value: Column, seconds: tuple[int, ...]
 
 
 JOB_ROW = "job long, state string, errors long, events long"
-JOB_STATE = "state string, errors long, events long"
+JOB_STATE = "state string, errors long, events long, at long, seq long"
+#: Before every time and number.
+LEAST = -(1 << 63)
 
 
 def job_machine(events: DataFrame, patience: str | None = None) -> DataFrame:
@@ -80,29 +82,28 @@ def job_machine(events: DataFrame, patience: str | None = None) -> DataFrame:
 
     assign makes a job ongoing, complete completed, requeue queued again, error failed. With a patience (a duration; events then need
     a watermark on ts), a job that is ongoing when the watermark has passed its last event by that much has lost its worker
-    and is queued again. Events of a job are taken in the order of (ts, seq) within a batch.
+    and is queued again. The event of the greatest (ts, seq) decides, whatever batch it comes in: one that comes after a later
+    one is counted alone. A null ts or seq is before all others.
     """
     import pandas as pd
 
     wait = None if patience is None else int(pd.Timedelta(patience).total_seconds() * 1000)
 
     def step(key, rows, state):
-        now, errors, seen = state.get if state.exists else ("queued", 0, 0)
+        now, errors, seen, at, seq = state.get if state.exists else ("queued", 0, 0, LEAST, LEAST)
         if state.hasTimedOut:
             now = "queued" if now == "ongoing" else now
         else:
-            last = None
             for part in rows:
                 errors += int((part["kind"] == "error").sum())
                 seen += len(part)
-                top = part.sort_values(["ts", "seq"]).iloc[-1]
-                if last is None or (top["ts"], top["seq"]) >= last[:2]:
-                    last = top["ts"], top["seq"], top["kind"]
-            now = NEXT_STATE.get(last[2], "queued")
-            if wait is not None:
-                if now == "ongoing":
-                    state.setTimeoutTimestamp(max(int(last[0].timestamp() * 1000), state.getCurrentWatermarkMs()) + wait)
-        state.update((now, errors, seen))
+                top = part.sort_values(["ts", "seq"], na_position="first").iloc[-1]
+                own = (LEAST if pd.isna(top["ts"]) else round(top["ts"].timestamp() * 1e6), LEAST if pd.isna(top["seq"]) else int(top["seq"]))
+                if own >= (at, seq):
+                    (at, seq), now = own, NEXT_STATE.get(top["kind"], "queued")
+            if wait is not None and now == "ongoing":
+                state.setTimeoutTimestamp(max(at // 1000, state.getCurrentWatermarkMs()) + wait)
+        state.update((now, errors, seen, at, seq))
         yield pd.DataFrame({"job": [key[0]], "state": [now], "errors": [errors], "events": [seen]})
 
     rows = events.select(F.col("job").cast("bigint").alias("job"), "kind", "ts", "seq")

@@ -62,6 +62,14 @@ def test_job_machine_goes_on_after_a_restart(spark, tmp_path):
     assert again == [(1, "error", 2, 5), (2, "completed", 0, 2), (3, "ongoing", 0, 1)]
 
 
+def test_an_older_batch_that_comes_later_is_counted_alone(spark, tmp_path):
+    stream, put = job_files(spark, tmp_path, [(1, "requeue", 3)])
+    folder = str(tmp_path / "out")
+    assert list(map(tuple, streams.run_updates(streams.job_machine(stream), "job", folder).collect())) == [(1, "queued", 0, 1)]
+    put(1, [(1, "assign", 0), (1, "error", 2)])
+    assert list(map(tuple, streams.run_updates(streams.job_machine(stream), "job", folder).collect())) == [(1, "queued", 1, 3)]
+
+
 def test_lost_workers_jobs_are_queued_again(spark, tmp_path):
     stream, _ = job_files(spark, tmp_path, [(1, "assign", 0), (2, "assign", 0), (2, "complete", 1)], [(3, "assign", 40)], [(3, "complete", 41)])
     machine = streams.job_machine(stream.withWatermark("ts", "1 minute"), "10 minutes")
