@@ -1,5 +1,7 @@
 """Streams whose results go to files."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,7 @@ def job_files(spark, tmp_path, *batches):
     def put(number, rows):
         lines = [f'{{"job": {job}, "kind": "{kind}", "ts": "2024-01-01T00:{minute:02d}:00Z", "seq": {i}}}' for i, (job, kind, minute) in enumerate(rows)]
         (source / f"{number}.json").write_text("\n".join(lines))
+        os.utime(source / f"{number}.json", (1_700_000_000 + number,) * 2)  # files reach a stream in the order of their times
 
     for i, rows in enumerate(batches):
         put(i, rows)
