@@ -128,6 +128,16 @@ def word_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
     return spans.where(F.col("part").rlike(r"\S")).select(key, F.lower("part").alias("word"), (F.col("stop") - F.length("part")).alias("start"), "stop")
 
 
+def dictionary_hits(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(doc_id, hits): how many words of (doc_id, words) are in a dictionary (word); documents without hits have 0.
+
+    Words are counted within their document before they shuffle.
+    """
+    counts = docs.select("doc_id", F.explode("words").alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    hits = counts.join(dictionary.select("word").distinct(), "word").groupBy("doc_id").agg(F.sum("n").alias("hits"))
+    return docs.select("doc_id").distinct().join(hits, "doc_id", "left").select("doc_id", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
 def match_spots(tokens: DataFrame, titles: DataFrame, most: int = 5, least_chars: int = 3) -> DataFrame:
     """(doc_id, start, n, spot, title): the longest dictionary match at each start of (doc_id, words); overlaps stay.
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.functions import text
-from larkspur.operators import graph, kb, linker, sentiment, tables
+from larkspur.operators import automata, graph, kb, linker, sentiment, tables
 from larkspur.plans.common import Registry, table
 
 REGISTRY = Registry()
 
 # A small word list of one language, and stop words.
 WORD_LIST = ("the", "of", "and", "to", "in", "is", "that", "was", "for", "on", "are", "with", "as", "be", "by")
+#: Documents that must have a word before it counts as the language's.
+LIST_LEAST = 20
 STOPWORDS = ("the", "of", "and", "to", "in", "a", "is")
 TOKENS = "list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> '')"
 
@@ -84,26 +86,6 @@ def stopword_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(words, " ").alias("words"))
 
 
-TWEETS = (
-    (1, "RT @anna: Look at #Spark and #RT http://t.co/abc"),
-    (2, "Buongiorno  a tutti #Roma #roma #ciao"),
-    (3, "RT @b: " + "parola " * 20 + "trimm…"),
-    (4, ""),
-)
-
-
-@REGISTRY.add()
-def hashtags_inline(spark, sf_dir):
-    """Hashtags of fixed tweets."""
-    return spark.createDataFrame(TWEETS, "id int, text string").select("id", F.array_join(text.hashtags(F.col("text")), ",").alias("tags"))
-
-
-@REGISTRY.add()
-def sanitize_inline(spark, sf_dir):
-    """Cleaned fixed tweets."""
-    return spark.createDataFrame(TWEETS, "id int, text string").select("id", text.sanitize(F.col("text")).alias("clean"))
-
-
 @REGISTRY.add(r"""
 select doc_id, array_to_string(list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(t, '#(\w+)', 1), lambda x: lower(x))), lambda x: x <> 'rt')), ',') as tags
 from (select doc_id, regexp_replace(text, '([.] )(\w)', '\1#\2', 'g') as t from documents)
@@ -132,19 +114,23 @@ def sanitized_documents(spark, sf_dir):
 
 @REGISTRY.add(f"""
 with t as (select doc_id, lang, {TOKENS} as words, list_distinct(regexp_extract_all(text, '[a-z]+[.]')) as tags from documents where text is not null),
-c as (select *, len(words) as total, len(list_filter(words, lambda w: w in ({listed(WORD_LIST)}))) as hits from t)
-select doc_id from c where lang = 'en' and (case when total <= 4 then hits >= 3 else hits > total / 2 end) and len(tags) > 1
+o as (select doc_id, unnest(words) as word from t),
+l as (select word from o where doc_id in (select doc_id from t where lang = 'en') group by word having count(distinct doc_id) >= {LIST_LEAST}),
+h as (select doc_id, count(*) as hits from o join l using (word) group by doc_id),
+c as (select *, len(words) as total from t left join h using (doc_id))
+select doc_id from c where lang = 'en' and (case when total <= 4 then coalesce(hits, 0) >= 3 else coalesce(hits, 0) > total / 2 end) and len(tags) > 1
 """)
 def interesting_documents(spark, sf_dir):
-    """The four-part filter of tweets over documents; ends of sentences stand for hashtags."""
-    words = text.tokens(F.col("text"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", words.alias("words"))
-    hits = F.size(F.filter("words", lambda w: w.isin(*WORD_LIST)))
+    """The four-part filter of tweets over documents. The word list has what enough English documents have; sentence ends stand for hashtags."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", "lang", text.tokens(F.col("text")).alias("words"))
+    known = docs.where("lang = 'en'").select("doc_id", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    hits = kb.dictionary_hits(docs, known.where(F.col("n") >= LIST_LEAST).select("word"))
     tags = F.array_distinct(F.regexp_extract_all("text", F.lit("([a-z]+[.])"), 1))
-    rows = rows.select("doc_id", "text", "lang", hits.alias("hits"), F.size("words").alias("total"), tags.alias("tags"))
+    rows = docs.select("doc_id", "text", "lang", F.size("words").alias("total"), tags.alias("tags")).join(hits, "doc_id")
     return rows.where(text.interesting(F.col("text"), F.col("lang"), "en", F.col("hits"), F.col("total"), F.col("tags"))).select("doc_id")
 
 
+
 ANCHORS = """
 select page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>([^<]*)</a>', 1)) as href,
   unnest(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>([^<]*)</a>', 2)) as anchor from pages
@@ -244,20 +230,36 @@ def dense_node_ids(spark, sf_dir):
     return graph.numbered(terms, "term", base=graph.PAGE_OFFSET).select("term", F.col("id").cast("long").alias("id"))
 
 
+#: Lengths of the titles that begin at the words of an item, in turn.
+TITLE_WORDS = ((1, 3, 6), (2, 4), (6,))
+
+
 @REGISTRY.add(f"""
 with v as (select {TOKENS} as w from benchmark),
-b as (select distinct array_to_string(w[i:i+2], ' ') as title from (select w, unnest(range(1, len(w) - 1)) as i from v)),
+b as (
+  select distinct array_to_string(w[i:i + n - 1], ' ') as title, n
+  from (select w, i, unnest(case i % 3 when 0 then [1, 3, 6] when 1 then [2, 4] else [6] end) as n from (select w, unnest(range(1, len(w) + 1)) as i from v))
+  where i + n - 1 <= len(w)),
+t as (
+  select title, array_to_string(string_split(title, ' ')[1:5], ' ') as spot, true as near from b where n = 6
+  union all select title, title, false from b where n <= 5),
+k as (select spot, arg_min(title, (near, title)) as title from t where length(spot) >= 3 group by spot),
 w as (select doc_id, {TOKENS} as words from documents),
 g as (
 """ + " union all ".join(f"select doc_id, i - 1 as start, {n} as n, array_to_string(words[i:i+{n - 1}], ' ') as spot from (select doc_id, words, unnest(range(1, len(words) - {n - 2})) as i from w)" for n in range(1, 6)) + """
-), m as (select g.*, row_number() over (partition by doc_id, start order by n desc) r from g join b on g.spot = b.title where length(spot) >= 3)
-select doc_id, start::int as start, n::int as n, spot from m where r = 1
+), m as (select g.*, k.title, row_number() over (partition by doc_id, start order by n desc) r from g join k on g.spot = k.spot)
+select doc_id, start::int as start, n::int as n, spot, title from m where r = 1
 """)
 def spot_match(spark, sf_dir):
+    """Titles of one to six words from every item; the longest at each word, five words standing for a title of six."""
     items = table(spark, sf_dir, "benchmark").select(text.tokens(F.col("text")).alias("words"))
-    titles = kb.following_words(items, "words", 3).where("w3 is not null").select(F.concat_ws(" ", "w1", "w2", "w3").alias("title"))
+    lengths = F.array(*[F.array(*[F.lit(n) for n in some]) for some in TITLE_WORDS])
+    begun = items.select("words", F.posexplode("words").alias("i", "word"))
+    begun = begun.select("words", "i", F.explode(F.get(lengths, (F.col("i") + 1) % 3)).alias("n")).where(F.col("i") + F.col("n") <= F.size("words"))
+    titles = begun.select(F.array_join(F.slice("words", F.col("i") + 1, F.col("n")), " ").alias("title"))
     tokens = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("words"))
-    return kb.match_spots(tokens, titles).select("doc_id", "start", "n", "spot")
+    return automata.match_titles(tokens, titles).select("doc_id", "start", "n", "spot", "title")
+
 
 
 SENSES = """
@@ -327,17 +329,6 @@ def sentiment_scores(spark, sf_dir):
     return sentiment.word_scores(rows)
 
 
-POINTS = ((1, 45.46, 9.19), (2, 41.9, 12.5), (3, 45.07, 7.69), (4, 44.49, 11.34), (5, 45.44, 12.32))
-
-
-@REGISTRY.add()
-def geo_within(spark, sf_dir):
-    """Fixed points within 200 km of another."""
-    lat, lon = F.lit(45.46), F.lit(9.19)
-    points = spark.createDataFrame(POINTS, "id int, lat double, lon double").withColumn("km", F.round(text.haversine_km(lat, lon, F.col("lat"), F.col("lon")), 3))
-    return points.where("km <= 200").select("id", "km")
-
-
 @REGISTRY.add("""
 with p as (select o_orderkey, 40 + (o_orderkey % 1000) / 100.0::double as lat, 5 + (o_orderkey % 997) / 100.0::double as lon from orders),
 k as (select o_orderkey, 2 * 6371.0::double * asin(sqrt(pow(sin(radians(lat - 45.46) / 2), 2) + cos(radians(45.46)) * cos(radians(lat)) * pow(sin(radians(lon - 9.19) / 2), 2))) as km from p)
@@ -350,13 +341,17 @@ def orders_within(spark, sf_dir):
     return rows.where("km <= 200").select("o_orderkey", F.round("km", 3).alias("km"))
 
 
-@REGISTRY.add("""
-with p as (select distinct p_brand as pattern from part where p_brand <> ''),
-t as (select p_partkey, p_brand || ' ' || p_name || p_brand as text from part),
-x as (select p_partkey, text, pattern, unnest(range(0, length(text))) as start from t, p where contains(text, pattern))
-select p_partkey, start::int as start, pattern from x where substr(text, start + 1, length(pattern)) = pattern
+@REGISTRY.add(f"""
+with recursive v as (select text, string_split_regex(text, '[ \\t\\n\\r\\f\\x0B]+') as w from benchmark),
+p as (select distinct pattern from (select text as pattern from v union all select unnest(w) from v) where length(pattern) >= 7),
+x(doc_id, text, pattern, place) as (
+  select doc_id, text, pattern, strpos(text, pattern) from documents, p where contains(text, pattern)
+  union all
+  select doc_id, text, pattern, place + strpos(substr(text, place + 1), pattern) from x where strpos(substr(text, place + 1), pattern) > 0)
+select doc_id, (place - 1)::int as start, pattern from x
 """)
 def find_patterns(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    docs = part.select("p_partkey", F.concat("p_brand", F.lit(" "), "p_name", "p_brand").alias("text"))
-    return kb.find_patterns(docs, part.select(F.col("p_brand").alias("pattern")), "p_partkey", "text")
+    """Every place in all documents of the items of the benchmark and of their words of seven characters and more."""
+    items = table(spark, sf_dir, "benchmark").select("text", F.split("text", "[ \\t\\n\\r\\f\\x0B]+").alias("w"))
+    patterns = items.select(F.explode(F.concat(F.array("text"), F.col("w"))).alias("pattern")).where(F.length("pattern") >= 7)
+    return automata.find_patterns(table(spark, sf_dir, "documents"), patterns, "doc_id", "text")

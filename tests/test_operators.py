@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import text
-from larkspur.operators import graph, jobs, kb, linker, sentiment, tables
+from larkspur.operators import automata, graph, jobs, kb, linker, sentiment, tables
 from larkspur.sources import packed, readers, sinks
 
 
@@ -165,8 +165,9 @@ def test_frontier_visits_each_node_once(spark):
 def test_five_words_match_a_six_word_title(spark):
     tokens = spark.createDataFrame([(1, "a b c d e x".split()), (2, "foo bar foo".split())], "doc_id int, words array<string>")
     titles = spark.createDataFrame([("a b c d e f",), ("foo bar",), ("foo",), ("bar foo",), ("xy",)], "title string")
-    found = rows(kb.match_spots(tokens, titles).select("doc_id", "start", "n", "title"), "doc_id", "start")
-    assert found == [(1, 0, 5, "a b c d e f"), (2, 0, 2, "foo bar"), (2, 1, 2, "bar foo"), (2, 2, 1, "foo")]
+    for match in (kb.match_spots, automata.match_titles):
+        found = rows(match(tokens, titles).select("doc_id", "start", "n", "title"), "doc_id", "start")
+        assert found == [(1, 0, 5, "a b c d e f"), (2, 0, 2, "foo bar"), (2, 1, 2, "bar foo"), (2, 2, 1, "foo")]
 
 
 def test_anchor_counts_credit_the_page(spark):
@@ -232,8 +233,9 @@ def test_patterns_inside_words_and_none(spark):
     docs = spark.createDataFrame([(1, "abcabc"), (2, ""), (3, None), (4, "xabx")], "k int, t string")
     patterns = spark.createDataFrame([("abc",), ("ab",), ("bca",), ("",)], "pattern string")
     want = [(1, 0, "ab"), (1, 0, "abc"), (1, 1, "bca"), (1, 3, "ab"), (1, 3, "abc"), (4, 1, "ab")]
-    assert rows(kb.find_patterns(docs, patterns, "k", "t"), "k", "start", "pattern") == want
-    assert kb.find_patterns(docs, patterns.where("false"), "k", "t").count() == 0
+    for find in (kb.find_patterns, automata.find_patterns):
+        assert rows(find(docs, patterns, "k", "t"), "k", "start", "pattern") == want
+        assert find(docs, patterns.where("false"), "k", "t").count() == 0
 
 
 def test_tweet_rows(spark):
