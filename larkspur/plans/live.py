@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.plans.common import Registry
+from larkspur.plans.common import Registry, table
 from larkspur.plans.series import FOLD, KINDS
+from larkspur.sources import pages
 from larkspur.storage import new_folder
-from larkspur.streaming import streams
+from larkspur.streaming import monitor, streams
 
 REGISTRY = Registry()
 
@@ -41,7 +42,7 @@ def stream_filter(spark, sf_dir):
 
 @REGISTRY.add("select count(distinct user_id) as n from events")
 def stream_distinct_users(spark, sf_dir):
-    rows = streams.distinct_events(streams.table_stream(spark, sf_dir, "events"), "user_id", "ts", "60 days").select("user_id")
+    rows = streams.distinct_events(streams.table_stream(spark, sf_dir, "events").select("user_id"), "user_id")
     return streams.run_to_files(rows, "append", checkpoint(spark)).agg(F.count("*").alias("n"))
 
 
@@ -80,3 +81,32 @@ def stream_documents(spark, sf_dir):
 def stream_job_states(spark, sf_dir):
     rows = job_stream(spark, sf_dir)
     return streams.run_to_files(streams.job_states(rows, "user_id", "kind", "ts", "event_id"), "complete", checkpoint(spark))
+
+
+GROWTH = """
+with p as (select o_orderkey % 7 as user_id, o_custkey as follower_id, epoch(o_orderdate)::bigint as seen from orders where o_custkey is not null and o_orderdate is not null),
+f as (select user_id, follower_id, floor(min(seen) / 604800)::bigint * 604800 as bucket from p group by all),
+s as (select user_id, bucket, count(*) as fresh from f group by all)
+"""
+
+
+@REGISTRY.add(f"""{GROWTH}
+select user_id, bucket, fresh, sum(fresh) over (partition by user_id order by bucket)::bigint as total from s
+""")
+def stream_follower_growth(spark, sf_dir):
+    """Polls of seven users' followers, in batches in the order of a hash: new ones by week and running totals, from state."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    shuffled = orders.repartition(6, F.xxhash64("o_orderkey"))
+    folder = checkpoint(spark)
+    shuffled.write.parquet(f"{folder}/polls.parquet")
+    polls = streams.table_stream(spark, folder, "polls", files_per_batch=2)
+    polls = polls.select((F.col("o_orderkey") % 7).alias("user_id"), F.col("o_custkey").alias("follower_id"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    monitor.store_changes(monitor.follower_changes(polls, 7 * 24 * 3600), folder).awaitTermination()
+    return monitor.growth(monitor.stored_changes(spark, folder))
+
+
+@REGISTRY.add("select event_id, user_id, event_type from events where event_type like 'c%'")
+def stream_timeline_pages(spark, sf_dir):
+    """The pages of a stored table through the library's own source, filtered and appended to files."""
+    rows = pages.page_stream(spark, f"{sf_dir}/events.parquet", "event_id long, user_id long, event_type string")
+    return streams.run_to_files(streams.channel(rows, "event_type", "c*"), "append", checkpoint(spark))

@@ -14,10 +14,23 @@ from larkspur.operators.jobs import fold_states
 from larkspur.operators.tables import latest
 
 
-def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A stream over one of the Parquet tables that lie side by side in a folder, times as zoned timestamps."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any of Hadoop's file systems is a folder; raises if nothing is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
+def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+    """A stream over one of the Parquet tables that lie side by side in a folder, times as zoned timestamps.
+
+    A table is a file or a folder of files; a missing one is an error.
+    """
+    path = f"{folder}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    source = spark.readStream.schema(schema)
+    if files_per_batch:
+        source = source.option("maxFilesPerTrigger", files_per_batch)
+    rows = source.parquet(path) if is_folder(spark, path) else source.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
     for field in schema.fields:
         if field.dataType.typeName() == "timestamp_ntz":
             rows = rows.withColumn(field.name, F.col(field.name).cast("timestamp"))
@@ -47,8 +60,10 @@ def latest_values(events: DataFrame, key: str, order: Column, *columns: str) ->
     return events.groupBy(key).agg(*[F.max_by(c, order).alias(c) for c in columns])
 
 
-def distinct_events(events: DataFrame, key: str, ts: str, lateness: str = "1 day") -> DataFrame:
-    """Events whose key wasn't seen within the watermark."""
+def distinct_events(events: DataFrame, key: str, ts: str | None = None, lateness: str = "1 day") -> DataFrame:
+    """Events whose key wasn't seen before, or, with a time, within the watermark: then keys that come later count again, and state stays small."""
+    if ts is None:
+        return events.dropDuplicates([key])
     return events.withWatermark(ts, lateness).dropDuplicatesWithinWatermark([key])
 
 

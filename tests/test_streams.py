@@ -1,12 +1,18 @@
 """Streams whose results go to files."""
 
+import json
 import os
+import random
+from collections import Counter
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur import catalog
-from larkspur.streaming import streams
+from larkspur.sources import pages as page_source
+from larkspur.streaming import monitor, streams
 
 SF = "/root/testdata/sf0.001"
 UNBOUNDED = ("stream_filter", "stream_latest_user", "stream_job_states", "stream_distinct_users")
@@ -121,3 +127,114 @@ def test_channels_gauges_and_upserts(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert seen == [(0, 2)]
+
+
+STREAMS = ("stream_filter", "stream_latest_user", "stream_job_states", "stream_distinct_users", "stream_window_counts", "stream_roll_ups", "stream_job_machine", "stream_timeline_pages")
+
+
+def collected(df):
+    return sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=str)
+
+
+@pytest.fixture(scope="module")
+def folder_tables(spark, tmp_path_factory):
+    base = tmp_path_factory.mktemp("tables")
+    spark.read.parquet(f"{SF}/events.parquet").repartitionByRange(3, "event_id").write.parquet(str(base / "events.parquet"))
+    return str(base)
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_a_table_of_several_files_streams_whole(spark, folder_tables, name):
+    found = collected(catalog.QUERIES[name](spark, folder_tables))
+    assert found and found == collected(catalog.QUERIES[name](spark, SF))
+
+
+def test_a_missing_table_is_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="(?i)path_not_found|does not exist|FileNotFound"):
+        streams.table_stream(spark, str(tmp_path), "events")
+
+
+def test_late_users_count(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    for i, (user, day) in enumerate([(1, "2024-06-01"), (2, "2020-01-01"), (1, "2019-01-01"), (3, "2018-01-01")]):
+        (source / f"{i}.json").write_text(f'{{"user": {user}, "ts": "{day}T00:00:00Z"}}\n')
+        os.utime(source / f"{i}.json", (1_700_000_000 + i,) * 2)
+    rows = spark.readStream.schema("user long, ts timestamp").option("maxFilesPerTrigger", 1).json(str(source))
+    assert sorted(r.user for r in streams.run_to_files(streams.distinct_events(rows, "user"), "append", str(tmp_path / "out")).collect()) == [1, 2, 3]
+
+
+def page_rows(spark, path, out, checkpoint):
+    rows = page_source.page_stream(spark, path, "k long, name string", 10)
+    query = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def test_pages_come_once_each_across_restarts(spark, tmp_path):
+    table, out, checkpoint = tmp_path / "t", str(tmp_path / "out"), str(tmp_path / "c")
+    table.mkdir()
+
+    def add(number, low, high):
+        data = pa.table({"name": [f"n{k}" for k in range(low, high)], "k": pa.array(range(low, high), pa.int64())})
+        pq.write_table(data, table / f"part-{number}.parquet", row_group_size=7)
+
+    add(0, 0, 33)
+    add(1, 33, 34)
+    (table / "_SUCCESS").write_text("")
+    page_rows(spark, str(table), out, checkpoint)
+    assert sorted(r.k for r in spark.read.parquet(out).collect()) == list(range(34))
+    add(2, 34, 90)
+    page_rows(spark, str(table), out, checkpoint)
+    page_rows(spark, str(table), out, checkpoint)
+    assert sorted(map(tuple, spark.read.parquet(out).select("k", "name").collect())) == [(k, f"n{k}") for k in range(90)]
+
+
+def test_pages_are_planned_and_read_again_alike(tmp_path):
+    pq.write_table(pa.table({"k": list(range(25))}), tmp_path / "a.parquet", row_group_size=4)
+    pq.write_table(pa.table({"k": list(range(25, 31))}), tmp_path / "b.parquet")
+    reader = page_source.PageReader(str(tmp_path), ["k"], 10)
+    assert (reader.initialOffset(), reader.latestOffset()) == ({"row": 0}, {"row": 31})
+    again = page_source.PageReader(str(tmp_path), ["k"], 10)  # a restart whose last batch wasn't committed
+    plan = again.partitions({"row": 15}, {"row": 28})
+    assert [(p.low, p.high) for p in plan] == [(15, 25), (0, 3)]
+    assert [[x for b in again.read(p) for x in b.column("k").to_pylist()] for p in plan] == [list(range(15, 25)), [25, 26, 27]]
+
+
+def test_growth_does_not_depend_on_the_order_of_polls(spark, tmp_path):
+    rng = random.Random(23)
+    polls = [(rng.randint(1, 3), rng.choice([*range(30), None]), rng.choice([rng.randint(0, 5000), rng.randint(0, 5000), None])) for _ in range(400)]
+    source = tmp_path / "in"
+    source.mkdir()
+
+    def put(number, rows):
+        text = "\n".join(json.dumps({"user_id": u, "follower_id": f, "at": t}) for u, f, t in rows)
+        (source / f"{number}.json").write_text(text)
+        os.utime(source / f"{number}.json", (1_700_000_000 + number,) * 2)
+
+    def run():
+        rows = spark.readStream.schema("user_id long, follower_id long, at long").option("maxFilesPerTrigger", 1).json(str(source))
+        rows = rows.select("user_id", "follower_id", F.timestamp_seconds("at").alias("ts"))
+        monitor.store_changes(monitor.follower_changes(rows, 300, shares=3), str(tmp_path / "out")).awaitTermination()
+        return monitor.stored_changes(spark, str(tmp_path / "out"))
+
+    for i in range(3):
+        put(i, polls[100 * i : 100 * i + 100])
+    run()
+    put(3, polls[300:])
+    changes = run()  # goes on from the state of the first run
+    first = {}
+    for u, f, t in polls:
+        if f is not None and t is not None:
+            first[u, f] = min(first.get((u, f), t), t)
+    assert sorted(map(tuple, monitor.followers_of(changes).collect())) == sorted((u, f, t // 300 * 300) for (u, f), t in first.items())
+    want = []
+    for u in (1, 2, 3):
+        total = 0
+        for bucket, n in sorted(Counter(t // 300 * 300 for (v, _), t in first.items() if v == u).items()):
+            total += n
+            want.append((u, bucket, n, total))
+    assert sorted(map(tuple, monitor.growth(changes).collect())) == want
+
+
+def test_growth_of_nothing(spark, tmp_path):
+    assert monitor.growth(monitor.stored_changes(spark, str(tmp_path / "none"))).collect() == []
