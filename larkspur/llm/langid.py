@@ -17,7 +17,6 @@ Documents never shuffle.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,6 +24,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +44,9 @@ EVIDENCE = 40
 MEMORY = 100_000
 #: Characters of a text that are cut into words together.
 PIECE = 1 << 18
-#: What isn't a letter parts words.
-LETTERS = re.compile(r"[^\W\d_]+").findall
-NO_LETTER = re.compile(r"[\W\d_]").search
+#: Words are runs of letters with the marks that combine with them; all else parts words, numbers such as ½ or Ⅷ too.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
+NO_LETTER = regex.compile(r"[^\p{L}\p{M}]").search
 
 
 def pieces(text: str | None) -> Iterator[str]:
@@ -305,7 +305,7 @@ def kneser_ney(table, languages: list[str]) -> Model:
 def sampled(labelled: DataFrame, sample: int) -> DataFrame:
     """(lang, text, held): about ``sample`` rows of each language, and whether a row is for calibration.
 
-    A row is taken if its hash is below a share of the range, so nothing is ranked; equal rows count once.
+    A row is taken if the hash of its key, language and text is below a share of the range, so nothing is ranked; equal rows count once.
     """
     usable = labelled.where("lang is not null and text is not null")
     sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row a language
@@ -314,7 +314,7 @@ def sampled(labelled: DataFrame, sample: int) -> DataFrame:
     table = lambda value: F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], value(r["n"]))])
     share = F.try_element_at(table(lambda n: min(1.0, sample / n)), F.col("lang"))
     many = F.try_element_at(table(lambda n: min(n, sample) >= HELD_LEAST), F.col("lang"))
-    place = lambda salt: F.pmod(F.xxhash64("key", "lang", F.lit(salt)), F.lit(1 << 20)) / float(1 << 20)
+    place = lambda salt: F.pmod(F.xxhash64("key", "lang", "text", F.lit(salt)), F.lit(1 << 20)) / float(1 << 20)
     chosen = usable.where(place("taken") < share).withColumn("many", many)
     return chosen.select("lang", "text", (F.col("many") & (place("held") < HELD)).alias("held")).dropDuplicates(["lang", "text"])
 
