@@ -50,6 +50,22 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return (total[offsets[1:]] - total[offsets[:-1]]).astype(float)
 
 
+#: A number for each byte, and the base of the words' hashes; it is odd, so that its powers can be divided out.
+BYTE_MARKS = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64)
+BASE = 0x2545F4914F6CDD1D
+
+
+def word_hashes(data: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of all bytes of each word, from sums over the bytes before each place."""
+    n = len(data)
+    powers, back, before = np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+    powers[1:], back[1:] = BASE, pow(BASE, -1, 1 << 64)
+    np.multiply.accumulate(powers, out=powers)
+    np.multiply.accumulate(back, out=back)
+    np.cumsum(BYTE_MARKS[data] * powers[:n], out=before[1:])
+    return (before[stops] - before[begins]) * back[begins]
+
+
 def statistics(column: pa.Array) -> np.ndarray:
     """A row of STATISTICS for each text; nulls count as empty, empty texts have zeros."""
     data, offsets = utf8(column)
@@ -82,11 +98,8 @@ def statistics(column: pa.Array) -> np.ndarray:
         np.maximum.at(longest, owner, length)
         upper = np.concatenate(([0], np.cumsum(kind == 1)))
         capital = np.bincount(owner, (upper[stops] - upper[begins]) * 2 > length, n)
-        first = np.minimum(length, 8)
-        mark = np.zeros(len(begins), np.uint64)
-        for i in range(8):
-            mark = mark * np.uint64(257) + np.where(i < first, data[np.minimum(begins + i, len(data) - 1)], 0).astype(np.uint64)
-        mark = (mark * np.uint64(31) + length.astype(np.uint64)) ^ (owner.astype(np.uint64) << np.uint64(44))
+        mark = word_hashes(data, begins, stops)
+        mark = (mark * np.uint64(0x9E3779B97F4A7C15) + length.astype(np.uint64)) ^ (owner.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         ordered = np.unique(mark, return_index=True)[1]
         repeats = 1 - np.bincount(owner[ordered], minlength=n) / word_full
         repeats[word_count == 0] = 0
@@ -211,7 +224,7 @@ class RuleModel:
 
 
 def fit(table: np.ndarray, y: np.ndarray) -> RuleModel:
-    """Rules from boosted trees, weighed by the lasso. Without both labels the model is a constant."""
+    """Rules from boosted trees, weighed by the lasso. Without both labels, or with too few rows for a rule, the model is a constant."""
     if not len(y) or y.min() == y.max():
         return RuleModel(0.0 if not len(y) else (4.0 if y[0] else -4.0), [])
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in table.T]
@@ -225,6 +238,8 @@ def fit(table: np.ndarray, y: np.ndarray) -> RuleModel:
         score += SHRINKAGE * value
         found.update(dict.fromkeys(rules))
     names = list(found)
+    if not names:
+        return RuleModel(float(score[0]), [])
     x = np.stack([applies(r, table) for r in names], axis=1).astype(float)
     bias, w = lasso(x, y, PENALTY)
     return RuleModel(bias, [(r, float(v)) for r, v in zip(names, w) if abs(v) > 1e-6])
