@@ -53,9 +53,9 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def by_place(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """docs' columns of work(docs), for which they are named by their places (text apart), so that no name can clash."""
-    plain = [name if name == "text" else f"at_{i}" for i, name in enumerate(docs.columns)]
+def by_place(docs: DataFrame, work: Callable[[DataFrame], DataFrame], own: tuple[str, ...] = ("text",)) -> DataFrame:
+    """docs' columns of work(docs), for which they are named by their places (``own`` ones apart), so that no name can clash."""
+    plain = [name if name in own else f"at_{i}" for i, name in enumerate(docs.columns)]
     return work(docs.toDF(*plain)).select(*plain).toDF(*docs.columns)
 
 

@@ -1,6 +1,6 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-Every document falls into a bucket of its source by a hash of its id. A bucket, once for each time that the mix goes
+Every document falls into a bucket of its source by a hash of its id and text. A bucket, once for each time that the mix goes
 through the source, is a block; the blocks that a source gives are its exact quota. A binary tree deals the quotas of
 all sources among output shards: each node gives its left half as many blocks of each source as a multivariate
 hypergeometric draw says (one source after another, each a hypergeometric draw given what is left), so that shards have
@@ -17,15 +17,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import materialize, small
+from larkspur.llm.common import by_place, materialize, small
 
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
-#: Hex digits of a bucket: 4096 buckets a source.
-DIGITS = 3
-#: Words of a shard; there are at most MOST_SHARDS of them, a power of two.
+#: Hex digits of a bucket at least: 4096 buckets a source; one more for each 16 times as many words.
+DIGITS, MOST_DIGITS = 3, 6
+#: Words of a bucket on average in the largest source, at most.
+BUCKET_WORDS = 50_000_000
+#: Words of a shard; there are at most MOST_SHARDS of them, a power of two, and beyond that they grow.
 SHARD_WORDS = 4_000_000
-MOST_SHARDS = 1024
+MOST_SHARDS = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -34,9 +36,9 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def key_of(doc_id: Column, seed: str) -> Column:
-    """The document's place in its source's permutation: 32 hex digits. Equal ids have equal places."""
-    return F.md5(F.concat(F.lit(seed + "|"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def key_of(doc_id: Column, text: Column, seed: str) -> Column:
+    """The document's place in its source's permutation: 32 hex digits, by its id and text."""
+    return F.md5(F.concat(F.lit(seed + "|"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.md5(text), F.lit(""))))
 
 
 def uniform(*parts: Column) -> Column:
@@ -113,7 +115,7 @@ def cutoffs(slim: DataFrame, plan: DataFrame) -> DataFrame:
     """
     wanted = plan.where("rest > 0").select("at", "rest", F.lit("").alias("prefix"))
     level, rows = wanted, slim
-    for start, length in ((1, DIGITS), (DIGITS + 1, DIGITS), (2 * DIGITS + 1, 32)):
+    for start, length in ((1, 3), (4, 3), (7, 32)):
         level = materialize(boundary(rows, level, start, length), "cutoffs")
         digits = start + length - 1
         inside = small(level.select("at", F.col("prefix").alias("own")), level.count())  # one row a source
@@ -138,8 +140,8 @@ def hypergeometric(total: Column, own: Column, drawn: Column, u: Column) -> Colu
     share = own / total
     mean = drawn * share
     dev = F.sqrt(F.greatest(mean * (F.lit(1.0) - share) * (total - drawn) / F.greatest(total - 1, F.lit(1)), F.lit(0.0)))
-    a = F.greatest(low, F.floor(mean - dev * 10 - 3).cast("int"))
-    b = F.least(high, F.ceil(mean + dev * 10 + 3).cast("int"))
+    a = F.greatest(low, F.floor(mean - dev * 10 - 3)).cast("int")
+    b = F.least(high, F.ceil(mean + dev * 10 + 3)).cast("int")
     steps = F.when(b > a, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>"))
 
     def ratio(k: Column) -> Column:
@@ -178,10 +180,10 @@ def split(nodes: DataFrame, level: int, seed: str) -> DataFrame:
 
     u = uniform(F.lit(seed), F.lit(level), F.col("node"), F.col("at"))
     grouped = nodes.groupBy("node").agg(
-        F.sum("n").cast("int").alias("total"), F.sort_array(F.collect_list(F.struct("at", "n", u.alias("u")))).alias("all")
+        F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("at", "n", u.alias("u")))).alias("all")
     )  # one entry a source
     empty = F.array().cast("array<struct<side:int,at:int,n:int>>")
-    start = F.struct(F.col("total").alias("total"), (F.col("total") - F.floor(F.col("total") / 2)).cast("int").alias("drawn"), empty.alias("out"))
+    start = F.struct(F.col("total").alias("total"), (F.col("total") - F.floor(F.col("total") / 2)).cast("long").alias("drawn"), empty.alias("out"))
     dealt = grouped.select("node", F.inline(F.aggregate("all", start, draw, lambda s: s["out"])))
     return dealt.select((F.col("node") * 2 + F.col("side")).alias("node"), "at", "n")
 
@@ -209,15 +211,55 @@ def shards_for(words: int, shard_words: int = SHARD_WORDS) -> int:
     return n
 
 
+def digits_for(words: int) -> int:
+    """Hex digits of a bucket for a largest source of so many words."""
+    digits = DIGITS
+    while digits < MOST_DIGITS and words > BUCKET_WORDS << (4 * digits):
+        digits += 1
+    return digits
+
+
+def numbered_copies(rows: DataFrame, repeated: DataFrame, n_repeated: int) -> DataFrame:
+    """rows (mix_base, source, ...) with mix_number: 0, or the row's number among those of a base and source that are repeated.
+
+    Repeated rows are numbered in their parts, and parts follow one another, so that a group of any size has no task of its own.
+    """
+    if not n_repeated:
+        return rows.withColumn("mix_number", F.lit(0).cast("long"))
+    few = small(repeated.select(F.col("mix_base").alias("mix_again"), F.col("source").alias("mix_from")), n_repeated)
+    same = (F.col("mix_base") == F.col("mix_again")) & F.col("source").eqNullSafe(F.col("mix_from"))
+    single = rows.join(few, same, "left_anti").withColumn("mix_number", F.lit(0).cast("long"))
+    again = materialize(rows.join(few, same, "left_semi").withColumn("mix_part", F.spark_partition_id()), "repeated")
+    keys = ("mix_base", "source", "mix_part")
+    counts = again.groupBy(*keys).agg(F.count("*").alias("mix_n"))
+    before = Window.partitionBy("mix_base", "source").orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    starts = counts.select(*[F.col(c).alias(f"{c}_own") for c in keys], F.coalesce(F.sum("mix_n").over(before), F.lit(0)).alias("mix_start"))
+    met = again.withColumn("mix_place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))).join(
+        starts, (F.col("mix_base") == F.col("mix_base_own")) & F.col("source").eqNullSafe(F.col("source_own")) & (F.col("mix_part") == F.col("mix_part_own"))
+    )
+    return single.unionByName(met.withColumn("mix_number", F.col("mix_start") + F.col("mix_place") - 1).select(*rows.columns, "mix_number"))
+
+
 def with_copies(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """docs with the columns mix_size, mix_source_size, mix_target, mix_key and mix_shards.
+    """docs with the columns mix_size, mix_source_size, mix_target, mix_key and mix_shards; docs must have none of these names.
 
     mix_shards has the shard of each copy that the mix takes: one for each pass, none to ``MOST_PASSES``. A null text
-    has size 0 and, with the others of its bucket, still goes along; a null source is a source of its own; a null
-    doc_id has the place of an empty id. Rows of equal doc_id and source go together. An empty table gives none.
+    has size 0 and, with the others of its bucket, still goes along; a null source is a source of its own. A document's
+    place comes from its id and its text, so those without an id, or of one id, are apart; rows that agree in both are numbered,
+    so a source of such rows meets its target too, though which of them are taken may change. An empty table gives none.
     """
-    keyed = docs.withColumn("mix_size", size_of(F.col("text"))).withColumn("mix_key", key_of(F.col("doc_id"), seed))
-    slim = materialize(keyed.select("source", F.col("mix_size").alias("size"), F.col("mix_key").alias("key")), "sizes")
+    based = docs.withColumn("mix_size", size_of(F.col("text"))).withColumn("mix_base", key_of(F.col("doc_id"), F.col("text"), seed))
+    slim = materialize(based.select("source", "mix_size", "mix_base"), "sizes")
+    repeated = materialize(slim.groupBy("mix_base", "source").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    n_repeated = repeated.count()
+
+    def placed(rows: DataFrame) -> DataFrame:
+        key = F.when(F.col("mix_number") > 0, F.md5(F.concat("mix_base", F.lit("|"), F.col("mix_number").cast("string")))).otherwise(F.col("mix_base"))
+        return numbered_copies(rows, repeated, n_repeated).withColumn("mix_key", key).drop("mix_base", "mix_number")
+
+    keyed = placed(based)
+    slim = placed(slim).select("source", F.col("mix_size").alias("size"), F.col("mix_key").alias("key"))
+    slim = materialize(slim, "sizes") if n_repeated else slim
     plan = materialize(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights), "targets")
     n_sources = plan.count()
     total = int(plan.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
@@ -227,7 +269,8 @@ def with_copies(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = W
     indexed = materialize(indexed, "indexed")
     cut = materialize(cutoffs(indexed, plan), "cut")
     plan = plan.join(cut, "at", "left")
-    buckets = indexed.groupBy("at", F.substring("key", 1, DIGITS).alias("bucket")).agg(F.min("key").alias("least"))
+    digits = digits_for(plan.agg(F.coalesce(F.max("source_size"), F.lit(0))).first()[0])
+    buckets = indexed.groupBy("at", F.substring("key", 1, digits).alias("bucket")).agg(F.min("key").alias("least"))
     passes = F.filter(F.sequence(F.lit(1), F.lit(MOST_PASSES)), lambda p: (p <= F.col("passes")) | ((p == F.col("passes") + 1) & in_rest(F.col("least"), F.col("cutoff"))))
     blocks = (
         buckets.join(small(plan.select("at", "passes", "cutoff"), n_sources), "at")
@@ -249,7 +292,7 @@ def with_copies(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = W
         keyed.join(small(plan, n_sources), F.col("source").eqNullSafe(F.col("mix_source")))
         .join(
             small(by_bucket, n_buckets),
-            (F.col("mix_at") == F.col("mix_b_at")) & (F.substring("mix_key", 1, DIGITS) == F.col("mix_bucket")),
+            (F.col("mix_at") == F.col("mix_b_at")) & (F.substring("mix_key", 1, digits) == F.col("mix_bucket")),
             "left",
         )
         .withColumn("mix_shards", F.coalesce(F.transform(own, lambda x: x["shard"]), F.array().cast("array<int>")))
@@ -267,8 +310,11 @@ def mix_table(docs: DataFrame, seed: str = "mix", shard_words: int = SHARD_WORDS
 
 
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """The mix itself: each document as often as it is taken, with docs' columns, shard by shard, shuffled within."""
-    copies = with_copies(docs, seed).select(*docs.columns, "mix_key", F.posexplode("mix_shards").alias("mix_copy", "mix_shard"))
-    place = F.xxhash64(F.lit(seed), "mix_key", "mix_copy")
-    spread = copies.withColumn("mix_place", place).repartitionByRange("mix_shard", "mix_place")
-    return spread.sortWithinPartitions("mix_shard", "mix_place").select(*docs.columns)
+    """The mix itself: each document as often as it is taken, with docs' columns, whatever their names, shard by shard, shuffled within."""
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        copies = with_copies(rows, seed).select(*rows.columns, "mix_key", F.posexplode("mix_shards").alias("mix_copy", "mix_shard"))
+        spread = copies.withColumn("mix_place", F.xxhash64(F.lit(seed), "mix_key", "mix_copy")).repartitionByRange("mix_shard", "mix_place")
+        return spread.sortWithinPartitions("mix_shard", "mix_place")
+
+    return by_place(docs, dealt, ("doc_id", "text", "source"))

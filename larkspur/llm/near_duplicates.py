@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import WORD_BYTES, give_back, labels_of_edges, map_arrow, materialize, release, slices, small, utf8, whole_groups
+from larkspur.llm.common import WORD_BYTES, by_place, give_back, labels_of_edges, map_arrow, materialize, release, slices, small, utf8, whole_groups
 from larkspur.llm.components import components
 
 WORDS = 5
@@ -535,8 +535,14 @@ def near_duplicate_table(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one document of each class, that of the least doc_id; wordless texts all stay.
 
-    Of rows of that id and the same words one stays, that of the least hash of all its columns.
+    Of rows of that id and the same words one stays, that of the least hash of all its columns. Further columns stay as they
+    are, whatever their names.
     """
+    return by_place(docs, one_of_each, ("doc_id", "text"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """drop_near_duplicates() of docs whose columns have none of the names that are used here."""
     signed, table = classes_and_links(docs)
     grouped = table.where("n_shingles > 0 and n_links > 0").select("key", "root", "rep_id")
     grouped = materialize(grouped, "grouped")
