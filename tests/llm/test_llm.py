@@ -260,11 +260,21 @@ def test_bpe_round_trip_frames(spark, docs, vocabulary):
     assert keyed(back, "text") == {r.doc_id: (r.text,) for r in docs.collect()}
 
 
+def test_numbers_are_no_letters_and_marks_stay_in_words(spark):
+    assert [langid.text_words(t) for t in ("½ ² ① Ⅷ ٣", "नमस्ते दुनिया", "cafe\u0301s, x_y")] == [[], [" नमस्ते ", " दुनिया "], [" cafe\u0301s ", " x ", " y "]]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    odd_ones = spark.createDataFrame([(10_000, "½ ² ①", "en"), (10_001, "Ⅷ 12 _", None), (None, "x", None)], docs.schema)
+    found = {r.doc_id: (r.lang_pred, r.score) for r in langid.language_table(docs.unionByName(odd_ones)).collect() if r.doc_id is None or r.doc_id >= 10_000}
+    assert found[10_000] == found[10_001] == ("und", 0.0) and found[None][0] != "und"
+
+
 # Mixing
 
 
 MIX_SQL = """
-with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size, md5('mix|' || coalesce(doc_id::varchar, '')) as key from docs),
+with b as (select doc_id, text, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size,
+  md5('mix|' || coalesce(doc_id::varchar, '') || '|' || coalesce(md5(text), '')) as base, row_number() over (partition by doc_id, text, source) - 1 as number from docs),
+d as (select *, case when number > 0 then md5(base || '|' || number) else base end as key from b),
 s as (select source, sum(size)::bigint as source_size from d group by 1),
 r as (select *, row_number() over (order by source nulls last) - 1 as place from s)
 select doc_id, d.source, size, source_size, place, key from d join r on d.source is not distinct from r.source
@@ -331,6 +341,23 @@ def test_mix_caps_and_edge_cases(spark):
     assert mixing.mix_table(odd(spark)).count() == len(ROWS)
 
 
+@pytest.mark.parametrize("alike", [False, True])
+def test_mix_of_rows_without_ids_meets_its_target(spark, alike):
+    """Texts that differ, or whole rows that agree, all without an id or all of one id."""
+    rows = [(None if i % 2 else 7, "b b b" if alike else f"word w{i} x", "b") for i in range(400)]
+    rows += [(1000 + i, "a " * 20, "a") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    found = mixing.mix_table(df).collect()
+    assert len(found) == len(rows) and all(r.taken <= 3 * r["size"] for r in found)
+    target = next(r.target for r in found if r.doc_id is None)
+    assert abs(sum(r.taken for r in found if r.doc_id in (None, 7)) - target) <= 3
+    assert Counter((r.doc_id, r.taken) for r in mixing.mix_table(df.repartition(3)).collect()) == Counter((r.doc_id, r.taken) for r in found)
+
+
+def test_mix_buckets_follow_the_largest_source():
+    assert [mixing.digits_for(x) for x in (0, mixing.BUCKET_WORDS << 12, (mixing.BUCKET_WORDS << 12) + 1, 1 << 60)] == [3, 3, 4, 6]
+
+
 def test_mix_deals_equal_shards_without_repeats(spark, docs):
     rows = mixing.mix_table(docs, shard_words=10_000).collect()
     shards = Counter(s for r in rows for s in r.shards.split(",") if s)
@@ -392,7 +419,7 @@ def test_statistics_equal_plain_counts():
             "other_share": sum(ord(c) > 127 for c in text) / n, "blank_share": share(" \t\n"), "line_chars": n / (text.count("\n") + 1),
             "repeated_lines": 1 - len(set(text.split("\n"))) / len(text.split("\n")), "longest_word": max(sizes, default=0),
             "word_chars": sum(map(len, found)) / max(len(found), 1),
-            "repeats": 1 - len({(w.encode()[:8], len(w.encode())) for w in found}) / len(found) if found else 0,
+            "repeats": 1 - len(set(found)) / len(found) if found else 0,
             "upper_words": sum(2 * sum(c.isascii() and c.isupper() for c in w) > len(w.encode()) for w in found) / max(len(found), 1),
         }
         assert {k: pytest.approx(float(v)) for k, v in want.items()} == {k: row[at[k]] for k in want}, text
@@ -883,6 +910,28 @@ def stages_of(spark, docs):
         docs = out
 
 
+def test_few_labels_give_a_constant():
+    model = quality.fit(np.arange(3 * len(quality.STATISTICS), dtype=float).reshape(3, -1), np.array([1.0, 0.0, 1.0]))
+    assert not model.rules and abs(model.bias - np.log(2)) < 1e-9
+
+
+CLASHING = ("near_key", "near_kept", "near_fate", "near_rep", "near_twice", "mix_size", "mix_key", "mix_base", "mix_shards", "mix_number", "at_0", "copies", "cross_entropy")
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    for i, name in enumerate(CLASHING):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{i}-"), "doc_id"))
+    docs = common.materialize(docs, "clashing")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.materialize(stage(spark, docs, SF), "clashing")
+        assert out.columns == docs.columns and out.count() > 0
+        assert all(r[name] == f"{i}-{r.doc_id}" for r in out.collect() for i, name in enumerate(CLASHING))
+        docs = out
+
+
 def test_pipeline_stages_equal_brute_force(spark, vocabulary):
     import tiktoken
 
