@@ -9,8 +9,8 @@ from larkspur.functions.text import relatedness
 from larkspur.operators.tables import hinted
 from larkspur.storage import materialize
 
-#: Shares of a hub's neighbours.
-SALTS = 4
+#: Neighbours in a share of a hub's, on average: a task's pairs of one hub are at most these times all of its neighbours.
+SHARE = 1000
 PAGE_OFFSET = 100_000_000
 EDGE_OFFSET = 200_000_000
 
@@ -50,16 +50,46 @@ def degrees(edges: DataFrame, key: str, other: str) -> DataFrame:
 def shared_neighbours(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """(a, b, both): pairs a < b that share in-neighbours, with their number.
 
-    A neighbour's pairs are the result's own rows before they are counted. Those of a hub are dealt over SALTS shares by
-    one of the two ends, whatever its degree, and are counted before they shuffle.
+    A neighbour's pairs are the result's own rows before they are counted. Those of a hub are dealt by one of the two ends over
+    as many shares as its degree asks for, and are counted before they shuffle.
     """
-    one = edges.select(src, dst).distinct()
-    salt = F.pmod(F.xxhash64(dst), F.lit(SALTS))
-    left = one.select(src, F.col(dst).alias("a"), salt.alias("salt"))
-    right = one.select(src, F.col(dst).alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    one = materialize(edges.select(src, dst).distinct(), "distinct-edges")
+    shares = one.groupBy(src).agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    hubs = materialize(shares.where("shares > 1"), "hubs")
+    n_hubs = hubs.count()
+    salted = one.join(hinted(hubs, n_hubs), src, "left").withColumn("shares", F.coalesce("shares", F.lit(1))) if n_hubs else one.withColumn("shares", F.lit(1))
+    left = salted.select(src, F.col(dst).alias("a"), F.pmod(F.xxhash64(dst), F.col("shares")).cast("int").alias("salt"))
+    right = salted.select(src, F.col(dst).alias("b"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"))
     return left.join(right, [src, "salt"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
 
 
+def common_neighbours(edges: DataFrame, pairs: DataFrame, src: str, dst: str) -> DataFrame:
+    """(a, b, both): for given pairs of nodes how many in-neighbours they share, 0 if none. Repeated pairs count once.
+
+    Each pair looks the neighbours of its end of lower degree up among the edges of the other, so a hub's list is walked only for
+    pairs of hubs; edges meet the pairs' keys in joins that AQE splits, never as a list in one row.
+    """
+    wanted = materialize(pairs.select("a", "b").distinct(), "pairs")
+    ends = wanted.select(F.col("a").alias(dst)).unionByName(wanted.select(F.col("b").alias(dst))).distinct()
+    one = materialize(edges.select(src, dst).distinct().join(ends, dst, "left_semi"), "ends-edges")
+    degree = one.groupBy(dst).agg(F.count("*").alias("degree"))
+    of = lambda end: degree.select(F.col(dst).alias(end), F.col("degree").alias(f"degree_{end}"))
+    sized = wanted.join(of("a"), "a").join(of("b"), "b")  # a pair with an end that has no edges shares none
+    least = F.col("degree_a") <= F.col("degree_b")
+    walked = sized.select("a", "b", F.when(least, F.col("a")).otherwise(F.col("b")).alias("few"), F.when(least, F.col("b")).otherwise(F.col("a")).alias("many"))
+    steps = walked.join(one.select(F.col(dst).alias("few"), F.col(src).alias("via")), "few")
+    met = steps.join(one.select(F.col(dst).alias("many"), F.col(src).alias("via")), ["many", "via"]).groupBy("a", "b").agg(F.count("*").alias("both"))
+    met = met.select(F.col("a").alias("x"), F.col("b").alias("y"), "both")
+    return wanted.join(met, F.col("a").eqNullSafe(F.col("x")) & F.col("b").eqNullSafe(F.col("y")), "left").select("a", "b", F.coalesce("both", F.lit(0)).alias("both"))
+
+
+def term_entity_rows(rows: DataFrame, term: str, entity: str, value: str, least: int = 1) -> DataFrame:
+    """(term, entity, value, n): the values of each pair as rows, with the pair's number, for pairs too large for a list; terms of fewer than ``least`` pairs go."""
+    counts = rows.groupBy(term, entity).agg(F.count("*").alias("n"))
+    enough = counts.groupBy(term).agg(F.count("*").alias("entities")).where(F.col("entities") >= least).select(term)
+    return rows.select(term, entity, value).join(counts.join(enough, term, "left_semi"), [term, entity])
+
+
 def link_relatedness(edges: DataFrame, src: str, dst: str, universe: Column) -> DataFrame:
     """Pairs with their link distance above 0, and one minus it."""
     pairs = shared_neighbours(edges, src, dst)
@@ -105,13 +135,14 @@ def numbered(df: DataFrame, *order: str, base: int = 0, name: str = "id") -> Dat
 def frontier_levels(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(node, level): least number of steps from the seeds, up to a depth; edges (src, dst), seeds (node).
 
-    Each level is one join of the frontier and an anti join with what was seen. Levels are written out one by one, so no
-    plan grows with the depth; the traversal ends when a level is empty.
+    Each level is one join of the frontier and an anti join with what was seen. The distinct edges are worked out and written
+    out once, and levels one by one, so no plan grows with the depth; the traversal ends when a level is empty.
     """
+    edges = materialize(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
     seen = seeds.select("node").where("node is not null").distinct().withColumn("level", F.lit(0))
     seen = frontier = materialize(seen, "level")
     for level in range(1, depth + 1):
-        steps = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).where("node is not null").distinct()
+        steps = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
         frontier = materialize(steps.join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(level)), "level")
         if frontier.isEmpty():
             break

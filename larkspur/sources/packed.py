@@ -1,42 +1,43 @@
 """Follower lists as packed big-endian unsigned 64-bit integers: a Spark data source for reading and writing.
 
 ``<first two digits>/<user id>.fws`` holds the followers of one user in order, eight bytes each; ``.fws.gz`` the same
-through gzip; ``<user id>.<number>.fws`` what was appended later. Reading plans partitions of bounded size; the folder must
-be one that all executors can open.
+through gzip, of one member or several; ``<user id>.<number>.fws`` what was appended later. Reading plans partitions of bounded
+size and yields Arrow batches; paths are those of pyarrow's file systems, local ones must be shared by all executors.
 """
 
 from __future__ import annotations
 
-import glob
 import gzip
-import os
 import re
 import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from larkspur.operators.graph import numbered
+from larkspur.sources.files import opened
 from larkspur.sources.schemas import FOLLOWER
 
-
-NAME = re.compile(r"([0-9]+)(?:\.[0-9]+)?\.fws(\.gz)?$")
+NAME = re.compile(r"([0-9]+)(?:\.([0-9]+))?\.fws(\.gz)?$")
 #: Bytes that a partition reads, and that are read at a time.
 SPLIT = 64 << 20
 CHUNK = 1 << 20
+ID = pa.decimal128(20, 0)
 
 
 class Piece(InputPartition):
-    """Some bytes of a file; first: the place of their first follower in the user's list."""
+    """Some bytes of a file, all behind ``start`` if ``size`` is none; first: the place of their first follower in the user's list."""
 
-    def __init__(self, path: str, user: str, first: int, start: int, size: int):
-        super().__init__(path)
-        self.path, self.user, self.first, self.start, self.size = path, user, first, start, size
+    def __init__(self, folder: str, file: str, user: str, first: int, start: int, size: int | None):
+        super().__init__(file)
+        self.folder, self.file, self.user, self.first, self.start, self.size = folder, file, user, first, start, size
 
 
 @dataclass
@@ -44,54 +45,81 @@ class Written(WriterCommitMessage):
     paths: list[tuple[str, str]]
 
 
-def opened(path: str):
-    return gzip.open(path, "rb") if path.endswith(".gz") else open(path, "rb")  # noqa: SIM115
+def stream_of(system: pyarrow.fs.FileSystem, file: str):
+    """The list's bytes; those of a gzip file to the end of its last member."""
+    data = system.open_input_stream(file, compression=None)
+    return gzip.GzipFile(fileobj=data) if file.endswith(".gz") else data
+
+
+def unpacked_size(system: pyarrow.fs.FileSystem, file: str) -> int:
+    """Bytes of a gzip file's list, by reading it: what the file says of its size is that of its last member, modulo 2^32."""
+    with stream_of(system, file) as data:
+        return sum(len(raw) for raw in iter(lambda: data.read(CHUNK), b""))
+
+
+def lists_of(folder: str) -> dict[str, list[pyarrow.fs.FileInfo]]:
+    """Each user's files in the order in which they were written."""
+    system, inside = opened(folder)
+    users: dict[str, list[tuple[int, pyarrow.fs.FileInfo]]] = {}
+    for info in system.get_file_info(pyarrow.fs.FileSelector(inside, recursive=True, allow_not_found=True)):
+        if info.type == pyarrow.fs.FileType.File and (found := NAME.search(info.base_name)):
+            users.setdefault(found[1], []).append((int(found[2] or 0), info))
+    return {user: [info for _, info in sorted(files, key=lambda x: x[0])] for user, files in sorted(users.items())}
 
 
-def length_of(path: str) -> int:
-    """Bytes of a file's list. A gzip file says its length modulo 2^32 in its last four bytes."""
-    if not path.endswith(".gz"):
-        return os.path.getsize(path)
-    with open(path, "rb") as data:
-        data.seek(-4, os.SEEK_END)
-        return struct.unpack("<I", data.read(4))[0]
+def ids_of(values: np.ndarray) -> pa.Array:
+    """Unsigned 64-bit numbers as decimals of 20 digits."""
+    both = np.zeros((len(values), 2), "<u8")
+    both[:, 0] = values
+    return pa.Decimal128Array.from_buffers(ID, len(values), [None, pa.py_buffer(both.tobytes())])
 
 
 class PackedReader(DataSourceReader):
-    """Plans partitions of bounded size; gzip files can't be cut. A user's files follow one another by their names."""
+    """Plans partitions of bounded size; gzip files can't be cut, and are read in planning only if more files of their user follow."""
 
     def __init__(self, folder: str):
         self.folder = folder
 
-    def partitions(self):
-        users: dict[str, list[str]] = {}
-        for path in sorted(glob.glob(f"{self.folder}/*/*.fws*"), key=lambda p: (len(p), p)):
-            if found := NAME.search(path):
-                users.setdefault(found[1], []).append(path)
+    def partitions(self) -> list[Piece]:
+        system, _ = opened(self.folder)
         out = []
-        for user, paths in users.items():
+        for user, files in lists_of(self.folder).items():
             first = 0
-            for path in paths:
-                whole = length_of(path) // 8 * 8
-                step = whole if path.endswith(".gz") else SPLIT
-                out += [Piece(path, user, first + at // 8, at, min(step, whole - at)) for at in range(0, whole, step or 1)]
+            for k, info in enumerate(files):
+                if info.path.endswith(".gz"):
+                    out.append(Piece(self.folder, info.path, user, first, 0, None))
+                    first += unpacked_size(system, info.path) // 8 if k + 1 < len(files) else 0
+                    continue
+                whole = info.size // 8 * 8
+                out += [Piece(self.folder, info.path, user, first + at // 8, at, min(SPLIT, whole - at)) for at in range(0, whole, SPLIT)]
                 first += whole // 8
         return out
 
-    def read(self, partition: Piece) -> Iterator[tuple]:
-        if not getattr(partition, "path", None):
+    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
+        if not getattr(partition, "file", None):
             return
-        user, pos, left = Decimal(partition.user), partition.first, partition.size
-        with opened(partition.path) as data:
-            data.seek(partition.start)
-            while left > 0:
-                raw = data.read(min(CHUNK, left))
+        system, _ = opened(partition.folder)
+        pos, left, rest = partition.first, partition.size, b""
+        user = np.array([int(partition.user)], np.uint64)
+        whole = partition.file.endswith(".gz")
+        with stream_of(system, partition.file) if whole else system.open_input_file(partition.file) as data:
+            if partition.start:
+                data.seek(partition.start)
+            while left is None or left > 0:
+                raw = data.read(CHUNK if left is None else min(CHUNK, left))
                 if not raw:
                     return
-                left -= len(raw)
-                for (value,) in struct.iter_unpack("!Q", raw[: len(raw) // 8 * 8]):
-                    yield user, Decimal(value), pos
-                    pos += 1
+                left = None if left is None else left - len(raw)
+                raw, rest = rest + raw, b""
+                if cut := len(raw) % 8:
+                    raw, rest = raw[:-cut], raw[-cut:]
+                values = np.frombuffer(raw, ">u8")
+                n = len(values)
+                if n:
+                    yield pa.RecordBatch.from_arrays(
+                        [ids_of(np.repeat(user, n)), ids_of(values), pa.array(np.arange(pos, pos + n))], names=["user_id", "follower_id", "pos"]
+                    )
+                pos += n
 
 
 class PackedWriter(DataSourceWriter):
@@ -105,6 +133,7 @@ class PackedWriter(DataSourceWriter):
         self.folder, self.append = folder, append
 
     def write(self, rows) -> Written:
+        system, inside = opened(self.folder)
         paths: list[tuple[str, str]] = []
         out, user = None, None
         for row in rows:
@@ -112,11 +141,11 @@ class PackedWriter(DataSourceWriter):
                 if out:
                     out.close()
                 user = row["user_id"]
-                shard = os.path.join(self.folder, str(int(user))[:2])
-                os.makedirs(shard, exist_ok=True)
-                base = os.path.join(shard, str(int(user)))
+                shard = f"{inside}/{str(int(user))[:2]}"
+                system.create_dir(shard, recursive=True)
+                base = f"{shard}/{int(user)}"
                 temporary = f"{base}.{uuid.uuid4().hex}.tmp"
-                out = open(temporary, "wb")  # noqa: SIM115
+                out = system.open_output_stream(temporary)
                 paths.append((temporary, base))
             out.write(struct.pack("!Q", int(row["follower_id"])))
         if out:
@@ -124,23 +153,26 @@ class PackedWriter(DataSourceWriter):
         return Written(paths)
 
     def commit(self, messages) -> None:
+        system, _ = opened(self.folder)
+        stored = lists_of(self.folder)
         for message in messages:
             for temporary, base in message.paths if message else []:
-                stored = sorted(glob.glob(f"{base}.fws*") + glob.glob(f"{base}.[0-9]*.fws*"))
-                if self.append and stored:
-                    numbers = [int(x) for x in re.findall(r"\.([0-9]+)\.fws", " ".join(stored))]
-                    os.replace(temporary, f"{base}.{max(numbers, default=0) + 1:06d}.fws")
+                files = stored.get(base.rsplit("/", 1)[1], [])
+                if self.append and files:
+                    numbers = [int(NAME.search(x.base_name)[2] or 0) for x in files]
+                    system.move(temporary, f"{base}.{max(numbers) + 1:06d}.fws")
                 else:
-                    os.replace(temporary, f"{base}.fws")
-                    for path in stored:
-                        if path != f"{base}.fws":
-                            os.remove(path)
+                    system.move(temporary, f"{base}.fws")
+                    for info in files:
+                        if info.path != f"{base}.fws":
+                            system.delete_file(info.path)
 
     def abort(self, messages) -> None:
+        system, _ = opened(self.folder)
         for message in messages:
             for temporary, _ in message.paths if message else []:
-                if os.path.exists(temporary):
-                    os.remove(temporary)
+                if system.get_file_info(temporary).type != pyarrow.fs.FileType.NotFound:
+                    system.delete_file(temporary)
 
 
 class PackedFollowers(DataSource):

@@ -9,7 +9,6 @@ be one that all executors share).
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,17 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
+from larkspur.sources.files import opened
+
 #: Rows of a page.
 PAGE = 1000
 
 
-def opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The file system of a path and the path in it."""
-    if "://" in path or path.startswith("file:"):
-        return pyarrow.fs.FileSystem.from_uri(path)
-    return pyarrow.fs.LocalFileSystem(), path
-
-
 def files_of(path: str) -> list[str]:
     """The Parquet files of a table, which is a folder or a file, in the order of their names; marks and hidden files aside."""
     system, inside = opened(path)

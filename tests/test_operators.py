@@ -410,3 +410,19 @@ def test_snapshot_and_lines(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "l")).collect()) == ["a", "b"]
     (tmp_path / "x").write_text("1\ta\n2\t\n")
     assert rows(readers.read_tsv(spark, str(tmp_path / "x"), "k int, t string"), "k") == [(1, "a"), (2, None)]
+
+
+def test_gzip_lists_of_several_members_are_read_whole(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "12").mkdir()
+    members = [gzip.compress(struct.pack("!2Q", 1, 2)), gzip.compress(struct.pack("!Q", 3) + b"\0\0"), gzip.compress(struct.pack("!Q", (1 << 64) - 1)[2:] + b"cut")]
+    (tmp_path / "12" / "123.fws.gz").write_bytes(b"".join(members))
+    (tmp_path / "12" / "123.000001.fws").write_bytes(struct.pack("!Q", 9))
+    (tmp_path / "12" / "124.fws.gz").write_bytes(gzip.compress(b""))
+    found = sorted((int(r.user_id), r.pos, int(r.follower_id)) for r in packed.read_followers(spark, str(tmp_path)).collect())
+    assert found == [(123, 0, 1), (123, 1, 2), (123, 2, 3), (123, 3, 0xFFFFFFFFFFFF), (123, 4, 9)]
+    rows = spark.createDataFrame([("123", str((1 << 64) - 1), 0), ("77", "5", 0)], "user_id string, follower_id string, pos bigint")
+    packed.write_followers(rows, f"file://{tmp_path}")
+    found = sorted((int(r.user_id), r.pos, int(r.follower_id)) for r in packed.read_followers(spark, f"file://{tmp_path}").where("pos >= 4 or user_id = 77").collect())
+    assert found == [(77, 0, 5), (123, 4, 9), (123, 5, (1 << 64) - 1)]
