@@ -132,6 +132,12 @@ def numbered(df: DataFrame, *order: str, base: int = 0, name: str = "id") -> Dat
     return placed.withColumn(name, F.col("_start") + F.col("_place") + base).drop("_part", "_n", "_start", "_place")
 
 
+def group_ordinals(rows: DataFrame, key: str, least: int = 1) -> DataFrame:
+    """(key, ordinal, n): groups of at least ``least`` rows with their numbers, from 1, among all groups in order, the smaller ones counted too."""
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    return numbered(counts, key, name="ordinal").where(F.col("n") >= least).select(key, "ordinal", "n")
+
+
 def frontier_levels(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(node, level): least number of steps from the seeds, up to a depth; edges (src, dst), seeds (node).
 

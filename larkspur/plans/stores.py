@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from larkspur.functions import text
 from larkspur.operators import graph, sketches
 from larkspur.plans.common import Registry, table
-from larkspur.sources import lookups, runs, store
+from larkspur.sources import lookups, readers, runs, store
 from larkspur.storage import new_folder
 from larkspur.streaming import gauges, streams
 
@@ -131,3 +133,65 @@ def stream_gauges(spark, sf_dir):
     with gauges.gauging(spark, path):
         streams.run_to_files(rows, "append", new_folder(spark, "stream"))
     return gauges.gauge_rows(spark, path).where("label like 'stats.events.%'").groupBy("label").agg(F.sum("value").alias("value"))
+
+
+@REGISTRY.add("""
+with f as (select o_custkey as user_id, o_orderkey as follower_id, row_number() over (partition by o_custkey order by o_orderkey) - 1 as pos from orders where o_custkey is not null),
+p as (select user_id, pos // 7 * 7 as cursor, count(*) as n, string_agg(follower_id::varchar, ',' order by pos) as ids from f group by 1, 2)
+select user_id, cursor::bigint as cursor, (case when cursor + 7 <= last then cursor + 7 else 0 end)::bigint as next_cursor, n, ids
+from p join (select user_id, max(pos) as last from f group by 1) using (user_id)
+""")
+def follower_pages(spark, sf_dir):
+    """Orders as their customers' followers, all in pages of seven."""
+    rows = table(spark, sf_dir, "orders").where("o_custkey is not null")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    followers = rows.select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("follower_id"), place.cast("bigint").alias("pos"))
+    return readers.follower_pages(followers, 7).withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
+
+
+@REGISTRY.add("""
+select term, ordinal, n from (
+  select term, count(*) as n, row_number() over (order by term) as ordinal from (
+    select unnest(list_distinct(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\x0B]+'))) as term from documents) where term <> '' group by term)
+where n >= 2
+""")
+def group_ordinals(spark, sf_dir):
+    """Words of two documents and more with their numbers among all words."""
+    words = F.filter(F.array_distinct(F.split(F.lower("text"), "[ \\t\\n\\r\\f\\x0B]+")), lambda w: w != "")
+    return graph.group_ordinals(table(spark, sf_dir, "documents").select(F.explode(words).alias("term")), "term", 2)
+
+
+@REGISTRY.add("""
+select l_partkey, string_agg(l_orderkey::varchar, ':' order by l_orderkey) as orders from lineitem where l_quantity > 45 group by 1
+""")
+def merged_lists(spark, sf_dir):
+    """Lists of orders of each part in three sorted runs, merged bucket by bucket."""
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 45")
+    lists = [lines.where(F.col("l_orderkey") % 3 == i).groupBy("l_partkey").agg(F.collect_list("l_orderkey").alias("orders")) for i in range(3)]
+    names = [runs.write_run(x, "l_partkey", 8) for x in lists]
+    return runs.merged_lists(spark, names, "l_partkey", "orders").withColumn("orders", F.array_join(F.col("orders").cast("array<string>"), ":"))
+
+
+@REGISTRY.add(r"""
+with t as (select doc_id, regexp_replace(text, '([.] )(\w)', '\1#\2', 'g') as t from documents where doc_id % 2 = 0 union all select doc_id, text from documents where doc_id % 2 = 1),
+h as (select doc_id, list_filter(list_distinct(list_transform(regexp_extract_all(t, '#(\w+)', 1), lambda x: lower(x))), lambda x: x <> 'rt') as tags from t)
+select doc_id, len(tags)::int as n from h where len(tags) > 0
+""")
+def tagged_documents(spark, sf_dir):
+    """Documents with hashtags; every second one had a # put before the words that begin a sentence."""
+    docs = table(spark, sf_dir, "documents")
+    marked = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", r"([.] )(\w)", "$1#$2")).otherwise(F.col("text"))
+    return docs.select("doc_id", text.hashtags(marked).alias("tags")).where(F.size("tags") > 0).select("doc_id", F.size("tags").alias("n"))
+
+
+@REGISTRY.add("""
+with p as (select page_id, regexp_replace(html, '<a href="/([^"]*)">', '<a href="/wiki/\\1" title="\\1">', 'g') as html from pages),
+l as (select page_id, unnest(regexp_extract_all(html, '<a href="/wiki/[^"]*" title="([^"]*)">([^<]+)</a>', 2)) as anchor,
+  unnest(regexp_extract_all(html, '<a href="/wiki/[^"]*" title="([^"]*)">([^<]+)</a>', 1)) as title from p)
+select page_id, anchor, title, count(*) as n from l group by all
+""")
+def wiki_anchors(spark, sf_dir):
+    """Links of all pages that have a title and no element inside, after titles were put into those to the host itself."""
+    titled = F.regexp_replace("html", '<a href="/([^"]*)">', '<a href="/wiki/$1" title="$1">')
+    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(text.wiki_links(titled)).alias("l"))
+    return rows.groupBy("page_id", "l.anchor", "l.title").agg(F.count("*").alias("n"))

@@ -42,7 +42,9 @@ class Piece(InputPartition):
 
 @dataclass
 class Written(WriterCommitMessage):
-    paths: list[tuple[str, str]]
+    """(temporary file, the user's path without its ending, place of the file's first follower)."""
+
+    paths: list[tuple[str, str, int]]
 
 
 def stream_of(system: pyarrow.fs.FileSystem, file: str):
@@ -123,10 +125,11 @@ class PackedReader(DataSourceReader):
 
 
 class PackedWriter(DataSourceWriter):
-    """Writes rows of a user, which must be together and in order, to temporary files that the commit renames, one by one.
+    """Writes rows of a user, which must be together and in order in a task, to temporary files that the commit renames, one by one.
 
-    An append is a further file of the user, numbered from the greatest that is there, so nothing that is stored is written
-    again; a crash inside the commit leaves some users with their rows and others without, never half a list.
+    A user's rows may be several tasks': their files follow one another by their first places. An append is a further file of the user,
+    numbered from the greatest that is there, so nothing that is stored is written again; a crash inside the commit leaves
+    some users with their rows and others without, never half a file.
     """
 
     def __init__(self, folder: str, append: bool):
@@ -134,7 +137,7 @@ class PackedWriter(DataSourceWriter):
 
     def write(self, rows) -> Written:
         system, inside = opened(self.folder)
-        paths: list[tuple[str, str]] = []
+        paths: list[tuple[str, str, int]] = []
         out, user = None, None
         for row in rows:
             if row["user_id"] != user:
@@ -146,7 +149,7 @@ class PackedWriter(DataSourceWriter):
                 base = f"{shard}/{int(user)}"
                 temporary = f"{base}.{uuid.uuid4().hex}.tmp"
                 out = system.open_output_stream(temporary)
-                paths.append((temporary, base))
+                paths.append((temporary, base, int(row["pos"])))
             out.write(struct.pack("!Q", int(row["follower_id"])))
         if out:
             out.close()
@@ -155,22 +158,24 @@ class PackedWriter(DataSourceWriter):
     def commit(self, messages) -> None:
         system, _ = opened(self.folder)
         stored = lists_of(self.folder)
+        written: dict[str, list[tuple[int, str]]] = {}
         for message in messages:
-            for temporary, base in message.paths if message else []:
-                files = stored.get(base.rsplit("/", 1)[1], [])
-                if self.append and files:
-                    numbers = [int(NAME.search(x.base_name)[2] or 0) for x in files]
-                    system.move(temporary, f"{base}.{max(numbers) + 1:06d}.fws")
-                else:
-                    system.move(temporary, f"{base}.fws")
-                    for info in files:
-                        if info.path != f"{base}.fws":
-                            system.delete_file(info.path)
+            for temporary, base, first in message.paths if message else []:
+                written.setdefault(base, []).append((first, temporary))
+        for base, parts in written.items():
+            files = stored.get(base.rsplit("/", 1)[1], [])
+            number = max([int(NAME.search(x.base_name)[2] or 0) for x in files], default=-1) + 1 if self.append else 0
+            names = [f"{base}.{k:06d}.fws" if k else f"{base}.fws" for k in range(number, number + len(parts))]
+            for name, (_, temporary) in zip(names, sorted(parts)):
+                system.move(temporary, name)
+            for info in [] if self.append else files:
+                if info.path not in names:
+                    system.delete_file(info.path)
 
     def abort(self, messages) -> None:
         system, _ = opened(self.folder)
         for message in messages:
-            for temporary, _ in message.paths if message else []:
+            for temporary, *_ in message.paths if message else []:
                 if system.get_file_info(temporary).type != pyarrow.fs.FileType.NotFound:
                     system.delete_file(temporary)
 
@@ -199,10 +204,10 @@ def read_followers(spark: SparkSession, folder: str, cursor: int = 0) -> DataFra
 
 
 def write_followers(rows: DataFrame, folder: str, append: bool = True) -> None:
-    """Appends (or rewrites) followers of each user in the order of pos."""
+    """Appends (or rewrites) followers of each user in the order of pos; rows are dealt by ranges of user and pos, so a user may be several tasks' and files'."""
     rows.sparkSession.dataSource.register(PackedFollowers)
     ordered = rows.select(F.col("user_id").cast("decimal(20,0)"), F.col("follower_id").cast("decimal(20,0)"), F.col("pos").cast("bigint"))
-    ordered = ordered.repartition("user_id").sortWithinPartitions("user_id", "pos")
+    ordered = ordered.repartitionByRange("user_id", "pos").sortWithinPartitions("user_id", "pos")
     ordered.write.format("packed_followers").mode("append" if append else "overwrite").save(folder)
 
 

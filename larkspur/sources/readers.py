@@ -6,11 +6,14 @@ splittable: one file is one task until the first shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import geo_json, normalized_title, one_line, sort_time, tweet_time
 from larkspur.sources.schemas import ANCHOR, SENTIMENT_LEXICON, TWEET, WIKI_PAGE
+from larkspur.storage import materialize
 
 #: Last path component without .gz, whose name before the dot is the user's id.
 FILE_ID = r"([0-9]+)\.[a-z]+(?:\.gz)?$"
@@ -116,6 +119,39 @@ def follower_page(followers: DataFrame, user_id: int, cursor: int = 0, size: int
     return page.where(F.col("pos") < cursor + size).drop("last")
 
 
+def follower_pages(followers: DataFrame, size: int = 500) -> DataFrame:
+    """(user_id, cursor, next_cursor, n, ids): all pages of all users at once, in the order of pos; next_cursor is 0 after the last.
+
+    What a loop over follower_page() would fetch one by one: a page is a group of at most ``size`` rows, and a user of any number of
+    followers is many groups. Places must be numbered from 0 within a user.
+    """
+    at = F.floor(F.col("pos") / size) * size
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "follower_id"))), lambda x: x["follower_id"])
+    pages = followers.groupBy("user_id", at.cast("bigint").alias("cursor")).agg(F.count("*").alias("n"), ids.alias("ids"))
+    last = followers.groupBy("user_id").agg(F.max("pos").alias("last"))
+    after = F.when(F.col("cursor") + size <= F.col("last"), F.col("cursor") + size).otherwise(F.lit(0)).cast("bigint")
+    return pages.join(last, "user_id").select("user_id", "cursor", after.alias("next_cursor"), "n", "ids")
+
+
+def fetch_all(page: Callable[[int], DataFrame], cursor: int = 0, most: int = 10_000) -> DataFrame:
+    """The rows of a source that gives pages by cursor, one after another until there is none behind: the loop of a crawl that starts at ``cursor``.
+
+    page(cursor) gives a page with next_cursor. Each page is written out before the next one is asked for, so the source sees each
+    cursor once, and a plan doesn't grow with the pages; a cursor that comes twice, or more than ``most`` pages, ends in an error.
+    """
+    seen: set[int] = set()
+    out: DataFrame | None = None
+    while out is None or cursor:
+        if cursor in seen or len(seen) >= most:
+            raise ValueError(f"cursor {cursor} comes again" if cursor in seen else f"more than {most} pages")
+        seen.add(cursor)
+        now = materialize(page(cursor), "page")
+        out = now if out is None else out.unionByName(now)
+        row = now.select("next_cursor").first()
+        cursor = row.next_cursor if row else 0
+    return out.drop("next_cursor")
+
+
 def tweet_rows(tweets: DataFrame) -> DataFrame:
     """(id, time, epoch_ms, user, geo, text) of tweets, in UTC; text on one line, ids in full unsigned range."""
     at = tweet_time(F.col("created_at"))

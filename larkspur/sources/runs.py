@@ -43,6 +43,13 @@ def merged(spark: SparkSession, names: list[str], key: str, *values: str) -> Dat
     return both.groupBy(key).agg(*[F.sum(v).alias(v) for v in values])
 
 
+def merged_lists(spark: SparkSession, names: list[str], key: str, values: str) -> DataFrame:
+    """The lists of each key of all runs as one, in order, bucket by bucket; a list is as long as its key's values."""
+    every = F.pmod(F.xxhash64(key), F.lit(2)) < 2  # as in merged()
+    both = reduce(DataFrame.unionByName, [run(spark, name).select(key, values).where(every) for name in names])
+    return both.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list(values))).alias(values))
+
+
 def compacted(spark: SparkSession, names: list[str], key: str, *values: str, buckets: int = BUCKETS, fan: int = FAN) -> str:
     """One run of the sums of all, in rounds of ``fan`` runs each; runs that were merged are dropped once theirs is written."""
     while len(names) > 1:

@@ -206,3 +206,37 @@ def test_counters_and_times_of_batch_work(spark):
     with gauges.timed("scan", lambda name, s: seen.append((name, s >= 0))):
         assert counted.count() == 10
     assert counters() == {"rows": 10, "even": 5} and seen == [("scan", True)]
+
+
+def test_all_pages_are_fetched_once(spark):
+    from larkspur.sources import readers
+
+    followers = spark.createDataFrame([(1, 100 + i, i) for i in range(23)] + [(2, 5, 0)], "user_id long, follower_id long, pos long")
+    asked = []
+
+    def page(cursor):
+        asked.append(cursor)
+        return readers.follower_page(followers, 1, cursor, 5)
+
+    assert sorted(r.follower_id for r in readers.fetch_all(page).collect()) == list(range(100, 123)) and asked == [0, 5, 10, 15, 20]
+    assert sorted(r.follower_id for r in readers.fetch_all(page, 15).collect()) == list(range(115, 123))
+    assert readers.fetch_all(lambda c: readers.follower_page(followers, 9, c, 5)).collect() == []
+    with pytest.raises(ValueError):
+        readers.fetch_all(page, most=2)
+    found = {(r.user_id, r.cursor): (r.next_cursor, r.n, r.ids) for r in readers.follower_pages(followers, 5).collect()}
+    assert found == {(1, c): (c + 5 if c < 20 else 0, min(5, 23 - c), list(range(100 + c, min(105 + c, 123)))) for c in range(0, 23, 5)} | {(2, 0): (0, 1, [5])}
+
+
+def test_a_user_of_many_followers_is_written_by_several_tasks(spark, tmp_path):
+    from larkspur.sources import packed
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(5000).select(F.lit(77).alias("user_id"), (F.col("id") * 3).alias("follower_id"), F.col("id").alias("pos"))
+        packed.write_followers(rows, str(tmp_path))
+        assert len(list((tmp_path / "77").glob("*.fws"))) > 1
+        assert [(r.pos, int(r.follower_id)) for r in packed.read_followers(spark, str(tmp_path)).orderBy("pos").collect()] == [(i, 3 * i) for i in range(5000)]
+        packed.write_followers(rows.where("pos < 3"), str(tmp_path), append=False)
+        assert [int(r.follower_id) for r in packed.read_followers(spark, str(tmp_path)).orderBy("pos").collect()] == [0, 3, 6]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
