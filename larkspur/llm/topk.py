@@ -6,8 +6,12 @@ deviation. For two vectors the inner product of a segment of L places is at most
 taken coarse to fine: candidates whose bound is below the k-th best exact score so far are dropped at each resolution,
 and survivors are scored exactly in integers.
 
-Every block of queries meets every block of candidates once: the stated queries are held against all rows. Candidate
-blocks are dealt into shares by a hash; a unit of work is a block of queries and a share. A unit meets its candidate
+Every block of queries is held against every block of candidates, first by their outlines: vectors are put into blocks in
+the order of their coarse statistics, and a block knows the least and greatest of each. The same bound, on outlines, says
+what a pair of blocks can reach. Each block of queries meets the candidate blocks that promise most, which gives its queries
+a k-th best score; only pairs of blocks that can reach the least of these are shuffled and searched.
+
+Candidate blocks are dealt into shares by a hash; a unit of work is a block of queries and a share. A unit meets its candidate
 blocks one after another and keeps each query's k best so far, so that the bounds drop more and more; it returns at
 most k rows for each query, and the shares of a query meet in a window.
 """
@@ -20,7 +24,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import give_back, materialize
@@ -36,7 +40,11 @@ SHARE_BLOCKS = 32
 TOGETHER, MANY = 64, 16
 #: Share of a bound added against rounding.
 SLACK = 1e-9
-BLOCK = "part int, number int, dim int, ids binary, vectors binary, n int"
+#: Candidate blocks that a block of queries meets first.
+FIRST = 2
+#: Parts of the range of a statistic by which vectors are ordered into blocks.
+GRID = 8
+BLOCK = "part int, number int, dim int, ids binary, vectors binary, n int, low array<double>, high array<double>"
 #: Components and scores stop at the ends of 64 bits.
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
@@ -91,8 +99,11 @@ def blocks(rows: DataFrame, most: int) -> DataFrame:
         numbers = count()
 
         def block(dim: int, some: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-            row = (part, next(numbers), dim, np.array([i for i, _ in some], "<i8").tobytes(), packed(np.stack([v for _, v in some])), len(some))
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32())
+            raw = packed(np.stack([v for _, v in some]))
+            outline = segment_features(unpacked(raw, len(some)), SEGMENTS[0])
+            ids = np.array([i for i, _ in some], "<i8").tobytes()
+            row = (part, next(numbers), dim, ids, raw, len(some), outline.min(axis=0).tolist(), outline.max(axis=0).tolist())
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()))
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=[f.split()[0] for f in BLOCK.split(", ")])
 
         for batch in batches:
@@ -119,6 +130,36 @@ def segment_features(vectors: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
+def cells(rows: DataFrame) -> list[Column]:
+    """Where a vector lies, coarsely: its segments' means by GRID parts of their ranges, and its deviation. Rows in this order make blocks of small outlines."""
+    at = lambda i: F.floor(F.size("embedding") * i / SEGMENTS[0]).cast("int")
+    total = lambda part: F.aggregate(part, F.lit(0.0), lambda s, x: s + x)
+    means = [total(F.slice("embedding", at(i) + 1, at(i + 1) - at(i))) / F.greatest(at(i + 1) - at(i), F.lit(1)) for i in range(SEGMENTS[0])]
+    bounds = rows.agg(*[f(m).alias(f"{name}{i}") for i, m in enumerate(means) for name, f in (("low", F.min), ("high", F.max))]).first()
+    out = [F.size("embedding")]
+    for i, m in enumerate(means):
+        low, high = bounds[f"low{i}"], bounds[f"high{i}"]
+        if low is not None and 0 < high - low < float("inf"):
+            out.append(F.floor((m - F.lit(low)) / F.lit((high - low) / GRID)))
+    return out
+
+
+def in_cells(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """rows in ranges of their cells, in order within a task; ties by a hash of the id, so that one cell may be many tasks'."""
+    keys = [*cells(rows), F.xxhash64("vec_id")]
+    dealt = rows.repartitionByRange(parts, *keys) if parts else rows.repartitionByRange(*keys)
+    return dealt.sortWithinPartitions(*keys)
+
+
+def reach(low: str, high: str, q_low: str, q_high: str) -> Column:
+    """The greatest bound that outlines allow: of each statistic the greatest product of two ends."""
+    ends = F.arrays_zip(F.col(low).alias("a"), F.col(high).alias("b"), F.col(q_low).alias("c"), F.col(q_high).alias("d"))
+    most = lambda s, x: s + F.greatest(x["a"] * x["c"], x["a"] * x["d"], x["b"] * x["c"], x["b"] * x["d"])
+    norm = lambda a, b: F.sqrt(F.aggregate(F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b")), F.lit(0.0), lambda s, x: s + F.greatest(x["a"] * x["a"], x["b"] * x["b"])))
+    # The same allowance for rounding as for single vectors, by the longest vectors that the outlines allow.
+    return F.aggregate(ends, F.lit(0.0), most) + norm(low, high) * norm(q_low, q_high) * SLACK + 1
+
+
 class Search:
     """The k best of each query of a block among the candidates seen so far, ties to the smaller vec_id."""
 
@@ -212,38 +253,68 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     n = asked.count()
     if not n:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    parts = -(-n // QUERY_ROWS)
-    query_blocks = materialize(blocks(asked.repartition(parts, "vec_id"), QUERY_ROWS), "queries")
-    candidate_blocks = materialize(blocks(usable(rows), BLOCK_ROWS), "candidates")
-    units, shares = query_blocks.count(), -(-candidate_blocks.count() // SHARE_BLOCKS)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked_blocks = numbered(query_blocks).select(
-        "unit", F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), every(shares).alias("share")
-    )
-    # A candidate block goes once to each query block, and a query block once to each share: that is the work itself.
-    share = F.pmod(F.xxhash64("part", "number"), F.lit(shares)).cast("int")
-    spread = candidate_blocks.select("dim", "ids", "vectors", share.alias("share"), every(units).alias("unit"))
-    pairs = spread.join(asked_blocks, ["unit", "share"]).where("dim = q_dim").select("unit", "share", "ids", "vectors", "q_ids", "q_vectors")
+    asked, known = in_cells(asked, -(-n // QUERY_ROWS)), in_cells(usable(rows))
+    query_blocks = numbered(materialize(blocks(asked, QUERY_ROWS), "queries"))
+    candidate_blocks = numbered(materialize(blocks(known, BLOCK_ROWS), "candidates"))
+    query_blocks = materialize(query_blocks.select("unit", F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("low").alias("q_low"), F.col("high").alias("q_high")), "queries")
+    candidate_blocks = materialize(candidate_blocks.select(F.col("unit").alias("block"), "dim", "ids", "vectors", "low", "high"), "candidates")
+    pairs = block_pairs(query_blocks, candidate_blocks)
+    first = Window.partitionBy("unit").orderBy(F.col("reach").desc(), "block")
+    begun = materialize(pairs.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= FIRST).select("unit", "block"), "first-pairs")
+    found = searched(begun, query_blocks, candidate_blocks, k)
+    kth = found.groupBy("unit", "query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("scores"))  # at most FIRST * k scores
+    goal = kth.groupBy("unit").agg(F.min(F.coalesce(F.get("scores", F.lit(k - 1)), F.lit(LEAST))).alias("goal"), F.count("*").alias("n_met"))
+    sized = query_blocks.select("unit", (F.octet_length("q_ids") / 8).cast("long").alias("n_own"))
+    # A block in which a query has met nothing has no goal.
+    goal = materialize(sized.join(goal, "unit", "left").select("unit", F.when(F.col("n_met") == F.col("n_own"), F.col("goal")).otherwise(F.lit(LEAST)).alias("goal")), "goals")
+    left = materialize(pairs.join(goal, "unit").where(F.col("reach") >= F.col("goal")).select("unit", "block"), "pairs")
+    found = searched(left, query_blocks, candidate_blocks, k).select("query_id", "vec_id", "score")
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def block_pairs(query_blocks: DataFrame, candidate_blocks: DataFrame) -> DataFrame:
+    """(unit, block, reach) of all pairs of a block of queries and one of candidates of its length, from their outlines alone.
+
+    This is the stated queries against all rows, a row for thousands of vectors' pairs: outlines are some hundred bytes.
+    """
+    asked = query_blocks.select("unit", "q_dim", "q_low", "q_high")
+    shares = max(1, -(-asked.count() // SHARE_BLOCKS))
+    number = lambda c: F.pmod(F.xxhash64(c), F.lit(shares)).cast("int")
+    spread = candidate_blocks.select("block", "dim", "low", "high", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    met = spread.join(asked.withColumn("share", number("unit")), "share")
+    return met.where("dim = q_dim").select("unit", "block", reach("low", "high", "q_low", "q_high").alias("reach"))
+
+
+def searched(pairs: DataFrame, query_blocks: DataFrame, candidate_blocks: DataFrame, k: int) -> DataFrame:
+    """(unit, query_id, vec_id, score): the k best of each query in each share of its block's candidate blocks, for pairs (unit, block)."""
+    shared = pairs.withColumn("share", F.floor((F.row_number().over(Window.partitionBy("unit").orderBy("block")) - 1) / SHARE_BLOCKS).cast("int"))
+    own = shared.select("unit", "share").distinct().join(query_blocks.select("unit", "q_ids", "q_vectors"), "unit")
+    met = shared.join(candidate_blocks.select("block", "ids", "vectors"), "block").join(own, ["unit", "share"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, search = None, None
+
+        def result() -> pa.RecordBatch:
+            out = search.rows()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(out.num_rows, unit[0], np.int32)), *out.columns], names=["unit", *out.schema.names])
+
         for batch in batches:
             for row in batch.to_pylist():
                 if unit != (row["unit"], row["share"]):
                     if search:
-                        yield search.rows()
-                    unit, own = (row["unit"], row["share"]), np.frombuffer(row["q_ids"], "<i8")
-                    search = Search(own, unpacked(row["q_vectors"], len(own)), k)
+                        yield result()
+                    unit, ids = (row["unit"], row["share"]), np.frombuffer(row["q_ids"], "<i8")
+                    search = Search(ids, unpacked(row["q_vectors"], len(ids)), k)
                 ids = np.frombuffer(row["ids"], "<i8")
                 search.meet(ids, unpacked(row["vectors"], len(ids)))
         if search:
-            yield search.rows()
+            yield result()
         give_back()
 
     # If a unit is split, its parts are like further shares.
-    found = pairs.sortWithinPartitions("unit", "share").mapInArrow(run, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    columns = met.select("unit", "share", "ids", "vectors", "q_ids", "q_vectors")
+    return columns.sortWithinPartitions("unit", "share").mapInArrow(run, "unit int, query_id long, vec_id long, score long")
 
 
 def top_k_table(rows: DataFrame, every: int = 50, k: int = K) -> DataFrame:

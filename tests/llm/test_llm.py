@@ -897,6 +897,34 @@ def test_html_same_for_any_partitioning(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+def test_top_k_of_clusters_shuffles_few_block_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(8, 16)) * 20
+    centres[:, 4:] = centres[:, :4].repeat(3, axis=1)  # segments' means tell the clusters apart
+    vectors = centres[rng.integers(0, 8, 4000)] + rng.normal(size=(4000, 16)) * 0.05
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 10)
+    monkeypatch.setattr(topk, "SEGMENTS", (16, 16))
+    monkeypatch.setattr(topk, "GRID", 64)
+    met, searched = [], topk.searched
+
+    def counted(pairs, *more):
+        met.append(pairs.count())
+        return searched(pairs, *more)
+
+    monkeypatch.setattr(topk, "searched", counted)
+    queries = df.where("vec_id % 10 = 0")
+    found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, queries).collect()}
+    whole = np.floor(256 * vectors).astype(np.int64)
+    for q in range(0, 4000, 10):
+        scores = whole @ whole[q]
+        order = [int(i) for i in np.lexsort((np.arange(4000), -scores)) if i != q][:5]
+        assert [found[q, k + 1] for k in range(5)] == [(i, int(scores[i])) for i in order]
+    every = -(-400 // 10) * (4000 // 20)
+    assert sum(met) <= every / 4, (met, every)
+
+
 # Pipeline
 
 
