@@ -255,19 +255,6 @@ def test_short_dictionary_and_resolution(spark):
     assert rows(kb.resolved(pages, aliases), "page") == [(1, 9), (2, 2)]
 
 
-def test_commits_of_timelines_merge_all_or_nothing(spark, tmp_path):
-    path, schema = str(tmp_path / "t"), "user_id int, tweet_id int, text string"
-    make = lambda *r: spark.createDataFrame(list(r), schema)
-    assert not sinks.commit_timelines(make(), path) and sinks.committed_timelines(spark, path, schema).count() == 0
-    assert sinks.commit_timelines(make((123, 1, "a"), (123, 2, "b"), (45, 9, "x")), path)
-    assert not sinks.commit_timelines(make(), path)  # an empty fetch leaves the stored rows untouched
-    (tmp_path / "t" / "version=2" / "shard=12").mkdir(parents=True)  # a job that crashed before its commit
-    (tmp_path / "t" / "version=2" / "shard=12" / "part.json").write_text('{"user_id": 123, "tweet_id": 7, "text": "lost"}')
-    assert rows(sinks.committed_timelines(spark, path, schema), "user_id", "tweet_id") == [(45, 9, "x"), (123, 1, "a"), (123, 2, "b")]
-    assert sinks.commit_timelines(make((123, 2, "B"), (123, 3, "c")), path)
-    assert rows(sinks.committed_timelines(spark, path, schema), "user_id", "tweet_id") == [(45, 9, "x"), (123, 1, "a"), (123, 2, "B"), (123, 3, "c")]
-
-
 def test_follower_files_in_splits_and_appends(spark, tmp_path, monkeypatch):
     import gzip
 
