@@ -7,7 +7,9 @@ session's warehouse, which driver and executors share.
 
 from __future__ import annotations
 
+import atexit
 import uuid
+from contextlib import suppress
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +22,9 @@ ORDERED = ("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
 
 
 def write_run(rows: DataFrame, key: str, buckets: int = BUCKETS, prefix: str = "run") -> str:
-    """Writes rows as a run, one sorted file a bucket, and returns its name. Null keys go along, behind those of one bucket."""
+    """Writes rows as a run, one sorted file a bucket, and returns its name; it is dropped with drop() or when the driver's process ends. Null keys go along."""
     name = f"{prefix}_{uuid.uuid4().hex}"
+    atexit.register(forgotten, rows.sparkSession, name)
     rows.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).saveAsTable(name)
     return name
 
@@ -67,6 +70,12 @@ def joined(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> D
     return left.join(right.hint("merge"), key, how)
 
 
+def forgotten(spark: SparkSession, name: str) -> None:
+    """Drops a run, if the session still runs."""
+    with suppress(Exception):  # the session may be over: then its tables are the warehouse's to clean
+        drop(spark, name)
+
+
 def drop(spark: SparkSession, *names: str) -> None:
     for name in names:
         spark.sql(f"drop table if exists {name}")

@@ -2,13 +2,16 @@
 
 ``rows/bucket=<n>`` holds a bucket's rows, ``counters/bucket=<n>`` the number of rows of each of its owners, kept up by the commits
 themselves. A commit merges its buckets into a table of its own first and then overwrites just these partitions, staged and
-moved by Spark's dynamic partition overwrite. Two commits of one bucket at a time would lose rows, so a commit first makes a
-mark for each of its buckets, which only one can make; the other fails and has changed nothing.
+moved by Spark's dynamic partition overwrite. Two commits of one bucket at a time would lose rows, so a commit first puts a mark of
+its own beside each of its buckets and then looks for others': of two commits at least one sees the other's mark, withdraws and has
+changed nothing. That needs a file system whose listings are up to date, no more.
 """
 
 from __future__ import annotations
 
+import random
 import time
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -33,20 +36,17 @@ def bucket_of(owner: Column, buckets: int = BUCKETS) -> Column:
 @contextmanager
 def held(spark: SparkSession, path: str, buckets: list[int]) -> Iterator[None]:
     """Marks the buckets as this commit's while it runs. A mark that a crash has left is an operator's to remove: its commit may be half done."""
-    made = []
-    at = spark._jvm.org.apache.hadoop.fs.Path
+    at, own = spark._jvm.org.apache.hadoop.fs.Path, uuid.uuid4().hex
     files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    files.mkdirs(at(f"{path}/_marks"))
+    made = []
     try:
         for bucket in sorted(buckets):
-            mark = at(f"{path}/_marks/{bucket}")
-            try:
-                files.create(mark, False).close()
-            except Exception as e:  # Hadoop's file systems each have their own error for a file that is there
-                if files.exists(mark):
-                    raise Busy(f"bucket {bucket} of {path} is being committed") from e
-                raise
+            mark = at(f"{path}/_marks/{bucket}/{own}")
+            files.create(mark, False).close()
             made.append(mark)
+        for bucket in buckets:
+            if any(x.getPath().getName() != own for x in files.listStatus(at(f"{path}/_marks/{bucket}"))):
+                raise Busy(f"bucket {bucket} of {path} is being committed")
         yield
     finally:
         for mark in made:
@@ -99,7 +99,7 @@ def commit(fetched: DataFrame, path: str, owner: str, key: str, *order: Column,
         except Busy:
             if time.monotonic() >= end:
                 raise
-            time.sleep(0.2)
+            time.sleep(random.uniform(0.1, 1))  # two that have seen one another come back at different times
     release(staged)
     return sorted(touched)
 
