@@ -2,17 +2,17 @@
 
 Each language has a model of characters given the characters before them inside the word, a word being framed by
 blanks. N-grams are counted by Spark over a bounded sample of labelled documents (about ``SAMPLE`` of each language:
-those whose hash is below a share of the range, so that it is the same at every run). The model's tables are sorted
-arrays of n-gram hashes that are searched by bisection; the column of a language holds its log probabilities, and a
-second table its back-off weights. A text gets the language of the least cross-entropy for a character.
+those whose hash is below a share of the range, so that it is the same at every run). A task for each language turns its
+counts into sorted arrays of n-gram hashes with log probabilities, and of contexts with back-off weights, which are
+searched by bisection. A text gets the language of the least cross-entropy for a character.
 
 A text is rejected when it has no letter, or when its least cross-entropy is above its language's limit. Limits are
 calibrated on a part of the sample that isn't counted (``HELD`` of it): nearly all texts of the language stay below
 (``OWN_QUANTILE``), nearly all of the other languages are above under its model (``OTHER_QUANTILE``), and the limit is
 midway between, or ``MARGIN`` times the first if that is more or nothing else is known.
 
-The model is bounded by the sample and the number of languages, not by the documents, so it travels with the tasks.
-Documents never shuffle.
+A language's counts are bounded by its sample, and the model, the sum of its languages' arrays, by the number of languages,
+not by the documents, so it travels with the tasks. Documents never shuffle.
 """
 
 from __future__ import annotations
@@ -87,58 +87,93 @@ def gram_hashes(codes: np.ndarray, place: np.ndarray, order: int) -> list[np.nda
     return out
 
 
+def looked_up(keys: np.ndarray, values: np.ndarray, sought: np.ndarray, other) -> np.ndarray:
+    """Values of the sought keys among sorted ones; ``other`` where a key is missing."""
+    if not len(keys):
+        return np.zeros(len(sought)) + other
+    i = np.searchsorted(keys, sought)
+    i[i == len(keys)] = 0
+    return np.where(keys[i] == sought, values[i], other)
+
+
 @dataclass
-class Model:
-    """Log probabilities are in single precision, as every worker holds them.
+class Grams:
+    """The distinct n-grams of some words, in order: level n has hashes, and the rows of prefix and suffix in level n - 1."""
 
-    keys[n], logp[n]: sorted hashes of the n-grams that any language has, and a column of log probabilities for each.
+    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    #: For each character of the words the row of its longest n-gram, counted through all levels.
+    rows: np.ndarray
+    place: np.ndarray
 
-    A language that lacks an n-gram has its backed-off probability there.
-    contexts[n], backoff[n]: the same for the weights of contexts. floor: log probability of an unseen character.
-    limits: for each language the cross-entropy beyond which a text is rejected.
+
+def grams_of(words: list[str], order: int) -> Grams:
+    codes, place = codes_of(words)
+    hashes = gram_hashes(codes, place, order)
+    below = rows = np.zeros(len(codes), np.int64)
+    levels, earlier = [], 0
+    for n in range(1, order + 1):
+        fits = np.flatnonzero(place >= n - 1)
+        grams, first, index = np.unique(hashes[n][fits], return_index=True, return_inverse=True)
+        first = fits[first]
+        levels.append((grams, below[first - 1], below[first]))
+        below, rows = np.zeros(len(codes), np.int64), rows.copy()
+        below[fits] = index
+        rows[fits] = index + earlier
+        earlier += len(grams)
+    return Grams(levels, rows, place)
+
+
+@dataclass
+class Language:
+    """Kneser-Ney tables of a language; values are in single precision, as every worker holds them.
+
+    keys[n], logp[n]: sorted hashes of its n-grams and their log probabilities.
+    contexts[n], backoff[n]: sorted hashes of contexts of n characters and their weights. floor: log probability of an unseen character.
     """
 
-    languages: list[str]
     keys: list[np.ndarray]
     logp: list[np.ndarray]
     contexts: list[np.ndarray]
     backoff: list[np.ndarray]
-    floor: np.ndarray
+    floor: float
+
+    def scores(self, grams: Grams) -> np.ndarray:
+        """Log probability of each character of the words given those before it; an n-gram that is missing is backed off."""
+        out, values, weights = [], np.zeros(0), np.zeros(0)
+        for n, (hashes, prefix, suffix) in enumerate(grams.levels, 1):
+            lower = weights[prefix] + values[suffix] if n > 1 else self.floor
+            values = looked_up(self.keys[n], self.logp[n], hashes, lower)
+            out.append(values)
+            if n < len(grams.levels):
+                weights = looked_up(self.contexts[n], self.backoff[n], hashes, 0.0)
+        return np.where(grams.place > 0, np.concatenate(out)[grams.rows], 0.0)
+
+
+@dataclass
+class Model:
+    """The languages, by code point, with their tables.
+
+    limits: for each language the cross-entropy beyond which a text is rejected.
+    """
+
+    languages: list[str]
+    tables: list[Language]
     limits: np.ndarray = field(default_factory=lambda: np.zeros(0))
     memory: dict[str, int] = field(default_factory=dict)
-    scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    known: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memory": {}, "scores": np.zeros((0, 0), np.float32)}
+        return self.__dict__ | {"memory": {}, "known": np.zeros((0, 0), np.float32)}
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """A row for each word: its log probability in each language."""
-        codes, place = codes_of(words)
-        hashes = gram_hashes(codes, place, ORDER)
-        before = [np.concatenate(([np.uint64(0)], h[:-1])) for h in hashes]
-        total = np.zeros((len(codes), len(self.languages)))
-        left = np.flatnonzero(place > 0)
-        for n in range(ORDER, 0, -1):
-            fits = place[left] >= n - 1
-            rows = left[fits]
-            grams = hashes[n][rows]
-            i = np.searchsorted(self.keys[n], grams)
-            i[i == len(self.keys[n])] = 0
-            hit = self.keys[n][i] == grams
-            total[rows[hit]] += self.logp[n][i[hit]]
-            rows = rows[~hit]
-            if n > 1:
-                heads = before[n - 1][rows]
-                j = np.searchsorted(self.contexts[n - 1], heads)
-                j[j == len(self.contexts[n - 1])] = 0
-                seen = self.contexts[n - 1][j] == heads
-                total[rows[seen]] += self.backoff[n - 1][j[seen]]
-            else:
-                total[rows] += self.floor
-            left = np.concatenate((left[~fits], rows))
-        total[place == 0] = 0
-        starts = np.flatnonzero(place == 0)
-        return np.add.reduceat(total, starts, axis=0) if len(starts) else np.zeros((0, len(self.languages)))
+        out = np.zeros((len(words), len(self.tables)))
+        if words:
+            grams = grams_of(words, ORDER)
+            starts = np.flatnonzero(grams.place == 0)
+            for k, own in enumerate(self.tables):
+                out[:, k] = np.add.reduceat(own.scores(grams), starts)
+        return out
 
     def cross_entropy(self, texts: list[str | None]) -> np.ndarray:
         """A row for each text: nats a character in each language; NaN without letters."""
@@ -170,17 +205,17 @@ class Model:
     def add_scores(self, parts: list[tuple[int, list[str]]], out: np.ndarray) -> None:
         """Adds the scores of words to the rows of their texts; words that were scored before are looked up."""
         if len(self.memory) > MEMORY or not self.memory:
-            self.memory, self.scores = {}, np.zeros((1024, len(self.languages)), np.float32)
+            self.memory, self.known = {}, np.zeros((1024, len(self.languages)), np.float32)
         new = list(set().union(*[words for _, words in parts]).difference(self.memory))
         if new:
             n = len(self.memory)
-            while n + len(new) > len(self.scores):
-                self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
+            while n + len(new) > len(self.known):
+                self.known = np.concatenate((self.known, np.zeros_like(self.known)))
             self.memory.update(zip(new, range(n, n + len(new))))
-            self.scores[n : n + len(new)] = self.word_scores(new)
+            self.known[n : n + len(new)] = self.word_scores(new)
         get = self.memory.__getitem__
         for k, words in parts:
-            out[k] += self.scores[np.fromiter(map(get, words), np.int64, len(words))].sum(axis=0, dtype=float)
+            out[k] += self.known[np.fromiter(map(get, words), np.int64, len(words))].sum(axis=0, dtype=float)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Languages, scores, least cross-entropies (NaN: no letter) and whether texts are rejected."""
@@ -237,69 +272,59 @@ def gram_counts(sample: DataFrame, order: int) -> DataFrame:
     )
 
 
-def kneser_ney(table, languages: list[str]) -> Model:
-    """Interpolated probabilities from counts: raw ones at the highest order, numbers of continuations below."""
-    logs: list[list] = [[] for _ in range(ORDER + 1)]
-    weights: list[list] = [[] for _ in range(ORDER + 1)]
-    floor = np.zeros(len(languages))
-    for k, lang in enumerate(languages):
-        lower: dict | None = None
-        own = {n: part for n, part in table[table["lang"] == lang].groupby("n")}
-        for n in range(1, ORDER + 1):
-            part = own.get(n)
-            if part is None:
-                break
-            gram = part["gram"].to_numpy().view(np.uint64)
-            prefix = part["prefix"].to_numpy().view(np.uint64)
-            suffix = part["suffix"].to_numpy().view(np.uint64)
-            value = part["count"].to_numpy().astype(float)
-            above = own.get(n + 1)
-            if above is not None:
-                keys, continued = np.unique(above["suffix"].to_numpy().view(np.uint64), return_counts=True)
-                i = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
-                kinds = np.where(keys[i] == gram, continued[i], 0)
-                value = np.where(kinds > 0, kinds, value)  # what begins a word has nothing before it: its count stays
-            if n == 1:
-                prefix = np.zeros_like(prefix)
-            heads, where = np.unique(prefix, return_inverse=True)
-            total = np.bincount(where, value)
-            left = DISCOUNT * np.bincount(where) / total
-            below = np.full(len(gram), 1.0 / (len(gram) + 1)) if lower is None else lower["p"][np.searchsorted(lower["gram"], suffix)]
-            p = (value - DISCOUNT).clip(0) / total[where] + left[where] * below
-            if n == 1:
-                floor[k] = np.log(left[0] / (len(gram) + 1))
-            else:
-                weights[n - 1].append((k, heads, np.log(left)))
-            order = np.argsort(gram)
-            lower = {"gram": gram[order], "p": p[order]}
-            logs[n].append((k, gram, np.log(p)))
-
-    def joined(parts: list, empty: float) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.unique(np.concatenate([h for _, h, _ in parts])) if parts else np.zeros(1, np.uint64)
-        table = np.full((len(keys), len(languages)), empty, np.float32)
-        for k, h, v in parts:
-            table[np.searchsorted(keys, h), k] = v
-        return keys, table
-
-    keys, logp = zip(*(joined(x, np.nan) for x in logs))
-    contexts, backoff = zip(*(joined(x, 0.0) for x in weights))
-
-    def rows_of(sought: np.ndarray, known: np.ndarray, values: np.ndarray, empty) -> np.ndarray:
-        i = np.minimum(np.searchsorted(known, sought), len(known) - 1)
-        return np.where((known[i] == sought)[:, None], values[i], empty)
-
-    # What a language lacks is backed off here, from short n-grams to long, so that scoring looks an n-gram up once.
+TABLES = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("context", pa.bool_()), ("hashes", pa.binary()), ("values", pa.binary())])
+
+
+def kneser_ney(table: pa.Table) -> pa.Table:
+    """A language's tables from its counts: interpolated probabilities of raw counts at the highest order, of numbers of continuations below.
+
+    A row for n-grams (``context`` false) and one for contexts of each length, as sorted hashes and values; length 0 has the floor.
+    """
+    lang = table.column("lang")[0].as_py()
+    of = lambda part, name: part.column(name).to_numpy()
+    own = {n: table.filter(pc.equal(table.column("n"), n)) for n in range(1, ORDER + 2)}
+    out: list[tuple[str, int, bool, bytes, bytes]] = []
+
+    def keep(n: int, context: bool, hashes: np.ndarray, values: np.ndarray) -> None:
+        out.append((lang, n, context, hashes.astype(np.uint64).tobytes(), values.astype(np.float32).tobytes()))
+
+    grams, p = np.zeros(0, np.uint64), np.zeros(0)
     for n in range(1, ORDER + 1):
-        part = table[table["n"] == n].drop_duplicates("gram")
-        gram = part["gram"].to_numpy().view(np.uint64)
-        at = np.searchsorted(keys[n], gram)
-        if n == 1:
-            full = np.broadcast_to(floor.astype(np.float32), (len(gram), len(languages)))
+        part, above = own[n], own[n + 1]
+        if not part.num_rows:
+            break
+        hashes, prefix, suffix = (of(part, name).view(np.uint64) for name in ("gram", "prefix", "suffix"))
+        value = of(part, "count").astype(float)
+        if above.num_rows:
+            keys, continued = np.unique(of(above, "suffix").view(np.uint64), return_counts=True)
+            kinds = looked_up(keys, continued, hashes, 0)
+            value = np.where(kinds > 0, kinds, value)  # what begins a word has nothing before it: its count stays
+        heads, where = np.unique(prefix if n > 1 else np.zeros_like(prefix), return_inverse=True)
+        total = np.bincount(where, value)
+        left = DISCOUNT * np.bincount(where) / total
+        below = p[np.searchsorted(grams, suffix)] if n > 1 else 1.0 / (len(hashes) + 1)
+        found = (value - DISCOUNT).clip(0) / total[where] + left[where] * below
+        if n > 1:
+            keep(n - 1, True, heads, np.log(left))
         else:
-            prefix, suffix = (part[c].to_numpy().view(np.uint64) for c in ("prefix", "suffix"))
-            full = rows_of(prefix, contexts[n - 1], backoff[n - 1], 0.0) + rows_of(suffix, keys[n - 1], logp[n - 1], floor.astype(np.float32))
-        logp[n][at] = np.where(np.isnan(logp[n][at]), full, logp[n][at])
-    return Model(languages, list(keys), list(logp), list(contexts), list(backoff), floor)
+            keep(0, False, np.zeros(1), np.log(left / (len(hashes) + 1)))
+        order = np.argsort(hashes)
+        grams, p = hashes[order], found[order]
+        keep(n, False, grams, np.log(p))
+    return pa.Table.from_pylist([dict(zip(TABLES.names, row)) for row in out], TABLES)
+
+
+def language_models(counts: DataFrame) -> Model:
+    """The model of all languages of gram_counts(): a task for each, whose counts are bounded by its sample; only finished arrays come here."""
+    rows = counts.groupBy("lang").applyInArrow(kneser_ney, "lang string, n int, context boolean, hashes binary, values binary").collect()  # 2 ORDER rows a language at most
+    found = {(r["lang"], r["n"], r["context"]): (np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["values"], np.float32)) for r in rows}
+    languages = sorted({lang for lang, _, _ in found})
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.float32))
+    tables = []
+    for lang in languages:
+        (keys, logp), (contexts, backoff) = (zip(*[found.get((lang, n, c), none) for n in range(ORDER + 1)]) for c in (False, True))
+        tables.append(Language(list(keys), list(logp), list(contexts), list(backoff), float(logp[0][0])))
+    return Model(languages, tables)
 
 
 def sampled(labelled: DataFrame, sample: int) -> DataFrame:
@@ -322,12 +347,8 @@ def sampled(labelled: DataFrame, sample: int) -> DataFrame:
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of the languages in (lang, text, key), from about ``sample`` documents of each by a hash of key."""
     chosen = materialize(sampled(labelled, sample), "language-sample")
-    # As Arrow and with codes for languages: rows as Python objects would take many times the memory.
-    table = gram_counts(chosen.where("not held"), ORDER).toArrow().to_pandas(split_blocks=True, self_destruct=True, categories=["lang"])
-    languages = sorted(table["lang"].unique())
-    model = kneser_ney(table, languages)
-    del table
-    if languages:
+    model = language_models(gram_counts(chosen.where("not held"), ORDER))
+    if model.languages:
         model.limits = calibrate(chosen, model)
     release(chosen)
     return model

@@ -540,6 +540,22 @@ def test_language_rejects_by_calibrated_limits(spark):
     assert model.predict(foreign)[3].all()
 
 
+def test_language_tables_depend_on_their_own_language_only(spark):
+    letters = [chr(0x61 + k) + chr(0x3B1 + k) + chr(0x430 + k) + "e" for k in range(24)]
+    rows = [(f"l{k:02}", " ".join(a + b + c for a in own for b in own for c in own[: 1 + i]), f"{k}.{i}") for k, own in enumerate(letters) for i in range(4)]
+    df = spark.createDataFrame(rows, "lang string, text string, key string")
+    size = lambda t: sum(x.nbytes for some in (t.keys, t.logp, t.contexts, t.backoff) for x in some)
+    model = langid.train(df)
+    assert model.languages == [f"l{k:02}" for k in range(24)]
+    for k in (0, 17):
+        alone = langid.train(df.where(F.col("lang") == f"l{k:02}")).tables[0]
+        assert size(alone) == size(model.tables[k]) and alone.floor == model.tables[k].floor
+        for mine, there in ((alone.keys, model.tables[k].keys), (alone.contexts, model.tables[k].contexts), (alone.logp, model.tables[k].logp)):
+            assert all((a == b).all() for a, b in zip(mine, there))
+    assert sum(map(size, model.tables)) <= 24 * max(map(size, model.tables))
+    assert model.predict([f"{own[0]}{own[1]}{own[2]}" for own in letters])[0] == model.languages
+
+
 def test_kneser_ney_sums_to_one(spark):
     df = spark.createDataFrame([("xx", "abab abc bca cab aab", "1"), ("yy", "zz zy yz", "2")], "lang string, text string, key string")
     model = langid.train(df)
