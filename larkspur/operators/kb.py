@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import normalized_title, portal_name, uri_title
-from larkspur.operators.tables import hinted
+from larkspur.operators.tables import hinted, parts
 from larkspur.storage import materialize
 
 #: Shares of the places of a pattern's head.
 SALTS = 8
+#: Words that say which task counts an n-gram of as many or more.
+HEAD = 3
+#: Characters of a word and its blank, about.
+WORD_CHARS = 6
 
 
 def anchor_pages(links: DataFrame, anchor: str, page: str) -> DataFrame:
@@ -82,11 +86,30 @@ def window_structs(most: int) -> Column:
 
 
 def ngram_counts(docs: DataFrame, words: Column, most: int = 5) -> DataFrame:
-    """(n, ngram, cnt) of all word n-grams up to a length; partial counts before the shuffle."""
-    rows = following_words(docs.select(words.alias("words")), "words", most)
-    pairs = [x for n in range(1, most + 1) for x in (F.lit(n), F.when(F.col(f"w{n}").isNotNull(), window_text(n)))]
-    grams = rows.select(F.stack(F.lit(most), *pairs).alias("n", "ngram")).where("ngram is not null")
-    return grams.groupBy("n", "ngram").agg(F.count("*").alias("cnt"))
+    """(n, ngram, cnt) of all n-grams, up to a length, of words without blanks.
+
+    Those of one and two words repeat, so they are counted before they shuffle. Of the longer ones few repeat: each place sends one
+    row, its first three words and those after them, to the task of the three words, which counts all lengths from it. There are as
+    many such tasks as the number of words asks for.
+    """
+    held = docs.select(words.alias("words"))
+    pairs = [x for n in range(1, min(most, HEAD - 1) + 1) for x in (F.lit(n), F.when(F.col(f"w{n}").isNotNull(), window_text(n)))]
+    grams = following_words(held, "words", min(most, HEAD - 1)).select(F.stack(F.lit(len(pairs) // 2), *pairs).alias("n", "ngram")).where("ngram is not null")
+    short = grams.groupBy("n", "ngram").agg(F.count("*").alias("cnt"))
+    if most < HEAD:
+        return short
+    chars = [F.sum(F.length(name)) for name, kind in docs.dtypes if kind == "string"]
+    n_words = sum(x or 0 for x in docs.agg(F.lit(0), *chars).first()) // WORD_CHARS  # about, and without cutting the texts once more
+    rest = [f"w{n}" for n in range(HEAD + 1, most + 1)]
+    places = following_words(held, "words", most).where(F.col(f"w{HEAD}").isNotNull()).select(window_text(HEAD).alias("head"), *rest)
+    places = places.repartition(parts(docs.sparkSession, n_words), "head")
+    levels = []
+    for n in range(HEAD, most + 1):
+        kept, none = rest[: n - HEAD], [F.lit(None).cast("string")] * (most - n)
+        levels += [F.when(F.col(kept[-1]).isNotNull(), n) if kept else F.lit(n), *map(F.col, kept), *none]
+    rows = places.select("head", F.stack(F.lit(most - HEAD + 1), *levels).alias("n", *rest)).where("n is not null")
+    long = rows.groupBy("head", "n", *rest).agg(F.count("*").alias("cnt"))
+    return short.unionByName(long.select("n", F.concat_ws(" ", "head", *rest).alias("ngram"), "cnt"))
 
 
 def merged_counts(*runs: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import fits
 
 #: Rows of a side that may be broadcast after they were counted; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
+#: Rows that a task of a shuffle gets whose rows were counted, so that its memory doesn't grow with the table.
+TASK_ROWS = 300_000
 
 
 def hinted(df: DataFrame, rows: int) -> DataFrame:
@@ -16,6 +18,11 @@ def hinted(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def parts(spark: SparkSession, rows: int) -> int:
+    """Tasks of a shuffle of so many rows: the session's number, or more."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """The last row of each key in the given order, by a grouped maximum: partial aggregates, no sort of groups."""
     rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])

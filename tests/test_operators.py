@@ -413,3 +413,23 @@ def test_gzip_lists_of_several_members_are_read_whole(spark, tmp_path):
     packed.write_followers(rows, f"file://{tmp_path}")
     found = sorted((int(r.user_id), r.pos, int(r.follower_id)) for r in packed.read_followers(spark, f"file://{tmp_path}").where("pos >= 4 or user_id = 77").collect())
     assert found == [(77, 0, 5), (123, 4, 9), (123, 5, (1 << 64) - 1)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_long_ngrams_shuffle_once_a_place(spark, monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 10)
+    texts = ["a b c d e f g " * 20, "a b c", "a b c d", "a b"]
+    want = Counter()
+    for t in texts:
+        w = t.split()
+        want.update((n, " ".join(w[i : i + n])) for n in range(1, 6) for i in range(len(w) - n + 1))
+    found = kb.ngram_counts(spark.createDataFrame([(t,) for t in texts], "text string"), text.tokens(F.col("text")))
+    rows_ = found.collect()
+    assert len(rows_) == len(want) and {(r.n, r.ngram): r.cnt for r in rows_} == dict(want)
+    plan = plan_of(found)
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(head" in plan  # as many tasks as the words ask for, one row a place
