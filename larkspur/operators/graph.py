@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import relatedness
+from larkspur.operators.sorted_lists import packed, shared
 from larkspur.operators.tables import hinted
 from larkspur.storage import materialize
 
 #: Neighbours in a share of a hub's, on average: a task's pairs of one hub are at most these times all of its neighbours.
 SHARE = 1000
+#: Neighbours of a node that fit a list in its row.
+LIST = 1000
 PAGE_OFFSET = 100_000_000
 EDGE_OFFSET = 200_000_000
 
@@ -66,12 +69,36 @@ def shared_neighbours(edges: DataFrame, src: str, dst: str) -> DataFrame:
 def common_neighbours(edges: DataFrame, pairs: DataFrame, src: str, dst: str) -> DataFrame:
     """(a, b, both): for given pairs of nodes how many in-neighbours they share, 0 if none. Repeated pairs count once.
 
-    Each pair looks the neighbours of its end of lower degree up among the edges of the other, so a hub's list is walked only for
-    pairs of hubs; edges meet the pairs' keys in joins that AQE splits, never as a list in one row.
+    A pair takes the sorted neighbours of both its ends along, packed in a byte or two each, if they are integers and at most ``LIST``; so
+    a pair shuffles two times, whatever its ends' degrees. Pairs of hubs walk the end of lower degree, see walked_pairs().
     """
     wanted = materialize(pairs.select("a", "b").distinct(), "pairs")
     ends = wanted.select(F.col("a").alias(dst)).unionByName(wanted.select(F.col("b").alias(dst))).distinct()
-    one = materialize(edges.select(src, dst).distinct().join(ends, dst, "left_semi"), "ends-edges")
+    one = materialize(edges.select(src, dst).where(F.col(src).isNotNull()).distinct().join(ends, dst, "left_semi"), "ends-edges")
+    if one.schema[src].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return walked_pairs(one, wanted, src, dst)
+    hubs = materialize(one.groupBy(dst).agg(F.count("*").alias("degree")).where(F.col("degree") > LIST).select(dst), "hubs")
+    n_hubs = hubs.count()
+    few, rest, hard = one, wanted, None
+    if n_hubs:
+        few = one.join(hinted(hubs, n_hubs), dst, "left_anti")
+        of_hubs = lambda end: wanted.join(hinted(hubs.select(F.col(dst).alias(end)), n_hubs), end, "left_semi").select("a", "b")
+        hard = materialize(of_hubs("a").unionByName(of_hubs("b")).distinct(), "hub-pairs")
+        for end in ("a", "b"):
+            rest = rest.join(hinted(hubs.select(F.col(dst).alias(end)), n_hubs), end, "left_anti")
+    lists = few.groupBy(dst).agg(F.array_sort(F.collect_list(F.col(src).cast("bigint"))).alias("near"))
+    lists = materialize(lists.select(dst, packed(F.col("near")).alias("near")), "lists")
+    of = lambda end: lists.select(F.col(dst).alias(end), F.col("near").alias(f"near_{end}"))
+    met = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", shared(F.col("near_a"), F.col("near_b")).alias("both"))
+    return met if hard is None else met.unionByName(walked_pairs(one, hard, src, dst))
+
+
+def walked_pairs(one: DataFrame, wanted: DataFrame, src: str, dst: str) -> DataFrame:
+    """(a, b, both) of distinct pairs over distinct edges, row by row.
+
+    Each pair looks the neighbours of its end of lower degree up among the edges of the other, so a hub's list is walked only for
+    pairs of hubs; edges meet the pairs' keys in joins that AQE splits, never as a list in one row.
+    """
     degree = one.groupBy(dst).agg(F.count("*").alias("degree"))
     of = lambda end: degree.select(F.col(dst).alias(end), F.col("degree").alias(f"degree_{end}"))
     sized = wanted.join(of("a"), "a").join(of("b"), "b")  # a pair with an end that has no edges shares none

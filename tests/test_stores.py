@@ -241,3 +241,24 @@ def test_a_user_of_many_followers_is_written_by_several_tasks(spark, tmp_path):
         assert [int(r.follower_id) for r in packed.read_followers(spark, str(tmp_path)).orderBy("pos").collect()] == [0, 3, 6]
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_common_neighbours_take_packed_lists_and_walk_hubs(spark, monkeypatch):
+    random.seed(41)
+    ends = (-(1 << 63), (1 << 63) - 1, -1, 0, 127, 128, 1 << 40)
+    edges = [(random.choice(ends), random.randint(0, 30)) for _ in range(200)] + [(s, 99) for s in range(40)] + [(s, 98) for s in range(20, 300)] + [(None, 1)]
+    back = {}
+    for s, d in edges:
+        back.setdefault(d, set()).add(s)
+    pairs = [(random.randint(0, 32), random.randint(0, 32)) for _ in range(100)] + [(99, 98), (98, 1), (1, 99), (99, 99), (98, 500), (None, 99), (None, None)]
+    frames = spark.createDataFrame(edges, "s long, d long"), spark.createDataFrame(pairs, "a long, b long")
+    want = {(a, b): len((back.get(a, set()) & back.get(b, set())) - {None}) if a is not None else 0 for a, b in pairs}
+    for most in (1000, 30):  # without hubs, and with two
+        monkeypatch.setattr(graph, "LIST", most)
+        met = graph.common_neighbours(*frames, "s", "d")
+        found = met.collect()
+        assert len(found) == len(want) and {(r.a, r.b): r.both for r in found} == want
+        if most == 1000:  # pairs bring their lists along: no row for each neighbour
+            assert "ArrowEvalPython" in met._jdf.queryExecution().toString()
+    names = frames[0].select(F.col("s").cast("string").alias("s"), "d")
+    assert {(r.a, r.b): r.both for r in graph.common_neighbours(names, frames[1], "s", "d").collect()} == want
