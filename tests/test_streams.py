@@ -7,6 +7,7 @@ from collections import Counter
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,3 +239,45 @@ def test_growth_does_not_depend_on_the_order_of_polls(spark, tmp_path):
 
 def test_growth_of_nothing(spark, tmp_path):
     assert monitor.growth(monitor.stored_changes(spark, str(tmp_path / "none"))).collect() == []
+
+
+def test_followers_are_looked_up_a_share_at_a_time():
+    """A batch of a share reads its state once and writes it once, and a follower that is kept for a time only is forgotten after it."""
+
+    class State:
+        value, calls = None, []
+
+        def getValueState(self, *_):
+            return self
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+    class Timer:
+        now = 0
+
+        def getCurrentProcessingTimeInMs(self):
+            return self.now
+
+    state, timer = State(), Timer()
+    fold = monitor.KnownFollowers(10, keep_ms=1000)
+    fold.init(state)
+
+    def batch(*rows):
+        frames = [pd.DataFrame({"follower_id": [f], "at": [t * 1_000_000]}) for f, t in rows]
+        return sorted((r.follower_id, r.bucket, r.fresh) for x in fold.handleInputRows((1, 0), iter(frames), timer) for r in x.itertuples())
+
+    assert batch((5, 25), (3, 12), (5, 31)) == [(3, 10, 1), (5, 20, 1)]
+    assert batch((5, 27)) == []  # later: nothing changes
+    assert batch((5, 3), (3, 11), (9, 40)) == [(5, 0, 1), (5, 20, -1), (9, 40, 1)]
+    timer.now = 2000
+    assert batch((5, 50)) == [(5, 50, 1)]
+    assert state.calls == ["update", "get", "get", "update", "get", "update"]
