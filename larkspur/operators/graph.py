@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.text import relatedness
 from larkspur.operators.sorted_lists import packed, shared
-from larkspur.operators.tables import hinted
+from larkspur.operators.tables import hinted, parts
 from larkspur.storage import materialize
 
 #: Neighbours in a share of a hub's, on average: a task's pairs of one hub are at most these times all of its neighbours.
 SHARE = 1000
+#: Pairs for each edge from which on they are counted before they shuffle.
+DENSE = 8
 #: Neighbours of a node that fit a list in its row.
 LIST = 1000
 PAGE_OFFSET = 100_000_000
@@ -51,19 +53,39 @@ def degrees(edges: DataFrame, key: str, other: str) -> DataFrame:
 
 
 def shared_neighbours(edges: DataFrame, src: str, dst: str) -> DataFrame:
-    """(a, b, both): pairs a < b that share in-neighbours, with their number.
+    """(a, b, both): pairs a < b that share in-neighbours, with their number."""
+    return counted_pairs(distinct_edges(edges, src, dst), src, dst)
+
+
+def distinct_edges(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """Distinct edges, worked out by as many tasks as they ask for and written out."""
+    edges = edges.select(src, dst)
+    return materialize(edges.repartition(parts(edges.sparkSession, edges.count()), src, dst).distinct(), "distinct-edges")
+
+
+def counted_pairs(one: DataFrame, src: str, dst: str, *own: str) -> DataFrame:
+    """(a, b, both) of distinct edges, and further columns of the edges, which the far end fixes, as <name>_a and <name>_b.
 
     A neighbour's pairs are the result's own rows before they are counted. Those of a hub are dealt by one of the two ends over
-    as many shares as its degree asks for, and are counted before they shuffle.
+    as many shares as its degree asks for. Edges and pairs go to as many tasks as their numbers, known from the degrees, ask for; where
+    pairs are many more than edges, they are counted before they shuffle.
     """
-    one = materialize(edges.select(src, dst).distinct(), "distinct-edges")
-    shares = one.groupBy(src).agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
-    hubs = materialize(shares.where("shares > 1"), "hubs")
+    counts = one.where(F.col(dst).isNotNull()).groupBy(src).agg(F.count("*").alias("degree"))
+    counts = materialize(counts.select(src, "degree", F.ceil(F.col("degree") / SHARE).cast("int").alias("shares")), "degrees")
+    degree = F.col("degree").cast("double")
+    n_edges, n_pairs = counts.where(F.col(src).isNotNull()).agg(F.sum(degree * F.col("shares")), F.sum(degree * (degree - 1) / 2)).first()
+    n_edges, n_pairs = int(n_edges or 0), int(n_pairs or 0)
+    hubs = counts.where("shares > 1").select(src, "shares")
     n_hubs = hubs.count()
     salted = one.join(hinted(hubs, n_hubs), src, "left").withColumn("shares", F.coalesce("shares", F.lit(1))) if n_hubs else one.withColumn("shares", F.lit(1))
-    left = salted.select(src, F.col(dst).alias("a"), F.pmod(F.xxhash64(dst), F.col("shares")).cast("int").alias("salt"))
-    right = salted.select(src, F.col(dst).alias("b"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"))
-    return left.join(right, [src, "salt"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
+    left = salted.select(src, F.col(dst).alias("a"), F.pmod(F.xxhash64(dst), F.col("shares")).cast("int").alias("salt"), *[F.col(c).alias(f"{c}_a") for c in own])
+    right = salted.select(src, F.col(dst).alias("b"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), *[F.col(c).alias(f"{c}_b") for c in own])
+    tasks = parts(one.sparkSession, n_edges)
+    dealt = lambda side: side.where(F.col(src).isNotNull()).repartition(tasks, src, "salt")
+    pairs = dealt(left).join(dealt(right), [src, "salt"]).where("a < b").select("a", "b", *[f"{c}_{end}" for c in own for end in "ab"])
+    if n_pairs <= DENSE * n_edges:
+        pairs = pairs.repartition(parts(one.sparkSession, n_pairs), "a", "b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("both"), *[F.max(f"{c}_{end}").alias(f"{c}_{end}") for c in own for end in "ab"])
 
 
 def common_neighbours(edges: DataFrame, pairs: DataFrame, src: str, dst: str) -> DataFrame:
@@ -118,13 +140,12 @@ def term_entity_rows(rows: DataFrame, term: str, entity: str, value: str, least:
 
 
 def link_relatedness(edges: DataFrame, src: str, dst: str, universe: Column) -> DataFrame:
-    """Pairs with their link distance above 0, and one minus it."""
-    pairs = shared_neighbours(edges, src, dst)
-    size = degrees(edges, dst, src)
-    left = size.select(F.col(dst).alias("a"), F.col("degree").alias("deg_a"))
-    right = size.select(F.col(dst).alias("b"), F.col("degree").alias("deg_b"))
-    value = relatedness(F.col("deg_a"), F.col("deg_b"), F.col("both"), universe)
-    rows = pairs.join(left, "a").join(right, "b").withColumn("distance", F.round(value, 6))
+    """Pairs with their link distance above 0, and one minus it. Edges bring their ends' degrees along, so pairs meet no further table."""
+    one = distinct_edges(edges, src, dst).where(F.col(src).isNotNull() & F.col(dst).isNotNull())
+    one = one.repartition(parts(one.sparkSession, one.count()), dst)
+    sized = one.join(one.groupBy(dst).agg(F.count("*").alias("deg")), dst)
+    rows = counted_pairs(materialize(sized, "sized-edges"), src, dst, "deg")
+    rows = rows.withColumn("distance", F.round(relatedness(F.col("deg_a"), F.col("deg_b"), F.col("both"), universe), 6))
     return rows.where("distance > 0").select("a", "b", "both", "distance", F.round(1 - F.col("distance"), 6).alias("similarity"))
 
 
@@ -168,10 +189,10 @@ def group_ordinals(rows: DataFrame, key: str, least: int = 1) -> DataFrame:
 def frontier_levels(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(node, level): least number of steps from the seeds, up to a depth; edges (src, dst), seeds (node).
 
-    Each level is one join of the frontier and an anti join with what was seen. The distinct edges are worked out and written
-    out once, and levels one by one, so no plan grows with the depth; the traversal ends when a level is empty.
+    Each level is one join of the frontier and an anti join with what was seen. The distinct edges are worked out, by as many tasks
+    as they ask for, and written out once, and levels one by one, so no plan grows with the depth; the traversal ends when a level is empty.
     """
-    edges = materialize(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
+    edges = distinct_edges(edges.where("src is not null and dst is not null"), "src", "dst")
     seen = seeds.select("node").where("node is not null").distinct().withColumn("level", F.lit(0))
     seen = frontier = materialize(seen, "level")
     for level in range(1, depth + 1):

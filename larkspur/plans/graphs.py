@@ -84,7 +84,7 @@ f(node, level) as (select 1::bigint, 0 union select g.dst, f.level + 1 from f jo
 select node, min(level)::int as level from f group by 1
 """)
 def frontier_levels(spark, sf_dir):
-    one = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000_000).alias("dst")).distinct()
+    one = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000_000).alias("dst"))
     both = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return graph.frontier_levels(both, spark.createDataFrame([(1,)], "node long"), 3)
 

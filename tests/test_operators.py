@@ -433,3 +433,22 @@ def test_long_ngrams_shuffle_once_a_place(spark, monkeypatch):
     assert len(rows_) == len(want) and {(r.n, r.ngram): r.cnt for r in rows_} == dict(want)
     plan = plan_of(found)
     assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(head" in plan  # as many tasks as the words ask for, one row a place
+
+
+def test_edges_and_pairs_take_as_many_tasks_as_their_rows_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 3)
+    plans, write = {}, graph.materialize
+
+    def noted(df, name):
+        plans[name] = plan_of(df)
+        return write(df, name)
+
+    monkeypatch.setattr(graph, "materialize", noted)
+    edges = spark.createDataFrame([(i, i + d) for i in range(12) for d in (1, 2, 2)] + [(None, 1), (1, None)], "src long, dst long")
+    found = graph.frontier_levels(edges, spark.createDataFrame([(0,)], "node long"), 3)
+    assert rows(found, "node") == [(0, 0), (1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (6, 3)]
+    assert "REPARTITION_BY_NUM" in plans["distinct-edges"]
+    near = graph.link_relatedness(edges, "src", "dst", F.lit(100.0))
+    want = {(i + 1, i + 2): 1 for i in range(12)}
+    assert {(r.a, r.b): r.both for r in near.collect()} == {k: n for k, n in want.items() if k not in ((1, 2), (12, 13))} | {(1, 2): 1, (12, 13): 1}
+    assert plan_of(near).count("REPARTITION_BY_NUM") >= 3 and "[a#" not in "".join(x for x in plan_of(near).splitlines() if "MergeJoin" in x)
