@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from larkspur.functions.text import normalized_title, portal_name, uri_title
 from larkspur.operators.tables import hinted, parts
@@ -15,6 +21,9 @@ SALTS = 8
 HEAD = 3
 #: Characters of a word and its blank, about.
 WORD_CHARS = 6
+#: What is between white space as the JVM's patterns take it, and words of a text that are sent on at once.
+WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
+SPAN_ROWS = 20_000
 
 
 def anchor_pages(links: DataFrame, anchor: str, page: str) -> DataFrame:
@@ -140,15 +149,21 @@ def split_templates(pages: DataFrame) -> DataFrame:
 
 
 def word_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, word, start, stop): lower-case words between white space with offsets in characters.
-
-    Offsets are running sums of the lengths of words and blanks, over the parts of one text.
-    """
-    tagged = docs.select(*dict.fromkeys((key, text))).withColumn("_row", F.monotonically_increasing_id())
-    parts = tagged.select(key, "_row", F.posexplode(F.split(text, r"(?<=\s)(?=\S)|(?<=\S)(?=\s)")).alias("_at", "part"))
-    so_far = Window.partitionBy("_row").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    spans = parts.withColumn("stop", F.sum(F.length("part")).over(so_far).cast("int"))
-    return spans.where(F.col("part").rlike(r"\S")).select(key, F.lower("part").alias("word"), (F.col("stop") - F.length("part")).alias("start"), "stop")
+    """(key, word, start, stop): lower-case words between white space with offsets in characters, found text by text, without a shuffle."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = WORD.finditer(batch.column(1)[i].as_py() or "")
+                while some := list(islice(found, SPAN_ROWS)):
+                    keys = batch.column(0).take(pa.array([i] * len(some), pa.int32()))
+                    words = pa.array([m[0] for m in some], pa.string())
+                    starts, stops = (pa.array([m.span()[k] for m in some], pa.int32()) for k in (0, 1))
+                    yield pa.RecordBatch.from_arrays([keys, words, starts, stops], names=["key", "word", "start", "stop"])
+
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    schema = StructType([StructField("key", rows.schema["key"].dataType), *StructType.fromDDL("word string, start int, stop int")])
+    return rows.mapInArrow(find, schema).select(F.col("key").alias(key), F.lower("word").alias("word"), "start", "stop")
 
 
 def dictionary_hits(docs: DataFrame, dictionary: DataFrame) -> DataFrame:

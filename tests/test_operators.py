@@ -452,3 +452,14 @@ def test_edges_and_pairs_take_as_many_tasks_as_their_rows_ask_for(spark, monkeyp
     want = {(i + 1, i + 2): 1 for i in range(12)}
     assert {(r.a, r.b): r.both for r in near.collect()} == {k: n for k, n in want.items() if k not in ((1, 2), (12, 13))} | {(1, 2): 1, (12, 13): 1}
     assert plan_of(near).count("REPARTITION_BY_NUM") >= 3 and "[a#" not in "".join(x for x in plan_of(near).splitlines() if "MergeJoin" in x)
+
+
+def test_word_spans_and_lexicon_lookups_do_not_shuffle_words(spark):
+    from larkspur import catalog
+
+    df = spark.createDataFrame([(7, "x y  \U0001f600z\x0bW\n"), (8, None)], "k int, t string")
+    spans = kb.word_spans(df, "k", "t")
+    assert rows(spans, "start") == [(7, "x y", 0, 3), (7, "\U0001f600z", 5, 7), (7, "w", 8, 9)] and spans.schema["k"].dataType.typeName() == "integer"
+    assert "Exchange" not in spans._jdf.queryExecution().executedPlan().toString()
+    scored = catalog.QUERIES["sentiment_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in scored and "SortMergeJoin" not in scored
