@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import objectivity, translation_words, word_class
+from larkspur.operators.tables import hinted
 
 
 def lookup_chain(
@@ -19,8 +20,10 @@ def lookup_chain(
     words: (doc, pos, word); morphology: (word, lemma, features); index: (lemma, class, synsets: ids apart by blanks);
     synsets: (synset, words); scores: (term, class, pos_score, neg_score). A word without morphology is a noun of
     itself; one whose tag has no class is looked up in all classes, or goes if drop_unknown says so. ``classes`` gives the
-    class of a tagger's features: text.word_class, or text.tag_class of another tagger.
+    class of a tagger's features: text.word_class, or text.tag_class of another tagger. The tables of the lexicon are counted, so
+    that words don't shuffle to meet small ones.
     """
+    morphology, index, synsets, scores = (hinted(df, df.count()) for df in (morphology, index, synsets, scores))
     tagged = words.join(morphology, "word", "left").withColumn("lemma", F.coalesce("lemma", "word")).withColumn("cls", classes(F.col("features")))
     if drop_unknown:
         tagged = tagged.where("cls is not null")
