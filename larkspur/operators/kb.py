@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from larkspur.functions.text import normalized_title, portal_name, uri_title
-from larkspur.operators.tables import hinted, parts
+from larkspur.operators.tables import BROADCAST_ROWS, hinted, parts
 from larkspur.storage import materialize
 
 #: Shares of the places of a pattern's head.
@@ -169,10 +169,14 @@ def word_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
 def dictionary_hits(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(doc_id, hits): how many words of (doc_id, words) are in a dictionary (word); documents without hits have 0.
 
-    Words are counted within their document before they shuffle.
+    Words meet a small dictionary, which is counted, where they are; else they are counted within their document before they shuffle.
     """
+    dictionary = materialize(dictionary.select("word").distinct(), "dictionary")
+    if (n_words := dictionary.count()) <= BROADCAST_ROWS:
+        hits = docs.select("doc_id", F.explode("words").alias("word")).join(hinted(dictionary, n_words), "word").groupBy("doc_id").agg(F.count("*").alias("hits"))
+        return docs.select("doc_id").distinct().join(hits, "doc_id", "left").select("doc_id", F.coalesce("hits", F.lit(0)).alias("hits"))
     counts = docs.select("doc_id", F.explode("words").alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    hits = counts.join(dictionary.select("word").distinct(), "word").groupBy("doc_id").agg(F.sum("n").alias("hits"))
+    hits = counts.join(dictionary, "word").groupBy("doc_id").agg(F.sum("n").alias("hits"))
     return docs.select("doc_id").distinct().join(hits, "doc_id", "left").select("doc_id", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 

@@ -122,13 +122,14 @@ select doc_id from c where lang = 'en' and (case when total <= 4 then coalesce(h
 """)
 def interesting_documents(spark, sf_dir):
     """The four-part filter of tweets over documents. The word list has what enough English documents have; sentence ends stand for hashtags."""
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", "lang", text.tokens(F.col("text")).alias("words"))
-    known = docs.where("lang = 'en'").select("doc_id", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    hits = kb.dictionary_hits(docs, known.where(F.col("n") >= LIST_LEAST).select("word"))
+    docs = table(spark, sf_dir, "documents").where("text is not null and lang = 'en'")
+    words = docs.select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("word"))
+    known = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LIST_LEAST).select("word")
     tags = F.array_distinct(F.regexp_extract_all("text", F.lit("([a-z]+[.])"), 1))
-    rows = docs.select("doc_id", "text", "lang", F.size("words").alias("total"), tags.alias("tags")).join(hits, "doc_id")
-    return rows.where(text.interesting(F.col("text"), F.col("lang"), "en", F.col("hits"), F.col("total"), F.col("tags"))).select("doc_id")
-
+    asked = docs.where(F.size(tags) > 1).select("doc_id", text.tokens(F.col("text")).alias("words"))
+    hits = kb.dictionary_hits(asked, known)
+    rows = asked.select("doc_id", F.size("words").alias("total")).join(hits, "doc_id")
+    return rows.where(text.valid_language(F.col("hits"), F.col("total"))).select("doc_id")
 
 
 ANCHORS = """

@@ -463,3 +463,13 @@ def test_word_spans_and_lexicon_lookups_do_not_shuffle_words(spark):
     assert "Exchange" not in spans._jdf.queryExecution().executedPlan().toString()
     scored = catalog.QUERIES["sentiment_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in scored and "SortMergeJoin" not in scored
+
+
+def test_dictionary_hits_of_small_and_large_dictionaries(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["c"]), (3, [])], "doc_id int, words array<string>")
+    words = spark.createDataFrame([("a",), ("b",), ("a",)], "word string")
+    small = kb.dictionary_hits(docs, words)
+    assert "BroadcastHashJoin" in plan_of(small) and "hashpartitioning(word" not in plan_of(small)
+    assert rows(small, "doc_id") == [(1, 3), (2, 0), (3, 0)]
+    monkeypatch.setattr(kb, "BROADCAST_ROWS", 0)
+    assert rows(kb.dictionary_hits(docs, words), "doc_id") == [(1, 3), (2, 0), (3, 0)]
