@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 from itertools import islice
 
 import pyarrow as pa
@@ -12,15 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from larkspur.functions.text import normalized_title, portal_name, uri_title
+from larkspur.operators import ngrams
 from larkspur.operators.tables import BROADCAST_ROWS, hinted, parts
 from larkspur.storage import materialize
 
 #: Shares of the places of a pattern's head.
 SALTS = 8
-#: Words that say which task counts an n-gram of as many or more.
-HEAD = 3
-#: Characters of a word and its blank, about.
-WORD_CHARS = 6
+#: Places of n-grams that count as one row of a task, as they come packed.
+PACKED = 2
 #: What is between white space as the JVM's patterns take it, and words of a text that are sent on at once.
 WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
 SPAN_ROWS = 20_000
@@ -95,30 +95,23 @@ def window_structs(most: int) -> Column:
 
 
 def ngram_counts(docs: DataFrame, words: Column, most: int = 5) -> DataFrame:
-    """(n, ngram, cnt) of all n-grams, up to a length, of words without blanks.
+    """(n, ngram, cnt) of all n-grams, up to a length, of arrays of words without blanks, or of texts' words between white space.
 
-    Those of one and two words repeat, so they are counted before they shuffle. Of the longer ones few repeat: each place sends one
-    row, its first three words and those after them, to the task of the three words, which counts all lengths from it. There are as
-    many such tasks as the number of words asks for.
+    All lengths at a place are counted by one task, which the rarer of its first two words names, so neighbouring places often go to the
+    same one. They are sent as one run of words, and the runs of many texts compressed for each task, of which there are as many as the
+    number of words asks for. Pairs of frequent words name no task: their places are summed before, and dealt by three words.
     """
-    held = docs.select(words.alias("words"))
-    pairs = [x for n in range(1, min(most, HEAD - 1) + 1) for x in (F.lit(n), F.when(F.col(f"w{n}").isNotNull(), window_text(n)))]
-    grams = following_words(held, "words", min(most, HEAD - 1)).select(F.stack(F.lit(len(pairs) // 2), *pairs).alias("n", "ngram")).where("ngram is not null")
-    short = grams.groupBy("n", "ngram").agg(F.count("*").alias("cnt"))
-    if most < HEAD:
-        return short
-    chars = [F.sum(F.length(name)) for name, kind in docs.dtypes if kind == "string"]
-    n_words = sum(x or 0 for x in docs.agg(F.lit(0), *chars).first()) // WORD_CHARS  # about, and without cutting the texts once more
-    rest = [f"w{n}" for n in range(HEAD + 1, most + 1)]
-    places = following_words(held, "words", most).where(F.col(f"w{HEAD}").isNotNull()).select(window_text(HEAD).alias("head"), *rest)
-    places = places.repartition(parts(docs.sparkSession, n_words), "head")
-    levels = []
-    for n in range(HEAD, most + 1):
-        kept, none = rest[: n - HEAD], [F.lit(None).cast("string")] * (most - n)
-        levels += [F.when(F.col(kept[-1]).isNotNull(), n) if kept else F.lit(n), *map(F.col, kept), *none]
-    rows = places.select("head", F.stack(F.lit(most - HEAD + 1), *levels).alias("n", *rest)).where("n is not null")
-    long = rows.groupBy("head", "n", *rest).agg(F.count("*").alias("cnt"))
-    return short.unionByName(long.select("n", F.concat_ws(" ", "head", *rest).alias("ngram"), "cnt"))
+    held, spark = docs.select(words.alias("words")), docs.sparkSession
+    often = held.mapInArrow(ngrams.seen, "word string, cnt bigint").groupBy("word").agg(F.sum("cnt").alias("cnt"))
+    often = often.orderBy(F.col("cnt").desc(), "word").limit(ngrams.FLOOR + 1).collect()
+    total = next((r.cnt for r in often if r.word is None), 0)
+    n_parts = parts(spark, total // PACKED)
+    frequent = [r.word for r in often if r.word is not None and r.cnt * n_parts * 2 > total]
+    named = spark.range(32 * n_parts).select(F.col("id").cast("int").alias("id")).groupBy(F.pmod(F.hash("id"), F.lit(n_parts)).alias("part")).agg(F.min("id").alias("id"))
+    heads = {r.part: r.id for r in named.collect()}  # a number that Spark deals to each task
+    pack = partial(ngrams.pack, most=most, frequent=frequent, heads=[heads.get(i, i) for i in range(n_parts)])
+    runs = held.mapInArrow(pack, "head int, size bigint, data binary").repartition(n_parts, "head")
+    return runs.mapInArrow(partial(ngrams.count, most=most), "n int, ngram string, cnt bigint")
 
 
 def merged_counts(*runs: DataFrame) -> DataFrame:

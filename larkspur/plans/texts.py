@@ -74,7 +74,7 @@ with t as (select {TOKENS} as w from documents), g as (
 ) select n, ngram, count(*) as cnt from g group by 1, 2
 """)
 def ngram_counts(spark, sf_dir):
-    return kb.ngram_counts(table(spark, sf_dir, "documents"), text.tokens(F.col("text")))
+    return kb.ngram_counts(table(spark, sf_dir, "documents"), F.lower("text"))
 
 
 @REGISTRY.add(f"""

@@ -435,6 +435,65 @@ def test_long_ngrams_shuffle_once_a_place(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(head" in plan  # as many tasks as the words ask for, one row a place
 
 
+def grams(words, most):
+    return [(n, " ".join(words[i : i + n])) for n in range(1, most + 1) for i in range(len(words) - n + 1)]
+
+
+def shuffled(spark):
+    """Bytes of all shuffles so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    return context.statusStore().executorList(False).apply(0).totalShuffleWrite()  # local: the driver is the only one
+
+
+def test_ngrams_shuffle_a_small_multiple_of_the_text(spark):
+    from collections import Counter
+    from random import Random
+
+    random = Random(1)
+    names = ["".join(random.choices("abcdefghijklmnop", k=random.randint(2, 9))) for _ in range(5000)]
+    texts = [" ".join(names[int(5000 * random.random() ** 3)] for _ in range(500)) for _ in range(200)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    start = shuffled(spark)
+    found = kb.ngram_counts(df, text.tokens(F.col("text"))).collect()
+    took = shuffled(spark) - start
+    assert {(r.n, r.ngram): r.cnt for r in found} == Counter(g for t in texts for g in grams(t.split(), 5))
+    assert took < 4 * sum(map(len, texts))  # 9 times before n-grams of all lengths went as packed runs of words
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 5, 7])
+@pytest.mark.parametrize("listed", [False, True])
+def test_packed_ngrams_in_small_spans_equal_brute_force(monkeypatch, most, listed):
+    import re
+    from collections import Counter, defaultdict
+    from random import Random
+
+    import pyarrow as pa
+
+    from larkspur.operators import ngrams
+
+    monkeypatch.setattr(ngrams, "SPAN_BYTES", 200)
+    monkeypatch.setattr(ngrams, "MOST_PLACES", 50)
+    random = Random(most)
+    texts = [None, "", " \t", "x", "  the\nof ", "a " * 90, "w" * 700 + " the the", "é\u00a0ß 漢字\x0bthe\x1cof\f\rof", "the of " * 40]
+    texts += [" ".join(random.choice(["the", "of", "and", *(f"v{random.randint(0, 30)}" for _ in range(4))]) for _ in range(random.randint(0, 60))) for _ in range(40)]
+    cut = [None if t is None else [w for w in re.split(r"[ \t\n\x0b\f\r]+", t) if w] for t in texts]
+    rows = pa.array(cut, pa.list_(pa.string())) if listed else pa.array(texts)
+    batches = [pa.record_batch([rows.slice(i, 7)], ["words"]) for i in range(0, len(rows) + 7, 7)]
+    sums = Counter()
+    for batch in ngrams.seen(iter(batches)):
+        for word, n in zip(*batch.to_pydict().values()):
+            sums[word] += n
+    assert sums[None] == sum(len(w or []) for w in cut) and sums["the "] == sum((w or []).count("the") for w in cut)
+    tasks = defaultdict(list)
+    for batch in ngrams.pack(iter(batches), most, ["the ", "of ", "a ", "not there "], [7, 5, 3]):
+        for i, head in enumerate(batch.column("head").to_pylist()):
+            tasks[head].append(batch.slice(i, 1))
+    found = [x for rows in tasks.values() for batch in ngrams.count(iter(rows), most) for x in zip(*batch.to_pydict().values())]
+    want = Counter(g for w in cut for g in grams(w or [], most))
+    assert set(tasks) <= {7, 5, 3} and len(found) == len(want) and {(n, g): cnt for n, g, cnt in found} == want
+
+
 def test_edges_and_pairs_take_as_many_tasks_as_their_rows_ask_for(spark, monkeypatch):
     monkeypatch.setattr(tables, "TASK_ROWS", 3)
     plans, write = {}, graph.materialize
